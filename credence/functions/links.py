@@ -88,25 +88,24 @@ def is_exam_serial(text: Column) -> Column:
     return F.upper(F.trim(text)).rlike(r"^A[0-9]{8}$")
 
 
+def _first_made(values: Column, make) -> Column:
+    """First value the function makes something of."""
+    return F.get(F.filter(F.transform(values, make), lambda v: v.isNotNull()), F.lit(0))
+
+
 def exam_serial_of_url(url: Column) -> Column:
-    by_key = [exam_serial(F.coalesce(query_value(url, k), query_value(url, k.upper()))) for k in fv.SERIAL_KEYS]
-    by_path = F.get(
-        F.filter(F.transform(path_parts(url), exam_serial), lambda s: s.isNotNull()), F.lit(0)
-    )
-    return F.coalesce(*by_key, by_path)
+    by_key = F.array(*[F.coalesce(query_value(url, k), query_value(url, k.upper())) for k in fv.SERIAL_KEYS])
+    return _first_made(F.concat(by_key, path_parts(url)), exam_serial)
 
 
 def name_in_url(url: Column) -> Column:
     """Holder name from query keys, first + last name, or path parts from the end."""
-    has_query = F.contains(url, F.lit("?"))
-    keyed = F.coalesce(*[clean_person_name(query_value_any_case(url, k)) for k in fv.NAME_KEYS])
+    keyed = [query_value_any_case(url, k) for k in fv.NAME_KEYS]
     first = F.coalesce(query_value_any_case(url, "first_name"), query_value_any_case(url, "firstname"))
     last = F.coalesce(query_value_any_case(url, "last_name"), query_value_any_case(url, "lastname"))
-    both = clean_person_name(F.concat(first, F.lit(" "), last))
-    parts = F.filter(
-        F.transform(F.reverse(path_parts(url)), clean_person_name), lambda n: n.isNotNull()
-    )
-    return F.coalesce(F.when(has_query, F.coalesce(keyed, both)), F.get(parts, F.lit(0)))
+    query = F.array_compact(F.array(*keyed, F.concat(first, F.lit(" "), last)))
+    query = F.when(F.contains(url, F.lit("?")), query).otherwise(F.array().cast("array<string>"))
+    return _first_made(F.concat(query, F.reverse(path_parts(url))), clean_person_name)
 
 
 def html_text(html: Column, separator: str = "\n") -> Column:
@@ -154,8 +153,7 @@ def name_before_registration(lines: Column) -> Column:
     """Nearest name on the five lines before a registration-number line."""
     def candidate(i):
         before = F.reverse(F.slice(lines, F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5))))
-        names = F.filter(F.transform(before, clean_person_name), lambda n: n.isNotNull())
-        return F.when((i > 0) & F.get(lines, i).rlike(uni(fv.REGISTRATION_LINE)), F.get(names, F.lit(0)))
+        return F.when((i > 0) & F.get(lines, i).rlike(uni(fv.REGISTRATION_LINE)), _first_made(before, clean_person_name))
 
     positions = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
     return F.get(F.filter(F.transform(positions, candidate), lambda n: n.isNotNull()), F.lit(0))
@@ -164,9 +162,9 @@ def name_before_registration(lines: Column) -> Column:
 def name_on_page(upper: Column) -> Column:
     """Holder name printed on a verification page: label line, phrases, then before a registration line."""
     lines = page_lines(upper)
-    phrases = [clean_person_name(none_if_empty(F.regexp_extract(upper, "(?mdU)" + p, 1))) for p in fv.PAGE_NAME_PATTERNS]
+    phrases = F.array(*[none_if_empty(F.regexp_extract(upper, "(?mdU)" + p, 1)) for p in fv.PAGE_NAME_PATTERNS])
     registration = F.when(F.contains(upper, F.lit("REG")), name_before_registration(lines))
-    return F.coalesce(name_after_label(lines), *phrases, registration)
+    return F.coalesce(name_after_label(lines), _first_made(phrases, clean_person_name), registration)
 
 
 def name_on_exam_page(upper: Column) -> Column:

@@ -50,28 +50,25 @@ def window_similarity(needle: Column, haystack: Column) -> Column:
     )
 
 
-TOKEN_HIT = T.ArrayType(T.BooleanType())
-
-
-@F.pandas_udf(TOKEN_HIT)
-def _residual_hits(tokens: pd.Series, thresholds: pd.Series, pools: pd.Series) -> pd.Series:
-    def hits(names, limits, words):
-        out = []
-        for name, limit in zip(names, limits):
-            matcher = SequenceMatcher(None, "", "", autojunk=True)
-            matcher.set_seq1(name)
-            found = False
-            for word in words:
-                if 2.0 * min(len(name), len(word)) / (len(name) + len(word)) < limit:
-                    continue
-                matcher.set_seq2(word)
-                if matcher.quick_ratio() >= limit and matcher.ratio() >= limit:
-                    found = True
-                    break
-            out.append(found)
-        return out
-
-    return pd.Series([hits(t, l, p) for t, l, p in zip(tokens, thresholds, pools)])
+@F.pandas_udf(T.IntegerType())
+def _hit_count(tokens: pd.Series, limits: pd.Series, settled: pd.Series, pools: pd.Series) -> pd.Series:
+    def count(names, thresholds, done, words):
+        hits = 0
+        for name, limit, known in zip(names, thresholds, done):
+            if not known:
+                matcher = SequenceMatcher(None, "", "")
+                matcher.set_seq1(name)
+                for word in words:
+                    if 2.0 * min(len(name), len(word)) / (len(name) + len(word)) < limit:
+                        continue
+                    matcher.set_seq2(word)
+                    if matcher.quick_ratio() >= limit and matcher.ratio() >= limit:
+                        known = True
+                        break
+            hits += bool(known)
+        return hits
+
+    return pd.Series([count(*row) for row in zip(tokens, limits, settled, pools)], dtype="int32")
 
 
 def document_words(normal_text: Column) -> Column:
@@ -92,10 +89,10 @@ def containment_score(token: Column, words: Column) -> Column:
 
 
 def token_hits(tokens: Column, words: Column, threshold) -> Column:
-    """Per name token: does any document word reach the threshold?
+    """How many name tokens some document word reaches the threshold for.
 
-    ``threshold`` maps a token column to its limit.  Only words within the length bound of some
-    token are sent to Python.
+    ``threshold`` maps a token column to its limit.  Containment is settled by expressions; only
+    words within the length bound of some token are sent to Python.
     """
     def reachable(word):
         return F.exists(
@@ -104,6 +101,5 @@ def token_hits(tokens: Column, words: Column, threshold) -> Column:
         )
 
     limits = F.transform(tokens, lambda t: threshold(t).cast("double"))
-    fuzzy = _residual_hits(tokens, limits, F.filter(words, reachable))
-    plain = F.transform(tokens, lambda t: containment_score(t, words) >= threshold(t))
-    return F.zip_with(plain, fuzzy, lambda a, b: a | b)
+    settled = F.transform(tokens, lambda t: containment_score(t, words) >= threshold(t))
+    return _hit_count(tokens, limits, settled, F.filter(words, reachable))

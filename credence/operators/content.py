@@ -197,7 +197,7 @@ def with_name_match(docs: DataFrame, text: str, candidate: str, out: str = "name
     step = step.withColumn("_hits", token_hits(F.col("_tokens"), F.col("_words"), limit))
     short_hit = phrase_in_text(F.get("_parts", F.lit(0)), F.col("_ntext"))
     total = F.size("_parts")
-    hits = F.when(F.col("_short"), F.when(short_hit, 1).otherwise(0)).otherwise(F.size(F.filter("_hits", lambda h: h)))
+    hits = F.when(F.col("_short"), F.when(short_hit, 1).otherwise(0)).otherwise(F.col("_hits"))
     step = step.withColumns({"_n": hits, "_ratio": F.when(total > 0, hits / total).otherwise(0.0)})
     n, ratio, short = F.col("_n"), F.col("_ratio"), F.col("_short")
     listed = F.size("_names") > 0

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from credence.plans import listing_queries, text_queries
+from credence.plans import listing_queries, rule_queries, text_queries
 
-_PARTS = [listing_queries, text_queries]
+_PARTS = [listing_queries, text_queries, rule_queries]
 
 
 def all_queries():
