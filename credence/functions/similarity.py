@@ -9,7 +9,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,11 +50,21 @@ def window_similarity(needle: Column, haystack: Column) -> Column:
     )
 
 
+# --- Fixed values: a name word of at most SHORT_WORD letters needs the higher similarity --------------
+
+SHORT_WORD, SHORT_LIMIT, LONG_LIMIT = 5, 0.90, 0.88
+
+
+def token_limit(token: Column) -> Column:
+    return F.when(F.length(token) <= SHORT_WORD, F.lit(SHORT_LIMIT)).otherwise(F.lit(LONG_LIMIT))
+
+
 @F.pandas_udf(T.IntegerType())
-def _hit_count(tokens: pd.Series, limits: pd.Series, settled: pd.Series, pools: pd.Series) -> pd.Series:
-    def count(names, thresholds, done, words):
+def _hit_count(tokens: pd.Series, settled: pd.Series, pools: pd.Series) -> pd.Series:
+    def count(names, done, words):
         hits = 0
-        for name, limit, known in zip(names, thresholds, done):
+        for name, known in zip(names, done):
+            limit = SHORT_LIMIT if len(name) <= SHORT_WORD else LONG_LIMIT
             if not known:
                 matcher = SequenceMatcher(None, "", "")
                 matcher.set_seq1(name)
@@ -68,7 +78,7 @@ def _hit_count(tokens: pd.Series, limits: pd.Series, settled: pd.Series, pools:
             hits += bool(known)
         return hits
 
-    return pd.Series([count(*row) for row in zip(tokens, limits, settled, pools)], dtype="int32")
+    return pd.Series([count(*row) for row in zip(tokens, settled, pools)], dtype="int32")
 
 
 def document_words(normal_text: Column) -> Column:
@@ -88,18 +98,24 @@ def containment_score(token: Column, words: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(words, lambda w: _containment(token, w))), F.lit(0.0))
 
 
-def token_hits(tokens: Column, words: Column, threshold) -> Column:
-    """How many name tokens some document word reaches the threshold for.
+def with_token_hits(rows: DataFrame, tokens: str, words: str, out: str) -> DataFrame:
+    """How many name tokens reach their limit with some document word.
 
-    ``threshold`` maps a token column to its limit.  Containment is settled by expressions; only
-    words within the length bound of some token are sent to Python.
+    Containment is settled by expressions; only words within the length bound of some token are
+    sent to Python.  The Python arguments are plain columns: the planner does not extract a Python
+    call whose arguments hold lambdas.
     """
+    t_col, w_col = F.col(tokens), F.col(words)
+
     def reachable(word):
-        return F.exists(
-            tokens,
-            lambda t: 2.0 * F.least(F.length(t), F.length(word)) / (F.length(t) + F.length(word)) >= threshold(t),
-        )
-
-    limits = F.transform(tokens, lambda t: threshold(t).cast("double"))
-    settled = F.transform(tokens, lambda t: containment_score(t, words) >= threshold(t))
-    return _hit_count(tokens, limits, settled, F.filter(words, reachable))
+        bound = lambda t: 2.0 * F.least(F.length(t), F.length(word)) / (F.length(t) + F.length(word))
+        return F.exists(t_col, lambda t: bound(t) >= token_limit(t))
+
+    step = rows.withColumns({
+        "_settled": F.transform(t_col, lambda t: containment_score(t, w_col) >= token_limit(t)),
+        "_pool": F.filter(w_col, reachable),
+    })
+    certain = F.size(F.filter("_settled", lambda s: s))
+    open_case = (certain < F.size(t_col)) & (F.size("_pool") > 0)
+    fuzzy = _hit_count(t_col, F.col("_settled"), F.col("_pool"))
+    return step.withColumn(out, F.when(open_case, fuzzy).otherwise(certain)).drop("_settled", "_pool")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from credence import fixed_values as fv
 from credence.functions.names import holder_names, letters_only, name_parts, normal_name, phrase_in_text
-from credence.functions.similarity import document_words, token_hits
+from credence.functions.similarity import document_words, with_token_hits
 from credence.functions.text import (
     all_groups, clamp, contains_any, first_listed, join_lists, phrase_hits, priority_first, texts, uni, word_count,
 )
@@ -192,9 +192,7 @@ def with_name_match(docs: DataFrame, text: str, candidate: str, out: str = "name
         "_tokens": F.when(open_case, F.transform("_parts", letters_only)).otherwise(empty),
         "_words": F.when(open_case, document_words(F.col("_ntext"))).otherwise(empty),
     })
-    # the limit depends on the part as written (apostrophes count)
-    limit = lambda t: F.when(F.length(t) <= 5, F.lit(0.90)).otherwise(F.lit(0.88))
-    step = step.withColumn("_hits", token_hits(F.col("_tokens"), F.col("_words"), limit))
+    step = with_token_hits(step, "_tokens", "_words", "_hits")
     short_hit = phrase_in_text(F.get("_parts", F.lit(0)), F.col("_ntext"))
     total = F.size("_parts")
     hits = F.when(F.col("_short"), F.when(short_hit, 1).otherwise(0)).otherwise(F.col("_hits"))
