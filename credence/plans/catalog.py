@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from credence.plans import listing_queries, rule_queries, text_queries
+from credence.plans import corpus_queries, listing_queries, rule_queries, text_queries
 
-_PARTS = [listing_queries, text_queries, rule_queries]
+_PARTS = [listing_queries, text_queries, rule_queries, corpus_queries]
 
 
 def all_queries():

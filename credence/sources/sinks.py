@@ -12,7 +12,7 @@ from credence.session import run_dir
 class VersionedTable:
     """A parquet table kept as numbered version folders; readers see the last committed one.
 
-    A version is written completely, then marked by an empty commit file, so a lost executor or a
+    A version is written completely, then marked by a commit file, so a lost executor or a
     failed job leaves the previous version in place.  Works on any file system Spark can reach.
     """
 
@@ -44,15 +44,28 @@ class VersionedTable:
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path(self.versions()[-1]))
 
-    def write(self, rows: DataFrame) -> None:
+    def write(self, rows: DataFrame, tag: str = "") -> None:
+        """A new version.  ``tag`` names the input it came from, so that a replay can be recognised."""
         version = (self.versions() or [0])[-1] + 1
         rows.write.mode("overwrite").parquet(self.path(version))
         fs, mark = self._fs(f"{self.root}/commit-{version:08d}")
-        fs.create(mark, True).close()
-
-    def upsert(self, rows: DataFrame, key: str) -> None:
+        out = fs.create(mark, True)
+        out.writeUTF(tag)
+        out.close()
+
+    def last_tag(self) -> str | None:
+        if not self.exists():
+            return None
+        fs, mark = self._fs(f"{self.root}/commit-{self.versions()[-1]:08d}")
+        source = fs.open(mark)
+        try:
+            return source.readUTF()
+        finally:
+            source.close()
+
+    def upsert(self, rows: DataFrame, key: str, tag: str = "") -> None:
         """Rows with a known key replace the old row, others are added.  One row per key expected."""
-        self.write(upsert(self.read(), rows, key) if self.exists() else rows)
+        self.write(upsert(self.read(), rows, key) if self.exists() else rows, tag)
 
 
 def write_csv(rows: DataFrame, path: str, single_file: bool = False) -> None:
