@@ -324,12 +324,15 @@ PAGE_NAME_LABEL = (
     r"|CANDIDATE\s+NAME|NAMES?)"
 )
 PAGE_NAME_END = r"(?:\s+" + PAGE_NAME_STOP + r"|\s*$|\n|<)"
+# (one of these literals is needed, pattern), tried in this order
 PAGE_NAME_PATTERNS = [
-    r"([A-Z][A-Z\s']{3,60}?)\s+REGISTRATION\s+NUMBER",
-    r"([A-Z][A-Z\s']{3,60}?)\s+REG\s*NO",
-    PAGE_NAME_LABEL + r"\s*[:\-]?\s*([A-Z][A-Z\s']{2,60}?)" + PAGE_NAME_END,
-    r"(?:STUDENT|HOLDER|CANDIDATE|GRADUATE)\s*:\s*([A-Z][A-Z\s']{2,60}?)" + PAGE_NAME_END,
-    r"(?:AWARDED\s+TO|CONFERRED\s+ON|ISSUED\s+TO|CERTIFY\s+THAT)\s*[:\-]?\s*([A-Z][A-Z\s']{2,60}?)" + PAGE_NAME_END,
+    (["REGISTRATION"], r"([A-Z][A-Z\s']{3,60}?)\s+REGISTRATION\s+NUMBER"),
+    (["REG"], r"([A-Z][A-Z\s']{3,60}?)\s+REG\s*NO"),
+    (["NAME"], PAGE_NAME_LABEL + r"\s*[:\-]?\s*([A-Z][A-Z\s']{2,60}?)" + PAGE_NAME_END),
+    (["STUDENT", "HOLDER", "CANDIDATE", "GRADUATE"],
+     r"(?:STUDENT|HOLDER|CANDIDATE|GRADUATE)\s*:\s*([A-Z][A-Z\s']{2,60}?)" + PAGE_NAME_END),
+    (["AWARDED", "CONFERRED", "ISSUED", "CERTIFY"],
+     r"(?:AWARDED\s+TO|CONFERRED\s+ON|ISSUED\s+TO|CERTIFY\s+THAT)\s*[:\-]?\s*([A-Z][A-Z\s']{2,60}?)" + PAGE_NAME_END),
 ]
 REGISTRATION_LINE = r"\b(?:REGISTRATION\s+NUMBER|REG\s*NO|REGISTRATION\s+NO)\b"
 EXAM_PAGE_NAME = (

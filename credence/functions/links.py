@@ -162,13 +162,16 @@ def name_before_registration(lines: Column) -> Column:
 def name_on_page(upper: Column) -> Column:
     """Holder name printed on a verification page: label line, phrases, then before a registration line."""
     lines = page_lines(upper)
-    phrases = F.array(*[none_if_empty(F.regexp_extract(upper, "(?mdU)" + p, 1)) for p in fv.PAGE_NAME_PATTERNS])
+    phrases = F.array(*[
+        F.when(contains_any(upper, needed), none_if_empty(F.regexp_extract(upper, "(?mdU)" + p, 1))) for needed, p in fv.PAGE_NAME_PATTERNS
+    ])
     registration = F.when(F.contains(upper, F.lit("REG")), name_before_registration(lines))
     return F.coalesce(name_after_label(lines), _first_made(phrases, clean_person_name), registration)
 
 
 def name_on_exam_page(upper: Column) -> Column:
-    phrase = clean_person_name(none_if_empty(F.regexp_extract(upper, "(?mdU)" + fv.EXAM_PAGE_NAME, 1)))
+    labelled = F.contains(upper, F.lit("GRADUATE"))
+    phrase = clean_person_name(F.when(labelled, none_if_empty(F.regexp_extract(upper, "(?mdU)" + fv.EXAM_PAGE_NAME, 1))))
     lines = page_lines(upper)
 
     def candidate(i):

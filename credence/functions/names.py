@@ -6,11 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from credence import fixed_values as fv
-from credence.functions.text import all_groups, contains_any, no_texts, text_lines, uni
-
-
-def _literals(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+from credence.functions.text import all_groups, contains_any, literal_list, no_texts, text_lines, uni
 
 
 def normal_name(c: Column) -> Column:
@@ -69,7 +65,7 @@ def line_names(upper: Column) -> Column:
     kept = F.filter(
         as_words,
         lambda ws: F.size(ws).between(2, 4)
-        & ~F.arrays_overlap(ws, _literals(fv.FIELD_OF_STUDY_WORDS))
+        & ~F.arrays_overlap(ws, literal_list(fv.FIELD_OF_STUDY_WORDS))
         & ~F.exists(ws, lambda w: (F.length(w) > 12) & ~w.rlike("[AEIOU]")),
     )
     return F.transform(kept, lambda ws: F.array_join(ws, " "))
@@ -92,7 +88,7 @@ def clean_person_name(raw: Column) -> Column:
     single = F.trim(F.regexp_replace(letters, uni(r"\s+"), " "))
     head = F.trim(F.element_at(F.split(single, "(?iU)" + fv.PERSON_NAME_END, 2), 1))
     words = F.filter(F.split(F.upper(head), " "), lambda w: F.length(w) > 1)
-    blocked = F.arrays_overlap(words, _literals(fv.PERSON_NAME_BLOCKED))
+    blocked = F.arrays_overlap(words, literal_list(fv.PERSON_NAME_BLOCKED))
     return F.when((F.length(head) >= 4) & F.size(words).between(2, 5) & ~blocked, F.array_join(words, " "))
 
 

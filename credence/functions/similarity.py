@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credence.functions.names import letters_only
-from credence.functions.text import all_groups
 
 
 def _ratio(a: str, b: str) -> float:
@@ -83,8 +82,8 @@ def _hit_count(tokens: pd.Series, settled: pd.Series, pools: pd.Series) -> pd.Se
 
 def document_words(normal_text: Column) -> Column:
     """Distinct letter-only words of a normalised text."""
-    words = F.array_distinct(F.transform(all_groups(normal_text, r"\b[A-Z']{2,}\b"), letters_only))
-    return F.filter(words, lambda w: w != "")
+    words = F.array_distinct(F.regexp_extract_all(normal_text, F.lit(r"\b[A-Z']{2,}\b"), F.lit(0)))
+    return F.filter(F.transform(words, lambda w: F.replace(w, F.lit("'"), F.lit(""))), lambda w: w != "")
 
 
 def _containment(token: Column, word: Column) -> Column:
@@ -105,7 +104,13 @@ def with_token_hits(rows: DataFrame, tokens: str, words: str, out: str) -> DataF
     sent to Python.  The Python arguments are plain columns: the planner does not extract a Python
     call whose arguments hold lambdas.
     """
-    t_col, w_col = F.col(tokens), F.col(words)
+    t_col, w_col = F.col(tokens), F.col("_near")
+    sizes = F.transform(t_col, lambda t: F.length(t))
+    # no word outside these lengths can reach the lower limit with any token
+    slack = LONG_LIMIT / (2 - LONG_LIMIT)
+    low, high = F.floor(F.array_min(sizes) * slack), F.ceil(F.array_max(sizes) / slack)
+    rows = rows.withColumns({"_low": low, "_high": high})
+    rows = rows.withColumn("_near", F.filter(F.col(words), lambda w: F.length(w).between(F.col("_low"), F.col("_high"))))
 
     def reachable(word):
         bound = lambda t: 2.0 * F.least(F.length(t), F.length(word)) / (F.length(t) + F.length(word))
@@ -118,4 +123,4 @@ def with_token_hits(rows: DataFrame, tokens: str, words: str, out: str) -> DataF
     certain = F.size(F.filter("_settled", lambda s: s))
     open_case = (certain < F.size(t_col)) & (F.size("_pool") > 0)
     fuzzy = _hit_count(t_col, F.col("_settled"), F.col("_pool"))
-    return step.withColumn(out, F.when(open_case, fuzzy).otherwise(certain)).drop("_settled", "_pool")
+    return step.withColumn(out, F.when(open_case, fuzzy).otherwise(certain)).drop("_settled", "_pool", "_near", "_low", "_high")

@@ -42,21 +42,67 @@ def text_lines(c: Column) -> Column:
 
 def contains_any(c: Column, words) -> Column:
     found = F.lit(False)
-    for word in reversed(list(words)):
-        found = c.contains(word) | found
+    for word in words:
+        found = found | c.contains(word)
     return found
 
 
 def whole_word(c: Column, phrase: str) -> Column:
     """The phrase between word boundaries, any white space between its words."""
-    pattern = r"\b" + re.escape(phrase).replace(r"\ ", r"\s+") + r"\b"
-    return c.contains(phrase.split(" ")[0]) & c.rlike(uni(pattern))
+    return c.contains(phrase.split(" ")[0]) & c.rlike(uni(_phrase_pattern(phrase)))
 
 
-def phrase_hits(c: Column, phrases, whole: bool) -> Column:
-    """The phrases found in the text, in listed order."""
-    test = whole_word if whole else (lambda text, p: text.contains(p))
-    return F.array_compact(F.array(*[F.when(test(c, p), F.lit(p)) for p in phrases]))
+def _phrase_pattern(phrase: str) -> str:
+    return r"\b" + re.escape(phrase).replace(r"\ ", r"\s+") + r"\b"
+
+
+def sql_text(s: str) -> str:
+    """A string literal for SQL expression text."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_list(words) -> Column:
+    """Array literal, built in one call."""
+    return F.expr("array(" + ", ".join(sql_text(w) for w in words) + ")")
+
+
+def _is_word(s: str) -> bool:
+    return re.fullmatch(r"\w+", s) is not None
+
+
+def known_words(upper: Column, *lists) -> Column:
+    """The words of the lists that the text contains, found in one pass over the text.
+
+    Phrases are represented by their first word.
+    """
+    vocabulary = dict.fromkeys(p.split(" ")[0] for words in lists for p in words)
+    words = F.regexp_extract_all(upper, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.array_intersect(words, literal_list([w for w in vocabulary if _is_word(w)]))
+
+
+def word_hits(known: str, upper: str, phrases) -> Column:
+    """Whole phrases found, in listed order.  ``known`` is a column made by :func:`known_words`.
+
+    Single words are settled by it; a pattern is tried only for a phrase whose first word occurs.
+    """
+    def test(p: str) -> str:
+        head = p.split(" ")[0]
+        met = f"array_contains({known}, {sql_text(head)})" if _is_word(head) else f"contains({upper}, {sql_text(head)})"
+        return met if _is_word(p) else f"{met} AND rlike({upper}, {sql_text(uni(_phrase_pattern(p)))})"
+
+    cases = ", ".join(f"IF({test(p)}, {sql_text(p)}, NULL)" for p in phrases)
+    return F.array_compact(F.expr(f"array({cases})"))
+
+
+def text_hits(upper: str, phrases) -> Column:
+    """Phrases contained anywhere in the text, in listed order."""
+    cases = ", ".join(f"IF(contains({upper}, {sql_text(p)}), {sql_text(p)}, NULL)" for p in phrases)
+    return F.array_compact(F.expr(f"array({cases})"))
+
+
+def phrase_hits(c: Column, phrases) -> Column:
+    """Phrases contained anywhere in a text expression, in listed order."""
+    return F.array_compact(F.array(*[F.when(c.contains(p), F.lit(p)) for p in phrases]))
 
 
 def first_listed(c: Column, pairs) -> Column:
@@ -92,8 +138,8 @@ def distinct_in_order(c: Column) -> Column:
 def priority_first(found: Column, priority) -> Column:
     """Listed priority items first, the rest in found order."""
     distinct = F.array_distinct(found)
-    ranked = F.array_compact(F.array(*[F.when(F.array_contains(distinct, p), F.lit(p)) for p in priority]))
-    return F.concat(ranked, F.array_except(distinct, F.array(*[F.lit(p) for p in priority])))
+    listed = literal_list(priority)
+    return F.concat(F.array_intersect(listed, distinct), F.array_except(distinct, listed))
 
 
 def split_issues(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence import fixed_values as fv
-from credence.functions.text import clamp, contains_any, number_text, percent, texts
+from credence.functions.text import clamp, contains_any, number_text, percent, sql_text, texts
 from credence.operators.outcome import deduct, fmt
 
 
@@ -17,9 +17,9 @@ def doc_classes(spark) -> DataFrame:
 
 def class_value(name: Column, field: int, default: Column) -> Column:
     """Class dictionary lookup as an expression, for names inside arrays."""
-    keys = F.array(*[F.lit(c[0]) for c in fv.DOC_CLASSES])
-    values = F.array(*[F.lit(c[field]) for c in fv.DOC_CLASSES])
-    return F.coalesce(F.element_at(F.map_from_arrays(keys, values), name), default)
+    number = field == 3
+    pairs = ", ".join(f"{sql_text(c[0])}, " + (f"{c[field]}d" if number else sql_text(c[field])) for c in fv.DOC_CLASSES)
+    return F.coalesce(F.element_at(F.expr(f"map({pairs})"), name), default)
 
 
 def types_match(doc_type: Column, detected: Column) -> Column:

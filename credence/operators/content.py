@@ -9,7 +9,7 @@ from credence import fixed_values as fv
 from credence.functions.names import holder_names, letters_only, name_parts, normal_name, phrase_in_text
 from credence.functions.similarity import document_words, with_token_hits
 from credence.functions.text import (
-    all_groups, clamp, contains_any, first_listed, join_lists, phrase_hits, priority_first, texts, uni, word_count,
+    all_groups, clamp, contains_any, first_listed, join_lists, known_words, no_texts, phrase_hits, priority_first, text_hits, texts, uni, word_count, word_hits,
 )
 from credence.operators.outcome import deduct, fmt
 
@@ -17,17 +17,26 @@ POLYTECHNIC_URL = "RWANDA POLYTECHNIC (via URL)"
 UNIVERSITY_URL = "UNIVERSITY OF RWANDA (via URL)"
 
 
-def with_institution(docs: DataFrame, upper: str, out: str = "institution") -> DataFrame:
+ALL_WORDS = [*fv.INSTITUTION_WORDS.values(), [c for c, _ in fv.SHORT_CODES], fv.ID_WORDS, fv.CERTIFICATE_WORDS, fv.TRANSCRIPT_WORDS]
+
+
+def with_known_words(docs: DataFrame, upper: str, out: str = "_known") -> DataFrame:
+    """The dictionary words of a text, found once for all lists."""
+    return docs.withColumn(out, known_words(F.col(upper), *ALL_WORDS))
+
+
+def with_institution(docs: DataFrame, upper: str, out: str = "institution", known: str | None = None) -> DataFrame:
     """Struct of found institutions (priority order) and category."""
     up = F.col(upper)
-    by_category = {f"_{c}": phrase_hits(up, words, whole=True) for c, words in fv.INSTITUTION_WORDS.items()}
-    codes = phrase_hits(up, [c for c, _ in fv.SHORT_CODES], whole=True)
-    step = docs.withColumns({**by_category, "_codes": codes})
+    step = docs if known else with_known_words(docs, upper, "_iknown")
+    words = known or "_iknown"
+    by_category = {f"_{c}": word_hits(words, upper, listed) for c, listed in fv.INSTITUTION_WORDS.items()}
+    step = step.withColumns({**by_category, "_codes": word_hits(words, upper, [c for c, _ in fv.SHORT_CODES])})
     listed = [F.col(f"_{c}") for c in fv.INSTITUTION_WORDS]
     named = F.array_distinct(F.concat(*listed, F.col("_codes")))
     step = step.withColumn("_named", named)
-    fragments = F.when(F.size("_named") == 0, phrase_hits(up, [f for f, _ in fv.INSTITUTION_FRAGMENTS], whole=False))
-    step = step.withColumn("_frags", F.coalesce(fragments, F.array().cast("array<string>")))
+    fragments = F.when(F.size("_named") == 0, text_hits(upper, [f for f, _ in fv.INSTITUTION_FRAGMENTS]))
+    step = step.withColumn("_frags", F.coalesce(fragments, no_texts()))
 
     # the last category with a listed word wins; codes only fill a gap, first code with a category
     last_listed = F.coalesce(*[F.when(F.size(f"_{c}") > 0, F.lit(c)) for c in reversed(list(fv.INSTITUTION_WORDS))])
@@ -43,7 +52,7 @@ def with_institution(docs: DataFrame, upper: str, out: str = "institution") -> D
         texts(F.when(poly, F.lit(POLYTECHNIC_URL)), F.when(uni_url, F.lit(UNIVERSITY_URL))),
     )
     struct = F.struct(priority_first(found, fv.INSTITUTION_PRIORITY).alias("found"), category.alias("category"))
-    return step.withColumn(out, struct).drop(*by_category, "_codes", "_named", "_frags")
+    return step.withColumn(out, struct).drop(*by_category, "_codes", "_named", "_frags", "_iknown")
 
 
 def authority_role(upper: Column) -> Column:
@@ -52,14 +61,14 @@ def authority_role(upper: Column) -> Column:
     return first_listed(upper, titled)
 
 
-def with_doc_type(docs: DataFrame, upper: str, out: str = "doc_kind") -> DataFrame:
+def with_doc_type(docs: DataFrame, upper: str, out: str = "doc_kind", known: str | None = None) -> DataFrame:
     """Struct of document kind and keyword score."""
-    up = F.col(upper)
-    step = docs.withColumns({
-        "_id": phrase_hits(up, fv.ID_WORDS, whole=True),
-        "_cert": F.size(phrase_hits(up, fv.CERTIFICATE_WORDS, whole=True))
-        + F.size(phrase_hits(up, fv.CERTIFICATE_PHRASES, whole=False)),
-        "_trans": F.size(phrase_hits(up, fv.TRANSCRIPT_WORDS, whole=True)),
+    step = docs if known else with_known_words(docs, upper, "_tknown")
+    words = known or "_tknown"
+    step = step.withColumns({
+        "_id": word_hits(words, upper, fv.ID_WORDS),
+        "_cert": F.size(word_hits(words, upper, fv.CERTIFICATE_WORDS)) + F.size(text_hits(upper, fv.CERTIFICATE_PHRASES)),
+        "_trans": F.size(word_hits(words, upper, fv.TRANSCRIPT_WORDS)),
     })
     strong = F.size(F.filter("_id", lambda k: ~k.isin(fv.WEAK_ID_WORDS)))
     step = step.withColumn("_strong", strong)
@@ -69,7 +78,7 @@ def with_doc_type(docs: DataFrame, upper: str, out: str = "doc_kind") -> DataFra
     kind = F.when(cert, "certificate").when(trans, "transcript").when(ident, "national_id").otherwise("unknown")
     score = F.when(cert, F.col("_cert")).when(trans, F.col("_trans")).when(ident, F.size("_id")).otherwise(0)
     return step.withColumn(out, F.struct(kind.alias("kind"), score.cast("int").alias("score"))).drop(
-        "_id", "_cert", "_trans", "_strong"
+        "_id", "_cert", "_trans", "_strong", "_tknown"
     )
 
 
@@ -77,10 +86,10 @@ def _validation(score: Column, issues: Column, positives: Column) -> Column:
     return F.struct(score.cast("int").alias("score"), issues.alias("issues"), positives.alias("positives"))
 
 
-def id_validation(text: Column, upper: Column, found: Column) -> Column:
+def id_validation(text: Column, upper: str, found: Column) -> Column:
     """National-ID content: number, official words, a date."""
     long_no, old_no = text.rlike(uni(r"\b\d{16}\b")), text.rlike(uni(r"\b\d{10}\b"))
-    words = phrase_hits(upper, fv.ID_WORDS, whole=False)
+    words = text_hits(upper, fv.ID_WORDS)
     n, dated = F.size(words), text.rlike(uni(fv.ANY_DATE))
     score = F.lit(100) - deduct(
         F.when(~long_no & ~old_no, 20), F.when(n < 1, 30).when(n < 3, 10), F.when(~dated, 10)
@@ -101,9 +110,10 @@ def id_validation(text: Column, upper: Column, found: Column) -> Column:
     return _validation(F.greatest(F.lit(0), score), issues, positives)
 
 
-def certificate_validation(text: Column, upper: Column, found: Column) -> Column:
+def certificate_validation(text: Column, upper: str, found: Column) -> Column:
     """Certificate content: institution, words, authority role, year, official address."""
-    known, n = F.size(found) > 0, F.size(phrase_hits(upper, fv.CERTIFICATE_WORDS, whole=False))
+    known, n = F.size(found) > 0, F.size(text_hits(upper, fv.CERTIFICATE_WORDS))
+    upper = F.col(upper)
     role = authority_role(upper)
     century = F.try_element_at(all_groups(text, fv.ISSUE_YEAR, 1), F.lit(-1))
     in_words = contains_any(upper, fv.YEAR_WORDS)
@@ -135,9 +145,9 @@ def certificate_validation(text: Column, upper: Column, found: Column) -> Column
     return _validation(clamp(score), issues, positives)
 
 
-def transcript_validation(text: Column, upper: Column, found: Column) -> Column:
+def transcript_validation(text: Column, upper: str, found: Column) -> Column:
     """Transcript content: institution, words, grade values."""
-    known, n = F.size(found) > 0, F.size(phrase_hits(upper, fv.TRANSCRIPT_WORDS, whole=False))
+    known, n = F.size(found) > 0, F.size(text_hits(upper, fv.TRANSCRIPT_WORDS))
     graded = text.rlike(uni(fv.GRADE_VALUE))
     score = F.lit(100) - deduct(F.when(~known, 15), F.when(n < 1, 20).when(n < 3, 10), F.when(~graded, 10))
     issues = texts(
@@ -244,14 +254,15 @@ def with_content_check(docs: DataFrame, text: str = "text", candidate: str | Non
     """Type, institution, content score and name match of a document text as one struct."""
     step = docs.withColumn("_body", F.regexp_replace(F.coalesce(F.col(text), F.lit("")), uni(r"^\s+|\s+$"), ""))
     step = step.withColumns({"_up": F.upper("_body"), "_wc": word_count(F.col("_body"))})
-    step = with_institution(step, "_up", "_inst")
-    step = with_doc_type(step, "_up", "_kind")
-    body, up, found, kind = F.col("_body"), F.col("_up"), F.col("_inst.found"), F.col("_kind.kind")
+    step = with_known_words(step, "_up", "_known")
+    step = with_institution(step, "_up", "_inst", known="_known")
+    step = with_doc_type(step, "_up", "_kind", known="_known").withColumn("_found", F.col("_inst.found"))
+    body, found, kind = F.col("_body"), F.col("_found"), F.col("_kind.kind")
     step = step.withColumn(
         "_val",
-        F.when(kind == "national_id", id_validation(body, up, found))
-        .when(kind == "certificate", certificate_validation(body, up, found))
-        .when(kind == "transcript", transcript_validation(body, up, found))
+        F.when(kind == "national_id", id_validation(body, "_up", found))
+        .when(kind == "certificate", certificate_validation(body, "_up", found))
+        .when(kind == "transcript", transcript_validation(body, "_up", found))
         .otherwise(unknown_validation(F.col("_wc"))),
     )
     if candidate is None:
@@ -278,7 +289,7 @@ def with_content_check(docs: DataFrame, text: str = "text", candidate: str | Non
         join_lists(F.col("_val.issues"), F.col("_name.issues")).alias("issues"),
         join_lists(F.col("_val.positives"), F.col("_name.positives")).alias("positives"),
     )
-    return step.withColumn(out, struct).drop("_body", "_up", "_wc", "_inst", "_kind", "_val", "_name")
+    return step.withColumn(out, struct).drop("_body", "_up", "_wc", "_known", "_inst", "_kind", "_found", "_val", "_name")
 
 
 def text_features(text: Column) -> dict[str, Column]:
@@ -286,7 +297,7 @@ def text_features(text: Column) -> dict[str, Column]:
     upper = F.upper(text)
     return {
         "word_count": F.least(F.lit(100), word_count(text)).cast("double"),
-        "rwanda_keywords": F.size(phrase_hits(upper, fv.FEATURE_WORDS, whole=False)).cast("double"),
+        "rwanda_keywords": F.size(phrase_hits(upper, fv.FEATURE_WORDS)).cast("double"),
         "authority_found": contains_any(upper, fv.FEATURE_ROLES).cast("double"),
         "date_found": text.rlike(uni(fv.ANY_DATE)).cast("double"),
         "id_number_found": text.rlike(uni(r"\b\d{16}\b|\b\d{10}\b")).cast("double"),

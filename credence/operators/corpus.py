@@ -155,7 +155,7 @@ def image_blocks(images: DataFrame, key: str, size: int = 32, step: int = 16, mi
             for k, h, w, d in zip(pdf[key], pdf["height"], pdf["width"], pdf["data"]):
                 kept = [b for b in blocks_of(gray_of(pixels(h, w, d)), size) if b.std() >= min_std]
                 digests = [hashlib.md5(b.ravel()[::step].tobytes()).hexdigest() for b in kept]
-                yield pd.DataFrame({key: [k] * len(digests), "block": digests})
+                yield pd.DataFrame({key: [k] * len(digests), "block": pd.Series(digests, dtype=object)})
 
     return images.select(key, "height", "width", "data").mapInPandas(run, f"`{key}` {kind}, block string")
 

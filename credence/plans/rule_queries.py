@@ -273,7 +273,7 @@ _BODY = f"b AS (SELECT id, doc_type, text, {up('text')} AS u, {ascii_words('text
 def _validated(fn):
     def run(spark, sf):
         rows = content.with_institution(_subm(spark, sf).select("id", "text", F.upper("text").alias("u")), "u")
-        v = fn(F.col("text"), F.col("u"), F.col("institution.found"))
+        v = fn(F.col("text"), "u", F.col("institution.found"))
         done = rows.select("id", v.alias("v"))
         return done.select("id", "v.score", X.join_issues(F.col("v.issues")).alias("issues"), X.join_issues(F.col("v.positives")).alias("positives"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence import fixed_values as fv
-from credence.sources.tables import parquet_table
+from credence.sources.tables import parquet_table, spread
 
 # --- Fixed values: invented words of the derived rows ------------------------------------------------
 
@@ -274,6 +274,9 @@ _DERIVED = {
     }),
 }
 
+# tables whose rows carry long texts or go through long rules
+ROW_HEAVY = {"submissions", "portal_pages", "captures", "links"}
+
 SQL_NAMES = {
     "candidates": "cand", "documents": "docs", "verifications": "ver", "submissions": "subm", "captures": "capt",
     "portal_pages": "portal_src", "links": "links_src", "users": "usr",
@@ -282,7 +285,10 @@ SQL_NAMES = {
 
 def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
     source, exprs = _DERIVED[name]
-    return parquet_table(spark, folder, source).selectExpr(*[f"{e[0]} as {n}" for n, e in exprs().items()])
+    rows = parquet_table(spark, folder, source)
+    if name in ROW_HEAVY:
+        rows = spread(rows)
+    return rows.selectExpr(*[f"{e[0]} as {n}" for n, e in exprs().items()])
 
 
 def cte(name: str) -> str:

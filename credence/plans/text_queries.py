@@ -423,7 +423,7 @@ def u_concat(spark, sf):
     "SELECT doc_id, concat_ws('|', " + ", ".join(f"CASE WHEN contains(upper(text), {sq(w)}) THEN {sq(w)} END" for w in ("THE", "DER", "QUE", "ENT", "AND", "LES"))
     + ") AS found FROM documents"))
 def s_priority_sort(spark, sf):
-    found = X.phrase_hits(F.upper("text"), ["AND", "THE", "ENT", "LES", "QUE", "DER"], whole=False)
+    found = X.phrase_hits(F.upper("text"), ["AND", "THE", "ENT", "LES", "QUE", "DER"])
     ordered = X.priority_first(found, ["THE", "DER", "QUE", "ENT"])
     return parquet_table(spark, sf, "documents").select("doc_id", F.array_join(ordered, "|").alias("found"))
 
@@ -437,7 +437,7 @@ def s_priority_sort(spark, sf):
     + f" FROM (SELECT id, {up('text')} AS u FROM subm)", "submissions"))
 def j_keyword_hits(spark, sf):
     rows = _subm(spark, sf).select("id", F.upper("text").alias("u"))
-    n = lambda words: F.size(X.phrase_hits(F.col("u"), words, whole=False))
+    n = lambda words: F.size(X.phrase_hits(F.col("u"), words))
     return rows.select("id", n(fv.ID_WORDS).alias("id_words"), n(fv.CERTIFICATE_WORDS).alias("certificate_words"),
                        n(fv.TRANSCRIPT_WORDS).alias("transcript_words"), n(fv.FEATURE_WORDS).alias("feature_words"))
 
