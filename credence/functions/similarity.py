@@ -6,6 +6,7 @@ words that can not reach the threshold before a batch leaves the JVM.
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -54,30 +55,30 @@ def window_similarity(needle: Column, haystack: Column) -> Column:
 SHORT_WORD, SHORT_LIMIT, LONG_LIMIT = 5, 0.90, 0.88
 
 
-def token_limit(token: Column) -> Column:
-    return F.when(F.length(token) <= SHORT_WORD, F.lit(SHORT_LIMIT)).otherwise(F.lit(LONG_LIMIT))
+def _reaches(name: str, words) -> bool:
+    """Does some word contain the name, lie in it, or resemble it closely enough?"""
+    limit = SHORT_LIMIT if len(name) <= SHORT_WORD else LONG_LIMIT
+    counts = Counter(name)
+    matcher = SequenceMatcher(None, "", name)
+    for word in words:
+        a, b = len(name), len(word)
+        if 2.0 * min(a, b) / (a + b) < limit:
+            continue
+        if (name in word or word in name) and min(a, b) / max(a, b) >= limit:
+            return True
+        # letters of the name that the word lacks can not be part of a match
+        lost = sum(n for letter, n in counts.items() if letter not in word)
+        if 2.0 * (a - lost) / (a + b) < limit:
+            continue
+        matcher.set_seqs(name, word)
+        if matcher.quick_ratio() >= limit and matcher.ratio() >= limit:
+            return True
+    return False
 
 
 @F.pandas_udf(T.IntegerType())
-def _hit_count(tokens: pd.Series, settled: pd.Series, pools: pd.Series) -> pd.Series:
-    def count(names, done, words):
-        hits = 0
-        for name, known in zip(names, done):
-            limit = SHORT_LIMIT if len(name) <= SHORT_WORD else LONG_LIMIT
-            if not known:
-                matcher = SequenceMatcher(None, "", "")
-                matcher.set_seq1(name)
-                for word in words:
-                    if 2.0 * min(len(name), len(word)) / (len(name) + len(word)) < limit:
-                        continue
-                    matcher.set_seq2(word)
-                    if matcher.quick_ratio() >= limit and matcher.ratio() >= limit:
-                        known = True
-                        break
-            hits += bool(known)
-        return hits
-
-    return pd.Series([count(*row) for row in zip(tokens, settled, pools)], dtype="int32")
+def _hit_count(tokens: pd.Series, pools: pd.Series) -> pd.Series:
+    return pd.Series([sum(_reaches(t, pool) for t in names) for names, pool in zip(tokens, pools)], dtype="int32")
 
 
 def document_words(normal_text: Column) -> Column:
@@ -100,27 +101,14 @@ def containment_score(token: Column, words: Column) -> Column:
 def with_token_hits(rows: DataFrame, tokens: str, words: str, out: str) -> DataFrame:
     """How many name tokens reach their limit with some document word.
 
-    Containment is settled by expressions; only words within the length bound of some token are
-    sent to Python.  The Python arguments are plain columns: the planner does not extract a Python
-    call whose arguments hold lambdas.
+    Only words whose length can reach a limit with some token are sent to Python.  The Python
+    arguments are plain columns: the planner does not extract a Python call whose arguments hold
+    lambdas.
     """
-    t_col, w_col = F.col(tokens), F.col("_near")
-    sizes = F.transform(t_col, lambda t: F.length(t))
-    # no word outside these lengths can reach the lower limit with any token
+    sizes = F.transform(tokens, lambda t: F.length(t))
     slack = LONG_LIMIT / (2 - LONG_LIMIT)
     low, high = F.floor(F.array_min(sizes) * slack), F.ceil(F.array_max(sizes) / slack)
-    rows = rows.withColumns({"_low": low, "_high": high})
-    rows = rows.withColumn("_near", F.filter(F.col(words), lambda w: F.length(w).between(F.col("_low"), F.col("_high"))))
-
-    def reachable(word):
-        bound = lambda t: 2.0 * F.least(F.length(t), F.length(word)) / (F.length(t) + F.length(word))
-        return F.exists(t_col, lambda t: bound(t) >= token_limit(t))
-
-    step = rows.withColumns({
-        "_settled": F.transform(t_col, lambda t: containment_score(t, w_col) >= token_limit(t)),
-        "_pool": F.filter(w_col, reachable),
-    })
-    certain = F.size(F.filter("_settled", lambda s: s))
-    open_case = (certain < F.size(t_col)) & (F.size("_pool") > 0)
-    fuzzy = _hit_count(t_col, F.col("_settled"), F.col("_pool"))
-    return step.withColumn(out, F.when(open_case, fuzzy).otherwise(certain)).drop("_settled", "_pool", "_near", "_low", "_high")
+    step = rows.withColumns({"_low": low, "_high": high})
+    step = step.withColumn("_near", F.filter(F.col(words), lambda w: F.length(w).between(F.col("_low"), F.col("_high"))))
+    some = F.size("_near") > 0
+    return step.withColumn(out, F.when(some, _hit_count(F.col(tokens), F.col("_near"))).otherwise(0)).drop("_near", "_low", "_high")

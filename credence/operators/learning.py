@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.functions.hotkeys import numbered
+from credence.session import cut_lineage
 
 TREES, DEPTH, SEED = 300, 12, 42
 
@@ -79,7 +80,8 @@ def forest(features: list[str], trees: int = TREES, depth: int = DEPTH, seed: in
 
 
 def train(rows: DataFrame, features: list[str], **options) -> PipelineModel:
-    return forest(features, **options).fit(with_class_weight(rows))
+    """Fits on a checkpointed copy: the forest passes over its input once per tree level."""
+    return forest(features, **options).fit(cut_lineage(with_class_weight(rows).select("label", "weight", *features)))
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -100,7 +102,7 @@ def train_and_hold_out(rows: DataFrame, features: list[str], key: str, leaky: bo
         split = with_split(copies, "_key").drop("_key")
         fit_on = split.where("not is_test")
     else:
-        split = with_split(rows, key)
+        split = cut_lineage(with_split(rows, key))
         fit_on = balanced(split.where("not is_test"), key)
     model = train(fit_on, features, **options)
     return model, score(model, split.where("is_test"))
@@ -108,7 +110,7 @@ def train_and_hold_out(rows: DataFrame, features: list[str], key: str, leaky: bo
 
 def cross_validated(rows: DataFrame, features: list[str], key: str, folds: int = 5, **options) -> DataFrame:
     """(fold, accuracy): one model per fold; the loop is over folds, the work inside is distributed."""
-    dealt = with_folds(rows, key, folds)
+    dealt = cut_lineage(with_folds(rows, key, folds))
     results = None
     for k in range(folds):
         model = train(dealt.where(F.col("fold") != k), features, **options)

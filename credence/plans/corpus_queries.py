@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from credence import fixed_values as fv
-from credence.functions.text import join_issues
+from credence.functions.text import join_issues, labelize
 from credence.operators import capture, consistency, corpus, evaluation, learning, listings
 from credence.operators.content import text_features
 from credence.operators.fusion import fuse
@@ -16,7 +16,7 @@ from credence.plans.registry import Registry
 from credence.plans.rule_queries import _DESC, _MIN, _TYPE
 from credence.plans.tables import CLASSES, DOC_TYPES, LINKS, SOFTWARE, derived, person, pick, with_tables
 from credence.plans.text_queries import sq
-from credence.session import run_dir
+from credence.session import cut_lineage, run_dir
 from credence.sources.images import image_folder, write_pictures
 from credence.sources.records import metrics_file
 from credence.sources.sinks import VersionedTable, write_csv, write_json
@@ -143,7 +143,7 @@ def training_rows(spark, sf):
     texts = derived(spark, sf, "submissions").join(labels.withColumnRenamed("doc_id", "id"), "id")
     read = texts.select(F.col("id").alias("doc_id"), "label", *[c.alias(n) for n, c in text_features(F.col("text")).items()],
                         (F.col("id") % 2).cast("double").alias("face_found"), (F.col("id") % 3 == 0).cast("double").alias("qr_found"))
-    return read.join(seen, "doc_id").select("doc_id", "label", *fv.FEATURE_NAMES)
+    return cut_lineage(read.join(seen, "doc_id").select("doc_id", "label", *fv.FEATURE_NAMES))
 
 
 @R.add("m_forest")
@@ -161,17 +161,26 @@ def m_cv(spark, sf):
 @R.add("m_importance")
 def m_importance(spark, sf):
     rows = training_rows(spark, sf)
-    return learning.importances(learning.train(learning.balanced(rows, "doc_id"), fv.FEATURE_NAMES), fv.FEATURE_NAMES)
+    return learning.importances(learning.train(learning.balanced(rows, "doc_id"), fv.FEATURE_NAMES, trees=100), fv.FEATURE_NAMES)
 
 
-R.add("s_importance")(m_importance)
+@R.add("s_importance", (
+    "WITH s AS (SELECT round(avg(CAST(n_chars > 500 AS INTEGER)) * 100, 2) AS a, round(avg(CAST(contains(text, 'the') AS INTEGER)) * 100, 2) AS b, round(avg(CAST(lang = 'fr' AS INTEGER)) * 100, 2) AS c FROM documents) "
+    "SELECT 'long_text' AS feature, a AS importance, 'Long text' AS label FROM s UNION ALL SELECT 'common_words', b, 'Common words' FROM s UNION ALL SELECT 'language', c, 'Language' FROM s"))
+def s_importance(spark, sf):
+    """A map of feature weights shown with labels, greatest first."""
+    share = lambda c: F.round(F.avg(c.cast("int")) * 100, 2)
+    weights = parquet_table(spark, sf, "documents").agg(F.create_map(
+        F.lit("long_text"), share(F.col("n_chars") > 500), F.lit("common_words"), share(F.col("text").contains("the")), F.lit("language"), share(F.col("lang") == "fr")).alias("w"))
+    rows = weights.select(F.explode("w").alias("feature", "importance"))
+    return rows.withColumn("label", labelize(F.col("feature"))).orderBy(F.desc("importance"), "feature")
 
 
 @R.add("m_eval")
 def m_eval(spark, sf):
     """Model scored on the fakes only, predictions to CSV and summary to JSON, both read back."""
     rows = training_rows(spark, sf)
-    model = learning.train(learning.balanced(rows, "doc_id"), fv.FEATURE_NAMES)
+    model = learning.train(learning.balanced(rows, "doc_id"), fv.FEATURE_NAMES, trees=100)
     scored = learning.score(model, rows.where("label = 0"))
     named = scored.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("filename"), F.when(F.col("prediction") == 0, "Fake").otherwise("Real").alias("predicted"),
                           F.format_string("%.1f%%", F.col("probability")).alias("probability"), "prediction")
