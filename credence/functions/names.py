@@ -9,9 +9,12 @@ from credence import fixed_values as fv
 from credence.functions.text import all_groups, contains_any, literal_list, no_texts, text_lines, uni
 
 
+WHITE_SPACE = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029"
+
+
 def normal_name(c: Column) -> Column:
     """Upper case, anything but letters, spaces and apostrophes to one space, trimmed."""
-    return F.regexp_replace(F.regexp_replace(F.upper(c), uni(r"[^A-Z\s']+"), " "), uni(r"^\s+|\s+$"), "")
+    return F.btrim(F.regexp_replace(F.upper(c), uni(r"[^A-Z\s']+"), " "), F.lit(WHITE_SPACE))
 
 
 def name_parts(c: Column) -> Column:
@@ -76,8 +79,9 @@ def holder_names(text: Column) -> Column:
     upper = F.upper(text)
     candidates = F.array_distinct(F.concat(labelled_holders(upper), line_names(upper)))
     full = F.filter(candidates, lambda n: ~n.rlike(uni(r"(^|\s)\S{1,2}(\s|$)")))
-    anchored = anchored_holder(upper)
-    return F.when(anchored.isNotNull(), F.array(anchored)).otherwise(F.slice(F.array_sort(full), 1, 4))
+    # a one-element list, NULL when there is no anchored name; the text is searched once
+    anchored = F.split(anchored_holder(upper), "\n")
+    return F.coalesce(anchored, F.slice(F.array_sort(full), 1, 4))
 
 
 def clean_person_name(raw: Column) -> Column:
