@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from credence import fixed_values as fv
 from credence.functions.names import clean_person_name
-from credence.functions.text import contains_any, first_group, first_listed, none_if_empty, text_lines, uni
+from credence.functions.text import bind, contains_any, first_group, first_listed, none_if_empty, text_lines, uni
 
 
 def first_url(payload: Column) -> Column:
@@ -139,46 +139,61 @@ def page_lines(text: Column) -> Column:
     return F.filter(lines, lambda s: s != "")
 
 
-def name_after_label(lines: Column) -> Column:
-    """Name on the line after a line that is only a label."""
+def _positions(lines: Column, last_offset: int) -> Column:
+    """0 up to the size less the offset; empty for fewer lines."""
+    return F.when(F.size(lines) >= last_offset, F.sequence(F.lit(0), F.size(lines) - last_offset)).otherwise(
+        F.array().cast("array<int>")
+    )
+
+
+def _label_name(lines: Column) -> Column:
     def candidate(i):
         label = F.trim(F.regexp_replace(F.get(lines, i), ":+$", ""))
         return F.when(label.isin(fv.PAGE_NAME_LABELS), clean_person_name(F.get(lines, i + 1)))
 
-    positions = F.when(F.size(lines) > 1, F.sequence(F.lit(0), F.size(lines) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.get(F.filter(F.transform(positions, candidate), lambda n: n.isNotNull()), F.lit(0))
+    return _first_made(_positions(lines, 2), candidate)
 
 
-def name_before_registration(lines: Column) -> Column:
-    """Nearest name on the five lines before a registration-number line."""
+def _registration_name(lines: Column) -> Column:
     def candidate(i):
         before = F.reverse(F.slice(lines, F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5))))
         return F.when((i > 0) & F.get(lines, i).rlike(uni(fv.REGISTRATION_LINE)), _first_made(before, clean_person_name))
 
-    positions = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.get(F.filter(F.transform(positions, candidate), lambda n: n.isNotNull()), F.lit(0))
+    return _first_made(_positions(lines, 1), candidate)
+
+
+def name_after_label(lines: Column) -> Column:
+    """Name on the line after a line that is only a label."""
+    return bind(lines, _label_name)
+
+
+def name_before_registration(lines: Column) -> Column:
+    """Nearest name on the five lines before a registration-number line."""
+    return bind(lines, _registration_name)
 
 
 def name_on_page(upper: Column) -> Column:
     """Holder name printed on a verification page: label line, phrases, then before a registration line."""
-    lines = page_lines(upper)
     phrases = F.array(*[
         F.when(contains_any(upper, needed), none_if_empty(F.regexp_extract(upper, "(?mdU)" + p, 1))) for needed, p in fv.PAGE_NAME_PATTERNS
     ])
-    registration = F.when(F.contains(upper, F.lit("REG")), name_before_registration(lines))
-    return F.coalesce(name_after_label(lines), _first_made(phrases, clean_person_name), registration)
+    labelled = F.when(contains_any(upper, ["NAME", "GRADUATE"]), name_after_label(page_lines(upper)))
+    registration = F.when(F.contains(upper, F.lit("REG")), name_before_registration(page_lines(upper)))
+    return F.coalesce(labelled, _first_made(phrases, clean_person_name), registration)
 
 
 def name_on_exam_page(upper: Column) -> Column:
+    """Holder name of the examination portal: the labelled phrase, else the rest of or the line after the label."""
     labelled = F.contains(upper, F.lit("GRADUATE"))
-    phrase = clean_person_name(F.when(labelled, none_if_empty(F.regexp_extract(upper, "(?mdU)" + fv.EXAM_PAGE_NAME, 1))))
-    lines = page_lines(upper)
+    phrase = F.when(labelled, none_if_empty(F.regexp_extract(upper, "(?mdU)" + fv.EXAM_PAGE_NAME, 1)))
 
-    def candidate(i):
-        tail = F.trim(F.get(F.split(F.get(lines, i), r"[:\-]", 2), F.lit(1)))
-        own = F.when(F.coalesce(tail, F.lit("")) != "", clean_person_name(tail))
-        return F.coalesce(own, clean_person_name(F.get(lines, i + 1)))
+    def by_line(lines):
+        def candidate(i):
+            tail = F.trim(F.get(F.split(F.get(lines, i), r"[:\-]", 2), F.lit(1)))
+            own = F.when(F.coalesce(tail, F.lit("")) != "", tail)
+            return _first_made(F.array(own, F.get(lines, i + 1)), clean_person_name)
+
+        at = F.filter(_positions(lines, 2), lambda i: F.get(lines, i).rlike(uni(r"GRADUATE\s+NAME")))
+        return bind(F.get(at, F.lit(0)), candidate)
 
-    positions = F.when(F.size(lines) > 1, F.sequence(F.lit(0), F.size(lines) - 2)).otherwise(F.array().cast("array<int>"))
-    labelled = F.filter(positions, lambda i: F.get(lines, i).rlike(uni(r"GRADUATE\s+NAME")))
-    return F.coalesce(phrase, candidate(F.get(labelled, F.lit(0))))
+    return F.coalesce(clean_person_name(phrase), F.when(labelled, bind(page_lines(upper), by_line)))

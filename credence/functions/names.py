@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from credence import fixed_values as fv
-from credence.functions.text import all_groups, contains_any, literal_list, no_texts, text_lines, uni
+from credence.functions.text import all_groups, bind, contains_any, literal_list, no_texts, text_lines, uni
 
 
 WHITE_SPACE = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029"
@@ -91,9 +91,16 @@ def clean_person_name(raw: Column) -> Column:
     letters = F.regexp_replace(spaced, uni(r"[^A-Za-z\s']"), " ")
     single = F.trim(F.regexp_replace(letters, uni(r"\s+"), " "))
     head = F.trim(F.element_at(F.split(single, "(?iU)" + fv.PERSON_NAME_END, 2), 1))
-    words = F.filter(F.split(F.upper(head), " "), lambda w: F.length(w) > 1)
-    blocked = F.arrays_overlap(words, literal_list(fv.PERSON_NAME_BLOCKED))
-    return F.when((F.length(head) >= 4) & F.size(words).between(2, 5) & ~blocked, F.array_join(words, " "))
+
+    def judge(words: Column) -> Column:
+        blocked = F.arrays_overlap(words, literal_list(fv.PERSON_NAME_BLOCKED))
+        return F.when(F.size(words).between(2, 5) & ~blocked, F.array_join(words, " "))
+
+    def name(h: Column) -> Column:
+        words = F.filter(F.split(F.upper(h), " "), lambda w: F.length(w) > 1)
+        return F.when(F.length(h) >= 4, bind(words, judge))
+
+    return bind(head, name)
 
 
 def _long_parts(name: Column) -> Column:

@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    Inside a lambda a repeated expression is evaluated at every place and for every element; binding
+    it to a lambda variable avoids that.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def uni(pattern: str) -> str:
     return "(?U)" + pattern
 

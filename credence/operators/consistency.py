@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence import fixed_values as fv
-from credence.functions.text import all_groups, text_lines, texts, uni
+from credence.functions.text import all_groups, bind, text_lines, texts, uni
 
 
 def name_tokens(text: Column) -> Column:
@@ -72,14 +72,18 @@ def repeated_lines(text: Column) -> Column:
     Works inside the row on sorted lines: line i starts a group of more than two when it equals line
     i + 2 and differs from line i - 1.
     """
-    lines = F.array_sort(F.filter(F.transform(text_lines(text), lambda s: F.trim(s)), lambda s: s != ""))
-    n = F.size(lines)
-    positions = F.when(n > 2, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    groups = F.size(F.filter(
-        positions,
-        lambda i: (F.get(lines, i) == F.get(lines, i + 2)) & ((i == 0) | (F.get(lines, F.greatest(i - 1, F.lit(0))) != F.get(lines, i))),
-    ))
-    return F.struct(n.alias("lines"), (n - F.size(F.array_distinct(lines))).alias("repeats"), groups.alias("groups_over_two"))
+    sorted_lines = F.array_sort(F.filter(F.transform(text_lines(text), lambda s: F.trim(s)), lambda s: s != ""))
+
+    def count(lines: Column) -> Column:
+        n = F.size(lines)
+        positions = F.when(n > 2, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+        groups = F.size(F.filter(
+            positions,
+            lambda i: (F.get(lines, i) == F.get(lines, i + 2)) & ((i == 0) | (F.get(lines, F.greatest(i - 1, F.lit(0))) != F.get(lines, i))),
+        ))
+        return F.struct(n.alias("lines"), (n - F.size(F.array_distinct(lines))).alias("repeats"), groups.alias("groups_over_two"))
+
+    return bind(sorted_lines, count)
 
 
 def clone_blocks(blocks: DataFrame, image: str = "image_id", block: str = "block") -> DataFrame:
