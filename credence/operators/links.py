@@ -115,7 +115,9 @@ def with_link_check(
         step = step.withColumn("_serial", F.coalesce("_serial", L.exam_serial(F.col(printed_text))))
     exam = F.contains(F.col("_url"), F.lit("nesa.gov.rw"))
     key = F.when(exam, F.concat(F.lit(EXAM_PORTAL), F.col("_serial"))).otherwise(F.col("_url"))
-    step = step.withColumn("_key", key)
+    # rows without an address match nothing: their join key only spreads them over the tasks
+    spread = F.concat(F.lit(" "), F.spark_partition_id().cast("string"))
+    step = step.withColumn("_key", F.coalesce(key, spread))
     narrow = portal.select(F.col("url").alias("_key"), F.col("portal").alias("_portal"))
     step = step.join(narrow, "_key", "left")
 

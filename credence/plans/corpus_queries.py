@@ -19,7 +19,7 @@ from credence.plans.text_queries import sq
 from credence.session import cut_lineage, run_dir
 from credence.sources.images import image_folder, write_pictures
 from credence.sources.records import metrics_file
-from credence.sources.sinks import VersionedTable, write_csv, write_json
+from credence.sources.sinks import BatchLog, VersionedTable, write_csv, write_json
 from credence.sources.tables import parquet_table
 from credence.streaming import verify_stream as streams
 
@@ -326,9 +326,9 @@ _SIMPLE = (
 
 @R.add("t_verify_stream", f"WITH {_SIMPLE} SELECT document_id, authenticity_score, status, issues FROM simple")
 def t_verify_stream(spark, sf):
-    table = VersionedTable.new(spark, "stream-verifications")
-    streams.verify_on_arrival(_arriving(spark, sf, "documents"), _simple_verdict, table)
-    return table.read().select("document_id", "authenticity_score", "status", "issues")
+    log = BatchLog.new(spark, "stream-verifications")
+    streams.verify_on_arrival(_arriving(spark, sf, "documents"), _simple_verdict, log)
+    return log.latest("document_id").select("document_id", "authenticity_score", "status", "issues")
 
 
 @R.add("t_dup_stream", "SELECT md5(text) AS file_hash, min(doc_id) AS first_id, count(*) AS n_docs FROM documents GROUP BY 1")
@@ -338,26 +338,27 @@ def t_dup_stream(spark, sf):
     folder = run_dir(spark, "arrivals")
     docs.repartition(3, "id").write.parquet(folder)
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    seen = VersionedTable.new(spark, "seen-files")
+    seen = BatchLog.new(spark, "seen-files")
     streams.duplicates_on_arrival(stream, seen)
-    return seen.read().select("file_hash", "first_id", "n_docs")
+    return streams.seen_files(seen).select("file_hash", "first_id", "n_docs")
 
 
 @R.add("t_dup_window")
 def t_dup_window(spark, sf):
     """First event per user and type within the watermark; state is bounded."""
     arriving = _arriving(spark, sf, "events").withColumn("file_hash", F.md5(F.concat_ws("|", F.col("user_id").cast("string"), "event_type")))
-    table = VersionedTable.new(spark, "unique-events")
-    streams.run_available(streams.unique_within(arriving, "ts", "10 minutes"), lambda batch, tag: table.upsert(batch.select("event_id", "file_hash", "ts"), "event_id", tag), "unique")
-    return table.read()
+    log = BatchLog.new(spark, "unique-events")
+    first = streams.unique_within(arriving, "ts", "10 minutes").select("event_id", "file_hash", "ts")
+    streams.run_available(first, log.add, "unique", progress=log.progress)
+    return log.read().drop("batch")
 
 
 @R.add("t_pending", with_tables("SELECT id, doc_type FROM docs WHERE id NOT IN (SELECT document_id FROM ver WHERE status <> 'Pending')", "documents", "verifications"))
 def t_pending(spark, sf):
     arriving = _arriving(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.expr(pick(DOC_TYPES, "doc_id", "spark")).alias("doc_type"))
-    table = VersionedTable.new(spark, "pending")
-    streams.pending_on_arrival(arriving, derived(spark, sf, "verifications").where("status <> 'Pending'"), table)
-    return table.read().select("id", "doc_type")
+    log = BatchLog.new(spark, "pending")
+    streams.pending_on_arrival(arriving, derived(spark, sf, "verifications").where("status <> 'Pending'"), log)
+    return log.read().select("id", "doc_type")
 
 
 @R.add("t_status_counts", with_tables("SELECT status, count(*) AS n FROM ver GROUP BY status", "verifications"))

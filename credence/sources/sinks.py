@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credence.functions.hotkeys import latest_per_key
 from credence.operators.persons import upsert
 from credence.session import run_dir
 
@@ -44,28 +45,58 @@ class VersionedTable:
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path(self.versions()[-1]))
 
-    def write(self, rows: DataFrame, tag: str = "") -> None:
-        """A new version.  ``tag`` names the input it came from, so that a replay can be recognised."""
+    def write(self, rows: DataFrame) -> None:
         version = (self.versions() or [0])[-1] + 1
         rows.write.mode("overwrite").parquet(self.path(version))
         fs, mark = self._fs(f"{self.root}/commit-{version:08d}")
-        out = fs.create(mark, True)
-        out.writeUTF(tag)
-        out.close()
+        fs.create(mark, True).close()
 
-    def last_tag(self) -> str | None:
-        if not self.exists():
-            return None
-        fs, mark = self._fs(f"{self.root}/commit-{self.versions()[-1]:08d}")
-        source = fs.open(mark)
-        try:
-            return source.readUTF()
-        finally:
-            source.close()
-
-    def upsert(self, rows: DataFrame, key: str, tag: str = "") -> None:
+    def upsert(self, rows: DataFrame, key: str) -> None:
         """Rows with a known key replace the old row, others are added.  One row per key expected."""
-        self.write(upsert(self.read(), rows, key) if self.exists() else rows, tag)
+        self.write(upsert(self.read(), rows, key) if self.exists() else rows)
+
+
+class BatchLog:
+    """Results of micro-batches, one folder per batch number.
+
+    A batch costs what it carries: nothing written before is touched.  A replayed batch overwrites
+    its own folder, so it is not counted twice.  Stream progress is kept beside the data, because
+    batch numbers only have a meaning together with it.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self.progress = f"{self.root}/_progress"
+
+    @classmethod
+    def new(cls, spark: SparkSession, name: str) -> "BatchLog":
+        return cls(spark, run_dir(spark, name))
+
+    def add(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """All rows with their batch number, None when there are none yet."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+        numbers = [int(n[len("batch="):]) for n in names if n.startswith("batch=")]
+        chosen = [n for n in numbers if before is None or n < before]
+        if not chosen:
+            return None
+        paths = [f"{self.root}/batch={n}" for n in sorted(chosen)]
+        return self.spark.read.option("basePath", self.root).parquet(*paths)
+
+    def latest(self, key: str) -> DataFrame:
+        """The newest row of every key."""
+        rows = self.read()
+        return latest_per_key(rows, key, ["batch"]).drop("batch")
+
+
+def merge_into(rows: DataFrame, table: str, key: str) -> None:
+    """Upsert into a catalog table whose format supports MERGE (not plain parquet)."""
+    same = F.expr(f"{table}.{key} = new.{key}")
+    rows.alias("new").mergeInto(table, same).whenMatched().updateAll().whenNotMatched().insertAll().merge()
 
 
 def write_csv(rows: DataFrame, path: str, single_file: bool = False) -> None:

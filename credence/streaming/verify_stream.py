@@ -7,66 +7,63 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.operators.duplicates import duplicate_pairs
 from credence.session import run_dir
-from credence.sources.sinks import VersionedTable
+from credence.sources.sinks import BatchLog, VersionedTable
 
 
 def run_available(
-    stream: DataFrame, on_batch: Callable[[DataFrame, str], None], name: str, mode: str = "append", progress: str | None = None
+    stream: DataFrame, on_batch: Callable[[DataFrame, int], None], name: str, mode: str = "append", progress: str | None = None
 ) -> None:
     """Processes everything that has arrived, then stops.
 
     ``progress`` is the folder that remembers what was processed; give the same one to go on where
-    the last run stopped.  ``on_batch`` gets the micro-batch and its tag, the same on a replay.
+    the last run stopped.
     """
     progress = progress or run_dir(stream.sparkSession, f"{name}-progress")
     query = (
         stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", progress)
-        .foreachBatch(lambda batch, number: on_batch(batch, f"{progress}#{number}")).start()
+        .foreachBatch(on_batch).start()
     )
     query.awaitTermination()
 
 
-def verify_on_arrival(
-    stream: DataFrame, check: Callable[[DataFrame], DataFrame], table: VersionedTable, key: str = "document_id", progress: str | None = None
-) -> None:
-    """Checks each micro-batch with the same functions as a batch job and upserts the result.
+def verify_on_arrival(stream: DataFrame, check: Callable[[DataFrame], DataFrame], log: BatchLog) -> None:
+    """Checks each micro-batch with the same functions as a batch job.
 
-    Replaying a batch after a failure writes the same rows again, so the result is unchanged.
+    ``log.latest("document_id")`` is the verifications table: a document verified again replaces its
+    earlier row.
     """
-    run_available(stream, lambda batch, _: table.upsert(check(batch), key), "verify", progress=progress)
+    run_available(stream, lambda batch, number: log.add(check(batch), number), "verify", progress=log.progress)
 
 
-def duplicates_on_arrival(
-    stream: DataFrame, seen: VersionedTable, reports: VersionedTable | None = None, progress: str | None = None
-) -> None:
+def duplicates_on_arrival(stream: DataFrame, seen: BatchLog, found: BatchLog | None = None) -> None:
     """Exact duplicates against everything seen before.
 
-    ``stream`` has id, candidate_id, file_hash.  ``seen`` keeps one row per file: first_id (lowest),
-    n_docs.  A micro-batch is summed per file before it meets the table, so a file with many copies
-    is one row.  ``reports`` collects (id, earlier_id) of the duplicates found.  A replayed batch is
-    recognised by its tag and not counted twice.
+    ``stream`` has id, candidate_id, file_hash.  ``seen`` logs one row per file and batch: lowest id
+    and number of documents; a file with many copies is summed before it meets the log.  ``found``
+    logs (id, earlier_id) of every document whose file was seen before or earlier in the batch.
     """
-    def on_batch(batch: DataFrame, tag: str) -> None:
-        if seen.last_tag() == tag:
-            return
+    def on_batch(batch: DataFrame, number: int) -> None:
         fresh = batch.groupBy("file_hash").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"))
-        if seen.exists():
-            known = seen.read()
-            if reports is not None:
-                earlier = known.select("file_hash", F.col("first_id").alias("earlier_id"))
-                hits = batch.join(earlier, "file_hash").select("id", "earlier_id")
-                reports.upsert(hits, "id")
-            merged = known.unionByName(fresh).groupBy("file_hash").agg(F.min("first_id").alias("first_id"), F.sum("n_docs").alias("n_docs"))
-        else:
-            if reports is not None:
-                pairs = duplicate_pairs(batch).where("other_id is not null and id > other_id")
-                reports.upsert(pairs.select("id", F.col("other_id").alias("earlier_id")), "id")
-            merged = fresh
-        seen.write(merged, tag)
-
-    run_available(stream, on_batch, "duplicates", progress=progress)
+        if found is not None:
+            known = fresh.select("file_hash", F.col("first_id").alias("earlier_id"), F.lit(1).alias("_own"))
+            before = seen.read(before=number)
+            if before is not None:
+                # only files of this batch are looked up; what was seen earlier comes first, whatever its id
+                again = before.join(fresh.select("file_hash"), "file_hash", "left_semi")
+                old = again.groupBy("file_hash").agg(F.min("first_id").alias("earlier_id")).withColumn("_own", F.lit(0))
+                both = known.unionByName(old)
+                known = both.groupBy("file_hash").agg(F.min(F.struct("_own", "earlier_id")).alias("_k")).select("file_hash", "_k.earlier_id")
+            hits = batch.join(known, "file_hash").where("id <> earlier_id").select("id", "earlier_id")
+            found.add(hits, number)
+        seen.add(fresh, number)
+
+    run_available(stream, on_batch, "duplicates", progress=seen.progress)
+
+
+def seen_files(seen: BatchLog) -> DataFrame:
+    """file_hash, first_id, n_docs over all batches."""
+    return seen.read().groupBy("file_hash").agg(F.min("first_id").alias("first_id"), F.sum("n_docs").alias("n_docs"))
 
 
 def unique_within(stream: DataFrame, ts: str, window: str, key: str = "file_hash") -> DataFrame:
@@ -75,17 +72,13 @@ def unique_within(stream: DataFrame, ts: str, window: str, key: str = "file_hash
     return timed.dropDuplicatesWithinWatermark([key])
 
 
-def pending_on_arrival(uploads: DataFrame, verifications: DataFrame, table: VersionedTable, progress: str | None = None) -> None:
+def pending_on_arrival(uploads: DataFrame, verifications: DataFrame, log: BatchLog) -> None:
     """Uploads that have no verification yet (stream joined with the current table)."""
     done = verifications.select(F.col("document_id").alias("id")).distinct()
-
-    def on_batch(batch: DataFrame, _: str) -> None:
-        table.upsert(batch.join(done, "id", "left_anti"), "id")
-
-    run_available(uploads, on_batch, "pending", progress=progress)
+    run_available(uploads, lambda batch, number: log.add(batch.join(done, "id", "left_anti"), number), "pending", progress=log.progress)
 
 
 def live_counts(stream: DataFrame, table: VersionedTable, column: str = "status", progress: str | None = None) -> None:
-    """Running count per status; state holds one row per status."""
+    """Running count per status; state and table hold one row per status."""
     counts = stream.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     run_available(counts, lambda batch, _: table.write(batch), "counts", mode="complete", progress=progress)
