@@ -20,7 +20,7 @@ from credence.session import cut_lineage, run_dir
 from credence.sources.images import image_folder, write_pictures
 from credence.sources.records import metrics_file
 from credence.sources.sinks import BatchLog, VersionedTable, write_csv, write_json
-from credence.sources.tables import parquet_table
+from credence.sources.tables import parquet_table, spread
 from credence.streaming import verify_stream as streams
 
 R = Registry()
@@ -137,8 +137,7 @@ def m_scale(spark, sf):
 
 def training_rows(spark, sf):
     """The fifteen features of every labelled document that also has a picture."""
-    pictures = corpus.vector_images(parquet_table(spark, sf, "embeddings"), "vec_id", "embedding")
-    seen = corpus.image_features(pictures, ["vec_id"]).withColumnRenamed("vec_id", "doc_id")
+    seen = corpus.image_features(_pictures(spark, sf), ["vec_id"]).withColumnRenamed("vec_id", "doc_id")
     labels = _labelled(spark, sf)
     texts = derived(spark, sf, "submissions").join(labels.withColumnRenamed("doc_id", "id"), "id")
     read = texts.select(F.col("id").alias("doc_id"), "label", *[c.alias(n) for n, c in text_features(F.col("text")).items()],
@@ -234,7 +233,7 @@ def src_images(spark, sf):
 
 
 def _pictures(spark, sf):
-    return corpus.vector_images(parquet_table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return corpus.vector_images(spread(parquet_table(spark, sf, "embeddings").select("vec_id", "embedding")), "vec_id", "embedding")
 
 
 def _feature_query(name):
@@ -257,10 +256,9 @@ R.add("i_white", (
 
 @R.add("i_clone")
 def i_clone(spark, sf):
-    """Repeated blocks per picture, and the classifier's clone score beside it."""
-    pictures = _pictures(spark, sf)
-    counted = consistency.clone_blocks(corpus.image_blocks(pictures, "vec_id", size=16, step=4).withColumnRenamed("vec_id", "image_id"))
-    return counted.select(F.col("image_id").alias("vec_id"), "blocks", "repeats", "groups_over_two", "clone_score", "cloned")
+    """Repeated blocks per picture."""
+    blocks = corpus.image_blocks(_pictures(spark, sf), "vec_id", size=24, step=4)
+    return consistency.clone_blocks(blocks, "vec_id", images=parquet_table(spark, sf, "embeddings"))
 
 
 @R.add("i_channels")
