@@ -15,6 +15,11 @@ from credence.session import cut_lineage
 SALTS = 32
 
 
+def salt_of(*spread_by: str, salts: int = SALTS) -> Column:
+    """Salt of a row, never NULL."""
+    return F.coalesce(F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"), F.lit(0))
+
+
 def with_key_summary(
     rows: DataFrame,
     keys: list[str],
@@ -29,9 +34,10 @@ def with_key_summary(
     ``partial`` are aggregates over rows, ``total`` aggregates over the partial columns.  Rows go
     through one exchange on (key, salt); both the summary and the join back read that exchange.
     Keys whose summary fails ``keep`` are not sent back; their rows get NULLs.  Rows with a NULL
-    key are kept with NULLs.
+    key are kept with NULLs.  Give keys that can not be NULL (coalesce) to let both reads share one
+    exchange: for nullable keys the optimizer filters one of them first.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("_salt", salt_of(*spread_by, salts=salts))
     salted = salted.repartition(*keys, "_salt")
     parts = salted.groupBy(*keys, "_salt").agg(*[c.alias(n) for n, c in partial.items()])
     per_key = Window.partitionBy(*keys)

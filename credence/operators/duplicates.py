@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.functions.hotkeys import SALTS
+from credence.functions.hotkeys import SALTS, salt_of
 from credence.functions.text import no_texts, texts
 from credence.operators.outcome import fmt
 
@@ -35,12 +35,19 @@ def duplicate_pairs(
     lowest other id is the lowest id of the file, or the lowest of the rest for that row itself;
     both are plain minima, summed up per (hash, salt) first, so a file with any number of copies is
     never gathered in one task.
+
+    If the hash is computed on the fly from large contents, checkpoint id, owner and hash before.
     """
-    rows = submissions.select(F.col(id_col).alias("_id"), F.col(owner).alias("_owner"), F.col(hash_col).alias("_hash"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).repartition("_hash", "_salt")
+    # a submission without a hash is a file of its own; neither key can be NULL, so that no step
+    # filters the rows before the exchange and all steps can share it
+    alone = F.concat(F.lit("none:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    rows = submissions.select(
+        F.col(id_col).alias("_id"), F.col(owner).alias("_owner"), F.coalesce(F.col(hash_col), alone).alias("_hash")
+    )
+    rows = rows.withColumn("_salt", salt_of("_id", salts=salts)).repartition("_hash", "_salt")
     pair = F.struct(F.col("_id").alias("id"), F.col("_owner").alias("owner"))
     owner_text = F.coalesce(F.col("_owner").cast("string"), F.lit("none"))
-    parts = rows.where("_hash is not null").groupBy("_hash", "_salt").agg(
+    parts = rows.groupBy("_hash", "_salt").agg(
         F.count(F.lit(1)).alias("n"), F.min(pair).alias("low"), F.min(owner_text).alias("omin"), F.max(owner_text).alias("omax")
     )
     per_file = Window.partitionBy("_hash")
@@ -49,10 +56,10 @@ def duplicate_pairs(
         F.sum("n").over(per_file).alias("_n"), F.min("low").over(per_file).alias("_low"),
         F.min("omin").over(per_file).alias("_omin"), F.max("omax").over(per_file).alias("_omax"),
     ).where("_n > 1")
+    members = rows.join(repeated.select("_hash", "_salt", "_low"), ["_hash", "_salt"])
+    later = F.when(F.col("_id") > F.col("_low.id"), pair)
     rest = (
-        rows.join(repeated.select("_hash", "_salt", "_low"), ["_hash", "_salt"])
-        .where(F.col("_id") > F.col("_low.id"))
-        .groupBy("_hash", "_salt").agg(F.min(pair).alias("_next"))
+        members.groupBy("_hash", "_salt").agg(F.min(later).alias("_next"))
         .groupBy("_hash").agg(F.min("_next").alias("_next"))
     )
     files = repeated.join(rest, "_hash")
@@ -68,7 +75,7 @@ def duplicate_pairs(
     other = F.when(is_first, F.col("_next")).otherwise(F.col("_low"))
     copied = F.col("_n").isNotNull()
     return joined.select(
-        F.col("_id").alias(id_col), F.col("_owner").alias(owner), F.col("_hash").alias(hash_col),
+        F.col("_id").alias(id_col), F.col("_owner").alias(owner), F.when(~F.col("_hash").startswith("none:"), F.col("_hash")).alias(hash_col),
         F.coalesce(F.col("_n"), F.lit(1)).cast("bigint").alias("n_copies"),
         F.col("_low.id").alias("first_id"),
         other["id"].alias("other_id"),

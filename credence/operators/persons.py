@@ -26,7 +26,9 @@ def keeper_map(candidates: DataFrame) -> DataFrame:
         total={"_keeper": F.min("_low"), "_all": F.sum("_n")},
         keep=F.col("_all") > 1,
     )
-    return summed.where(F.col("id") > F.col("_keeper")).select(F.col("id").alias("duplicate_id"), F.col("_keeper").alias("keeper_id"))
+    # coalesce keeps the comparison from being pushed below the shared exchange as a NULL filter
+    is_copy = F.coalesce(F.col("id") > F.col("_keeper"), F.lit(False))
+    return summed.where(is_copy).select(F.col("id").alias("duplicate_id"), F.col("_keeper").alias("keeper_id"))
 
 
 def _repoint(child: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from credence.operators import capture, listings, persons
 from credence.operators.duplicates import duplicate_groups, duplicate_outcome, duplicate_pairs, file_hash
 from credence.plans.registry import Registry
 from credence.plans.tables import derived, with_tables
+from credence.session import cut_lineage
 from credence.sources.tables import parquet_table
 
 R = Registry()
@@ -20,7 +21,9 @@ EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$"
 def hashed_documents(spark, folder, owners: int = 7):
     """Uploaded files with the hash of their content; few owners, so all duplicate cases occur."""
     docs = parquet_table(spark, folder, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.pmod("doc_id", F.lit(owners)).alias("candidate_id"), file_hash(F.col("text")).alias("file_hash"))
+    narrow = docs.select(F.col("doc_id").alias("id"), F.pmod("doc_id", F.lit(owners)).alias("candidate_id"), file_hash(F.col("text")).alias("file_hash"))
+    # the contents are read and hashed once, whatever the steps after this do
+    return cut_lineage(narrow)
 
 
 HASHED = "hd AS (SELECT doc_id AS id, doc_id % 7 AS candidate_id, md5(text) AS file_hash FROM documents)"
@@ -183,7 +186,8 @@ def r_duplicate(spark, sf):
 @R.add("a_dup_groups", with_tables(
     "SELECT file_hash, count(*) AS n_docs, count(DISTINCT candidate_id) AS n_candidates FROM hd GROUP BY file_hash HAVING count(*) > 1", extra=(HASHED,)))
 def a_dup_groups(spark, sf):
-    return duplicate_groups(hashed_documents(spark, sf))
+    docs = parquet_table(spark, sf, "documents")
+    return duplicate_groups(docs.select(F.pmod("doc_id", F.lit(7)).alias("candidate_id"), file_hash(F.col("text")).alias("file_hash")))
 
 
 DEDUPE = (

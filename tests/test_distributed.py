@@ -38,12 +38,21 @@ def test_duplicate_pairs_equal_brute_force(spark):
         assert r.any_other_candidate == any(c != r.candidate_id for _, c in others)
 
 
+def scans(df, column):
+    """How often the executed plan reads files with that column (reused exchanges do not count)."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return sum("FileScan parquet" in line and column in line.split("]")[0] for line in plan.splitlines())
+
+
 def test_duplicate_plan_reads_the_rows_once(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7).alias("candidate_id"), F.md5("text").alias("file_hash"))
-    df = duplicate_pairs(docs)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan
+    assert scans(duplicate_pairs(docs), "text") == 1
+
+
+def test_keeper_plan_reads_the_rows_once(spark, folder):
+    people = spark.read.parquet(f"{folder}/customer.parquet").select(F.col("c_custkey").alias("id"), F.left("c_name", F.lit(17)).alias("full_name"), F.lit(None).cast("string").alias("email"))
+    assert scans(persons.keeper_map(people), "c_name") == 1
 
 
 def test_key_summary_keeps_every_row(spark):
