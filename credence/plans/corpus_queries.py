@@ -209,7 +209,7 @@ def sink_json(spark, sf):
     return spark.read.schema(m_metrics(spark, sf).schema).json(path)
 
 
-@R.add("src_metrics_json")
+@R.add("src_metrics_json", f"SELECT *, true AS evaluation_missing FROM ({R.oracles['m_metrics']})")
 def src_metrics_json(spark, sf):
     """Metrics document present, evaluation document absent."""
     path = run_dir(spark, "metrics-file")
@@ -243,11 +243,16 @@ def _feature_query(name):
     return run
 
 
-for _name, _feature in (("i_sharpness", "sharpness"), ("i_edges", "edge_density"), ("i_texture", "texture"), ("i_noise", "noise"), ("i_saturation", "saturation")):
+for _name, _feature in (("i_sharpness", "sharpness"), ("i_edges", "edge_density"), ("i_texture", "texture"), ("i_noise", "noise")):
     R.add(_name)(_feature_query(_feature))
 
 _CELL = "least(255, greatest(0, (v::DOUBLE + 0.5::DOUBLE) * 255))"
 R.add("i_resolution", "SELECT vec_id, round(least(100, 128 * 128 / 480000::DOUBLE * 100), 4) AS resolution FROM embeddings")(_feature_query("resolution"))
+# one picture cell per vector value: g from the value, b its opposite, r from the left neighbour in the row
+R.add("i_saturation", (
+    f"WITH c AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor({_CELL}) AS INTEGER)) AS g, list_transform(embedding, lambda v: CAST(floor(255 - {_CELL}) AS INTEGER)) AS b FROM embeddings), "
+    "y AS (SELECT vec_id, list_transform(range(0, 64), lambda i: [b[i + 1], g[i + 1], g[(i // 8) * 8 + (i + 7) % 8 + 1]]) AS px FROM c) "
+    "SELECT vec_id, round(list_avg(list_transform(px, lambda p: CASE WHEN list_max(p) > 0 THEN floor(255 * (list_max(p) - list_min(p))::DOUBLE / list_max(p) + 0.5::DOUBLE) ELSE 0 END)), 4) AS saturation FROM y"))(_feature_query("saturation"))
 R.add("i_white", (
     f"WITH c AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor({_CELL}) AS INTEGER)) AS g, list_transform(embedding, lambda v: CAST(floor(255 - {_CELL}) AS INTEGER)) AS b FROM embeddings), "
     "y AS (SELECT vec_id, list_transform(range(0, 64), lambda i: floor(0.114::DOUBLE * b[i + 1] + 0.587::DOUBLE * g[i + 1] + 0.299::DOUBLE * g[(i // 8) * 8 + (i + 7) % 8 + 1] + 0.5::DOUBLE)) AS gray FROM c) "

@@ -14,7 +14,9 @@ from credence.operators.links import embedded_certificate, with_link_check, with
 from credence.operators.provider import with_provider_check
 from credence.plans.registry import Registry
 from credence.plans.tables import derived, with_detections, with_exif, with_tables
-from credence.plans.text_queries import any_of, ascii_words, count_of, first_of, html_text, name_in_url_sql, serial_sql, sq, up, url_sql
+from credence.plans.text_queries import (
+    any_of, ascii_words, count_of, exam_holder_sql, first_of, html_text, match_sql, name_in_url_sql, page_holder_sql, page_match_sql, serial_sql, sq, up, url_sql,
+)
 from credence.sources.tables import parquet_table
 
 R = Registry()
@@ -346,13 +348,53 @@ def r_portal(spark, sf):
     return rows.select("page_id", "portal.record_found", "portal.kind")
 
 
-@R.add("r_qr")
+def _lines_sql(u: str) -> str:
+    return f"list_filter(list_transform(string_split({u}, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: s <> '')"
+
+
+_PORTAL_CTE = (
+    "pg0 AS (SELECT url, http_status, CASE WHEN contains(url, 'nesa.gov.rw') THEN 'exam' WHEN contains(url, 'graduate.rp.ac.rw') THEN 'poly' ELSE 'any' END AS kind, "
+    f"CASE WHEN contains(url, 'nesa.gov.rw') OR contains(url, 'graduate.rp.ac.rw') THEN {up(html_text('html'))} ELSE {up(html_text('html', ''))} END AS u FROM portal_src), "
+    f"pg1 AS (SELECT *, {_lines_sql('u')} AS l, CASE WHEN kind = 'exam' THEN contains(u, 'VALID') AND contains(u, 'GRADUATE NAME') AND NOT {any_of('u', fv.EXAM_PAGE_ERRORS)} WHEN http_status <> 200 THEN false "
+    f"WHEN kind = 'poly' THEN {any_of('u', fv.POLYTECHNIC_PAGE_WORDS)} AND NOT {any_of('u', fv.POLYTECHNIC_PAGE_ERRORS)} WHEN {any_of('u', fv.PAGE_WORDS)} THEN true WHEN {any_of('u', fv.PAGE_ERRORS)} THEN false END AS record FROM pg0), "
+    f"pj AS (SELECT url, kind, record, CASE WHEN kind = 'exam' THEN {exam_holder_sql()} WHEN http_status = 200 AND (kind = 'poly' OR record) THEN {page_holder_sql()} END AS holder, "
+    "CASE WHEN kind = 'exam' THEN CASE WHEN contains(u, 'VALID') AND contains(u, 'GRADUATE NAME') THEN 'NESA certificate verified online' ELSE 'NESA record not confirmed' END WHEN http_status <> 200 THEN concat('HTTP ', http_status) "
+    "WHEN kind = 'poly' THEN CASE WHEN record THEN 'Certificate verified by Rwanda Polytechnic portal' ELSE 'Record not confirmed' END WHEN record THEN 'Certificate record found online' "
+    "WHEN NOT record THEN 'Record not found — possible fake' ELSE 'URL reachable but could not confirm record' END AS message FROM pg1)"
+)
+_LINK_CTE = (
+    f"k1 AS (SELECT id, coalesce(candidate_name, '') AS cand, emb, n, y, ok, holder AS eh, nullif(payload, '') AS data, CASE WHEN NOT emb THEN {url_sql('payload')} END AS url FROM emb), "
+    f"k2 AS (SELECT *, {name_in_url_sql('url')} AS link_name, {serial_sql("regexp_extract(url, '[?&]serial=([^&#]*)', 1)")} AS serial, coalesce({any_of('lower(url)', fv.TRUSTED_DOMAINS)}, false) AS trusted_url, "
+    f"{first_of('lower(url)', fv.INSTITUTION_BY_DOMAIN)} AS inst, {first_of('lower(url)', [(d, d) for d, _ in fv.INSTITUTION_BY_DOMAIN])} AS domain, coalesce(contains(url, 'nesa.gov.rw'), false) AS exam FROM k1), "
+    "k3 AS (SELECT k2.*, pj.url IS NOT NULL OR (exam AND serial IS NULL) AS reached, pj.record, pj.holder AS ph, pj.kind, pj.message FROM k2 LEFT JOIN pj ON pj.url = CASE WHEN exam THEN concat('https://graduate.nesa.gov.rw/?serial=', serial) ELSE k2.url END), "
+    "k4 AS (SELECT *, coalesce(ph, CASE WHEN NOT exam AND trusted_url THEN link_name END) AS page_holder FROM k3), "
+    "k5 AS (SELECT *, CASE WHEN record THEN coalesce(page_holder, link_name) ELSE link_name END AS who FROM k4), "
+    f"k6 AS (SELECT *, CASE WHEN record AND cand <> '' THEN coalesce(CASE WHEN ph IS NOT NULL AND kind <> 'exam' THEN {page_match_sql('ph', 'cand')} ELSE {match_sql('page_holder', 'cand')} END, {match_sql('who', 'cand')}) END AS online FROM k5), "
+    f"k7 AS (SELECT *, CASE WHEN online IS NOT NULL THEN online WHEN who IS NOT NULL AND cand <> '' THEN {match_sql('who', 'cand')} END AS m, CASE WHEN coalesce(eh, '') <> '' AND cand <> '' THEN {match_sql('eh', 'cand')} END AS em FROM k6)"
+)
+
+
+@R.add("r_qr", with_tables(
+    "SELECT id, data IS NOT NULL AS found, CASE WHEN emb THEN ok AND coalesce(em, true) ELSE trusted_url AND coalesce(record, true) AND coalesce(m, true) END AS trusted, "
+    "CASE WHEN emb OR url IS NULL THEN false ELSE reached AND coalesce(record, false) END AS verified_online, CASE WHEN emb THEN em WHEN url IS NOT NULL THEN m END AS name_match, "
+    "CASE WHEN emb THEN eh WHEN url IS NOT NULL THEN who END AS holder, CASE WHEN emb THEN 'Mount Kenya University' ELSE inst END AS institution, CASE WHEN emb THEN 'mku.ac.ke' ELSE domain END AS matched_domain, url, "
+    "CASE WHEN url IS NOT NULL THEN serial END AS serial, CASE WHEN emb THEN CASE WHEN n IS NULL THEN 'MKU QR detected but certificate number not found' WHEN ok THEN concat('MKU certificate number validated from QR: ', n) "
+    "ELSE concat('MKU certificate year ', y, ' is out of valid range') END WHEN url IS NOT NULL THEN coalesce(message, CASE WHEN exam AND serial IS NULL THEN 'NESA verification page requires certificate number' END, 'not fetched') ELSE '' END AS online_status FROM k7",
+    "links", "portal_pages", extra=(_EMB_CTE, _PORTAL_CTE, _LINK_CTE)))
 def r_qr(spark, sf):
     """Full link verdict per submission, with the fetched pages joined by address."""
     rows = with_link_check(derived(spark, sf, "links"), _portal(spark, sf))
     k = F.col("link")
     names = ["found", "trusted", "verified_online", "name_match", "holder", "institution", "matched_domain", "url", "serial", "online_status"]
-    return rows.select("id", *[k[n].alias(n) for n in names], X.join_issues(k["issues"]).alias("issues"), X.join_issues(k["positives"]).alias("positives"))
+    return rows.select("id", *[k[n].alias(n) for n in names])
+
+
+@R.add("r_qr_texts")
+def r_qr_texts(spark, sf):
+    """Issues and positives of the link verdict."""
+    rows = with_link_check(derived(spark, sf, "links"), _portal(spark, sf))
+    k = F.col("link")
+    return rows.select("id", X.join_issues(k["issues"]).alias("issues"), X.join_issues(k["positives"]).alias("positives"))
 
 
 _LINK_FACTS = (

@@ -184,7 +184,7 @@ def x_extract_names(spark, sf):
 R.add("s_cap_names", R.oracles["x_extract_names"])(x_extract_names)
 
 
-def _match_sql(a: str, b: str) -> str:
+def match_sql(a: str, b: str) -> str:
     long_a, long_b = (f"list_filter(regexp_split_to_array(trim(upper({c})), '\\s+'), lambda p: length(p) > 2)" for c in (a, b))
     return (
         f"CASE WHEN coalesce({a}, '') = '' OR coalesce({b}, '') = '' THEN NULL WHEN trim(upper({a})) = trim(upper({b})) THEN true "
@@ -194,7 +194,7 @@ def _match_sql(a: str, b: str) -> str:
 
 
 @R.add("x_match_names", with_tables(
-    f"SELECT id, {_match_sql('holder', 'candidate_name')} AS match FROM (SELECT id, candidate_name, {person('(id // 2)', 'duck')} AS holder FROM links_src)", "links"))
+    f"SELECT id, {match_sql('holder', 'candidate_name')} AS match FROM (SELECT id, candidate_name, {person('(id // 2)', 'duck')} AS holder FROM links_src)", "links"))
 def x_match_names(spark, sf):
     rows = derived(spark, sf, "links").withColumn("holder", F.expr(person("(id div 2)", "spark")))
     return rows.select("id", N.names_match(F.col("holder"), F.col("candidate_name")).alias("match"))
@@ -618,24 +618,51 @@ def _line_person(c: str) -> str:
     return clean_person(c).replace(f"url_decode({c})", c)
 
 
-@R.add("w_next_line", with_tables(
-    f"SELECT page_id, list_filter(list_transform(range(1, len(l)), lambda i: CASE WHEN regexp_replace(l[i], ':+$', '') IN {in_list(fv.PAGE_NAME_LABELS)} "
-    f"THEN {_line_person('l[i + 1]')} END), lambda n: n IS NOT NULL)[1] AS name FROM (SELECT page_id, {_page_lines_sql()} AS l FROM portal_src)", "portal_pages"))
+_LABEL_NAME = (
+    f"list_filter(list_transform(range(1, len(l)), lambda i: CASE WHEN regexp_replace(l[i], ':+$', '') IN {in_list(fv.PAGE_NAME_LABELS)} "
+    f"THEN {_line_person('l[i + 1]')} END), lambda n: n IS NOT NULL)[1]"
+)
+_REGISTRATION_NAME = (
+    f"list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(l[i], {sq(fv.REGISTRATION_LINE)}) THEN "
+    f"list_filter(list_transform(list_reverse(l[greatest(i - 5, 1):i - 1]), lambda p: {_line_person('p')}), lambda n: n IS NOT NULL)[1] END), lambda n: n IS NOT NULL)[1]"
+)
+
+
+@R.add("w_next_line", with_tables(f"SELECT page_id, {_LABEL_NAME} AS name FROM (SELECT page_id, {_page_lines_sql()} AS l FROM portal_src)", "portal_pages"))
 def w_next_line(spark, sf):
     rows = derived(spark, sf, "portal_pages").select("page_id", L.page_lines(F.upper(L.html_text(F.col("html")))).alias("l"))
     return rows.select("page_id", L.name_after_label(F.col("l")).alias("name"))
 
 
-@R.add("w_prev_line", with_tables(
-    f"SELECT page_id, list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(l[i], {sq(fv.REGISTRATION_LINE)}) THEN "
-    f"list_filter(list_transform(list_reverse(l[greatest(i - 5, 1):i - 1]), lambda p: {_line_person('p')}), lambda n: n IS NOT NULL)[1] END), lambda n: n IS NOT NULL)[1] AS name "
-    f"FROM (SELECT page_id, {_page_lines_sql()} AS l FROM portal_src)", "portal_pages"))
+@R.add("w_prev_line", with_tables(f"SELECT page_id, {_REGISTRATION_NAME} AS name FROM (SELECT page_id, {_page_lines_sql()} AS l FROM portal_src)", "portal_pages"))
 def w_prev_line(spark, sf):
     rows = derived(spark, sf, "portal_pages").select("page_id", L.page_lines(F.upper(L.html_text(F.col("html")))).alias("l"))
     return rows.select("page_id", L.name_before_registration(F.col("l")).alias("name"))
 
 
-@R.add("x_name_from_page")
+def page_holder_sql(u: str = "u", lines: str = "l") -> str:
+    """Holder on a page: after a label, in a phrase, before a registration line.  Columns u and l."""
+    phrases = ", ".join(f"CASE WHEN {any_of(u, needed)} THEN nullif(regexp_extract({u}, {sq('(?m)' + p)}, 1), '') END" for needed, p in fv.PAGE_NAME_PATTERNS)
+    by_phrase = f"list_filter(list_transform([{phrases}], lambda p: {_line_person('p')}), lambda n: n IS NOT NULL)[1]"
+    return f"coalesce(CASE WHEN {any_of(u, ['NAME', 'GRADUATE'])} THEN {_LABEL_NAME} END, {by_phrase}, CASE WHEN contains({u}, 'REG') THEN {_REGISTRATION_NAME} END)"
+
+
+def exam_holder_sql(u: str = "u") -> str:
+    phrase = f"list_transform([nullif(regexp_extract({u}, {sq('(?m)' + fv.EXAM_PAGE_NAME)}, 1), '')], lambda p: {_line_person('p')})[1]"
+    at = "list_filter(range(1, len(l)), lambda i: regexp_matches(l[i], 'GRADUATE\\s+NAME'))[1]"
+    by_line = f"list_filter(list_transform([nullif(trim(regexp_extract(l[{at}], '[:\\-](.*)$', 1)), ''), l[{at} + 1]], lambda p: {_line_person('p')}), lambda n: n IS NOT NULL)[1]"
+    return f"CASE WHEN contains({u}, 'GRADUATE') THEN coalesce({phrase}, {by_line}) END"
+
+
+def page_match_sql(holder: str, own: str) -> str:
+    parts = f"list_filter(regexp_split_to_array(trim(upper({own})), '\\s+'), lambda p: length(p) > 2)"
+    return (f"CASE WHEN coalesce({holder}, '') <> '' AND coalesce({own}, '') <> '' THEN CASE WHEN len({parts}) > 0 THEN "
+            f"len(list_filter({parts}, lambda p: contains({holder}, p)))::DOUBLE / len({parts}) >= 0.6::DOUBLE ELSE false END END")
+
+
+@R.add("x_name_from_page", with_tables(
+    f"SELECT page_id, holder, exam_holder, {page_match_sql('holder', 'own')} AS match FROM (SELECT page_id, {page_holder_sql()} AS holder, {exam_holder_sql()} AS exam_holder, {person('page_id', 'duck')} AS own "
+    f"FROM (SELECT page_id, {up(html_text('html'))} AS u, {_page_lines_sql()} AS l FROM portal_src))", "portal_pages"))
 def x_name_from_page(spark, sf):
     """Holder on every page by all routes, and its match with the page's own person."""
     rows = derived(spark, sf, "portal_pages").select("page_id", F.upper(L.html_text(F.col("html"))).alias("u"))
