@@ -51,10 +51,12 @@ def delete_candidates(ids: DataFrame, candidates: DataFrame, documents: DataFram
     gone = ids.select(F.col("id").alias("_gone")).distinct()
 
     def without(df, column):
-        return df.join(gone, F.col(column) == F.col("_gone"), "left_anti")
+        # rows without a candidate skip the join
+        linked = df.where(F.col(column).isNotNull()).join(gone, F.col(column) == F.col("_gone"), "left_anti")
+        return linked.unionByName(df.where(F.col(column).isNull()))
 
-    kept_docs = without(documents, "candidate_id")
-    return without(candidates, "id"), kept_docs, without(verifications, "candidate_id")
+    kept = candidates.join(gone, F.col("id") == F.col("_gone"), "left_anti")
+    return kept, without(documents, "candidate_id"), without(verifications, "candidate_id")
 
 
 def set_null_on_delete(ids: DataFrame, child: DataFrame, column: str = "candidate_id") -> DataFrame:

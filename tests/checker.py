@@ -62,7 +62,12 @@ def main(folder, wanted):
     from credence.session import build_session
     from __spark_entry__ import oracle_sql, queries
 
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g")
+    if os.environ.get("PLAIN"):  # a session without the package settings, in another time zone
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[4]").config("spark.sql.session.timeZone", "America/New_York").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     qs, sqls = queries(), oracle_sql()
