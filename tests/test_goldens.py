@@ -243,3 +243,32 @@ def test_list_helpers(spark):
     df = values(spark, "a array<string>", [(["x", "RP", "x", "UR", "y"],)])
     assert one(df, X.priority_first(F.col("a"), ["UR", "RP"]).alias("x")) == [(["UR", "RP", "x", "y"],)]
     assert one(values(spark, "s string", [("driving_license",)]), X.labelize(F.col("s")).alias("x")) == [("Driving license",)]
+
+
+def test_listing_helpers(spark):
+    docs = values(spark, "id int", [(1,), (2,), (3,)])
+    ver = values(spark, "document_id int, status string", [(1, "Fake"), (3, "Fake")])
+    assert one(listings.pending_documents(docs, ver), "id") == [(2,)]
+    assert one(listings.status_counts(ver), "status", "n") == [("Fake", 2)]
+    people = values(spark, "a string, b string, want boolean", [(" Ann", "ANN ", True), ("Ann", "Anne", False)])
+    same = listings.same_person(F.col("a"), F.lit(None).cast("string"), F.col("b"), F.lit(""))
+    assert all(r.got == r.want for r in people.withColumn("got", same).collect())
+
+
+def test_printed_name_is_gated(spark):
+    """Only the listed classes are compared, and only with a candidate name."""
+    from credence.operators.verification import with_printed_name
+
+    rows = [("UR Degree", "ALPHA BRAVO", "no such person 1", True, False), ("RP Degree", "ALPHA BRAVO", "no such person 1", False, False),
+            ("UR Degree", None, "no such person 1", False, False), ("ULK Transcript", "ALPHA BRAVO", "to ALPHA BRAVO 1", False, True)]
+    df = values(spark, "c string, candidate_name string, text string, bad boolean, good boolean", rows)
+    for r in with_printed_name(df.withColumn("detect", F.struct(F.col("c").alias("class")))).collect():
+        assert (r.printed.mismatch, r.printed.match) == (r.bad, r.good), r
+
+
+def test_links_without_address_are_kept(spark):
+    """Rows without a link survive the page join, however many there are."""
+    pages = with_portal_verdict(values(spark, "url string, http_status int, html string", [("https://x.rw/1", 200, "Diploma")]))
+    rows = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "https://x.rw/1").alias("payload"), F.lit("A B").alias("candidate_name"))
+    got = with_link_check(rows, pages)
+    assert got.count() == 300 and got.where("link.verified_online").count() == 100 and got.where("link.found").count() == 100
