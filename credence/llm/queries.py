@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import decontamination, importance, packing, wordpiece
+from credence.llm import decontamination, importance, neardup, packing, wordpiece
 from credence.plans.registry import Registry
 
 R = Registry()
@@ -34,3 +34,8 @@ def op7_wordpiece_counts(spark, folder):
 @R.add("op8_edit_decontamination")
 def op8_edit_decontamination(spark, folder):
     return decontamination.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@R.add("op10_weighted_minhash")
+def op10_weighted_minhash(spark, folder):
+    return neardup.near_duplicates(_table(spark, folder, "documents"))
