@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import components, grams, mix, text_words, written
+from credence.llm.common import components, grams, mix, text_buffer, text_words, written
+from credence.llm.common import words as find_words
 from credence.session import cut_lineage
 
 #: Words in a shingle, and the similarity (Jaccard index of the shingle sets) from which two texts are near-duplicates.
@@ -18,8 +19,6 @@ BANDS, ROWS = 18, 4
 COMMON_SHARE = 0.001
 #: Least inverse document frequency, as a share of that of a rare shingle.
 LEAST_IDF = 0.75
-#: Star rounds before the rest of a band's documents are compared; each takes another document as centre.
-STAR_MASKS = (0, (1 << 62) - 1)
 #: Variates of the sampling: rows of a table shared by all shingles.
 _TABLE = 1 << 16
 
@@ -141,9 +140,9 @@ def sample(shingles: np.ndarray, weights: np.ndarray, per_text: np.ndarray, samp
 
 
 def signatures(docs: DataFrame, weights: Weights, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key1, key2, b0, b1, ...): two hashes of the word sequence and one hash per band; texts without a word are left out."""
+    """(doc_id, key1, key2, size, b0, b1, ...): two hashes of the word sequence, the distinct shingles, and one hash per band; texts without a word are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    names = ["doc_id", "key1", "key2", *(f"b{i}" for i in range(bands))]
+    names = ["doc_id", "key1", "key2", "size", *(f"b{i}" for i in range(bands))]
 
     def sign(batches):
         weigh, table = shared.value, _variates()
@@ -158,7 +157,7 @@ def signatures(docs: DataFrame, weights: Weights, words: int = WORDS, bands: int
                 keys = [np.add.reduceat(mix(hashes + mix(nth + np.uint64(seed))), begin) for seed in (11, 1 << 40)]
                 shingles, tf, per_text = _unique(*grams(hashes, counts_some, words))
                 drawn = sample(shingles, weigh(shingles, tf), per_text, bands * rows, table)
-                columns = [batch.column(0).take(pa.array(start + some)), *(pa.array(k.view(np.int64)) for k in keys)]
+                columns = [batch.column(0).take(pa.array(start + some)), *(pa.array(k.view(np.int64)) for k in keys), pa.array(per_text.astype(np.int64))]
                 for i in range(bands):
                     band = np.zeros(len(some), np.uint64)
                     for j in range(rows):
@@ -172,7 +171,7 @@ def signatures(docs: DataFrame, weights: Weights, words: int = WORDS, bands: int
 
 def similarity(a: str, b: str, weigh: Weights, words: int = WORDS) -> tuple[float, float]:
     """Weighted and plain Jaccard index of two texts' shingles."""
-    hashes, counts = next((h, c) for _, _, h, c in [_both(a, b)])
+    hashes, counts = find_words(*text_buffer(pa.array([a, b])))
     shingles, tf, per_text = _unique(*grams(hashes, counts, words))
     n = per_text[0]
     x, y, wx = shingles[:n], shingles[n:], weigh(shingles, tf)
@@ -182,14 +181,6 @@ def similarity(a: str, b: str, weigh: Weights, words: int = WORDS) -> tuple[floa
     return (common / total if total else 0.0), (len(i) / union if union else 0.0)
 
 
-def _both(a: str, b: str):
-    from credence.llm.common import text_buffer
-    from credence.llm.common import words as find
-
-    offsets, data = text_buffer(pa.array([a, b]))
-    return 0, 2, *find(offsets, data)
-
-
 def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, words: int, least: float) -> DataFrame:
     """The pairs (a, b) whose texts reach the weighted cut and then the plain similarity, with both.
 
@@ -217,19 +208,36 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, words: int, lea
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, weighted double, plain double")
 
 
+def lone_shingles(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, lone): how many shingles of a text are in no other of the texts; ids without any are left out."""
+
+    def emit(batches):
+        for batch in batches:
+            for start, _, hashes, counts in text_words(batch.column(1)):
+                shingles, _, per_text = _unique(*grams(hashes, counts, words))
+                ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(per_text)) + start, per_text)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(shingles.view(np.int64))], names=["id", "hash"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(emit, "id long, hash long")
+    alone = rows.groupBy("hash").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, exact_id, class_id, n_links): the class of every document, one row per doc_id.
 
     exact_id is the lowest id with the same word sequence, class_id the lowest id of the class; a class
     is what links between different texts connect, a link being a weighted similarity at the cut that
     no pair of plain similarity ``least`` falls below, and then that plain similarity itself.  n_links
-    counts the links found of the document's text.
+    counts the links that were checked and hold for the document's text; within a class already joined
+    no further pairs are formed.
 
     Copies are first brought together by two hashes of the word sequence, so only one of each goes on.
-    In each band, documents with the same samples are compared with one centre at a time; what is still
-    in another class than a fellow of its band after the star rounds is compared with each such fellow.
-    So no pair of different classes that meets in a band is left unchecked, and pairs
-    within a class already joined are not formed.
+    Documents with the same samples in a band are then compared with one of them, the one with the least
+    share of shingles of its own.  Fellows of a band that are in different classes after that are compared
+    with each other where the similarity can be reached at all: two texts of x and y distinct shingles, at
+    most m of which either shares with anyone in a crowded band, have a similarity of at most m / (x + y - m).
+    So no pair of different classes that meets in a band is lost, and no group is spelt out in pairs.
 
     Null, empty and blank texts have no shingle and are classes of their own; rows without doc_id are left
     out; a repeated doc_id counts once, with all its texts in its class; an empty table gives no rows; other
@@ -238,45 +246,45 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     weights = learn_weights(docs, words)
     signed = written(signatures(docs, weights, words), "signatures")
     band_names = [f"b{i}" for i in range(BANDS)]
-    firsts = signed.groupBy("key1", "key2").agg(F.min("doc_id").alias("exact_id"), *[F.min(b).alias(b) for b in band_names])
+    firsts = signed.groupBy("key1", "key2").agg(F.min("doc_id").alias("exact_id"), *[F.min(b).alias(b) for b in ("size", *band_names)])
     firsts = cut_lineage(firsts)
     stacked = ", ".join(f"{i}, {b}" for i, b in enumerate(band_names))
-    banded = firsts.select(F.col("exact_id").alias("id"), F.expr(f"stack({BANDS}, {stacked}) as (band, hash)"))
-    full = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    banded = firsts.select(F.col("exact_id").alias("id"), "size", F.expr(f"stack({BANDS}, {stacked}) as (band, hash)"))
+    full = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut_lineage(banded.join(full, ["band", "hash"]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    # one text per id; of a repeated id the one that its lowest copy stands for need not be this one, so all are tried
-    texts = written(texts.join(wanted, "doc_id", "left_semi"), "candidates")
-
-    links, joined, tried = None, None, None
-    for mask in (*STAR_MASKS, None):
-        here = members if joined is None else members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if joined is None:
-            here = here.withColumn("component", F.col("id"))
-        if mask is not None:
-            centre = here.groupBy("band", "hash").agg(F.min(F.col("id").bitwiseXOR(F.lit(mask))).alias("c")).select("band", "hash", F.col("c").bitwiseXOR(F.lit(mask)).alias("a"))
-            if joined is not None:
-                centre = centre.join(joined.select(F.col("id").alias("a"), F.col("component").alias("of")), "a", "left").withColumn("of", F.coalesce("of", "a"))
-            else:
-                centre = centre.withColumn("of", F.col("a"))
-            met = here.join(centre, ["band", "hash"]).where("component <> of").select("a", F.col("id").alias("b"))
-        else:
-            mixed = here.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "hash")
-            rest = here.join(mixed, ["band", "hash"])
-            other = rest.select("band", "hash", F.col("id").alias("a"), F.col("component").alias("of"))
-            met = rest.join(other, ["band", "hash"]).where("component <> of and a < id").select("a", F.col("id").alias("b"))
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            met = met.join(tried, ["a", "b"], "left_anti")
-        met = cut_lineage(met)
-        tried = met if tried is None else tried.unionByName(met)
-        good = cut_lineage(verify(met, texts, weights, words, least).select("a", "b").distinct())
-        links = good if links is None else links.unionByName(good)
+    texts = written(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
+
+    crowd = members.where("n > 2")
+    lone = lone_shingles(texts.join(crowd.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
+    can = F.col("lone") <= F.lit(1 - least) * F.col("size") + F.lit(1e-9)  # else no fellow can be near enough
+    crowd = cut_lineage(crowd.join(lone, "id", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).where(can).drop("n"))
+
+    # the two of a band of two, and everyone with the centre of a crowded band
+    twos = members.where("n = 2").groupBy("band", "hash").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
+    own = F.col("lone") / F.col("size") + F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.lit(1e-12)
+    centres = crowd.groupBy("band", "hash").agg(F.min_by("id", own).alias("a"))
+    stars = crowd.join(centres, ["band", "hash"]).where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    first = cut_lineage(twos.unionByName(stars).distinct())
+    links = cut_lineage(verify(first, texts, weights, words, least).select("a", "b").distinct())
+    joined = components(links)
+
+    placed = crowd.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "hash")
+    rest = cut_lineage(placed.join(mixed, ["band", "hash"]).withColumn("shared", F.col("size") - F.col("lone")))
+    other = rest.select("band", "hash", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "shared", "component")])
+    most = F.least("shared", "shared_b")
+    near = most >= F.lit(least) * (F.col("size") + F.col("size_b") - most) - F.lit(1e-9)
+    cross = rest.join(other, (rest["band"] == other["band"]) & (rest["hash"] == other["hash"]) & (F.col("id") < F.col("id_b")) & (F.col("component") != F.col("component_b")) & near)
+    second = cut_lineage(cross.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    more = cut_lineage(verify(second, texts, weights, words, least).select("a", "b").distinct())
+    if more.limit(1).count():
+        links = links.unionByName(more)
         joined = components(links)
-    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    known = firsts.select("key1", "key2", "exact_id").join(joined.withColumnRenamed("id", "exact_id"), "exact_id", "left").join(degree.withColumnRenamed("id", "exact_id"), "exact_id", "left")
-    placed = signed.select("doc_id", "key1", "key2").join(known, ["key1", "key2"]).groupBy("doc_id").agg(
+
+    degree = links.select(F.col("a").alias("exact_id")).unionByName(links.select(F.col("b").alias("exact_id"))).groupBy("exact_id").agg(F.count(F.lit(1)).alias("n_links"))
+    known = firsts.select("key1", "key2", "exact_id").join(joined.withColumnRenamed("id", "exact_id"), "exact_id", "left").join(degree, "exact_id", "left")
+    classes = signed.select("doc_id", "key1", "key2").join(known, ["key1", "key2"]).groupBy("doc_id").agg(
         F.min("exact_id").alias("exact_id"), F.min(F.coalesce("component", "exact_id")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    empty = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(placed, "doc_id", "left_anti")
-    return placed.unionByName(empty.select("doc_id", F.col("doc_id").alias("exact_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    blank = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(classes, "doc_id", "left_anti")
+    return classes.unionByName(blank.select("doc_id", F.col("doc_id").alias("exact_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
