@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import decontamination, importance, neardup, packing, wordpiece
+from credence.llm import decontamination, importance, neardup, packing, pii, rules, warc, wordpiece, wrappers
 from credence.plans.registry import Registry
+from credence.session import run_dir
 
 R = Registry()
 
@@ -39,3 +40,25 @@ def op8_edit_decontamination(spark, folder):
 @R.add("op10_weighted_minhash")
 def op10_weighted_minhash(spark, folder):
     return neardup.near_duplicates(_table(spark, folder, "documents"))
+
+
+@R.add("op3_decision_lists")
+def op3_decision_lists(spark, folder):
+    return rules.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@R.add("op5_checked_spans")
+def op5_checked_spans(spark, folder):
+    return pii.digest(_table(spark, folder, "documents"))
+
+
+@R.add("op4_host_wrappers")
+def op4_host_wrappers(spark, folder):
+    return wrappers.extract(_table(spark, folder, "pages"))
+
+
+@R.add("op9_warc_chains")
+def op9_warc_chains(spark, folder):
+    path = run_dir(spark, "archives")
+    warc.write_archives(_table(spark, folder, "pages"), path)
+    return warc.read_archives(spark, path)
