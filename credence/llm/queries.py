@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import decontamination, importance, neardup, packing, pii, rules, warc, wordpiece, wrappers
+from credence.llm import decontamination, importance, neardup, packing, pii, pitman_yor, rules, warc, wordpiece, wrappers
 from credence.plans.registry import Registry
 from credence.session import run_dir
 
@@ -62,3 +62,8 @@ def op9_warc_chains(spark, folder):
     path = run_dir(spark, "archives")
     warc.write_archives(_table(spark, folder, "pages"), path)
     return warc.read_archives(spark, path)
+
+
+@R.add("op1_pitman_yor")
+def op1_pitman_yor(spark, folder):
+    return pitman_yor.score_documents(_table(spark, folder, "documents"))
