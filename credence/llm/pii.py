@@ -73,7 +73,7 @@ def _digits(match: Column) -> Column:
 
 def _valid(kind: str, match: Column) -> Column:
     if kind == "ip":
-        parts = F.transform(F.split(match, r"\."), lambda p: F.ltrim(F.lit("0"), p))
+        parts = F.transform(F.split(match, r"\."), lambda p: F.ltrim(p, F.lit("0")))
         return F.forall(parts, lambda p: (F.length(p) <= 3) & (F.coalesce(F.when(F.length(p) <= 3, p).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         return bind(_digits(match), lambda d: F.when(F.length(d).between(16, 19), luhn(d)).otherwise(False))
