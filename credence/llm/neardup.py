@@ -273,11 +273,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "hash")
     all_bands = firsts.select(F.col("exact_id").alias("id"), F.array(*band_names).alias("bands"))
     rest = cut_lineage(placed.join(mixed, ["band", "hash"]).withColumn("shared", F.col("size") - F.col("lone")).join(all_bands, "id"))
-    other = rest.select("band", "hash", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "shared", "component", "bands")])
+    other = rest.select(*[F.col(c).alias(f"{c}_b") for c in ("band", "hash", "id", "size", "shared", "component", "bands")])
     most = F.least("shared", "shared_b")
     near = most >= F.lit(least) * (F.col("size") + F.col("size_b") - most) - F.lit(1e-9)
-    once = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), F.lit(True)) == rest["band"] + 1  # in the first band that both share
-    same = (rest["band"] == other["band"]) & (rest["hash"] == other["hash"])
+    once = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1  # in the first band that both share
+    same = (F.col("band") == F.col("band_b")) & (F.col("hash") == F.col("hash_b"))
     cross = rest.join(other, same & (F.col("id") < F.col("id_b")) & (F.col("component") != F.col("component_b")) & near & once)
     second = cut_lineage(cross.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     more = cut_lineage(verify(second, texts, weights, words, least).select("a", "b").distinct())
