@@ -7,8 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import components, grams, mix, text_buffer, text_words, written
-from credence.llm.common import words as find_words
+from credence.llm.common import components, grams, mix, text_words, written
 from credence.session import cut_lineage
 
 #: Words in a shingle, and the similarity (Jaccard index of the shingle sets) from which two texts are near-duplicates.
@@ -169,16 +168,25 @@ def signatures(docs: DataFrame, weights: Weights, words: int = WORDS, bands: int
     return rows_in.mapInArrow(sign, ", ".join(f"{n} long" for n in names))
 
 
-def similarity(a: str, b: str, weigh: Weights, words: int = WORDS) -> tuple[float, float]:
-    """Weighted and plain Jaccard index of two texts' shingles."""
-    hashes, counts = find_words(*text_buffer(pa.array([a, b])))
-    shingles, tf, per_text = _unique(*grams(hashes, counts, words))
-    n = per_text[0]
-    x, y, wx = shingles[:n], shingles[n:], weigh(shingles, tf)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    common = np.minimum(wx[:n][i], wx[n:][j]).sum()
-    total, union = wx.sum() - common, len(x) + len(y) - len(i)
-    return (common / total if total else 0.0), (len(i) / union if union else 0.0)
+def _sets(column: pa.Array, weigh: Weights, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles of each text, ascending, and their weights."""
+    out = []
+    for _, _, hashes, counts in text_words(column):
+        shingles, tf, per_text = _unique(*grams(hashes, counts, words))
+        ends = np.cumsum(per_text)
+        weights = weigh(shingles, tf)
+        out += [(shingles[e - n : e], weights[e - n : e]) for e, n in zip(ends, per_text)]
+    return out
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """Weighted and plain Jaccard index of two weighted shingle sets."""
+    if not len(a[0]) or not len(b[0]):
+        return 0.0, 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    i = np.flatnonzero(b[0][at] == a[0])
+    common = np.minimum(a[1][i], b[1][at[i]]).sum()
+    return common / (a[1].sum() + b[1].sum() - common), len(i) / (len(a[0]) + len(b[0]) - len(i))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, words: int, least: float) -> DataFrame:
@@ -193,12 +201,14 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, words: int, lea
     def check(batches):
         weigh = shared.value
         for batch in batches:
-            ids = [batch.column(i).to_pylist() for i in (0, 1)]
             out = []
-            for row in range(batch.num_rows):
-                weighted, plain = similarity(batch.column(2)[row].as_py(), batch.column(3)[row].as_py(), weigh, words)
-                if weighted >= cut - 1e-9 and plain >= least - 1e-9:
-                    out.append((ids[0][row], ids[1][row], weighted, plain))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _sets(part.column(2), weigh, words), _sets(part.column(3), weigh, words))
+                for a, b, set_a, set_b in found:
+                    weighted, plain = similarity(set_a, set_b)
+                    if weighted >= cut - 1e-9 and plain >= least - 1e-9:
+                        out.append((a, b, weighted, plain))
             columns = list(zip(*out)) if out else [[], [], [], []]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "b", "weighted", "plain"])
