@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credence.functions.names import letters_only
 
 
 def _ratio(a: str, b: str) -> float:
@@ -26,30 +25,6 @@ def block_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else _ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def _window_best(needle: pd.Series, haystack: pd.Series) -> pd.Series:
-    def best(n, h):
-        top = 0.0
-        for size in range(len(n), min(len(h), len(n) + 3) + 1):
-            for start in range(len(h) - size + 1):
-                top = max(top, _ratio(n, h[start : start + size]))
-                if top >= 0.95:
-                    return top
-        return top
-
-    return pd.Series([best(n, h) for n, h in zip(needle, haystack)], dtype="float64")
-
-
-def window_similarity(needle: Column, haystack: Column) -> Column:
-    """Best similarity of the needle with windows of its length up to three letters more."""
-    n, h = letters_only(needle), letters_only(haystack)
-    return (
-        F.when((n == "") | (h == ""), 0.0)
-        .when(F.contains(h, n), 1.0)
-        .otherwise(_window_best(F.coalesce(n, F.lit("")), F.coalesce(h, F.lit(""))))
-    )
-
-
 # --- Fixed values: a name word of at most SHORT_WORD letters needs the higher similarity --------------
 
 SHORT_WORD, SHORT_LIMIT, LONG_LIMIT = 5, 0.90, 0.88

@@ -89,15 +89,18 @@ def repeated_lines(text: Column) -> Column:
 def clone_blocks(blocks: DataFrame, image: str = "image_id", block: str = "block", images: DataFrame | None = None) -> DataFrame:
     """Per image: blocks, repeats, groups of more than two, clone score, cloned flag.
 
-    ``images`` lists the image keys, so that an image without any textured block is kept with zeros.
+    ``images`` lists the image keys, so that an image without any textured block is kept with zeros.  With a
+    column total_blocks there, that number (flat blocks and all) must be over 20 for an image to be cloned.
     """
     counted = blocks.groupBy(image, block).agg(F.count(F.lit(1)).alias("n"))
     per = counted.groupBy(image).agg(
         F.sum("n").alias("blocks"), F.sum(F.col("n") - 1).alias("repeats"), F.count_if(F.col("n") > 2).alias("groups_over_two")
     )
     if images is not None:
-        per = images.select(image).join(per, image, "left").na.fill(0, ["blocks", "repeats", "groups_over_two"])
+        known = [image, *(c for c in images.columns if c == "total_blocks")]
+        per = images.select(*known).join(per, image, "left").na.fill(0, ["blocks", "repeats", "groups_over_two"])
+    total = F.col("total_blocks" if "total_blocks" in per.columns else "blocks")
     return per.withColumns({
         "clone_score": F.least(F.lit(100), F.col("repeats") * 10).cast("int"),
-        "cloned": (F.col("blocks") > 20) & (F.col("groups_over_two") >= 2),
+        "cloned": (total > 20) & (F.col("groups_over_two") >= 2),
     })

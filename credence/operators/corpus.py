@@ -160,6 +160,12 @@ def image_blocks(images: DataFrame, key: str, size: int = 32, step: int = 16, mi
     return images.select(key, "height", "width", "data").mapInPandas(run, f"`{key}` {kind}, block string")
 
 
+def block_count(height: Column, width: Column, size: int = 32) -> Column:
+    """Blocks of a picture, flat ones too; a block starts every ``size`` pixels before the last ``size``."""
+    fit = lambda n: F.greatest(F.floor((n - 1) / size), F.lit(0))
+    return fit(height) * fit(width)
+
+
 def prepared_size(width: Column, height: Column) -> tuple[Column, Column]:
     """Width capped at 2000 pixels, ratio kept."""
     return F.least(width, F.lit(2000)), F.when(width > 2000, F.floor(height * (F.lit(2000) / width)).cast("bigint")).otherwise(height)
@@ -175,59 +181,6 @@ def augmentation_plan(images: DataFrame, multiplier: int = 5, stem: str | None =
     return rows.withColumn("file", F.concat(F.lit("fake_"), F.col(stem), F.lit("_"), F.col("method"), F.lit("_"), F.col("variant").cast("string"), F.lit(".jpg")))
 
 
-def tampered(img: np.ndarray, method: str, rng: np.random.Generator) -> np.ndarray:
-    """One edited copy of an image."""
-    out, (h, w) = img.copy(), img.shape[:2]
-    between = lambda a, b: int(rng.integers(a, max(a, b) + 1))
-    if method == "text_edit":
-        x, y = between(w // 4, w // 2), between(h // 4, h // 2)
-        dx, dy = between(60, 150), between(15, 30)
-        out[y : y + dy, x : x + dx] = 255
-        out[y + dy // 2 : y + dy // 2 + 2, x + 2 : x + dx - 2] = 0
-    elif method == "clone":
-        x, y, cw, ch = between(0, w // 2), between(0, h // 2), between(50, 120), between(30, 80)
-        if x + cw < w and y + ch < h:
-            tx, ty = min(between(w // 2, w - cw - 1), w - cw - 1), min(between(h // 2, h - ch - 1), h - ch - 1)
-            out[ty : ty + ch, tx : tx + cw] = img[y : y + ch, x : x + cw]
-    elif method == "blur":
-        x, y = between(0, w // 3), between(0, h // 3)
-        part = out[y : min(h, y + between(80, h // 2)), x : min(w, x + between(100, w // 2))].astype(np.float64)
-        for axis in (0, 1):
-            part = sum(np.roll(part, s, axis=axis) for s in range(-10, 11)) / 21.0
-        out[y : y + part.shape[0], x : x + part.shape[1]] = np.floor(part + 0.5)
-    elif method == "noise":
-        out = np.minimum(255, img.astype(np.int64) + rng.integers(0, 80, img.shape)).astype(np.uint8)
-    elif method == "resize_quality":
-        scale = rng.uniform(0.2, 0.4)
-        ys = (np.arange(h) * scale).astype(int) / scale
-        xs = (np.arange(w) * scale).astype(int) / scale
-        out = img[np.minimum(h - 1, ys.astype(int))][:, np.minimum(w - 1, xs.astype(int))]
-    elif method == "color_shift":
-        out[:, :, 0] = np.minimum(255, img[:, :, 0].astype(np.int64) + 60)
-    elif method == "whiteout":
-        for _ in range(between(2, 5)):
-            x, y = between(0, max(0, w - 80)), between(0, max(0, h - 20))
-            out[y : y + between(10, 20), x : x + between(40, 80)] = 255
-    return out
-
-
-def augmented_images(plan: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
-    """The edited images of an augmentation plan; the seed of a variant depends only on its key."""
-    kinds = {f.name: f.dataType.simpleString() for f in plan.schema.fields}
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["variant int", "method string", "height int", "width int", "data binary"])
-    seeded = plan.withColumn("_seed", F.pmod(F.xxhash64(*keys, "variant", F.lit(seed)), F.lit(2**31)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            edited = [
-                tampered(pixels(h, w, d), m, np.random.default_rng(s)).tobytes()
-                for h, w, d, m, s in zip(pdf["height"], pdf["width"], pdf["data"], pdf["method"], pdf["_seed"])
-            ]
-            yield pdf.drop(columns="_seed").assign(data=edited)
-
-    return seeded.select(*keys, "variant", "method", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "data", "_seed").mapInPandas(run, schema)
-
-
 def vector_images(vectors: DataFrame, key: str, vector: str, scale: int = 16) -> DataFrame:
     """Square pictures out of embedding vectors (values near -0.5 to 0.5), for tables without pictures."""
     kind = vectors.schema[key].dataType.simpleString()
@@ -237,7 +190,9 @@ def vector_images(vectors: DataFrame, key: str, vector: str, scale: int = 16) ->
             rows = []
             for k, v in zip(pdf[key], pdf[vector]):
                 side = int(len(v) ** 0.5)
-                cell = np.clip((np.asarray(v[: side * side], dtype=np.float64) + 0.5) * 255, 0, 255).reshape(side, side)
+                if side * side != len(v):
+                    raise ValueError(f"a vector of {len(v)} values makes no square picture")
+                cell = np.clip((np.asarray(v, dtype=np.float64) + 0.5) * 255, 0, 255).reshape(side, side)
                 g = np.kron(cell, np.ones((scale, scale)))
                 img = np.stack([255 - g, g, np.roll(g, scale, axis=1)], axis=2).astype(np.uint8)
                 rows.append((k, img.shape[0], img.shape[1], img.tobytes()))

@@ -109,11 +109,15 @@ def train_and_hold_out(rows: DataFrame, features: list[str], key: str, leaky: bo
 
 
 def cross_validated(rows: DataFrame, features: list[str], key: str, folds: int = 5, **options) -> DataFrame:
-    """(fold, accuracy): one model per fold; the loop is over folds, the work inside is distributed."""
+    """(fold, accuracy): one model per fold; the loop is over folds, the work inside is distributed.
+
+    Folds are dealt among the rows given and each training part is balanced after that, so copies of a
+    row are never on both sides.
+    """
     dealt = cut_lineage(with_folds(rows, key, folds))
     results = None
     for k in range(folds):
-        model = train(dealt.where(F.col("fold") != k), features, **options)
+        model = train(balanced(dealt.where(F.col("fold") != k), key), features, **options)
         tested = score(model, dealt.where(F.col("fold") == k))
         one = tested.agg(F.lit(k).alias("fold"), F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("accuracy"))
         results = one if results is None else results.unionByName(one)

@@ -118,7 +118,8 @@ def with_link_check(
     # rows without an address match nothing: their join key only spreads them over the tasks
     spread = F.concat(F.lit(" "), F.spark_partition_id().cast("string"))
     step = step.withColumn("_key", F.coalesce(key, spread))
-    narrow = portal.select(F.col("url").alias("_key"), F.col("portal").alias("_portal"))
+    # one page per address, else a document would have several verdicts
+    narrow = portal.groupBy(F.col("url").alias("_key")).agg(F.max("portal").alias("_portal"))
     step = step.join(narrow, "_key", "left")
 
     cand = F.coalesce(F.col(candidate), F.lit(""))

@@ -13,8 +13,9 @@ from credence.functions.hotkeys import with_key_summary
 
 
 def with_person_key(candidates: DataFrame) -> DataFrame:
-    norm = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    return candidates.withColumns({"_name_key": norm("full_name"), "_mail_key": norm("email")})
+    """Keys of the same person; a row without a name has no name key and is nobody's copy."""
+    norm = lambda c: F.lower(F.trim(c))
+    return candidates.withColumns({"_name_key": norm(F.col("full_name")), "_mail_key": norm(F.coalesce(F.col("email"), F.lit("")))})
 
 
 def keeper_map(candidates: DataFrame) -> DataFrame:

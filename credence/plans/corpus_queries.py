@@ -20,7 +20,7 @@ from credence.session import cut_lineage, run_dir
 from credence.sources.images import image_folder, write_pictures
 from credence.sources.records import metrics_file
 from credence.sources.sinks import BatchLog, VersionedTable, write_csv, write_json
-from credence.sources.tables import parquet_table, spread
+from credence.sources.tables import parquet_table
 from credence.streaming import verify_stream as streams
 
 R = Registry()
@@ -136,13 +136,13 @@ def m_scale(spark, sf):
 
 
 def training_rows(spark, sf):
-    """The fifteen features of every labelled document that also has a picture."""
+    """The fifteen features of every labelled document; those of a picture are 0 where a document has none."""
     seen = corpus.image_features(_pictures(spark, sf), ["vec_id"]).withColumnRenamed("vec_id", "doc_id")
     labels = _labelled(spark, sf)
     texts = derived(spark, sf, "submissions").join(labels.withColumnRenamed("doc_id", "id"), "id")
     read = texts.select(F.col("id").alias("doc_id"), "label", *[c.alias(n) for n, c in text_features(F.col("text")).items()],
                         (F.col("id") % 2).cast("double").alias("face_found"), (F.col("id") % 3 == 0).cast("double").alias("qr_found"))
-    return cut_lineage(read.join(seen, "doc_id").select("doc_id", "label", *fv.FEATURE_NAMES))
+    return cut_lineage(read.join(seen, "doc_id", "left").select("doc_id", "label", *fv.FEATURE_NAMES).na.fill(0.0, list(fv.FEATURE_NAMES)))
 
 
 @R.add("m_forest")
@@ -154,13 +154,13 @@ def m_forest(spark, sf):
 
 @R.add("m_cv")
 def m_cv(spark, sf):
-    return learning.cross_validated(learning.balanced(training_rows(spark, sf), "doc_id"), fv.FEATURE_NAMES, "doc_id", trees=60)
+    return learning.cross_validated(training_rows(spark, sf), fv.FEATURE_NAMES, "doc_id")
 
 
 @R.add("m_importance")
 def m_importance(spark, sf):
     rows = training_rows(spark, sf)
-    return learning.importances(learning.train(learning.balanced(rows, "doc_id"), fv.FEATURE_NAMES, trees=100), fv.FEATURE_NAMES)
+    return learning.importances(learning.train(learning.balanced(rows, "doc_id"), fv.FEATURE_NAMES), fv.FEATURE_NAMES)
 
 
 @R.add("s_importance", (
@@ -177,10 +177,9 @@ def s_importance(spark, sf):
 
 @R.add("m_eval")
 def m_eval(spark, sf):
-    """Model scored on the fakes only, predictions to CSV and summary to JSON, both read back."""
-    rows = training_rows(spark, sf)
-    model = learning.train(learning.balanced(rows, "doc_id"), fv.FEATURE_NAMES, trees=100)
-    scored = learning.score(model, rows.where("label = 0"))
+    """Model scored on fakes that it was not fitted on, predictions to CSV and summary to JSON, both read back."""
+    _, tested = learning.train_and_hold_out(training_rows(spark, sf), fv.FEATURE_NAMES, "doc_id")
+    scored = tested.where("label = 0")
     named = scored.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("filename"), F.when(F.col("prediction") == 0, "Fake").otherwise("Real").alias("predicted"),
                           F.format_string("%.1f%%", F.col("probability")).alias("probability"), "prediction")
     folder = run_dir(spark, "fake-evaluation")
@@ -233,7 +232,7 @@ def src_images(spark, sf):
 
 
 def _pictures(spark, sf):
-    return corpus.vector_images(spread(parquet_table(spark, sf, "embeddings").select("vec_id", "embedding")), "vec_id", "embedding")
+    return corpus.vector_images(parquet_table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
 
 
 def _feature_query(name):
@@ -262,8 +261,9 @@ R.add("i_white", (
 @R.add("i_clone")
 def i_clone(spark, sf):
     """Repeated blocks per picture."""
-    blocks = corpus.image_blocks(_pictures(spark, sf), "vec_id", size=24, step=4)
-    return consistency.clone_blocks(blocks, "vec_id", images=parquet_table(spark, sf, "embeddings"))
+    pictures = _pictures(spark, sf)
+    sizes = pictures.select("vec_id", corpus.block_count(F.col("height"), F.col("width")).alias("total_blocks"))
+    return consistency.clone_blocks(corpus.image_blocks(pictures, "vec_id"), "vec_id", images=sizes)
 
 
 @R.add("i_channels")
@@ -288,21 +288,13 @@ def i_augment(spark, sf):
     return corpus.augmentation_plan(rows, 5, "stem").select("vec_id", "variant", "method", "file")
 
 
-@R.add("i_augmented")
-def i_augmented(spark, sf):
-    """Edited pictures and how far each differs from its original."""
-    pictures = _pictures(spark, sf)
-    edited = corpus.augmented_images(corpus.augmentation_plan(pictures, 7), ["vec_id"])
-    return corpus.image_features(edited, ["vec_id", "variant", "method"]).select("vec_id", "variant", "method", *[F.round(f, 3).alias(f) for f in ("sharpness", "white_ratio", "noise")])
-
-
 # --- streams -----------------------------------------------------------------------------------------------------------------
 
 
 def _arriving(spark, folder, name):
-    """A given table as a stream of files."""
+    """A given table as a stream of files; the pattern takes a table of one file and a folder of files alike."""
     schema = parquet_table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.[p]arquet")
 
 
 def _simple_verdict(docs):
@@ -339,7 +331,7 @@ def t_dup_stream(spark, sf):
     """Documents arrive in several micro-batches; the table of seen files ends up the same in any order."""
     docs = parquet_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7).alias("candidate_id"), F.md5("text").alias("file_hash"))
     folder = run_dir(spark, "arrivals")
-    docs.repartition(3, "id").write.parquet(folder)
+    docs.write.parquet(folder)
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     seen = BatchLog.new(spark, "seen-files")
     streams.duplicates_on_arrival(stream, seen)

@@ -15,7 +15,7 @@ from credence.operators.fusion import issue_flags, regroup_issues
 from credence.plans.registry import Registry
 from credence.plans.tables import derived, person, with_exif, with_tables
 from credence.sources.records import parse_records, text_batches
-from credence.sources.tables import parquet_table, spread
+from credence.sources.tables import parquet_table
 
 R = Registry()
 
@@ -128,12 +128,6 @@ def x_seq_ratio(spark, sf):
     return rows.select("id", "candidate_name", "holder", F.round(S.block_ratio(F.col("candidate_name"), F.col("holder")), 4).alias("ratio"))
 
 
-@R.add("x_compact_sim")
-def x_compact_sim(spark, sf):
-    rows = derived(spark, sf, "candidates").select("id", "full_name", "position_applied")
-    return rows.select("id", F.round(S.window_similarity(F.col("position_applied"), F.col("full_name")), 4).alias("similarity"))
-
-
 @R.add("x_token_match", with_tables(
     "SELECT id, round(coalesce(list_max(list_transform(words, lambda w: CASE WHEN contains(w, token) OR contains(token, w) THEN "
     "least(length(w), length(token))::DOUBLE / greatest(length(w), length(token)) ELSE 0 END)), 0), 6) AS score FROM ("
@@ -685,7 +679,7 @@ def x_name_from_page(spark, sf):
     "100 - CASE WHEN n_docs >= 2 AND coalesce(common_names, 0) = 0 THEN 30 ELSE 0 END - CASE WHEN n_docs >= 2 AND n_dated >= 2 AND coalesce(common_dates, 0) = 0 THEN 25 ELSE 0 END AS score "
     "FROM n JOIN dn USING (conv_id) LEFT JOIN tc USING (conv_id) LEFT JOIN dc USING (conv_id)"))
 def a_cross_consist(spark, sf):
-    conv = spread(parquet_table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    conv = parquet_table(spark, sf, "conversations").select("conv_id", "turn", "text")
     dated = F.when(F.col("turn") % 2 == 0, " 01/02/1990").when(F.col("conv_id") % 3 == 0, " 03.02.1990").when(F.col("conv_id") % 3 == 1, " 01/02/1990").otherwise("")
     docs = conv.select("conv_id", F.concat("text", dated).alias("text"))
     return consistency.cross_consistency(docs, "conv_id", "text").select("conv_id", "n_docs", "n_dated", "common_names", "common_dates", "score")
@@ -695,7 +689,7 @@ def a_cross_consist(spark, sf):
     "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), g AS (SELECT doc_id, line, count(*) AS c FROM l WHERE line <> '' GROUP BY ALL) "
     "SELECT doc_id, CAST(sum(c) AS INTEGER) AS lines, CAST(sum(c - 1) AS INTEGER) AS repeats, CAST(count(*) FILTER (c > 2) AS INTEGER) AS groups_over_two FROM g GROUP BY doc_id"))
 def a_clone_blocks(spark, sf):
-    rows = spread(parquet_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", consistency.repeated_lines(F.col("text")).alias("r"))
+    rows = parquet_table(spark, sf, "documents").select("doc_id", "text").select("doc_id", consistency.repeated_lines(F.col("text")).alias("r"))
     return rows.where("r.lines > 0").select("doc_id", "r.lines", "r.repeats", "r.groups_over_two")
 
 

@@ -9,16 +9,6 @@ def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores when the source has fewer splits than cores; large sources stay as they are.
-
-    A table of few or single-row-group files would otherwise be worked on by few tasks.  Above that
-    size nothing is moved.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def jdbc_table(
     spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int, **options: str
 ) -> DataFrame:
