@@ -20,6 +20,8 @@ COMMON_SHARE = 0.001
 LEAST_IDF = 0.75
 #: Variates of the sampling: rows of a table shared by all shingles.
 _TABLE = 1 << 16
+#: Cells, in words of 64, that the shingles of a text are hashed to for a bound of what two texts share.
+CELL_WORDS = 64
 
 
 def weighted_cut(similarity: float, least_idf: float = LEAST_IDF) -> float:
@@ -233,6 +235,24 @@ def lone_shingles(texts: DataFrame, words: int = WORDS) -> DataFrame:
     return alone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
 
 
+def cells(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, cells): a bitmap of the cells that the shingles of a text fall in; ids with different texts are left out."""
+
+    def emit(batches):
+        for batch in batches:
+            for start, end, hashes, counts in text_words(batch.column(1)):
+                shingles, _, per_text = _unique(*grams(hashes, counts, words))
+                at = (mix(shingles) % np.uint64(64 * CELL_WORDS)).astype(np.int64)
+                bits = np.zeros((end - start, 64 * CELL_WORDS), np.uint8)
+                bits[np.repeat(np.arange(end - start), per_text), at] = 1
+                held = np.packbits(bits, axis=1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(end - start + 1, dtype=np.int32) * CELL_WORDS), pa.array(held.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), lists], names=["id", "cells"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(emit, "id long, cells array<long>")
+    return rows.groupBy("id").agg(F.min("cells").alias("cells"), F.max("cells").alias("last")).where("cells = last").drop("last")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, exact_id, class_id, n_links): the class of every document, one row per doc_id.
 
@@ -246,8 +266,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     Documents with the same samples in a band are then compared with one of them, the one with the least
     share of shingles of its own.  Fellows of a band that are in different classes after that are compared
     with each other where the similarity can be reached at all: two texts of x and y distinct shingles, at
-    most m of which either shares with anyone in a crowded band, have a similarity of at most m / (x + y - m).
-    So no pair of different classes that meets in a band is lost, and no group is spelt out in pairs.
+    most m of which either shares with anyone in a crowded band, have a similarity of at most m / (x + y - m);
+    m falls further by the cells of hashed shingles that only one of the two fills.  So no pair of different classes that meets in a band is lost, and no group is spelt out in pairs.
 
     Null, empty and blank texts have no shingle and are classes of their own; rows without doc_id are left
     out; a repeated doc_id counts once, with all its texts in its class; an empty table gives no rows; other
@@ -267,6 +287,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
 
     crowd = members.where("n > 2")
     lone = lone_shingles(texts.join(crowd.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
+    apart = firsts.groupBy(F.col("exact_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    lone = lone.join(apart, "id", "left_anti")  # the counts of an id with different texts bound none of them
     can = F.col("lone") <= F.lit(1 - least) * F.col("size") + F.lit(1e-9)  # else no fellow can be near enough
     crowd = cut_lineage(crowd.join(lone, "id", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).where(can).drop("n"))
 
@@ -282,13 +304,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     placed = crowd.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "hash")
     all_bands = firsts.select(F.col("exact_id").alias("id"), F.array(*band_names).alias("bands"))
-    rest = cut_lineage(placed.join(mixed, ["band", "hash"]).withColumn("shared", F.col("size") - F.col("lone")).join(all_bands, "id"))
-    other = rest.select(*[F.col(c).alias(f"{c}_b") for c in ("band", "hash", "id", "size", "shared", "component", "bands")])
-    most = F.least("shared", "shared_b")
-    near = most >= F.lit(least) * (F.col("size") + F.col("size_b") - most) - F.lit(1e-9)
+    open_ = placed.join(mixed, ["band", "hash"]).withColumn("shared", F.col("size") - F.col("lone"))
+    filled = cells(texts.join(open_.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
+    rest = cut_lineage(open_.join(all_bands, "id").join(filled, "id", "left"))
+    other = rest.select(*[F.col(c).alias(f"{c}_b") for c in ("band", "hash", "id", "size", "shared", "component", "bands", "cells")])
+    reach = lambda m: m >= F.lit(least) * (F.col("size") + F.col("size_b") - m) - F.lit(1e-9)
+    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, k: n + k)
+    within = F.least(F.col("size") - alone("cells", "cells_b"), F.col("size_b") - alone("cells_b", "cells"))
+    near = reach(F.least("shared", "shared_b")) & F.coalesce(reach(within), F.lit(True))
     once = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1  # in the first band that both share
     same = (F.col("band") == F.col("band_b")) & (F.col("hash") == F.col("hash_b"))
-    cross = rest.join(other, same & (F.col("id") < F.col("id_b")) & (F.col("component") != F.col("component_b")) & near & once)
+    cross = rest.join(other, same & (F.col("id") < F.col("id_b")) & (F.col("component") != F.col("component_b")) & once & near)
     second = cut_lineage(cross.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     more = cut_lineage(verify(second, texts, weights, words, least).select("a", "b").distinct())
     if more.limit(1).count():

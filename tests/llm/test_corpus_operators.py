@@ -479,6 +479,22 @@ def test_a_crowd_of_edited_copies(spark):
     assert got == classes_by_force(rows)
 
 
+def test_cells_never_hide_a_shared_shingle(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(300)}" for _ in range(400)]
+    texts = {i: " ".join(w if rng.random() > 0.01 * i else f"x{rng.randrange(40)}" for w in base) for i in range(12)} | {20: "", 21: "alone"}
+    rows = corpus(spark, [*texts.items(), (3, texts[3]), (30, "one"), (30, "two")])
+    bits = {r.id: np.array(r.cells, np.int64).view(np.uint8) for r in neardup.cells(rows).collect()}
+    assert set(bits) == set(texts)  # an id with different texts has none
+    sets = {}
+    for i, t in texts.items():
+        words = t.split()
+        sets[i] = {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
+    for a, b in itertools.permutations(texts, 2):
+        within = len(sets[a]) - int(np.unpackbits(bits[a] & ~bits[b]).sum())
+        assert len(sets[a] & sets[b]) <= within <= len(sets[a] & sets[b]) + 0.15 * len(sets[a])
+
+
 def test_samples_agree_like_the_weighted_index():
     rng = np.random.default_rng(11)
     x = np.sort(rng.integers(1, 2**62, 300).astype(np.uint64))
