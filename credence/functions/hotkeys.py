@@ -63,25 +63,28 @@ def left_join_spread(parent: DataFrame, child: DataFrame, parent_key: str, child
 def numbered(rows: DataFrame, order: list[Column], name: str = "row_no", by: list[str] | None = None) -> DataFrame:
     """Running number from 1 in a total order, over the whole table or within ``by``.
 
-    Rows are range-partitioned on the order, numbered inside each range, and shifted by the number
-    of rows in earlier ranges.  Only one count per range (and ``by`` value) is brought together.
-    ``order`` must be unique, else ties are numbered arbitrarily.
+    Rows are range-partitioned on the order and sorted inside each range, where a row's place is its
+    local number; it is shifted by the number of rows in earlier ranges.  That is one exchange of the
+    rows; only one count per range (and ``by`` value) is brought together.  ``order`` must be unique,
+    else ties are numbered arbitrarily.
     """
     by = by or []
-    ranged = rows.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("_range", F.spark_partition_id())
+    keys = [*[F.col(b) for b in by], *order]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of the row in its partition
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"_range": F.spark_partition_id(), "_place": place})
     # Range bounds are sampled: fix the placement once, so that both reads below see the same ranges.
     ranged = cut_lineage(ranged)
-    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*by, "_range").orderBy(*order)
-    local = ranged.withColumn("_local", F.row_number().over(within))
-    joined = local.join(offsets, [*by, "_range"])
-    return joined.withColumn(name, (F.col("_before") + F.col("_local")).cast("bigint")).drop("_range", "_local", "_before")
+    offsets = counts.select(*by, "_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    if not by:
+        offsets = F.broadcast(offsets)  # one row per shuffle partition
+    joined = ranged.join(offsets, [*by, "_range"])
+    return joined.withColumn(name, (F.col("_place") + F.col("_shift") + 1).cast("bigint")).drop("_range", "_place", "_shift")
 
 
 def latest_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The row with the greatest ``order`` per key, found by a partial aggregate (no window, no sort)."""
+    """The row with the greatest ``order`` per key, found by a partial aggregate, so a key of any size is reduced before the exchange."""
     others = [c for c in rows.columns if c != key and c not in order]
     best = F.max(F.struct(*order, *others)).alias("_best")
     found = rows.groupBy(key).agg(best)

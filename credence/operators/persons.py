@@ -13,8 +13,8 @@ from credence.functions.hotkeys import with_key_summary
 
 
 def with_person_key(candidates: DataFrame) -> DataFrame:
-    """Keys of the same person; a row without a name has no name key and is nobody's copy."""
-    norm = lambda c: F.lower(F.trim(c))
+    """Keys of the same person, regardless of case and accents; a row without a name has no name key and is nobody's copy."""
+    norm = lambda c: F.collate(F.trim(c), "UNICODE_CI_AI")
     return candidates.withColumns({"_name_key": norm(F.col("full_name")), "_mail_key": norm(F.coalesce(F.col("email"), F.lit("")))})
 
 

@@ -62,7 +62,7 @@ def f_exists(spark, sf):
 
 
 @R.add("f_ci_match", with_tables(
-    "SELECT id, count(*) OVER (PARTITION BY lower(trim(full_name)), lower(trim(coalesce(email, '')))) > 1 AS taken FROM cand", "candidates"))
+    "SELECT id, count(*) OVER (PARTITION BY strip_accents(lower(trim(full_name))), lower(trim(coalesce(email, '')))) > 1 AS taken FROM cand", "candidates"))
 def f_ci_match(spark, sf):
     keyed = persons.with_person_key(derived(spark, sf, "candidates")).select("id", "_name_key", "_mail_key")
     counted = with_key_summary(keyed, ["_name_key", "_mail_key"], ["id"], {"_n": F.count(F.lit(1))}, {"_all": F.sum("_n")}, F.col("_all") > 1)
@@ -191,7 +191,7 @@ def a_dup_groups(spark, sf):
 
 
 DEDUPE = (
-    "dm AS (SELECT c1.id AS duplicate_id, min(c2.id) AS keeper_id FROM cand c1 JOIN cand c2 ON lower(trim(c1.full_name)) = lower(trim(c2.full_name)) "
+    "dm AS (SELECT c1.id AS duplicate_id, min(c2.id) AS keeper_id FROM cand c1 JOIN cand c2 ON strip_accents(lower(trim(c1.full_name))) = strip_accents(lower(trim(c2.full_name))) "
     "AND coalesce(lower(trim(c1.email)), '') = coalesce(lower(trim(c2.email)), '') AND c1.id > c2.id GROUP BY c1.id)",
 )
 
@@ -207,7 +207,7 @@ def a_dedupe_keeper(spark, sf):
 
 
 @R.add("w_keeper", with_tables(
-    "SELECT id, min(id) OVER (PARTITION BY lower(trim(full_name)), lower(trim(coalesce(email, '')))) AS keeper_id FROM cand", "candidates"))
+    "SELECT id, min(id) OVER (PARTITION BY strip_accents(lower(trim(full_name))), lower(trim(coalesce(email, '')))) AS keeper_id FROM cand", "candidates"))
 def w_keeper(spark, sf):
     keyed = persons.with_person_key(derived(spark, sf, "candidates")).select("id", "_name_key", "_mail_key")
     kept = with_key_summary(keyed, ["_name_key", "_mail_key"], ["id"], {"_low": F.min("id")}, {"keeper_id": F.min("_low")})
@@ -322,10 +322,13 @@ def w_latest(spark, sf):
     "ORDER BY c.created_at DESC, c.id DESC, v.id DESC LIMIT 5", "candidates", "verifications"))
 def s_recent5(spark, sf):
     ver = derived(spark, sf, "verifications").select("candidate_id", F.col("id").alias("verification_id"), "status")
-    from credence.functions.hotkeys import left_join_spread
-
-    joined = left_join_spread(derived(spark, sf, "candidates").select("id", "full_name", "created_at"), ver, "id", "candidate_id")
-    newest = joined.orderBy(F.desc("created_at"), F.desc("id"), F.desc("verification_id")).limit(5)
+    # every candidate gives a row, so the five newest of them hold the five newest rows
+    recent = derived(spark, sf, "candidates").select("id", "full_name", "created_at").orderBy(F.desc("created_at"), F.desc("id")).limit(5)
+    order = [F.desc("created_at"), F.desc("id"), F.desc("verification_id")]
+    matched = ver.join(F.broadcast(recent), F.col("candidate_id") == F.col("id")).orderBy(*order).limit(5)
+    # one whose rows all fall behind these five is behind them as well without them
+    single = recent.join(matched.select("id").distinct(), "id", "left_anti")
+    newest = matched.unionByName(single, allowMissingColumns=True).orderBy(*order).limit(5)
     return newest.select("id", "full_name", "verification_id", "status")
 
 
@@ -411,7 +414,7 @@ def d_fk_setnull(spark, sf):
 
 
 _INCOMING = (
-    "inc AS (SELECT o_orderkey AS id, concat(' ', upper(c.full_name)) AS full_name, CASE WHEN o_orderkey % 2 = 0 THEN c.email "
+    "inc AS (SELECT o_orderkey AS id, concat(' ', translate(upper(c.full_name), 'OE', 'ÓÉ')) AS full_name, CASE WHEN o_orderkey % 2 = 0 THEN c.email "
     "ELSE concat('n', CAST(o_custkey AS VARCHAR), '@example.net') END AS email FROM orders JOIN cand c ON c.id = o_custkey)"
 )
 
@@ -420,12 +423,12 @@ def _incoming(spark, sf, cand):
     orders = parquet_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     joined = orders.join(cand.select(F.col("id").alias("o_custkey"), "full_name", F.col("email").alias("_m")), "o_custkey")
     mail = F.when(F.col("o_orderkey") % 2 == 0, F.col("_m")).otherwise(F.concat(F.lit("n"), F.col("o_custkey").cast("string"), F.lit("@example.net")))
-    return joined.select(F.col("o_orderkey").alias("id"), F.concat(F.lit(" "), F.upper("full_name")).alias("full_name"), mail.alias("email"))
+    return joined.select(F.col("o_orderkey").alias("id"), F.concat(F.lit(" "), F.translate(F.upper("full_name"), "OE", "ÓÉ")).alias("full_name"), mail.alias("email"))
 
 
 @R.add("d_insert_unique", with_tables(
-    "SELECT min(id) AS id FROM inc WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE lower(trim(c.full_name)) = lower(trim(inc.full_name)) "
-    "AND lower(trim(coalesce(c.email, ''))) = lower(trim(coalesce(inc.email, '')))) GROUP BY lower(trim(full_name)), lower(trim(coalesce(email, '')))",
+    "SELECT min(id) AS id FROM inc WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE strip_accents(lower(trim(c.full_name))) = strip_accents(lower(trim(inc.full_name))) "
+    "AND lower(trim(coalesce(c.email, ''))) = lower(trim(coalesce(inc.email, '')))) GROUP BY strip_accents(lower(trim(full_name))), lower(trim(coalesce(email, '')))",
     "candidates", extra=(_INCOMING,)))
 def d_insert_unique(spark, sf):
     cand = derived(spark, sf, "candidates")
@@ -433,7 +436,7 @@ def d_insert_unique(spark, sf):
 
 
 _CHANGES = (
-    "chg AS (SELECT id, CASE WHEN id % 2 = 0 THEN concat(trim(full_name), ' X') ELSE upper(trim(full_name)) END AS full_name, '' AS email, 'clerk' AS position_applied "
+    "chg AS (SELECT id, CASE WHEN id % 2 = 0 THEN concat(trim(full_name), ' X') ELSE translate(upper(trim(full_name)), 'OE', 'ÓÉ') END AS full_name, '' AS email, 'clerk' AS position_applied "
     "FROM cand WHERE position_applied IS NOT NULL)"
 )
 
@@ -441,13 +444,13 @@ _CHANGES = (
 @R.add("d_update", with_tables(
     "SELECT c.id, CASE WHEN ok.id IS NULL THEN c.full_name ELSE ok.full_name END AS full_name, CASE WHEN ok.id IS NULL THEN c.email ELSE ok.email END AS email, "
     "CASE WHEN ok.id IS NULL THEN c.position_applied ELSE ok.position_applied END AS position_applied FROM cand c LEFT JOIN ("
-    "SELECT * FROM chg WHERE NOT EXISTS (SELECT 1 FROM cand o WHERE o.id <> chg.id AND lower(trim(o.full_name)) = lower(trim(chg.full_name)) "
+    "SELECT * FROM chg WHERE NOT EXISTS (SELECT 1 FROM cand o WHERE o.id <> chg.id AND strip_accents(lower(trim(o.full_name))) = strip_accents(lower(trim(chg.full_name))) "
     "AND lower(trim(coalesce(o.email, ''))) = lower(trim(chg.email)))) ok ON ok.id = c.id", "candidates", extra=(_CHANGES,)))
 def d_update(spark, sf):
     cand = derived(spark, sf, "candidates")
     name = F.trim("full_name")
     changes = cand.where("position_applied is not null").select(
-        "id", F.when(F.col("id") % 2 == 0, F.concat(name, F.lit(" X"))).otherwise(F.upper(name)).alias("full_name"),
+        "id", F.when(F.col("id") % 2 == 0, F.concat(name, F.lit(" X"))).otherwise(F.translate(F.upper(name), "OE", "ÓÉ")).alias("full_name"),
         F.lit("").alias("email"), F.lit("clerk").alias("position_applied"))
     return persons.update_persons(cand, changes).select("id", "full_name", "email", "position_applied")
 

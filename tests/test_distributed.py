@@ -77,6 +77,9 @@ def test_numbered(spark):
     got = {r.id: r.row_no for r in numbered(df, [F.col("v").desc(), F.col("id")]).collect()}
     want = {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
     assert got == want
+    parts = numbered(df.withColumn("g", F.col("id") % 3), [F.col("v"), F.col("id")], by=["g"]).collect()
+    assert {r.id: r.row_no for r in parts} == {
+        i: n + 1 for g in range(3) for n, (_, i) in enumerate(sorted((v, i) for i, v in rows if i % 3 == g))}
 
 
 def test_latest_per_key(spark):

@@ -88,8 +88,9 @@ def test_duplicates(spark):
 
 
 def test_person_keeper(spark):
-    people = values(spark, "id int, full_name string, email string", [(1, "Ann Bee", None), (2, " ann bee ", ""), (3, "ANN BEE", "a@x.org")])
-    assert one(persons.keeper_map(people), "duplicate_id", "keeper_id") == [(2, 1)]
+    people = values(spark, "id int, full_name string, email string", [(1, "Ann Bee", None), (2, " ann bee ", ""), (3, "ANN BEE", "a@x.org"),
+        (4, "José Noël", "j@x.org"), (5, "JOSE NOEL ", "J@X.org"), (6, None, None), (7, None, None)])
+    assert one(persons.keeper_map(people), "duplicate_id", "keeper_id") == [(2, 1), (5, 4)]
 
 
 def test_report(spark):
