@@ -180,12 +180,13 @@ def with_name_match(docs: DataFrame, text: str, candidate: str, out: str = "name
 
     Struct of adjustment, found_names, issues, positives.  Exact matches are settled by
     expressions; only words within the length bound of an unmatched name reach the similarity helper.
+    A null text counts as empty.
     """
-    name = F.col(candidate)
+    name, whole = F.col(candidate), F.coalesce(F.col(text), F.lit(""))
     step = docs.withColumns({
-        "_ntext": normal_name(F.col(text)),
+        "_ntext": normal_name(whole),
         "_nname": normal_name(name),
-        "_names": holder_names(F.col(text)),
+        "_names": holder_names(whole),
     })
     # a candidate made of one word keeps its stop words out as well
     step = step.withColumn("_parts", name_parts(F.col("_nname")))

@@ -77,12 +77,23 @@ def with_portal_verdict(pages: DataFrame, out: str = "portal") -> DataFrame:
     return step.withColumn(out, struct).drop("_kind", "_up", "_record")
 
 
+_PRINTED = "struct<url:string,serial:string>"
+
+
+def printed_link(text: Column, payload: Column) -> Column:
+    """What a text prints of its link: the address where there is no payload, the serial where the exam portal may be meant."""
+    blank = F.coalesce(payload, F.lit("")) == ""
+    exam = blank | F.contains(payload, F.lit("nesa.gov.rw"))
+    return F.struct(F.when(blank, L.url_in_text(text)).alias("url"), F.when(exam, L.exam_serial(text)).alias("serial"))
+
+
 def with_link_check(
     docs: DataFrame,
     portal: DataFrame,
     payload: str = "payload",
     candidate: str = "candidate_name",
     printed_text: str | None = None,
+    printed: str | None = None,
     domains=None,
     institutions=None,
     out: str = "link",
@@ -92,15 +103,19 @@ def with_link_check(
 
     ``portal`` is the output of :func:`with_portal_verdict` (url unique).  Pages are judged before the
     join, so the join carries only small columns; an address shared by many documents sits on the
-    left side, which adaptive execution can split.
+    left side, which adaptive execution can split.  Without a payload the address printed in the text
+    counts, and so does a serial printed there where the address has none: taken from ``printed_text``,
+    or from ``printed``, a column of :func:`printed_link` computed where the text is at hand.
     """
     raw = F.col(payload)
-    printed = L.url_in_text(F.col(printed_text)) if printed_text else F.lit(None).cast("string")
-    step = docs.withColumns({
-        "_code": F.when(F.coalesce(raw, F.lit("")) != "", raw),
-        "_printed": printed,
-    })
-    step = step.withColumn("_data", F.coalesce("_code", "_printed"))
+    if printed_text:
+        docs = docs.withColumn("_printed", printed_link(F.col(printed_text), raw))
+    elif printed:
+        docs = docs.withColumn("_printed", F.col(printed))
+    else:
+        docs = docs.withColumn("_printed", F.lit(None).cast(_PRINTED))
+    step = docs.withColumn("_code", F.when(F.coalesce(raw, F.lit("")) != "", raw))
+    step = step.withColumn("_data", F.coalesce(F.col("_code"), F.col("_printed.url")))
     step = step.withColumn("_embedded", embedded_certificate(F.col("_data"), as_of_year))
     is_embedded = F.col("_embedded").isNotNull()
     step = step.withColumn("_url", F.when(~is_embedded, L.first_url(F.col("_data"))))
@@ -111,8 +126,7 @@ def with_link_check(
         "_inst": L.institution_of(F.col("_url"), institutions),
         "_domain": L.matched_domain(F.col("_url"), institutions),
     })
-    if printed_text:
-        step = step.withColumn("_serial", F.coalesce("_serial", L.exam_serial(F.col(printed_text))))
+    step = step.withColumn("_serial", F.coalesce(F.col("_serial"), F.col("_printed.serial")))
     exam = F.contains(F.col("_url"), F.lit("nesa.gov.rw"))
     key = F.when(exam, F.concat(F.lit(EXAM_PORTAL), F.col("_serial"))).otherwise(F.col("_url"))
     # rows without an address match nothing: their join key only spreads them over the tasks

@@ -10,7 +10,7 @@ from credence.operators.capture import with_detect_check, with_metadata_check
 from credence.operators.content import with_name_match
 from credence.operators.duplicates import duplicate_outcome, duplicate_pairs, file_hash
 from credence.operators.fusion import fuse, name_check_applies
-from credence.operators.links import with_link_check
+from credence.operators.links import printed_link, with_link_check
 from credence.session import cut_lineage
 
 
@@ -59,11 +59,11 @@ def verify(submissions: DataFrame, portal: DataFrame, owners: DataFrame, as_of:
         submissions = submissions.withColumn("file_hash", file_hash(F.col("text")))
     step = with_detect_check(submissions)
     step = with_metadata_check(step, as_of=as_of)
-    step = with_printed_name(step)
-    keep = ["id", "candidate_id", "candidate_name", "doc_type", "pdf_failed", "pdf_converted", "payload", "file_hash", "detect", "metadata", "printed"]
+    step = with_printed_name(step).withColumn("printed_link", printed_link(F.col("text"), F.col("payload")))
+    keep = ["id", "candidate_id", "candidate_name", "doc_type", "pdf_failed", "pdf_converted", "payload", "file_hash", "detect", "metadata", "printed", "printed_link"]
     narrow = cut_lineage(step.select(*keep))
     dup = duplicate_outcome(duplicate_pairs(narrow.select("id", "candidate_id", "file_hash"), owners)).select("id", "duplicate")
-    linked = with_link_check(narrow, portal)
+    linked = with_link_check(narrow, portal, printed="printed_link")
     return fuse(linked.join(dup, "id"))
 
 

@@ -17,7 +17,7 @@ from credence.plans.rule_queries import _DESC, _MIN, _TYPE
 from credence.plans.tables import CLASSES, DOC_TYPES, LINKS, SOFTWARE, derived, person, pick, with_tables
 from credence.plans.text_queries import sq
 from credence.session import cut_lineage, run_dir
-from credence.sources.images import image_folder, write_pictures
+from credence.sources.images import image_folder, write_files, write_pictures
 from credence.sources.records import metrics_file
 from credence.sources.sinks import BatchLog, VersionedTable, write_csv, write_json
 from credence.sources.tables import parquet_table
@@ -219,16 +219,14 @@ def src_metrics_json(spark, sf):
 
 @R.add("src_images", "SELECT vec_id AS id, CASE WHEN label % 5 = 4 THEN -1 ELSE 128 END AS width, CASE WHEN label % 5 = 4 THEN -1 ELSE 128 END AS height, label % 5 <> 4 AS readable FROM embeddings")
 def src_images(spark, sf):
-    """Pictures of the vectors written by tasks and read back; one label in five is left broken."""
+    """Pictures of the vectors written by tasks and read back; the files of one label in five hold no picture."""
     vectors = parquet_table(spark, sf, "embeddings")
     folder = run_dir(spark, "pictures")
     pictures = corpus.vector_images(vectors, "vec_id", "embedding")
     broken = pictures.join(vectors.where("label % 5 = 4").select("vec_id"), "vec_id", "left_semi")
     write_pictures(pictures.join(vectors.where("label % 5 <> 4").select("vec_id"), "vec_id", "left_semi"), "vec_id", folder)
-    write_pictures(broken.withColumns({"height": F.lit(1), "width": F.lit(1), "data": F.lit(b"\x00\x00\x00")}), "vec_id", folder)
-    rows = image_folder(spark, folder, "*.png").select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("id"), "width", "height", "readable")
-    return rows.select("id", *[F.when(F.col("width") == 1, -1).otherwise(F.col(c)).alias(c) for c in ("width", "height")],
-                       (F.col("readable") & (F.col("width") > 1)).alias("readable"))
+    write_files(broken.select("vec_id", F.lit(b"no picture").alias("content")), "vec_id", folder)
+    return image_folder(spark, folder, "*.png").select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("id"), "width", "height", "readable")
 
 
 def _pictures(spark, sf):
@@ -338,6 +336,18 @@ def t_dup_stream(spark, sf):
     return streams.seen_files(seen).select("file_hash", "first_id", "n_docs")
 
 
+@R.add("t_dup_found", "SELECT md5(text) AS file_hash, count(*) - 1 AS n_found, count(*) - 1 AS n_same FROM documents GROUP BY 1 HAVING count(*) > 1")
+def t_dup_found(spark, sf):
+    """Duplicates logged on arrival: of every file all documents but the first to arrive, each with an earlier one of the same file."""
+    stream = _arriving(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("file_hash"))
+    seen, found = BatchLog.new(spark, "seen-before"), BatchLog.new(spark, "found-duplicates")
+    streams.duplicates_on_arrival(stream, seen, found)
+    hashes = parquet_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("file_hash"))
+    hits = found.read().select("id", "earlier_id").join(hashes, "id")
+    hits = hits.join(hashes.select(F.col("id").alias("earlier_id"), F.col("file_hash").alias("earlier_hash")), "earlier_id")
+    return hits.groupBy("file_hash").agg(F.count(F.lit(1)).alias("n_found"), F.count_if(F.col("file_hash") == F.col("earlier_hash")).alias("n_same"))
+
+
 @R.add("t_dup_window")
 def t_dup_window(spark, sf):
     """First event per user and type within the watermark; state is bounded."""
@@ -367,17 +377,18 @@ def t_status_counts(spark, sf):
 # --- the whole verification -------------------------------------------------------------------------------------------------------
 
 
-def submissions(spark, sf, owners: int = 7):
-    """Everything known about each document on arrival."""
+def submissions(spark, sf):
+    """Everything known about each document on arrival; one in eleven has its link in the text only."""
     key = F.col("id")
-    docs = derived(spark, sf, "submissions").withColumn("doc_type", F.expr(pick(DOC_TYPES, "id div 3", "spark")))
+    docs = derived(spark, sf, "submissions").join(derived(spark, sf, "documents").select("id", "candidate_id"), "id").withColumn("doc_type", F.expr(pick(DOC_TYPES, "id div 3", "spark")))
     path = f"lower(replace({person('id', 'spark')}, ' ', '_'))"
     link = f"replace(replace(replace({pick(LINKS, 'id', 'spark')}, '{{n}}', lpad(cast(id % 1000000 as string), 6, '0')), '{{path}}', {path}), '{{name}}', {person('id', 'spark')})"
     software = F.expr(pick(SOFTWARE, "id", "spark"))
     exif = F.map_filter(F.create_map(F.lit("Software"), software, F.lit("Make"), F.lit("Acme")), lambda k, v: v != "")
     at = F.expr("timestamp_ntz'2024-02-01 00:00:00'")
     return docs.withColumns({
-        "candidate_id": F.pmod(key, F.lit(owners)), "payload": F.expr(link), "exif": exif,
+        "payload": F.when(key % 11 != 5, F.expr(link)), "exif": exif,
+        "text": F.when(key % 11 != 5, F.col("text")).otherwise(F.concat_ws("\n", "text", F.expr(link))),
         "detections": F.array(capture.detection(F.expr(pick(CLASSES, "id", "spark")), (key % 97 + 3) / F.lit(100.0))),
         "file_size_kb": F.lit(200.0), "created": at, "modified": at, "pdf_failed": key % 50 == 49, "pdf_converted": key % 10 == 3,
         # the hash of the file itself, without the added heading

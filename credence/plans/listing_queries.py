@@ -55,6 +55,14 @@ def f_by_key(spark, sf):
     return derived(spark, sf, "candidates").select("id", "full_name", "email").join(wanted, "id", "left_semi")
 
 
+@R.add("f_by_id", with_tables("SELECT c.id, c.full_name, v.document_id, v.status FROM cand c LEFT JOIN ver v ON v.candidate_id = c.id WHERE c.id = 7", "candidates", "verifications"))
+def f_by_id(spark, sf):
+    """One candidate and the verdicts on their documents: the key reaches both scans as a pushed filter."""
+    one = derived(spark, sf, "candidates").where("id = 7").select("id", "full_name")
+    verdicts = derived(spark, sf, "verifications").where("candidate_id = 7").select(F.col("candidate_id").alias("id"), "document_id", "status")
+    return one.join(verdicts, "id", "left")
+
+
 @R.add("f_exists", with_tables("SELECT id, id IN (SELECT document_id FROM ver WHERE status <> 'Pending') AS done FROM docs", "documents", "verifications"))
 def f_exists(spark, sf):
     done = derived(spark, sf, "verifications").where("status <> 'Pending'")
@@ -468,12 +476,19 @@ def sink_upsert(spark, sf):
     return table.read().select("document_id", "status", "authenticity_score")
 
 
-@R.add("sink_hash", "SELECT doc_id AS id, md5(text) AS file_hash, sha256(text) AS content_digest FROM documents")
-def sink_hash(spark, sf):
+@R.add("x_hash", "SELECT doc_id AS id, md5(text) AS file_hash, sha256(text) AS content_digest FROM documents")
+def x_hash(spark, sf):
     from credence.operators.duplicates import content_digest
 
     docs = parquet_table(spark, sf, "documents")
     return docs.select(F.col("doc_id").alias("id"), file_hash(F.col("text")).alias("file_hash"), content_digest(F.col("text")).alias("content_digest"))
 
 
-R.add("x_hash", R.oracles["sink_hash"])(sink_hash)
+@R.add("sink_hash", R.oracles["x_hash"])
+def sink_hash(spark, sf):
+    """Hashes stored beside the documents, as at upload, and read back."""
+    from credence.sources.sinks import VersionedTable
+
+    table = VersionedTable.new(spark, "file-hashes")
+    table.write(x_hash(spark, sf))
+    return table.read()

@@ -34,7 +34,13 @@ def png_bytes(height: int, width: int, bgr: bytes) -> bytes:
 
 
 def write_pictures(images: DataFrame, key: str, folder: str) -> None:
-    """One file per row, written by the tasks.  The folder must be mounted on every executor."""
+    """One picture file per row, see :func:`write_files`."""
+    encode = F.udf(lambda height, width, data: png_bytes(height, width, bytes(data)), "binary")
+    write_files(images.select(key, encode("height", "width", "data").alias("content")), key, folder)
+
+
+def write_files(rows: DataFrame, key: str, folder: str) -> None:
+    """``content`` of every row as a file named by its key, written by the tasks.  The folder must be mounted on every executor."""
     target = folder[len("file:"):] if folder.startswith("file:") else folder
     if "://" in target:
         raise ValueError("pictures are written through a mounted folder, not an object store address")
@@ -44,6 +50,6 @@ def write_pictures(images: DataFrame, key: str, folder: str) -> None:
         for r in rows:
             # a repeated task writes the same bytes again
             with open(os.path.join(target, f"{r[key]}.png"), "wb") as f:
-                f.write(png_bytes(r["height"], r["width"], bytes(r["data"])))
+                f.write(bytes(r["content"]))
 
-    images.select(key, "height", "width", "data").foreachPartition(save)
+    rows.select(key, "content").foreachPartition(save)

@@ -81,11 +81,10 @@ class BatchLog:
         fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
         numbers = [int(n[len("batch="):]) for n in names if n.startswith("batch=")]
-        chosen = [n for n in numbers if before is None or n < before]
-        if not chosen:
+        if not any(before is None or n < before for n in numbers):
             return None
-        paths = [f"{self.root}/batch={n}" for n in sorted(chosen)]
-        return self.spark.read.option("basePath", self.root).parquet(*paths)
+        rows = self.spark.read.parquet(self.root)
+        return rows if before is None else rows.where(F.col("batch") < before)
 
     def latest(self, key: str) -> DataFrame:
         """The newest row of every key."""

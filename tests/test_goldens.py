@@ -10,7 +10,7 @@ from credence.operators import capture, consistency, evaluation, listings, numbe
 from credence.operators.content import with_content_check, with_name_match
 from credence.operators.duplicates import duplicate_outcome, duplicate_pairs
 from credence.operators.fusion import fuse
-from credence.operators.links import with_link_check, with_portal_verdict
+from credence.operators.links import printed_link, with_link_check, with_portal_verdict
 from credence.operators.provider import with_provider_check
 
 
@@ -238,6 +238,35 @@ def test_link_verdicts(spark):
         assert (r.link.trusted, r.link.verified_online, r.link.name_match) == (r.trusted, r.online, r.nm), (r.id, r.link)
 
 
+def test_link_and_serial_printed_in_the_text(spark):
+    pages = values(spark, "url string, http_status int, html string", [
+        ("https://graduate.rp.ac.rw/?certificate_no=7", 200, "<p>Certificate verified</p><p>Student Name</p><p>ALPHA BRAVO</p>"),
+        ("https://graduate.nesa.gov.rw/api/x", 200, "none"),
+    ])
+    rows = [
+        (1, None, "Scan to check\nhttps://graduate.rp.ac.rw/?certificate_no=7", True, "https://graduate.rp.ac.rw/?certificate_no=7"),
+        (2, "", "see https://graduate.rp.ac.rw/ ?certificate_no=7", True, "https://graduate.rp.ac.rw/?certificate_no=7"),
+        (3, "", "Visit Graduate . nesa . gov . rw, serial A 1234 5678", True, "https://graduate.nesa.gov.rw"),
+        (4, "no address", "https://graduate.rp.ac.rw/?certificate_no=7", False, None),
+        (5, None, None, False, None),
+    ]
+    df = values(spark, "id int, payload string, body string, trusted boolean, url string", rows).withColumn("candidate_name", F.lit("ALPHA BRAVO"))
+    portal = with_portal_verdict(pages)
+    whole = {r.id: r for r in with_link_check(df, portal, printed_text="body").collect()}
+    early = df.withColumn("early", printed_link(F.col("body"), F.col("payload"))).drop("body")
+    assert {r.id: r.early.serial for r in early.collect()} == {1: None, 2: None, 3: "A12345678", 4: None, 5: None}
+    parts = {r.id: r for r in with_link_check(early, portal, printed="early").collect()}
+    for id_, _, _, trusted, url in rows:
+        assert whole[id_].link == parts[id_].link
+        assert (whole[id_].link.trusted, whole[id_].link.url) == (trusted, url), (id_, whole[id_].link)
+
+
+def test_a_null_text_is_an_empty_one_to_the_name_check(spark):
+    df = values(spark, "id int, body string, candidate_name string", [(1, None, "ALPHA BRAVO"), (2, "", "ALPHA BRAVO")])
+    got = {r.id: r.name_check for r in with_name_match(df, "body", "candidate_name").collect()}
+    assert got[1] == got[2]
+
+
 def test_list_helpers(spark):
     df = values(spark, "s string", [(" a ;; b;",)])
     assert one(df, X.split_issues(F.col("s")).alias("x")) == [(["a", "b"],)]
