@@ -57,7 +57,7 @@ def f_by_key(spark, sf):
 
 @R.add("f_by_id", with_tables("SELECT c.id, c.full_name, v.document_id, v.status FROM cand c LEFT JOIN ver v ON v.candidate_id = c.id WHERE c.id = 7", "candidates", "verifications"))
 def f_by_id(spark, sf):
-    """One candidate and the verdicts on their documents: the key reaches both scans as a pushed filter."""
+    """One candidate and the verdicts on their documents: the key is pushed to the scan of candidates; the derived owner of a verdict is compared after its scan."""
     one = derived(spark, sf, "candidates").where("id = 7").select("id", "full_name")
     verdicts = derived(spark, sf, "verifications").where("candidate_id = 7").select(F.col("candidate_id").alias("id"), "document_id", "status")
     return one.join(verdicts, "id", "left")
