@@ -9,11 +9,11 @@ infer one per host from its own pages and needs only those small trees to come t
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +25,8 @@ from credence.llm.common import written
 BROADCAST_BYTES = 32 << 20
 #: Wrappers of a host that one task merges at a time.
 FAN_IN = 64
+#: Pages that must say the same in a group before it counts as template.
+TEMPLATE_PAGES = 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -36,10 +38,11 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 #: A tag that closes an open one of the same list entry.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Groups that are never main text, by tag and by a word of class, id or role.
+#: Groups that are never main text by tag; by a whole word of class, id or role only as the tie-break among free text.
 _OUT_TAGS = frozenset("head nav footer aside form script style noscript template textarea button select iframe object svg canvas dialog title menu".split())
 _OUT_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget alert contentinfo complementary search".split())
 _MAIN_WORDS = frozenset("article main post entry story".split())
+_NEVER_OUT = frozenset("html body article main".split())
 
 
 class Node:
@@ -100,42 +103,86 @@ def parse(page: str) -> Node:
     return root
 
 
-# A group is [label, least, most, slot, groups]: slot None without text, a string that all have, or True for any text.
+# A group is [label, least, most, slot, groups, pages]: slot None without text, the text that all pages with the group have
+# there (that of repeats in one page is joined), or True for any text; pages is how many streams have the group.
+
+
+def _run(job):
+    """The value of a generator that yields the generators whose values it needs; trees of any depth need no deep call stack."""
+    stack, value = [job], None
+    while stack:
+        try:
+            job = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(job)
+            value = None
+    return value
+
+
+def _short(text: str) -> str:
+    """A text as it is held in a slot: a long one by its beginning and a hash."""
+    return text if len(text) <= 80 else f"{text[:40]}#{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}"
 
 
 def infer(node: Node) -> list:
     """The wrapper of one page."""
-    groups: list = []
-    slot = None
-    for part in node.inner:
-        if isinstance(part, str):
-            text = " ".join(part.split())
-            if text:
-                slot = text if slot in (None, text) else True
-            continue
-        group = infer(part)
-        if groups and groups[-1][0] == group[0]:
-            groups[-1] = _fold(groups[-1], group, True)
+    stack = [([node.label, 1, 1, None, [], 1], iter(node.inner), [])]
+    while True:
+        group, parts, texts = stack[-1]
+        for part in parts:
+            if not isinstance(part, str):
+                stack.append(([part.label, 1, 1, None, [], 1], iter(part.inner), []))
+                break
+            texts += part.split()
         else:
-            groups.append(group)
-    return [node.label, 1, 1, slot, groups]
+            stack.pop()
+            if texts:
+                group[3] = _short(" ".join(texts))
+            if not stack:
+                return group
+            groups = stack[-1][0][4]
+            if groups and groups[-1][0] == group[0]:
+                groups[-1] = _fold(groups[-1], group, True)
+            else:
+                groups.append(group)
 
 
 def _fold(a: list, b: list, beside: bool) -> list:
     """One group for two of the same label: beside each other they repeat, from two streams they are alternatives of one place."""
-    slot = a[3] if a[3] == b[3] or b[3] is None else b[3] if a[3] is None else True
+    return _run(_folding(a, b, beside, beside))
+
+
+def _folding(a: list, b: list, beside: bool, joined: bool):
+    """``joined``: both are of one stream, so their texts follow each other; else a slot stays a text only if both streams have it."""
+    if a[3] is None or b[3] is None:
+        slot = a[3] if b[3] is None else b[3]
+    elif a[3] is True or b[3] is True:
+        slot = True
+    else:
+        slot = _short(f"{a[3]} {b[3]}") if joined else a[3] if a[3] == b[3] else True
     least, most = (a[1] + b[1], a[2] + b[2]) if beside else (min(a[1], b[1]), max(a[2], b[2]))
-    return [a[0], min(least, 2), min(most, 2), slot, align(a[4], b[4])]
+    groups = (yield _aligning(a[4], b[4], joined)) if a[4] and b[4] else [_optional(g) for g in a[4] or b[4]]
+    return [a[0], min(least, 2), min(most, 2), slot, groups, max(a[5], b[5]) if joined else a[5] + b[5]]
 
 
 def align(a: list, b: list) -> list:
     """Two sequences of groups as one: a longest common subsequence of labels meets, the rest is optional; equal neighbours fold."""
+    return _run(_aligning(a, b, False))
+
+
+def _aligning(a: list, b: list, joined: bool):
     if not a or not b:
         merged = [_optional(g) for g in a or b]
     else:
         n, m = len(a), len(b)
         if [g[0] for g in a] == [g[0] for g in b]:
-            return [_fold(x, y, False) for x, y in zip(a, b)]
+            merged = []
+            for x, y in zip(a, b):
+                merged.append((yield _folding(x, y, False, joined)))
+            return merged
         best = [[0] * (m + 1) for _ in range(n + 1)]
         for i in range(n - 1, -1, -1):
             for j in range(m - 1, -1, -1):
@@ -143,7 +190,7 @@ def align(a: list, b: list) -> list:
         merged, i, j = [], 0, 0
         while i < n or j < m:
             if i < n and j < m and a[i][0] == b[j][0]:
-                merged.append(_fold(a[i], b[j], False))
+                merged.append((yield _folding(a[i], b[j], False, joined)))
                 i, j = i + 1, j + 1
             elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
                 merged.append(_optional(a[i]))
@@ -154,17 +201,17 @@ def align(a: list, b: list) -> list:
     out: list = []
     for group in merged:
         if out and out[-1][0] == group[0]:
-            out[-1] = _fold(out[-1], group, True)
+            out[-1] = yield _folding(out[-1], group, True, True)
         else:
             out.append(group)
-    return _rolled(out)
+    return (yield _rolling(out))
 
 
 def _optional(group: list) -> list:
     return [group[0], 0, *group[2:]]
 
 
-def _rolled(groups: list, most: int = 64) -> list:
+def _rolling(groups: list, most: int = 64):
     """A long sequence in which labels keep recurring is one repeated bag: the later ones fold into the first of their label."""
     if len(groups) <= most:
         return groups
@@ -172,55 +219,129 @@ def _rolled(groups: list, most: int = 64) -> list:
     out: list = []
     for group in groups:
         if group[0] in place:
-            out[place[group[0]]] = _fold(out[place[group[0]]], group, True)
+            out[place[group[0]]] = yield _folding(out[place[group[0]]], group, True, True)
         else:
             place[group[0]] = len(out)
             out.append(group)
     return out
 
 
+def dumps(wrapper: list) -> str:
+    """A wrapper as flat JSON, each group before its inner groups with their number last."""
+    flat, stack = [], [wrapper]
+    while stack:
+        group = stack.pop()
+        flat.append([*group[:4], group[5], len(group[4])])
+        stack += reversed(group[4])
+    return json.dumps(flat)
+
+
+def loads(text: str) -> list:
+    top: list = []
+    stack = [(top, 1)]
+    for *head, pages, n in json.loads(text):
+        groups, left = stack.pop()
+        groups.append([*head, [], pages])
+        if left > 1:
+            stack.append((groups, left - 1))
+        if n:
+            stack.append((groups[-1][4], n))
+    return top[0]
+
+
 def expression(group: list) -> str:
     """The wrapper as a regular expression over tags, #TEXT for a free slot."""
-    inner = ("#TEXT" if group[3] is True else re.escape(group[3]) if group[3] else "") + "".join(map(expression, group[4]))
+    return _run(_expressing(group))
+
+
+def _expressing(group: list):
+    inner = "#TEXT" if group[3] is True else re.escape(group[3]) if group[3] else ""
+    for g in group[4]:
+        inner += yield _expressing(g)
     mark = "" if group[1] and group[2] == 1 else "+" if group[1] else "?" if group[2] == 1 else "*"
     return f"(<{group[0]}>{inner}</>){mark}" if group[0] else inner
 
 
 def _out(label: str) -> bool:
     tag, *words = label.split(".")
-    return tag in _OUT_TAGS or any(part in _OUT_WORDS for w in words for part in re.split(r"[-_]", w)) or (tag == "header")
+    return tag in _OUT_TAGS or tag == "header" or (tag not in _NEVER_OUT and not _OUT_WORDS.isdisjoint(words))
 
 
 def _main(label: str) -> bool:
     tag, *words = label.split(".")
-    return tag in ("article", "main") or any(part in _MAIN_WORDS for w in words for part in re.split(r"[-_]", w))
+    return tag in ("article", "main") or (tag not in ("html", "body") and not _MAIN_WORDS.isdisjoint(words))
 
 
-def content(wrapper: list) -> set[tuple[str, ...]]:
-    """Paths of the groups that hold main text: outermost article-like groups, else the whole body without what is never main text.
+class Places:
+    """What a wrapper says of the paths of labels in a page, each path a number; 0 is the page."""
 
-    A group is in only if it has a free text slot somewhere inside: what every page of a host repeats is no article.
-    """
-    chosen: set[tuple[str, ...]] = set()
+    def __init__(self) -> None:
+        self.ids: dict[tuple[int, str], int] = {}
+        self.main: set[int] = set()
+        self.template: set[int] = set()
+        self.mute: set[int] = set()
 
-    def free(group: list) -> bool:
-        return group[3] is not None or any(free(g) for g in group[4])
 
-    def search(group: list, path: tuple[str, ...]) -> bool:
-        if group[0] and _out(group[0]):
-            return False
-        if _main(group[0]) and free(group):
-            chosen.add(path)
-            return True
-        return any([search(g, (*path, g[0])) for g in group[4]])
+def content(wrapper: list) -> Places:
+    """Paths of article-like groups, and those of the template: what the pages of a host that have a group all say alike.
 
-    if not search(wrapper, ()):
-        chosen.add(())
-    return chosen
+    A group is template if no text in it is free, and neither is seen in fewer than TEMPLATE_PAGES pages, which
+    shows nothing.  A block's own text is mute on the same terms, unless inline groups in it are free.  A wrapper
+    without any free slot (one page, or copies of it) has no template.  Tags that never hold main text, and as
+    the tie-break among what is free words of the class, count besides.
+    """
+    places = Places()
+    groups, parents, paths = [wrapper], [-1], [0]
+    for at, group in enumerate(groups):  # grows while it is read
+        for inner in group[4]:
+            if not _out(inner[0]) or inner[0].split(".", 1)[0] == "header":
+                groups.append(inner)
+                parents.append(at)
+                paths.append(places.ids.setdefault((paths[at], inner[0]), len(places.ids) + 1))
+    free, open_, inline_open = ([False] * len(groups) for _ in range(3))
+    varied: set[int] = set()
+    loud: set[int] = set()
+    for at in range(len(groups) - 1, -1, -1):
+        label, _, _, slot, _, pages = groups[at]
+        inline = label.split(".", 1)[0] in _INLINE
+        own = slot is True or (slot is not None and pages < TEMPLATE_PAGES)
+        free[at] |= slot is True
+        open_[at] |= own
+        if own or inline_open[at]:
+            loud.add(paths[at])
+        if open_[at]:
+            varied.add(paths[at])
+        if _main(label):
+            places.main.add(paths[at])
+        if at:
+            up = parents[at]
+            free[up] |= free[at]
+            open_[up] |= open_[at]
+            inline_open[up] |= inline and (own or inline_open[at])
+    if free[0]:
+        for at, group in enumerate(groups):
+            if group[0] and group[0].split(".", 1)[0] not in _INLINE:
+                if paths[at] not in varied:
+                    places.template.add(paths[at])
+                if paths[at] not in loud:
+                    places.mute.add(paths[at])
+    return places
+
+
+def blocks(root: Node, places: Places) -> list[str]:
+    """Blocks of main text in page order: of the page's own article-like groups, else, where they have none, of its whole body.
+
+    Both without the template, and with it only if the page has nothing else.
+    """
+    for template in (True, False) if places.template or places.mute else (False,):
+        for main in (True, False):
+            found = _blocks(root, places, main, template)
+            if found:
+                return found
+    return []
 
 
-def blocks(root: Node, chosen: set[tuple[str, ...]]) -> Iterator[str]:
-    """Blocks of main text in page order."""
+def _blocks(root: Node, places: Places, main: bool, template: bool) -> list[str]:
     held: list[str] = []
     out: list[str] = []
 
@@ -230,30 +351,35 @@ def blocks(root: Node, chosen: set[tuple[str, ...]]) -> Iterator[str]:
         if text:
             out.append(text)
 
-    def walk(node: Node, path: tuple[str, ...], inside: bool) -> None:
-        for part in node.inner:
+    # what is open: parts left, path, inside main text, own text taken, whether its end ends a block
+    stack = [(iter(root.inner), 0, not main, True, False)]
+    while stack:
+        parts, path, inside, said, ends = stack[-1]
+        for part in parts:
             if isinstance(part, str):
-                if inside:
+                if inside and said:
                     held.append(part)
                 continue
             tag = part.label.split(".", 1)[0]
-            here = (*path, part.label)
-            if _out(part.label) and not (inside and tag == "header"):
-                if tag not in _INLINE:
+            here = places.ids.get((path, part.label), -1)
+            inline = tag in _INLINE
+            if (_out(part.label) and not (inside and tag == "header")) or (template and here in places.template):
+                if not inline:
                     flush()
                 continue
-            inline = tag in _INLINE
             if not inline:
                 flush()
             if tag in ("br", "wbr"):
                 held.append("\n" if tag == "br" and inside else "")
-            walk(part, here, inside or here in chosen)
-            if not inline:
+            speaks = said if inline else not (template and here in places.mute)
+            stack.append((iter(part.inner), here, inside or (main and here in places.main), speaks, not inline))
+            break
+        else:
+            stack.pop()
+            if ends:
                 flush()
-
-    walk(root, (), () in chosen)
     flush()
-    return iter(out)
+    return out
 
 
 def main_text(page: str, wrapper: list | None = None) -> str:
@@ -274,7 +400,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 wrapper = infer(parse(page.as_py() or ""))
                 held[host] = [_fold(held[host][0], wrapper, False), held[host][1] + 1] if host in held else [wrapper, 1]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(w) for w, _ in held.values()], pa.string()), pa.array([n for _, n in held.values()], pa.int64())], names=["host", "wrapper", "n_pages"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([dumps(w) for w, _ in held.values()], pa.string()), pa.array([n for _, n in held.values()], pa.int64())], names=["host", "wrapper", "n_pages"])
 
     def merge(table: pa.Table) -> pa.Table:
         by: dict[str, list] = defaultdict(list)
@@ -284,9 +410,9 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         for host, parts in by.items():
             merged, total = None, 0
             for wrapper, n in sorted(parts):
-                merged = json.loads(wrapper) if merged is None else _fold(merged, json.loads(wrapper), False)
+                merged = loads(wrapper) if merged is None else _fold(merged, loads(wrapper), False)
                 total += n
-            rows.append((host, json.dumps(merged), total))
+            rows.append((host, dumps(merged), total))
         hosts, wrappers, totals = zip(*rows)
         return pa.table({"host": pa.array(hosts), "wrapper": pa.array(wrappers), "n_pages": pa.array(totals, pa.int64())})
 
@@ -307,7 +433,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page: the main text by the wrapper of its host.
 
     Null and empty html, and pages without main text, give the empty text; pages without a host share one
-    wrapper; repeated rows and null ids are kept; other columns are not read.  Wrappers are sent to the tasks where
+    wrapper, and a page in which it finds no article-like group gives its whole body; repeated rows and null ids are kept; other columns are not read.  Wrappers are sent to the tasks where
     they measure at most BROADCAST_BYTES, else pages join them by host, whose skew adaptive execution splits.
     """
     found = infer_wrappers(pages)
@@ -317,7 +443,7 @@ def extract(pages: DataFrame) -> DataFrame:
     joined = rows.join(F.broadcast(kept) if size <= BROADCAST_BYTES else kept, "host", "left").select("page_id", "url", "html", "wrapper")
 
     def read(batches):
-        chosen: dict[str, set] = {}
+        chosen: dict[str, Places] = {}
         for batch in batches:
             texts = []
             for page, wrapper in zip(batch.column(2), batch.column(3).to_pylist()):
@@ -328,7 +454,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     if wrapper not in chosen:
                         if len(chosen) >= 1000:
                             chosen.clear()
-                        chosen[wrapper] = content(json.loads(wrapper))
+                        chosen[wrapper] = content(loads(wrapper))
                     paths = chosen[wrapper]
                 texts.append("\n\n".join(blocks(root, paths)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

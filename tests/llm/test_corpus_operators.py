@@ -257,6 +257,26 @@ def test_wrappers_odd_rows(spark):
     assert wrappers.extract(pages.limit(0)).count() == 0
 
 
+def test_a_page_without_an_article_keeps_its_text(spark):
+    rows = [(1, "http://h/1", "<body><article><p>one</article>"), (2, "http://h/2", "<body><article><p>two</article>"), (3, "http://h/3", "<body><div><p>three</div>"), (4, None, "<article><p>four</article>"), (5, None, "<div><p>five</div>")]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "one", 2: "two", 3: "three", 4: "four", 5: "five"}
+
+
+def test_what_all_pages_say_is_template_whatever_its_class(spark):
+    page = '<body class="no-sidebar sidebar"><div class="x1"><ul><li><a>Home</a><li><a>About</a></ul></div><p class="x2">We set files.</p><div class="with-comments"><h1>{0}</h1><p>Text <b>always</b> {0}</p><p>more {0}</p></div><div class="share">By {0}</div></body>'
+    rows = [(i, "http://h/x", page.format(f"t{i}")) for i in range(5)] + [(9, "http://copy/x", page.format("c")), (10, "http://copy/y", page.format("c"))]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"t{i}\n\nText always t{i}\n\nmore t{i}" for i in range(5))
+    assert "Text always c" in got[9]  # copies alone show no template
+
+
+def test_deep_pages(spark):
+    deep = "<div>" * 20_000 + "<p>end {}</p>"
+    rows = [(i, "http://h/x", deep.format(i)) for i in range(2)]
+    assert sorted(r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()) == ["end 0", "end 1"]
+
+
 # 5
 
 
