@@ -124,6 +124,13 @@ def test_scorer_on_odd_rows(spark, odd, none):
     assert pitman_yor.score_documents(none).count() == 0
 
 
+def test_repeated_partitions_are_scored_each(spark):
+    docs = corpus(spark, [(i, f"a b c{i % 5}") for i in range(1, 200)] + [(None, "x y")]).coalesce(1)
+    got = pitman_yor.score_documents(docs.union(docs)).collect()
+    assert Counter(r.doc_id for r in got) == Counter({i: 2 for i in [None, *range(1, 200)]})
+    assert all(r.n_known <= r.n_tokens for r in got) and len({(r.doc_id, r.score) for r in got}) == 200
+
+
 # 2
 
 
