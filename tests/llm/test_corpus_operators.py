@@ -110,6 +110,21 @@ def test_seating_follows_the_restaurant():
         assert drawn[t] / 60_000 == pytest.approx(w / sum(weight.values()), abs=0.012)
 
 
+def test_seating_of_many_customers_is_exact():
+    for d, n, a in [(0.8, 20, 0.5), (0.8, 100, 1), (0.8, 1000, 5), (0.8, 1000, 50), (0.8, 3000, 5), (0.8, 3000, 900), (0.6, 3000, 0.9), (0.6, 3000, 80), (0.6, 3000, 600)]:
+        weight = np.zeros(n + 1)  # of t tables, customer by customer, scaled
+        weight[1] = a
+        t = np.arange(n + 1)
+        for m in range(1, n):
+            weight[1:] = weight[:-1] * a + weight[1:] * np.maximum(m - d * t[1:], 0)
+            weight /= weight.sum()
+        weight /= weight.sum()
+        mean, spread = weight @ t, np.sqrt(weight @ t**2 - (weight @ t) ** 2)
+        drawn = pitman_yor.seat(np.full(4000, n), np.full(4000, float(a)), d, np.random.default_rng(3))
+        assert drawn.mean() == pytest.approx(mean, abs=5 * spread / np.sqrt(4000))
+        assert drawn.std() == pytest.approx(spread, rel=0.1)
+
+
 def test_predictions_sum_to_one():
     shared = pitman_yor.Shared(np.zeros(pitman_yor.CONTEXTS, np.int64), 30, 12, np.zeros(0), np.zeros(0))
     customers, tables = np.array([10, 15, 5]), np.array([4, 6, 2])
