@@ -1,4 +1,4 @@
-"""Near-duplicates: improved consistent weighted sampling of TF-IDF shingles, bands, weighted Jaccard."""
+"""Near-duplicates: improved consistent weighted sampling of IDF-weighted shingles, bands, weighted Jaccard."""
 
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ CELL_WORDS = 64
 
 
 def weighted_cut(similarity: float, least_idf: float = LEAST_IDF) -> float:
-    """The weighted similarity that no pair of that plain similarity falls below when weights lie in [least_idf, 1]."""
+    """The weighted similarity that no pair of that plain similarity falls below when a shingle weighs the same in both, in [least_idf, 1]."""
     return least_idf * similarity / (least_idf * similarity + 1 - similarity)
 
 
@@ -85,18 +85,22 @@ def _frequencies(docs: DataFrame, n: int, least: int, words: int, only: np.ndarr
 
 
 class Weights:
-    """Weight of a shingle in a text: (1 + ln tf) * idf, idf = 1 for a rare one and less the more documents have it."""
+    """Weight of a shingle in any text that has it: its idf, 1 for a rare one and less the more documents have it, at least ``least``.
+
+    How often a text repeats it does not count (tf is bounded to 1), as weighted_cut holds only where a shingle weighs the same in
+    both texts and lies in [least, 1].
+    """
 
     def __init__(self, hashes: np.ndarray, numbers: np.ndarray, n: int, share: float = COMMON_SHARE, least: float = LEAST_IDF) -> None:
         self.hashes = hashes
         rarity = np.log(max(n, 1) / np.maximum(numbers, 1)) / np.log(1 / share)
         self.idf = least + (1 - least) * np.clip(rarity, 0, 1)
 
-    def __call__(self, shingles: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        weight = 1 + np.log(tf)
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        weight = np.ones(len(shingles))
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
-            weight = weight * np.where(self.hashes[at] == shingles, self.idf[at], 1.0)
+            weight = np.where(self.hashes[at] == shingles, self.idf[at], 1.0)
         return weight
 
 
@@ -156,8 +160,8 @@ def signatures(docs: DataFrame, weights: Weights, words: int = WORDS, bands: int
                 begin = np.cumsum(counts_some) - counts_some
                 nth = (np.arange(len(hashes)) - np.repeat(begin, counts_some)).astype(np.uint64)
                 keys = [np.add.reduceat(mix(hashes + mix(nth + np.uint64(seed))), begin) for seed in (11, 1 << 40)]
-                shingles, tf, per_text = _unique(*grams(hashes, counts_some, words))
-                drawn = sample(shingles, weigh(shingles, tf), per_text, bands * rows, table)
+                shingles, _, per_text = _unique(*grams(hashes, counts_some, words))
+                drawn = sample(shingles, weigh(shingles), per_text, bands * rows, table)
                 columns = [batch.column(0).take(pa.array(start + some)), *(pa.array(k.view(np.int64)) for k in keys), pa.array(per_text.astype(np.int64))]
                 for i in range(bands):
                     band = np.zeros(len(some), np.uint64)
@@ -174,9 +178,9 @@ def _sets(column: pa.Array, weigh: Weights, words: int) -> list[tuple[np.ndarray
     """Distinct shingles of each text, ascending, and their weights."""
     out = []
     for _, _, hashes, counts in text_words(column):
-        shingles, tf, per_text = _unique(*grams(hashes, counts, words))
+        shingles, _, per_text = _unique(*grams(hashes, counts, words))
         ends = np.cumsum(per_text)
-        weights = weigh(shingles, tf)
+        weights = weigh(shingles)
         out += [(shingles[e - n : e], weights[e - n : e]) for e, n in zip(ends, per_text)]
     return out
 

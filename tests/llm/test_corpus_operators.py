@@ -521,6 +521,19 @@ def test_a_crowd_of_edited_copies(spark):
     assert got == classes_by_force(rows)
 
 
+def test_repeats_within_a_text_lose_no_link(spark):
+    rng = random.Random(4)
+    rows = {}
+    for i in range(1, 60, 3):
+        words = [f"w{rng.randint(0, 9000)}" for _ in range(200)]
+        own = [f"own{i}x{k}" for k in range(24)]
+        rows |= {i: " ".join(words), i + 1: " ".join(words + words), i + 2: " ".join(words + own * 5)}
+    docs = corpus(spark, list(rows.items()))
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == classes_by_force(rows)
+    sets = shingle_sets(rows)
+    assert all(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(1, 60, 3) for j in (i + 1, i + 2))
+
+
 def test_cells_never_hide_a_shared_shingle(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(300)}" for _ in range(400)]
