@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import decontamination, importance, neardup, packing, pii, pitman_yor, rules, warc, wordpiece, wrappers
+from credence.llm import decontamination, importance, neardup, packing, pii, pitman_yor, rules, subwords, warc, wordpiece, wrappers
 from credence.plans.registry import Registry
 from credence.session import run_dir
 
@@ -67,3 +67,9 @@ def op9_warc_chains(spark, folder):
 @R.add("op1_pitman_yor")
 def op1_pitman_yor(spark, folder):
     return pitman_yor.score_documents(_table(spark, folder, "documents"))
+
+
+@R.add("op13_sentencepiece_rounds")
+def op13_sentencepiece_rounds(spark, folder):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return subwords.digest(subwords.decode(subwords.encode(_table(spark, folder, "documents"), model), model))
