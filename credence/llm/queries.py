@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import decontamination, importance, neardup, packing, pii, pitman_yor, rules, subwords, warc, wordpiece, wrappers
+from credence.llm import decontamination, importance, lexical, neardup, packing, pii, pitman_yor, rules, subwords, warc, wordpiece, wrappers
 from credence.plans.registry import Registry
 from credence.session import run_dir
 
@@ -73,3 +73,26 @@ def op1_pitman_yor(spark, folder):
 def op13_sentencepiece_rounds(spark, folder):
     model = public_tokenizers.path("piece_bpe_32k.model")
     return subwords.digest(subwords.decode(subwords.encode(_table(spark, folder, "documents"), model), model))
+
+
+#: The ASCII characters that are in no term, as a class of DuckDB's regular expressions.
+_TERM_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_FOLDED_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@R.add("op12_pair_maxscore", f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_FOLDED_SQL}, '{_TERM_SQL}') AS terms FROM documents),
+dt AS (SELECT k, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+tf AS (SELECT k, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM dt GROUP BY k, term),
+total AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM dfs, total),
+b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_FOLDED_SQL}, '{_TERM_SQL}') AS terms FROM benchmark),
+bt AS (SELECT q, any_value(item_id) AS item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(terms) AS term FROM b) GROUP BY q, term),
+s AS (SELECT q, k, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id,
+  sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM bt JOIN tf USING (term) JOIN w USING (term), total GROUP BY q, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20""")
+def op12_pair_maxscore(spark, folder):
+    return lexical.rank(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
