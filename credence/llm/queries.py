@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import decontamination, importance, lexical, neardup, packing, pii, pitman_yor, rules, subwords, warc, wordpiece, wrappers
+from credence.llm import decontamination, importance, lexical, neardup, packing, pii, pitman_yor, prefix_trie, rules, subwords, warc, wordpiece, wrappers
 from credence.plans.registry import Registry
 from credence.session import run_dir
 
@@ -96,3 +96,32 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NU
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20""")
 def op12_pair_maxscore(spark, folder):
     return lexical.rank(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+#: CRC-32 of the decimal text of conv_id, a byte and a bit at a time.
+_CRC_SQL = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), "
+    "lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, _: xor(r >> 1, 3988292384 * (r & 1)))))"
+)
+
+
+@R.add("op11_prefix_trie", f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), 32)) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT conv_id, conv_id - conv_id % 100 AS family, {_CRC_SQL} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+parts AS (SELECT h.conv_id, t.k, 0 AS own, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.family AND t.k <= h.h
+  UNION ALL SELECT h.conv_id, t.k, 1, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.k > h.h),
+placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, k) AS d, sha256(concat(length(role), ':', role, text)) AS key, length(text) AS size FROM parts),
+prefixes AS (SELECT conv_id, d, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY d) AS path, size FROM placed UNION ALL SELECT conv_id, 0, '', 0 FROM heads),
+last AS (SELECT conv_id, max(d) AS len FROM prefixes GROUP BY conv_id),
+nodes AS (SELECT path, any_value(p.d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(p.size) AS size, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE p.d = l.len) AS ends
+  FROM prefixes p JOIN last l USING (conv_id) GROUP BY path),
+links AS (SELECT a.path AS path, b.path AS child, b.depth - a.depth AS steps FROM nodes a JOIN nodes b ON starts_with(b.path, a.path)),
+kids AS (SELECT path, count(*) FILTER (WHERE steps = 1) AS n_children FROM links GROUP BY path),
+sums AS (SELECT l.path, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.size)::BIGINT AS saved_tokens
+  FROM links l JOIN nodes n ON n.path = l.child JOIN kids k ON k.path = l.child GROUP BY l.path)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, k.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN kids k USING (path) JOIN sums s USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 64 * (n.depth - 1))""")
+def op11_prefix_trie(spark, folder):
+    return prefix_trie.shared_prefixes(_table(spark, folder, "conversations"))
