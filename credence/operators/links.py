@@ -87,25 +87,37 @@ def printed_link(text: Column, payload: Column) -> Column:
     return F.struct(F.when(blank, L.url_in_text(text)).alias("url"), F.when(exam, L.exam_serial(text)).alias("serial"))
 
 
-def with_link_check(
-    docs: DataFrame,
-    portal: DataFrame,
-    payload: str = "payload",
-    candidate: str = "candidate_name",
-    printed_text: str | None = None,
-    printed: str | None = None,
-    domains=None,
-    institutions=None,
-    out: str = "link",
-    as_of_year: int = fv.AS_OF_YEAR,
+def newest_pages(pages: DataFrame) -> DataFrame:
+    """One page per address: the one fetched last, by fetched_at if the pages have it (then by status and content)."""
+    order = [c for c in ("fetched_at", "http_status", "html") if c in pages.columns]
+    found = pages.groupBy("url").agg(F.max_by(F.struct("http_status", "html"), F.struct(*order)).alias("_page"))
+    return found.select("url", "_page.http_status", "_page.html")
+
+
+def with_linked_pages(docs: DataFrame, pages: DataFrame, **names) -> DataFrame:
+    """:func:`with_link_check` that judges only those of the fetched ``pages`` that some document links to."""
+    addressed = with_link_address(docs, **{k: v for k, v in names.items() if k not in ("candidate", "out")})
+    wanted = addressed.select(F.col("_key").alias("url")).distinct()
+    judged = with_portal_verdict(newest_pages(pages.join(wanted, "url", "left_semi")))
+    return with_link_verdict(addressed, judged, **{k: v for k, v in names.items() if k in ("candidate", "out")})
+
+
+def with_link_check(docs: DataFrame, portal: DataFrame, candidate: str = "candidate_name", out: str = "link", **names) -> DataFrame:
+    """Full verdict on a document's verification link; ``portal`` is the output of :func:`with_portal_verdict` (url unique).
+
+    Other arguments are those of :func:`with_link_address`.
+    """
+    return with_link_verdict(with_link_address(docs, **names), portal, candidate, out)
+
+
+def with_link_address(
+    docs: DataFrame, payload: str = "payload", printed_text: str | None = None, printed: str | None = None, domains=None, institutions=None, as_of_year: int = fv.AS_OF_YEAR,
 ) -> DataFrame:
-    """Full verdict on a document's verification link.
+    """What a link says by itself, in helper columns; ``_key`` is the address of its page.
 
-    ``portal`` is the output of :func:`with_portal_verdict` (url unique).  Pages are judged before the
-    join, so the join carries only small columns; an address shared by many documents sits on the
-    left side, which adaptive execution can split.  Without a payload the address printed in the text
-    counts, and so does a serial printed there where the address has none: taken from ``printed_text``,
-    or from ``printed``, a column of :func:`printed_link` computed where the text is at hand.
+    Without a payload the address printed in the text counts, and so does a serial printed there where the
+    address has none: taken from ``printed_text``, or from ``printed``, a column of :func:`printed_link` computed
+    where the text is at hand.
     """
     raw = F.col(payload)
     if printed_text:
@@ -131,10 +143,16 @@ def with_link_check(
     key = F.when(exam, F.concat(F.lit(EXAM_PORTAL), F.col("_serial"))).otherwise(F.col("_url"))
     # rows without an address match nothing: their join key only spreads them over the tasks
     spread = F.concat(F.lit(" "), F.spark_partition_id().cast("string"))
-    step = step.withColumn("_key", F.coalesce(key, spread))
-    # one page per address, else a document would have several verdicts
-    narrow = portal.groupBy(F.col("url").alias("_key")).agg(F.max("portal").alias("_portal"))
-    step = step.join(narrow, "_key", "left")
+    return step.withColumn("_key", F.coalesce(key, spread))
+
+
+def with_link_verdict(step: DataFrame, portal: DataFrame, candidate: str = "candidate_name", out: str = "link") -> DataFrame:
+    """Joins the judged pages to rows of :func:`with_link_address` and settles the verdict.
+
+    Pages are judged before the join, so the join carries only small columns; an address shared by many
+    documents sits on the left side, which adaptive execution can split.
+    """
+    step = step.join(portal.select(F.col("url").alias("_key"), F.col("portal").alias("_portal")), "_key", "left")
 
     cand = F.coalesce(F.col(candidate), F.lit(""))
     url, link_name = F.col("_url"), F.col("_link_name")

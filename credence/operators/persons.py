@@ -1,7 +1,7 @@
 """Duplicate persons and the set-based changes to the three application tables.
 
 Every change is a function from the old tables to new ones; writing a new version and switching to
-it is the job of ``credence.sources.sinks``.
+it is the job of ``credence.sources.tableset``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.functions.hotkeys import with_key_summary
+from credence.session import cut_lineage
+from credence.sources.tableset import TableSet
 
 
 def with_person_key(candidates: DataFrame) -> DataFrame:
@@ -47,6 +49,25 @@ def merge_persons(candidates: DataFrame, documents: DataFrame, verifications: Da
     return kept, _repoint(documents, mapping), _repoint(verifications, mapping)
 
 
+#: Tables that change together when persons are merged; each has the key id.
+TABLES = ["candidates", "documents", "verifications"]
+
+
+def apply_merge(tables: TableSet) -> int:
+    """Merges duplicates into their keeper in the stored tables: all three change in one commit, or none; returns the new version.
+
+    Only the buckets of removed persons and of the rows that move to a keeper get new files.
+    """
+    change = tables.begin()
+    mapping = cut_lineage(keeper_map(change.table("candidates")))
+    for child in ("documents", "verifications"):
+        rows = change.table(child)
+        moved = rows.join(mapping, F.col("candidate_id") == F.col("duplicate_id")).withColumn("candidate_id", F.col("keeper_id"))
+        change.upsert(child, moved.select(rows.columns))
+    change.delete("candidates", mapping.select(F.col("duplicate_id").alias("id")))
+    return change.commit()
+
+
 def delete_candidates(ids: DataFrame, candidates: DataFrame, documents: DataFrame, verifications: DataFrame):
     """Candidates with all their documents and verifications removed; ``ids`` has one column, id."""
     gone = ids.select(F.col("id").alias("_gone")).distinct()

@@ -10,7 +10,7 @@ from credence.operators.capture import with_detect_check, with_metadata_check
 from credence.operators.content import with_name_match
 from credence.operators.duplicates import duplicate_outcome, duplicate_pairs, file_hash
 from credence.operators.fusion import fuse, name_check_applies
-from credence.operators.links import printed_link, with_link_check
+from credence.operators.links import printed_link, with_linked_pages
 from credence.session import cut_lineage
 
 
@@ -46,24 +46,30 @@ def no_printed_name() -> Column:
     return F.struct(F.lit(False).alias("mismatch"), F.lit(False).alias("match"), F.array().cast("array<string>").alias("found_names"))
 
 
-def verify(submissions: DataFrame, portal: DataFrame, owners: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Verdict for every submission.
+def evidence(submissions: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """All checks of a document that need no other row, and what the others need; the text itself stays behind.
 
     ``submissions``: id, candidate_id, candidate_name, doc_type, text, payload, detections, exif,
     file_size_kb, created, modified, pdf_failed, pdf_converted and, if stored at ingest, file_hash.
-
-    The text is read once: all row-local checks run in that pass, and what is kept per document is
-    small.  That narrow result is checkpointed; the duplicate search and the joins read it.
     """
     if "file_hash" not in submissions.columns:
         submissions = submissions.withColumn("file_hash", file_hash(F.col("text")))
     step = with_detect_check(submissions)
     step = with_metadata_check(step, as_of=as_of)
     step = with_printed_name(step).withColumn("printed_link", printed_link(F.col("text"), F.col("payload")))
-    keep = ["id", "candidate_id", "candidate_name", "doc_type", "pdf_failed", "pdf_converted", "payload", "file_hash", "detect", "metadata", "printed", "printed_link"]
-    narrow = cut_lineage(step.select(*keep))
+    return step.select("id", "candidate_id", "candidate_name", "doc_type", "pdf_failed", "pdf_converted", "payload", "file_hash", "detect", "metadata", "printed", "printed_link")
+
+
+def verify(submissions: DataFrame, pages: DataFrame, owners: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Verdict for every submission (columns of :func:`evidence`).
+
+    ``pages`` are fetched pages: url, http_status, html and, if known, fetched_at.  The text is read once: all row-local checks run in
+    that pass, and what is kept per document is small.  That narrow result is checkpointed; the duplicate
+    search and the joins read it.  Only pages that some document links to are judged.
+    """
+    narrow = cut_lineage(evidence(submissions, as_of))
     dup = duplicate_outcome(duplicate_pairs(narrow.select("id", "candidate_id", "file_hash"), owners)).select("id", "duplicate")
-    linked = with_link_check(narrow, portal, printed="printed_link")
+    linked = with_linked_pages(narrow, pages, printed="printed_link")
     return fuse(linked.join(dup, "id"))
 
 

@@ -9,19 +9,20 @@ from credence.functions.text import join_issues, labelize
 from credence.operators import capture, consistency, corpus, evaluation, learning, listings
 from credence.operators.content import text_features
 from credence.operators.fusion import fuse
-from credence.operators.links import with_portal_verdict
 from credence.operators.verification import no_duplicate, no_link, no_printed_name, verify, verification_rows
 from credence.plans.listing_queries import PAIRS
 from credence.plans.registry import Registry
 from credence.plans.rule_queries import _DESC, _MIN, _TYPE
-from credence.plans.tables import CLASSES, DOC_TYPES, LINKS, SOFTWARE, derived, person, pick, with_tables
+from credence.plans.tables import CLASSES, DOC_TYPES, LINKS, SOFTWARE, derived, person, pick, table_expressions, with_tables
 from credence.plans.text_queries import sq
 from credence.session import cut_lineage, run_dir
 from credence.sources.images import image_folder, write_files, write_pictures
 from credence.sources.records import metrics_file
-from credence.sources.sinks import BatchLog, VersionedTable, write_csv, write_json
+from credence.sources.sinks import BatchLog, write_csv, write_json
+from credence.sources.tableset import TableSet
 from credence.sources.tables import parquet_table
 from credence.streaming import verify_stream as streams
+from credence.streaming.verification_view import VerificationView
 
 R = Registry()
 
@@ -295,17 +296,6 @@ def _arriving(spark, folder, name):
     return spark.readStream.schema(schema).parquet(f"{folder}/{name}.[p]arquet")
 
 
-def _simple_verdict(docs):
-    """Detector-only verdict of raw document rows, the same for a batch and a stream."""
-    key = F.col("doc_id")
-    cls = F.expr(pick(CLASSES, "doc_id", "spark"))
-    rows = docs.select("doc_id", F.expr(pick(DOC_TYPES, "doc_id div 3", "spark")).alias("doc_type"), F.array(capture.detection(cls, (key % 100) / F.lit(100.0))).alias("detections"))
-    rows = capture.with_detect_check(rows).withColumns({
-        "pdf_failed": F.lit(False), "pdf_converted": F.lit(False), "candidate_name": F.lit(""), "link": no_link(), "duplicate": no_duplicate(),
-        "printed": no_printed_name(), "metadata": F.struct(F.lit(None).cast("string").alias("software"), F.lit(False).alias("software_suspicious"))})
-    return fuse(rows).select(key.alias("document_id"), F.col("verdict.score").alias("authenticity_score"), F.col("verdict.status").alias("status"), join_issues(F.col("verdict.issues")).alias("issues"))
-
-
 _SIMPLE = (
     "s1 AS (SELECT doc_id, {kind} AS doc_type, {cls} AS cls, round((doc_id % 100) / 100::DOUBLE * 100, 1) AS conf FROM documents), "
     "s2 AS (SELECT *, {mn} AS mn, {need} AS need, {typ} AS typ, {descr} AS descr FROM s1), "
@@ -317,35 +307,46 @@ _SIMPLE = (
 ).format(kind=pick(DOC_TYPES, "doc_id // 3", "duck"), cls=pick(CLASSES, "doc_id", "duck"), mn=_MIN.format(c="cls", d=25), need=_MIN.format(c="cls", d=60), typ=_TYPE.format(c="cls"), descr=_DESC.format(c="cls"))
 
 
-@R.add("t_verify_stream", f"WITH {_SIMPLE} SELECT document_id, authenticity_score, status, issues FROM simple")
+def _in_parts(spark, rows, part, name):
+    """Yields a stream of files after each of three parts of the rows has arrived."""
+    folder = run_dir(spark, name)
+    for k in range(3):
+        rows.where(part == k).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(rows.schema).parquet(folder)
+
+
+@R.add("t_verify_stream")
 def t_verify_stream(spark, sf):
-    log = BatchLog.new(spark, "stream-verifications")
-    streams.verify_on_arrival(_arriving(spark, sf, "documents"), _simple_verdict, log)
-    return log.latest("document_id").select("document_id", "authenticity_score", "status", "issues")
+    """Documents arrive in three batches, in no order; the verifications kept beside the stream are those of the whole table."""
+    at = F.lit("2026-06-01 00:00:00").cast("timestamp")
+    view = VerificationView(TableSet.new(spark, "verification-view"), as_of=at, verified_at=at)
+    view.start(derived(spark, sf, "portal_pages"), derived(spark, sf, "candidates"))
+    docs = parquet_table(spark, sf, "documents")
+    for stream in _in_parts(spark, docs, F.pmod(F.xxhash64("doc_id"), F.lit(3)), "submitted"):
+        view.follow(submissions(stream))
+    return view.read().drop("verified_at")
 
 
-@R.add("t_dup_stream", "SELECT md5(text) AS file_hash, min(doc_id) AS first_id, count(*) AS n_docs FROM documents GROUP BY 1")
+@R.add("t_dup_stream", "SELECT md5(text) AS file_hash, min(doc_id) AS first_id, count(*) AS n_docs FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def t_dup_stream(spark, sf):
-    """Documents arrive in several micro-batches; the table of seen files ends up the same in any order."""
-    docs = parquet_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7).alias("candidate_id"), F.md5("text").alias("file_hash"))
-    folder = run_dir(spark, "arrivals")
-    docs.write.parquet(folder)
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    seen = BatchLog.new(spark, "seen-files")
-    streams.duplicates_on_arrival(stream, seen)
-    return streams.seen_files(seen).select("file_hash", "first_id", "n_docs")
+    """Documents arrive in three batches; of every file the first document and the number so far are kept."""
+    return _duplicate_stream(spark, sf)[0].read("files").select("file_hash", "first_id", "n_docs")
 
 
-@R.add("t_dup_found", "SELECT md5(text) AS file_hash, count(*) - 1 AS n_found, count(*) - 1 AS n_same FROM documents GROUP BY 1 HAVING count(*) > 1")
+@R.add("t_dup_found", "SELECT doc_id AS id, first AS earlier_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS first FROM documents WHERE text IS NOT NULL) WHERE doc_id <> first")
 def t_dup_found(spark, sf):
-    """Duplicates logged on arrival: of every file all documents but the first to arrive, each with an earlier one of the same file."""
-    stream = _arriving(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("file_hash"))
-    seen, found = BatchLog.new(spark, "seen-before"), BatchLog.new(spark, "found-duplicates")
-    streams.duplicates_on_arrival(stream, seen, found)
-    hashes = parquet_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("file_hash"))
-    hits = found.read().select("id", "earlier_id").join(hashes, "id")
-    hits = hits.join(hashes.select(F.col("id").alias("earlier_id"), F.col("file_hash").alias("earlier_hash")), "earlier_id")
-    return hits.groupBy("file_hash").agg(F.count(F.lit(1)).alias("n_found"), F.count_if(F.col("file_hash") == F.col("earlier_hash")).alias("n_same"))
+    """Every document whose file had arrived before, with the first document of that file."""
+    return _duplicate_stream(spark, sf)[1].read().select("id", "earlier_id")
+
+
+def _duplicate_stream(spark, sf):
+    """Documents in order of id, a third at a time; (table of seen files, log of found duplicates)."""
+    docs = parquet_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("file_hash"))
+    low, high = docs.agg(F.percentile_approx("id", F.array(F.lit(1 / 3), F.lit(2 / 3)))).first()[0] or (0, 0)
+    seen, found = TableSet.new(spark, "seen-files"), BatchLog.new(spark, "found-duplicates")
+    for stream in _in_parts(spark, docs, (F.col("id") > low).cast("int") + (F.col("id") > high).cast("int"), "arrivals"):
+        streams.duplicates_on_arrival(stream, seen, found)
+    return seen, found
 
 
 @R.add("t_dup_window")
@@ -369,18 +370,19 @@ def t_pending(spark, sf):
 @R.add("t_status_counts", with_tables("SELECT status, count(*) AS n FROM ver GROUP BY status", "verifications"))
 def t_status_counts(spark, sf):
     status = F.expr("case when o_orderkey % 19 = 0 then 'Pending' when o_orderstatus = 'F' then 'Fake' when o_orderstatus = 'O' then 'Suspicious' else 'Verified' end")
-    table = VersionedTable.new(spark, "counts")
-    streams.live_counts(_arriving(spark, sf, "orders").select(status.alias("status")), table)
-    return table.read().select("status", "n")
+    tables = TableSet.new(spark, "counts")
+    streams.live_counts(_arriving(spark, sf, "orders").select(status.alias("status")), tables)
+    return tables.read("counts").select("status", "n")
 
 
 # --- the whole verification -------------------------------------------------------------------------------------------------------
 
 
-def submissions(spark, sf):
-    """Everything known about each document on arrival; one in eleven has its link in the text only."""
+def submissions(docs):
+    """Everything known about each document on arrival, from rows of documents; one in eleven has its link in the text only."""
     key = F.col("id")
-    docs = derived(spark, sf, "submissions").join(derived(spark, sf, "documents").select("id", "candidate_id"), "id").withColumn("doc_type", F.expr(pick(DOC_TYPES, "id div 3", "spark")))
+    columns = {**table_expressions("documents"), **table_expressions("submissions")}
+    docs = docs.selectExpr(*[f"{columns[c]} as {c}" for c in ("id", "candidate_id", "candidate_name", "text")]).withColumn("doc_type", F.expr(pick(DOC_TYPES, "id div 3", "spark")))
     path = f"lower(replace({person('id', 'spark')}, ' ', '_'))"
     link = f"replace(replace(replace({pick(LINKS, 'id', 'spark')}, '{{n}}', lpad(cast(id % 1000000 as string), 6, '0')), '{{path}}', {path}), '{{name}}', {person('id', 'spark')})"
     software = F.expr(pick(SOFTWARE, "id", "spark"))
@@ -397,9 +399,8 @@ def submissions(spark, sf):
 
 
 def verified(spark, sf):
-    portal = with_portal_verdict(derived(spark, sf, "portal_pages").select("url", "http_status", "html"))
     owners = derived(spark, sf, "candidates").select("id", "full_name")
-    return verify(submissions(spark, sf), portal, owners, as_of=F.lit("2026-06-01 00:00:00").cast("timestamp"))
+    return verify(submissions(parquet_table(spark, sf, "documents")), derived(spark, sf, "portal_pages"), owners, as_of=F.lit("2026-06-01 00:00:00").cast("timestamp"))
 
 
 @R.add("verify_documents")

@@ -386,7 +386,16 @@ def _three(spark, sf):
     "UNION ALL SELECT 'verification', v.id, coalesce(m.keeper_id, v.candidate_id) FROM ver v LEFT JOIN dm m ON m.duplicate_id = v.candidate_id",
     "candidates", "documents", "verifications", extra=DEDUPE))
 def d_dedupe_apply(spark, sf):
-    cand, docs, ver = persons.merge_persons(*_three(spark, sf))
+    """The three tables after the merge, changed under one manifest and read back."""
+    from credence.sources.tableset import TableSet
+
+    tables = TableSet.new(spark, "application")
+    change = tables.begin()
+    for name, rows, columns in zip(persons.TABLES, _three(spark, sf), (["id", "full_name", "email"], ["id", "candidate_id"], ["id", "candidate_id"])):
+        change.create(name, rows.select(columns), "id")
+    change.commit()
+    persons.apply_merge(tables)
+    cand, docs, ver = (tables.read(name) for name in persons.TABLES)
     part = lambda df, kind, owner: df.select(F.lit(kind).alias("kind"), "id", F.col(owner).alias("candidate_id"))
     return part(cand, "candidate", "id").unionByName(part(docs, "document", "candidate_id")).unionByName(part(ver, "verification", "candidate_id"))
 
@@ -467,13 +476,17 @@ def d_update(spark, sf):
     "SELECT document_id, status, authenticity_score FROM ver WHERE document_id NOT IN (SELECT id FROM docs) "
     "UNION ALL SELECT id, 'Verified', 100 FROM docs", "verifications", "documents"))
 def sink_upsert(spark, sf):
-    from credence.sources.sinks import VersionedTable
+    from credence.sources.tableset import TableSet
 
-    table = VersionedTable.new(spark, "verifications")
-    table.write(derived(spark, sf, "verifications").select("document_id", "status", "authenticity_score"))
+    tables = TableSet.new(spark, "verifications")
+    change = tables.begin()
+    change.create("verifications", derived(spark, sf, "verifications").select("document_id", "status", "authenticity_score"), "document_id")
+    change.commit()
     fresh = derived(spark, sf, "documents").select(F.col("id").alias("document_id"), F.lit("Verified").alias("status"), F.lit(100).alias("authenticity_score"))
-    table.upsert(fresh, "document_id")
-    return table.read().select("document_id", "status", "authenticity_score")
+    change = tables.begin()
+    change.upsert("verifications", fresh)
+    change.commit()
+    return tables.read("verifications")
 
 
 @R.add("x_hash", "SELECT doc_id AS id, md5(text) AS file_hash, sha256(text) AS content_digest FROM documents")
@@ -487,8 +500,10 @@ def x_hash(spark, sf):
 @R.add("sink_hash", R.oracles["x_hash"])
 def sink_hash(spark, sf):
     """Hashes stored beside the documents, as at upload, and read back."""
-    from credence.sources.sinks import VersionedTable
+    from credence.sources.tableset import TableSet
 
-    table = VersionedTable.new(spark, "file-hashes")
-    table.write(x_hash(spark, sf))
-    return table.read()
+    tables = TableSet.new(spark, "file-hashes")
+    change = tables.begin()
+    change.create("hashes", x_hash(spark, sf), "id")
+    change.commit()
+    return tables.read("hashes")

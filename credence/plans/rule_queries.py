@@ -10,7 +10,7 @@ from credence import fixed_values as fv
 from credence.functions import text as X
 from credence.operators import capture, content, numbers
 from credence.operators.fusion import fuse, name_check_applies, recheck, screen
-from credence.operators.links import embedded_certificate, with_link_check, with_portal_verdict
+from credence.operators.links import embedded_certificate, newest_pages, with_link_check, with_portal_verdict
 from credence.operators.provider import with_provider_check
 from credence.plans.registry import Registry
 from credence.plans.tables import derived, with_detections, with_exif, with_tables
@@ -333,7 +333,7 @@ def r_mku_qr(spark, sf):
 
 
 def _portal(spark, sf):
-    return with_portal_verdict(derived(spark, sf, "portal_pages").select("url", "http_status", "html"))
+    return with_portal_verdict(newest_pages(derived(spark, sf, "portal_pages")))
 
 
 @R.add("r_portal", with_tables(
@@ -354,7 +354,7 @@ def _lines_sql(u: str) -> str:
 
 _PORTAL_CTE = (
     "pg0 AS (SELECT url, http_status, CASE WHEN contains(url, 'nesa.gov.rw') THEN 'exam' WHEN contains(url, 'graduate.rp.ac.rw') THEN 'poly' ELSE 'any' END AS kind, "
-    f"CASE WHEN contains(url, 'nesa.gov.rw') OR contains(url, 'graduate.rp.ac.rw') THEN {up(html_text('html'))} ELSE {up(html_text('html', ''))} END AS u FROM portal_src), "
+    f"CASE WHEN contains(url, 'nesa.gov.rw') OR contains(url, 'graduate.rp.ac.rw') THEN {up(html_text('html'))} ELSE {up(html_text('html', ''))} END AS u FROM portal_src QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, http_status DESC, html DESC) = 1), "
     f"pg1 AS (SELECT *, {_lines_sql('u')} AS l, CASE WHEN kind = 'exam' THEN contains(u, 'VALID') AND contains(u, 'GRADUATE NAME') AND NOT {any_of('u', fv.EXAM_PAGE_ERRORS)} WHEN http_status <> 200 THEN false "
     f"WHEN kind = 'poly' THEN {any_of('u', fv.POLYTECHNIC_PAGE_WORDS)} AND NOT {any_of('u', fv.POLYTECHNIC_PAGE_ERRORS)} WHEN {any_of('u', fv.PAGE_WORDS)} THEN true WHEN {any_of('u', fv.PAGE_ERRORS)} THEN false END AS record FROM pg0), "
     f"pj AS (SELECT url, kind, record, CASE WHEN kind = 'exam' THEN {exam_holder_sql()} WHEN http_status = 200 AND (kind = 'poly' OR record) THEN {page_holder_sql()} END AS holder, "

@@ -227,15 +227,20 @@ def _capture_exprs() -> dict[str, tuple[str, str]]:
 
 
 def _portal_exprs() -> dict[str, tuple[str, str]]:
-    out = {"page_id": _both("page_id"), "http_status": _both("case when page_id % 11 = 3 then 404 else 200 end")}
+    out = {
+        "page_id": _both("page_id"), "http_status": _both("case when page_id % 11 = 3 then 404 else 200 end"),
+        # of two fetches of one address either may be the later one
+        "fetched_at": ("timestamp_ntz'2024-03-01 00:00:00' + make_dt_interval(0, 0, cast((page_id * 37) % 1000 as int), 0)", "TIMESTAMP '2024-03-01 00:00:00' + to_minutes(CAST((page_id * 37) % 1000 AS INTEGER))"),
+    }
     sides = {}
     for d in ("spark", "duck"):
         kind = "string" if d == "spark" else "VARCHAR"
         size = "greatest(6, length(cast(page_id as string)))" if d == "spark" else "CAST(greatest(6, length(CAST(page_id AS VARCHAR))) AS INTEGER)"
         number = f"lpad(cast(page_id as {kind}), {size}, '0')"
+        fetched_twice = f"lpad(cast(page_id - case when page_id % 10 = 6 then 5 else 0 end as {kind}), {size}, '0')"
         url = (
             f"case when page_id % 5 = 3 then concat('https://graduate.nesa.gov.rw/?serial=A1', {number}, '0') "
-            f"when page_id % 5 = 1 then concat('https://graduate.rp.ac.rw/?certificate_no=RP', {number}) else url end"
+            f"when page_id % 5 = 1 then concat('https://graduate.rp.ac.rw/?certificate_no=RP', {fetched_twice}) else url end"
         )
         tail = f"replace({pick(PAGE_TAILS, 'page_id', d)}, '{{name}}', {person('page_id', d)})"
         sides[d] = {"url": url, "html": f"concat(html, {tail})", "source_url": f"cast(url as {kind})"}
@@ -287,6 +292,11 @@ def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows.selectExpr(*[f"{e[0]} as {n}" for n, e in exprs().items()])
 
 
+def table_expressions(name: str) -> dict[str, str]:
+    """Spark expressions of a derived table's columns over rows of its source."""
+    return {n: e[0] for n, e in _DERIVED[name][1]().items()}
+
+
 def cte(name: str) -> str:
     source, exprs = _DERIVED[name]
     columns = ", ".join(f"{e[1]} AS {n}" for n, e in exprs().items())

@@ -1,4 +1,4 @@
-"""Sinks: versioned tables with upsert, CSV and JSON files."""
+"""Sinks: logs of micro-batches, CSV and JSON files."""
 
 from __future__ import annotations
 
@@ -6,56 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.functions.hotkeys import latest_per_key
-from credence.operators.persons import upsert
 from credence.session import run_dir
 
 
-class VersionedTable:
-    """A parquet table kept as numbered version folders; readers see the last committed one.
-
-    A version is written completely, then marked by a commit file, so a lost executor or a
-    failed job leaves the previous version in place.  Works on any file system Spark can reach.
-    """
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    @classmethod
-    def new(cls, spark: SparkSession, name: str) -> "VersionedTable":
-        return cls(spark, run_dir(spark, name))
-
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
-
-    def versions(self) -> list[int]:
-        fs, root = self._fs(self.root)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[len("commit-"):]) for n in names if n.startswith("commit-"))
-
-    def path(self, version: int) -> str:
-        return f"{self.root}/v-{version:08d}"
-
-    def exists(self) -> bool:
-        return bool(self.versions())
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path(self.versions()[-1]))
-
-    def write(self, rows: DataFrame) -> None:
-        version = (self.versions() or [0])[-1] + 1
-        rows.write.mode("overwrite").parquet(self.path(version))
-        fs, mark = self._fs(f"{self.root}/commit-{version:08d}")
-        fs.create(mark, True).close()
-
-    def upsert(self, rows: DataFrame, key: str) -> None:
-        """Rows with a known key replace the old row, others are added.  One row per key expected."""
-        self.write(upsert(self.read(), rows, key) if self.exists() else rows)
-
-
 class BatchLog:
     """Results of micro-batches, one folder per batch number.
 
@@ -75,16 +28,13 @@ class BatchLog:
     def add(self, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
 
-    def read(self, before: int | None = None) -> DataFrame | None:
+    def read(self) -> DataFrame | None:
         """All rows with their batch number, None when there are none yet."""
         target = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
-        numbers = [int(n[len("batch="):]) for n in names if n.startswith("batch=")]
-        if not any(before is None or n < before for n in numbers):
+        if not fs.exists(target) or not any(s.getPath().getName().startswith("batch=") for s in fs.listStatus(target)):
             return None
-        rows = self.spark.read.parquet(self.root)
-        return rows if before is None else rows.where(F.col("batch") < before)
+        return self.spark.read.parquet(self.root)
 
     def latest(self, key: str) -> DataFrame:
         """The newest row of every key."""

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.session import run_dir
-from credence.sources.sinks import BatchLog, VersionedTable
+from credence.session import cut_lineage, run_dir
+from credence.sources.sinks import BatchLog
+from credence.sources.tableset import TableSet
 
 
 def run_available(
@@ -27,43 +28,36 @@ def run_available(
     query.awaitTermination()
 
 
-def verify_on_arrival(stream: DataFrame, check: Callable[[DataFrame], DataFrame], log: BatchLog) -> None:
-    """Checks each micro-batch with the same functions as a batch job.
-
-    ``log.latest("document_id")`` is the verifications table: a document verified again replaces its
-    earlier row.
-    """
-    run_available(stream, lambda batch, number: log.add(check(batch), number), "verify", progress=log.progress)
-
-
-def duplicates_on_arrival(stream: DataFrame, seen: BatchLog, found: BatchLog | None = None) -> None:
+def duplicates_on_arrival(stream: DataFrame, seen: TableSet, found: BatchLog | None = None) -> None:
     """Exact duplicates against everything seen before.
 
-    ``stream`` has id, candidate_id, file_hash.  ``seen`` logs one row per file and batch: lowest id
-    and number of documents; a file with many copies is summed before it meets the log.  ``found``
-    logs (id, earlier_id) of every document whose file was seen before or earlier in the batch.
+    ``stream`` has id and file_hash.  Table ``files`` of ``seen`` keeps one row per file, in buckets by hash: first_id, the
+    lowest id of the batch in which the file first came, and n_docs.  A batch is summed per file, reads and
+    rewrites only the buckets of its files, and is committed with its number; one that is part of the table already
+    is left out, so a replay changes nothing.  ``found`` logs (id, earlier_id) of every document whose file was seen
+    before or earlier in its batch.
     """
+    if not seen.versions():
+        start = seen.begin()
+        start.create("files", stream.sparkSession.createDataFrame([], "file_hash string, first_id long, n_docs long"), "file_hash")
+        start.commit()
+
     def on_batch(batch: DataFrame, number: int) -> None:
-        fresh = batch.groupBy("file_hash").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"))
+        change = seen.begin()
+        if number <= change.applied("files"):
+            return
+        hashed = batch.where("file_hash is not null").select(F.col("id").cast("long").alias("id"), "file_hash")
+        fresh = cut_lineage(hashed.groupBy("file_hash").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_docs")))
+        known = change.lookup("files", fresh.select("file_hash")).select("file_hash", F.col("first_id").alias("_id"), F.col("n_docs").alias("_n"))
+        files = cut_lineage(fresh.join(known, "file_hash", "left").select(
+            "file_hash", F.coalesce("_id", "first_id").alias("first_id"), (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs")))
         if found is not None:
-            known = fresh.select("file_hash", F.col("first_id").alias("earlier_id"), F.lit(1).alias("_own"))
-            before = seen.read(before=number)
-            if before is not None:
-                # only files of this batch are looked up; what was seen earlier comes first, whatever its id
-                again = before.join(fresh.select("file_hash"), "file_hash", "left_semi")
-                old = again.groupBy("file_hash").agg(F.min("first_id").alias("earlier_id")).withColumn("_own", F.lit(0))
-                both = known.unionByName(old)
-                known = both.groupBy("file_hash").agg(F.min(F.struct("_own", "earlier_id")).alias("_k")).select("file_hash", "_k.earlier_id")
-            hits = batch.join(known, "file_hash").where("id <> earlier_id").select("id", "earlier_id")
-            found.add(hits, number)
-        seen.add(fresh, number)
+            hits = hashed.join(files.select("file_hash", F.col("first_id").alias("earlier_id")), "file_hash").where("id <> earlier_id")
+            found.add(hits.select("id", "earlier_id"), number)
+        change.upsert("files", files)
+        change.commit("files", number)
 
-    run_available(stream, on_batch, "duplicates", progress=seen.progress)
-
-
-def seen_files(seen: BatchLog) -> DataFrame:
-    """file_hash, first_id, n_docs over all batches."""
-    return seen.read().groupBy("file_hash").agg(F.min("first_id").alias("first_id"), F.sum("n_docs").alias("n_docs"))
+    run_available(stream, on_batch, "duplicates", progress=f"{seen.root}/progress")
 
 
 def unique_within(stream: DataFrame, ts: str, window: str, key: str = "file_hash") -> DataFrame:
@@ -78,7 +72,13 @@ def pending_on_arrival(uploads: DataFrame, verifications: DataFrame, log: BatchL
     run_available(uploads, lambda batch, number: log.add(batch.join(done, "id", "left_anti"), number), "pending", progress=log.progress)
 
 
-def live_counts(stream: DataFrame, table: VersionedTable, column: str = "status", progress: str | None = None) -> None:
-    """Running count per status; state and table hold one row per status."""
+def live_counts(stream: DataFrame, tables: TableSet, column: str = "status", progress: str | None = None) -> None:
+    """Running count per status as table ``counts``; state and table hold one row per status."""
+    def on_batch(batch: DataFrame, number: int) -> None:
+        change = tables.begin()
+        if number > change.applied("counts"):
+            change.create("counts", batch, column, buckets=1)
+            change.commit("counts", number)
+
     counts = stream.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    run_available(counts, lambda batch, _: table.write(batch), "counts", mode="complete", progress=progress)
+    run_available(counts, on_batch, "counts", mode="complete", progress=progress or f"{tables.root}/progress")
