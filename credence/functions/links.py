@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from credence import fixed_values as fv
 from credence.functions.names import clean_person_name
-from credence.functions.text import bind, contains_any, first_group, first_listed, none_if_empty, text_lines, uni
+from credence.functions.text import bind, contains_any, first_group, first_listed, literal_list, no_texts, none_if_empty, text_lines, uni
 
 
 def first_url(payload: Column) -> Column:
@@ -26,13 +26,13 @@ def url_in_text(text: Column) -> Column:
     return F.when(exam_site, F.lit("https://graduate.nesa.gov.rw")).otherwise(first_url(compact))
 
 
-def query_value(url: Column, key: str) -> Column:
-    """Decoded, non-empty query value."""
-    return none_if_empty(F.try_url_decode(F.regexp_extract(url, rf"[?&]{key}=([^&#]*)", 1)))
-
-
-def query_value_any_case(url: Column, key: str) -> Column:
-    return none_if_empty(F.try_url_decode(F.regexp_extract(url, rf"(?i)[?&]{key}=([^&#]*)", 1)))
+def query_pairs(url: Column) -> Column:
+    """Array of (key, value) of the query part, decoded, in order; pairs without a value are left out."""
+    whole = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    decoded = lambda c: F.coalesce(F.try_url_decode(c), F.translate(c, "+", " "))
+    parts = F.filter(F.split(whole, "&"), lambda p: p.rlike("=."))
+    pair = lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("key"), decoded(F.substr(p, F.position(F.lit("="), p) + 1)).alias("value"))
+    return F.transform(F.when(F.contains(url, F.lit("?")), parts).otherwise(no_texts()), pair)
 
 
 def path_parts(url: Column) -> Column:
@@ -95,19 +95,65 @@ def _first_made(values: Column, make) -> Column:
     return F.get(F.filter(F.transform(values, make), lambda v: v.isNotNull()), F.lit(0))
 
 
+def _in_key_order(pairs: Column, keys: list[str], fold) -> Column:
+    """Values of the listed keys, key by key in listed order; ``fold`` makes a key as listed, or NULL."""
+    listed = literal_list(keys)
+    placed = F.transform(pairs, lambda p, i: F.struct(F.array_position(listed, fold(p["key"])).alias("at"), i.alias("i"), p["value"].alias("value")))
+    return F.transform(F.array_sort(F.filter(placed, lambda p: p["at"] > 0)), lambda p: p["value"])
+
+
+def _last_spelling(pairs: Column) -> Column:
+    """Of keys that differ in case only, the pairs of the spelling that came up last."""
+    def newest(pair):
+        same = F.filter(pairs, lambda p: F.lower(p["key"]) == F.lower(pair["key"]))
+        return F.element_at(F.array_distinct(F.transform(same, lambda p: p["key"])), -1) == pair["key"]
+
+    return F.when(F.size(pairs) > 1, F.filter(pairs, newest)).otherwise(pairs)
+
+
+def _serials(pairs: Column) -> Column:
+    """Values of the serial keys as listed, else of the same key in capitals."""
+    lower = F.transform(pairs, lambda p: p["key"])
+    fold = lambda k: F.when((k == F.lower(k)) | ((k == F.upper(k)) & ~F.array_contains(lower, F.lower(k))), F.lower(k))
+    return _in_key_order(pairs, fv.SERIAL_KEYS, fold)
+
+
+def _names(pairs: Column) -> Column:
+    """Values of the name keys in any case, then first and last name."""
+    def named(live):
+        value = lambda *keys: F.get(_in_key_order(live, list(keys), F.lower), F.lit(0))
+        both = F.concat(value("first_name", "firstname"), F.lit(" "), value("last_name", "lastname"))
+        return F.array_compact(F.concat(_in_key_order(live, fv.NAME_KEYS, F.lower), F.array(both)))
+
+    return bind(_last_spelling(pairs), named)
+
+
+def link_facts(url: Column) -> Column:
+    """Struct of name and serial in an address; query and path are parsed once.
+
+    The name comes from the name keys, first and last name, or a part of the path from its end; the
+    serial from the serial keys or a part of the path.
+    """
+    def facts(link):
+        pairs, path = link["pairs"], link["path"]
+        keyed = F.size(pairs) > 0
+        names = F.when(keyed, _names(pairs)).otherwise(no_texts())
+        serials = F.when(keyed, _serials(pairs)).otherwise(no_texts())
+        return F.struct(
+            _first_made(F.concat(names, F.reverse(path)), clean_person_name).alias("name"),
+            _first_made(F.concat(serials, path), exam_serial).alias("serial"))
+
+    parsed = F.struct(query_pairs(url).alias("pairs"), path_parts(url).alias("path"))
+    return F.when(url.isNotNull(), bind(parsed, facts))
+
+
 def exam_serial_of_url(url: Column) -> Column:
-    by_key = F.array(*[F.coalesce(query_value(url, k), query_value(url, k.upper())) for k in fv.SERIAL_KEYS])
-    return _first_made(F.concat(by_key, path_parts(url)), exam_serial)
+    return link_facts(url)["serial"]
 
 
 def name_in_url(url: Column) -> Column:
     """Holder name from query keys, first + last name, or path parts from the end."""
-    keyed = [query_value_any_case(url, k) for k in fv.NAME_KEYS]
-    first = F.coalesce(query_value_any_case(url, "first_name"), query_value_any_case(url, "firstname"))
-    last = F.coalesce(query_value_any_case(url, "last_name"), query_value_any_case(url, "lastname"))
-    query = F.array_compact(F.array(*keyed, F.concat(first, F.lit(" "), last)))
-    query = F.when(F.contains(url, F.lit("?")), query).otherwise(F.array().cast("array<string>"))
-    return _first_made(F.concat(query, F.reverse(path_parts(url))), clean_person_name)
+    return link_facts(url)["name"]
 
 
 def html_text(html: Column, separator: str = "\n") -> Column:

@@ -131,9 +131,10 @@ def with_link_address(
     step = step.withColumn("_embedded", embedded_certificate(F.col("_data"), as_of_year))
     is_embedded = F.col("_embedded").isNotNull()
     step = step.withColumn("_url", F.when(~is_embedded, L.first_url(F.col("_data"))))
+    step = step.withColumn("_facts", L.link_facts(F.col("_url")))
     step = step.withColumns({
-        "_link_name": L.name_in_url(F.col("_url")),
-        "_serial": L.exam_serial_of_url(F.col("_url")),
+        "_link_name": F.col("_facts.name"),
+        "_serial": F.col("_facts.serial"),
         "_trusted": L.is_trusted(F.col("_url"), domains),
         "_inst": L.institution_of(F.col("_url"), institutions),
         "_domain": L.matched_domain(F.col("_url"), institutions),
@@ -245,6 +246,6 @@ def with_link_verdict(step: DataFrame, portal: DataFrame, candidate: str = "cand
         F.when(is_embedded, emb_positives).when(has_url, url_positives)
         .when(has_data, texts(found_text)).otherwise(no_texts()).alias("positives"),
     )
-    helpers = ["_key", "_code", "_printed", "_data", "_embedded", "_url", "_link_name", "_serial", "_trusted", "_inst", "_domain",
+    helpers = ["_key", "_code", "_printed", "_data", "_embedded", "_url", "_facts", "_link_name", "_serial", "_trusted", "_inst", "_domain",
                "_portal", "_reached", "_record", "_holder", "_online", "_late", "_match", "_verified", "_ematch"]
     return step.withColumn(out, struct).drop(*helpers)

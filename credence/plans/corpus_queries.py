@@ -13,7 +13,7 @@ from credence.operators.verification import no_duplicate, no_link, no_printed_na
 from credence.plans.listing_queries import PAIRS
 from credence.plans.registry import Registry
 from credence.plans.rule_queries import _DESC, _MIN, _TYPE
-from credence.plans.tables import CLASSES, DOC_TYPES, LINKS, SOFTWARE, derived, person, pick, table_expressions, with_tables
+from credence.plans.tables import CLASSES, DOC_TYPES, SOFTWARE, derived, link_text, pick, table_expressions, with_tables
 from credence.plans.text_queries import sq
 from credence.session import cut_lineage, run_dir
 from credence.sources.images import image_folder, write_files, write_pictures
@@ -383,8 +383,7 @@ def submissions(docs):
     key = F.col("id")
     columns = {**table_expressions("documents"), **table_expressions("submissions")}
     docs = docs.selectExpr(*[f"{columns[c]} as {c}" for c in ("id", "candidate_id", "candidate_name", "text")]).withColumn("doc_type", F.expr(pick(DOC_TYPES, "id div 3", "spark")))
-    path = f"lower(replace({person('id', 'spark')}, ' ', '_'))"
-    link = f"replace(replace(replace({pick(LINKS, 'id', 'spark')}, '{{n}}', lpad(cast(id % 1000000 as string), 6, '0')), '{{path}}', {path}), '{{name}}', {person('id', 'spark')})"
+    link = link_text("id", "spark")
     software = F.expr(pick(SOFTWARE, "id", "spark"))
     exif = F.map_filter(F.create_map(F.lit("Software"), software, F.lit("Make"), F.lit("Acme")), lambda k, v: v != "")
     at = F.expr("timestamp_ntz'2024-02-01 00:00:00'")

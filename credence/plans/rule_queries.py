@@ -15,7 +15,7 @@ from credence.operators.provider import with_provider_check
 from credence.plans.registry import Registry
 from credence.plans.tables import derived, with_detections, with_exif, with_tables
 from credence.plans.text_queries import (
-    any_of, ascii_words, count_of, exam_holder_sql, first_of, html_text, match_sql, name_in_url_sql, page_holder_sql, page_match_sql, serial_sql, sq, up, url_sql,
+    any_of, ascii_words, count_of, exam_holder_sql, first_of, html_text, match_sql, name_in_url_sql, page_holder_sql, page_match_sql, sq, up, url_serial_sql, url_sql,
 )
 from credence.sources.tables import parquet_table
 
@@ -364,7 +364,7 @@ _PORTAL_CTE = (
 )
 _LINK_CTE = (
     f"k1 AS (SELECT id, coalesce(candidate_name, '') AS cand, emb, n, y, ok, holder AS eh, nullif(payload, '') AS data, CASE WHEN NOT emb THEN {url_sql('payload')} END AS url FROM emb), "
-    f"k2 AS (SELECT *, {name_in_url_sql('url')} AS link_name, {serial_sql("regexp_extract(url, '[?&]serial=([^&#]*)', 1)")} AS serial, coalesce({any_of('lower(url)', fv.TRUSTED_DOMAINS)}, false) AS trusted_url, "
+    f"k2 AS (SELECT *, {name_in_url_sql('url')} AS link_name, {url_serial_sql('url')} AS serial, coalesce({any_of('lower(url)', fv.TRUSTED_DOMAINS)}, false) AS trusted_url, "
     f"{first_of('lower(url)', fv.INSTITUTION_BY_DOMAIN)} AS inst, {first_of('lower(url)', [(d, d) for d, _ in fv.INSTITUTION_BY_DOMAIN])} AS domain, coalesce(contains(url, 'nesa.gov.rw'), false) AS exam FROM k1), "
     "k3 AS (SELECT k2.*, pj.url IS NOT NULL OR (exam AND serial IS NULL) AS reached, pj.record, pj.holder AS ph, pj.kind, pj.message FROM k2 LEFT JOIN pj ON pj.url = CASE WHEN exam THEN concat('https://graduate.nesa.gov.rw/?serial=', serial) ELSE k2.url END), "
     "k4 AS (SELECT *, coalesce(ph, CASE WHEN NOT exam AND trusted_url THEN link_name END) AS page_holder FROM k3), "
@@ -404,7 +404,7 @@ _LINK_FACTS = (
 
 @R.add("r_qr_trust", with_tables(
     f"SELECT id, found, url, CASE WHEN emb THEN 'Mount Kenya University' ELSE {first_of('lower(url)', fv.INSTITUTION_BY_DOMAIN)} END AS institution, "
-    f"CASE WHEN url IS NOT NULL THEN {serial_sql("regexp_extract(url, '[?&]serial=([^&#]*)', 1)")} END AS serial, {name_in_url_sql('url')} AS link_name FROM lf", "links", extra=(_EMB_CTE, _LINK_FACTS)))
+    f"CASE WHEN url IS NOT NULL THEN {url_serial_sql('url')} END AS serial, {name_in_url_sql('url')} AS link_name FROM lf", "links", extra=(_EMB_CTE, _LINK_FACTS)))
 def r_qr_trust(spark, sf):
     """The parts of the link verdict that need no page."""
     from credence.functions.links import name_in_url

@@ -43,15 +43,18 @@ HEADERS = [
 LINKS = [
     None,
     "https://graduate.rp.ac.rw/?certificate_no=RP{n}",
-    "scan https://graduate.nesa.gov.rw/?serial=A1{n}O now",
+    "scan https://graduate.nesa.gov.rw/?{serial_key}=A1{n}O now",
     "https://www.ulk.ac.rw/verify/{path}",
     "https://evil.example/?u=ur.ac.rw&name={path}",
     "www.rra.gov.rw/check",
     "MKU BACHELOR BIT/2018/{n} {name} BACHELOR OF SCIENCE",
     "no address here",
-    "https://utab.ac.rw/certificates?holder={path}&page=2",
+    "https://utab.ac.rw/certificates?{name_key}={path}&page=2",
     "CONGREGATION BIT/2031/{n} x",
 ]
+#: Keys of the query part; the last ones carry a name in two parts, and a second name under another key.
+LINK_NAME_KEYS = [*fv.NAME_KEYS, "HOLDER", "Full_Name", "first_name=DELTA&last_name", "firstname=ECHO&x=1&lastname", "owner=DELTA+ECHO%20GOLF&name", "page"]
+LINK_SERIAL_KEYS = [*fv.SERIAL_KEYS, "SERIAL", "ID", "ref=none&cert", "x"]
 PAGE_TAILS = [
     "<p>plain page</p>",
     "<div>Certificate verified</div><p>Student Name</p><p>{name}</p>",
@@ -249,17 +252,22 @@ def _portal_exprs() -> dict[str, tuple[str, str]]:
     return out
 
 
+def link_text(key: str, dialect: str) -> str:
+    """Link payload of a row."""
+    own, div = person(key, dialect), "div" if dialect == "spark" else "//"
+    path = f"lower(replace({own}, ' ', '_'))"
+    filled = f"replace(replace(replace({pick(LINKS, key, dialect)}, '{{n}}', {_number(key, dialect)}), '{{path}}', {path}), '{{name}}', {own})"
+    keys = [pick(items, f"{key} {div} 10", dialect) for items in (LINK_NAME_KEYS, LINK_SERIAL_KEYS)]
+    return f"replace(replace({filled}, '{{name_key}}', {keys[0]}), '{{serial_key}}', {keys[1]})"
+
+
 def _link_exprs() -> dict[str, tuple[str, str]]:
     """Link payloads of verifications; part of them point to fetched pages."""
     sides = {}
     for d in ("spark", "duck"):
         own = person("o_orderkey", d)
-        path = f"lower(replace({own}, ' ', '_'))"
-        filled = (
-            f"replace(replace(replace({pick(LINKS, 'o_orderkey', d)}, '{{n}}', {_number('o_orderkey', d)}), '{{path}}', {path}), '{{name}}', {own})"
-        )
         sides[d] = {
-            "payload": filled,
+            "payload": link_text("o_orderkey", d),
             "candidate_name": f"case when o_orderkey % 7 = 2 then 'DELTA ECHO' when o_orderkey % 11 = 4 then '' else {own} end",
         }
     return {"id": _both("o_orderkey"), **{n: (sides["spark"][n], sides["duck"][n]) for n in ("payload", "candidate_name")}}

@@ -553,22 +553,44 @@ def x_url_text_fallback(spark, sf):
     return _subm(spark, sf).select("id", L.url_in_text(text).alias("url"))
 
 
+def pairs_sql(u: str) -> str:
+    """List of {k, v} of the query part, decoded; pairs without a value are left out."""
+    query = f"CASE WHEN contains({u}, '?') THEN regexp_extract({u}, '^[^?#]*\\?([^#]*)', 1) ELSE '' END"
+    pair = "{'k': url_decode(replace(split_part(p, '=', 1), '+', ' ')), 'v': url_decode(replace(substr(p, position('=' IN p) + 1), '+', ' '))}"
+    return f"list_transform(list_filter(string_split({query}, '&'), lambda p: regexp_matches(p, '=.')), lambda p: {pair})"
+
+
+def _path_sql(u: str) -> str:
+    return f"list_filter(string_split(regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '')"
+
+
+def _keyed_sql(u: str, keys) -> str:
+    """Values of the listed keys in any case, key by key."""
+    return f"flatten(list_transform([{', '.join(map(sq, keys))}], lambda key: list_transform(list_filter({pairs_sql(u)}, lambda x: lower(x.k) = key), lambda x: x.v)))"
+
+
 def name_in_url_sql(u: str) -> str:
-    """Name of a link: the derived links carry a name in holder=, name= or the path."""
-    keyed = "coalesce(" + ", ".join(
-        clean_person(f"nullif(regexp_extract({u}, '(?i)[?&]{k}=([^&#]*)', 1), '')") for k in ("name", "holder")) + ")"
-    path = f"list_filter(string_split(regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '')"
-    by_path = f"list_filter(list_transform(list_reverse({path}), lambda p: {clean_person('p')}), lambda n: n IS NOT NULL)[1]"
-    return f"coalesce({keyed}, {by_path})"
+    """Name of a link: the first of name keys, first and last name, and path parts from the end that reads like one."""
+    both = f"concat({_keyed_sql(u, ['first_name', 'firstname'])}[1], ' ', {_keyed_sql(u, ['last_name', 'lastname'])}[1])"
+    two = f"CASE WHEN len({_keyed_sql(u, ['first_name', 'firstname'])}) > 0 AND len({_keyed_sql(u, ['last_name', 'lastname'])}) > 0 THEN [{both}] ELSE []::VARCHAR[] END"
+    tried = f"list_concat(list_concat({_keyed_sql(u, fv.NAME_KEYS)}, {two}), list_reverse({_path_sql(u)}))"
+    return f"list_filter(list_transform({tried}, lambda p: {clean_person('p')}), lambda n: n IS NOT NULL)[1]"
+
+
+def url_serial_sql(u: str) -> str:
+    """Serial of a link: the first of serial keys and path parts that gives one."""
+    tried = f"list_concat({_keyed_sql(u, fv.SERIAL_KEYS)}, {_path_sql(u)})"
+    return f"list_filter(list_transform({tried}, lambda p: {serial_sql('p')}), lambda n: n IS NOT NULL)[1]"
 
 
 @R.add("x_url_param", with_tables(
-    f"SELECT id, url, nullif(regexp_extract(url, 'certificate_no=(\\w+)', 1), '') AS certificate_no, {serial_sql("regexp_extract(url, '[?&]serial=([^&#]*)', 1)")} AS serial, "
+    f"SELECT id, url, nullif(regexp_extract(url, 'certificate_no=(\\w+)', 1), '') AS certificate_no, {url_serial_sql('url')} AS serial, "
     f"{name_in_url_sql('url')} AS name FROM (SELECT id, {url_sql('payload')} AS url FROM links_src) WHERE url IS NOT NULL", "links"))
 def x_url_param(spark, sf):
     rows = derived(spark, sf, "links").select("id", L.first_url(F.col("payload")).alias("url")).where("url is not null")
     url = F.col("url")
-    return rows.select("id", "url", L.certificate_no(url).alias("certificate_no"), L.exam_serial_of_url(url).alias("serial"), L.name_in_url(url).alias("name"))
+    return rows.select("id", "url", L.certificate_no(url).alias("certificate_no"), L.link_facts(url).alias("_facts")).select(
+        "id", "url", "certificate_no", "_facts.serial", "_facts.name")
 
 
 def _host_sql(u: str) -> str:
