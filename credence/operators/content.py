@@ -179,7 +179,7 @@ def with_name_match(docs: DataFrame, text: str, candidate: str, out: str = "name
     """Compares the candidate name with the document text.
 
     Struct of adjustment, found_names, issues, positives.  Exact matches are settled by
-    expressions; only words within the length bound of an unmatched name reach the similarity helper.
+    literal tests; words that may resemble an unmatched name are compared block by block.
     A null text counts as empty.
     """
     name, whole = F.col(candidate), F.coalesce(F.col(text), F.lit(""))

@@ -15,7 +15,7 @@ from credence.operators.provider import with_provider_check
 from credence.plans.registry import Registry
 from credence.plans.tables import derived, with_detections, with_exif, with_tables
 from credence.plans.text_queries import (
-    any_of, ascii_words, count_of, exam_holder_sql, first_of, html_text, match_sql, name_in_url_sql, page_holder_sql, page_match_sql, sq, up, url_serial_sql, url_sql,
+    any_of, ascii_words, count_of, exam_holder_sql, first_of, holders_sql, html_text, match_sql, matched_sql, name_in_url_sql, norm, page_holder_sql, page_match_sql, parts_of, sq, up, url_serial_sql, url_sql,
 )
 from credence.sources.tables import parquet_table
 
@@ -302,9 +302,34 @@ def r_content(spark, sf):
     return rows.select("id", *[c[n].alias(n) for n in names], X.join_issues(c["issues"]).alias("issues"), X.join_issues(c["positives"]).alias("positives"))
 
 
-@R.add("r_name_match")
+_IN_TEXT = "contains(concat(' ', translate(nt, concat(chr(10), ''''), '  '), ' '), concat(' ', {p}, ' '))"
+#: Candidate name against the whole text; blocks are compared only where the shorter word and the edit distance leave it open.
+NAME_CHECK = (
+    f"nm0 AS (SELECT s.id, s.candidate_name AS cn, {norm('s.text')} AS nt, {norm('s.candidate_name')} AS nn, h.names, {parts_of(norm('s.candidate_name'))} AS parts FROM subm s JOIN ({holders_sql()}) h USING (id))",
+    f"nm1 AS (SELECT *, coalesce(length(trim(cn)) >= 3 AND len(parts) > 0, false) AS judged, coalesce({_IN_TEXT.format(p='nn')} OR len(list_filter(names, lambda n: {norm('n')} = nn)) > 0, false) AS exact, "
+    f"coalesce(len(parts) = 1 AND length(parts[1]) <= 5, false) AS short, CASE WHEN len(parts) = 1 THEN {_IN_TEXT.format(p='parts[1]')} END AS short_hit FROM nm0)",
+    "nt0 AS (SELECT id, i, replace(parts[i], '''', '') AS t, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(nt, '\\b[A-Z'']{2,}\\b'), lambda w: replace(w, '''', '')), lambda w: w <> ''))) AS w "
+    "FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM nm1 WHERE judged AND NOT exact AND NOT short))",
+    "nt1 AS (SELECT *, CASE WHEN length(t) <= 5 THEN 0.90::DOUBLE ELSE 0.88::DOUBLE END AS lim, (length(t) + length(w))::DOUBLE AS total FROM nt0)",
+    "nt2 AS (SELECT *, (contains(w, t) OR contains(t, w)) AND least(length(t), length(w))::DOUBLE / greatest(length(t), length(w)) >= lim AS inside FROM nt1 WHERE 2 * least(length(t), length(w)) / total >= lim)",
+    f"nt3 AS (SELECT id, i FROM nt2 WHERE inside UNION ALL SELECT id, i FROM (SELECT * FROM nt2 WHERE NOT inside AND 1 - levenshtein(t, w) / total >= lim) WHERE 2 * {matched_sql('t', 'w')} / total >= lim)",
+    "nm2 AS (SELECT nm1.*, CASE WHEN short THEN CASE WHEN short_hit THEN 1 ELSE 0 END ELSE coalesce(k.hits, 0) END AS n, len(parts) AS total FROM nm1 LEFT JOIN (SELECT id, count(DISTINCT i) AS hits FROM nt3 GROUP BY id) k USING (id))",
+    "nm AS (SELECT *, CASE WHEN NOT judged THEN 'none' WHEN exact THEN 'exact' WHEN short AND n > 0 THEN 'short' WHEN short AND len(names) > 0 THEN 'other' WHEN short THEN 'absent' "
+    "WHEN n::DOUBLE / total >= 0.9::DOUBLE THEN 'fuzzy' WHEN n::DOUBLE / total >= 0.6::DOUBLE THEN 'partial' WHEN len(names) > 0 THEN 'other' WHEN n > 0 THEN 'few' ELSE 'absent' END AS c FROM nm2)",
+)
+
+
+@R.add("r_name_match", with_tables(
+    "SELECT id, cn AS candidate_name, CAST(CASE c WHEN 'exact' THEN 15 WHEN 'short' THEN 12 WHEN 'fuzzy' THEN 10 WHEN 'partial' THEN -5 WHEN 'few' THEN -40 WHEN 'other' THEN -70 WHEN 'absent' THEN -70 ELSE 0 END AS INTEGER) AS adjustment, "
+    "CASE WHEN judged THEN array_to_string(names, ', ') ELSE '' END AS found_names, "
+    "CASE c WHEN 'other' THEN concat('IDENTITY MISMATCH: Candidate ''', cn, ''' not found. Document name(s) detected: ', array_to_string(names, ', ')) "
+    "WHEN 'few' THEN concat('Only ', n, '/', total, ' name parts found — document may belong to someone else') "
+    "WHEN 'absent' THEN concat('IDENTITY MISMATCH: Name ''', cn, ''' not found in document — this document likely belongs to a different person') ELSE '' END AS issues, "
+    "CASE c WHEN 'exact' THEN concat('Candidate name ''', cn, ''' matches document — identity confirmed') WHEN 'short' THEN concat('Candidate name ''', cn, ''' found in document — identity confirmed') "
+    "WHEN 'fuzzy' THEN concat('Candidate name ''', cn, ''' fuzzy-matches OCR text — identity likely confirmed') WHEN 'partial' THEN concat('Partial name match (', n, '/', total, ' parts matched)') ELSE '' END AS positives FROM nm",
+    "submissions", extra=NAME_CHECK))
 def r_name_match(spark, sf):
-    """Candidate name against the whole text; the similarity measure has no SQL form."""
+    """Candidate name against the whole text."""
     rows = content.with_name_match(_subm(spark, sf).select("id", "text", "candidate_name"), "text", "candidate_name")
     n = F.col("name_check")
     return rows.select("id", "candidate_name", n["adjustment"].alias("adjustment"), F.array_join(n["found_names"], ", ").alias("found_names"),

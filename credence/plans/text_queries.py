@@ -121,13 +121,6 @@ def x_word_in_text(spark, sf):
 R.oracles["x_word_in_text"] = R.oracles["x_word_in_text"].replace("concat(' ', c, ' ')) AS found", "concat(' ', c, ' ')) AND c IS NOT NULL AS found")
 
 
-@R.add("x_seq_ratio")
-def x_seq_ratio(spark, sf):
-    """Similarity of each candidate with the first holder name printed on the document."""
-    rows = _subm(spark, sf).select("id", "candidate_name", F.get(N.holder_names(F.col("text")), F.lit(0)).alias("holder"))
-    return rows.select("id", "candidate_name", "holder", F.round(S.block_ratio(F.col("candidate_name"), F.col("holder")), 4).alias("ratio"))
-
-
 @R.add("x_token_match", with_tables(
     "SELECT id, round(coalesce(list_max(list_transform(words, lambda w: CASE WHEN contains(w, token) OR contains(token, w) THEN "
     "least(length(w), length(token))::DOUBLE / greatest(length(w), length(token)) ELSE 0 END)), 0), 6) AS score FROM ("
@@ -150,7 +143,7 @@ def _holder_words_sql(raw: str) -> str:
             f"lambda w: length(w) > 1 AND w NOT IN {in_list(fv.NAME_STOP_WORDS)})")
 
 
-def _holders_sql() -> str:
+def holders_sql() -> str:
     anchors = []
     for _, pattern in fv.HOLDER_ANCHORS:
         words = _holder_words_sql(f"regexp_extract(u, {sq(pattern)}, 1)")
@@ -163,18 +156,44 @@ def _holders_sql() -> str:
         "AND len(list_filter(ws, lambda w: length(w) > 12 AND NOT regexp_matches(w, '[AEIOU]'))) = 0), lambda ws: array_to_string(ws, ' '))"
     )
     return (
-        f"SELECT id, array_to_string(CASE WHEN anchored IS NOT NULL THEN [anchored] ELSE list_filter(list_sort(list_distinct(list_concat(labelled, lined))), "
-        "lambda n: NOT regexp_matches(n, '(^|\\s)\\S{1,2}(\\s|$)'))[1:4] END, ', ') AS names FROM ("
+        f"SELECT id, CASE WHEN anchored IS NOT NULL THEN [anchored] ELSE list_filter(list_sort(list_distinct(list_concat(labelled, lined))), "
+        "lambda n: NOT regexp_matches(n, '(^|\\s)\\S{1,2}(\\s|$)'))[1:4] END AS names FROM ("
         f"SELECT id, coalesce({', '.join(anchors)}) AS anchored, list_filter(list_concat({', '.join(labels)}), lambda n: length(n) > 1) AS labelled, {lines} AS lined "
         f"FROM (SELECT id, {ascii_words('text')} AS u FROM subm))"
     )
 
 
-@R.add("x_extract_names", with_tables(_holders_sql(), "submissions"))
+@R.add("x_extract_names", with_tables(f"SELECT id, array_to_string(names, ', ') AS names FROM ({holders_sql()})", "submissions"))
 def x_extract_names(spark, sf):
     return _subm(spark, sf).select("id", F.array_join(N.holder_names(F.col("text")), ", ").alias("names"))
 
 
+def matched_sql(a: str, b: str) -> str:
+    """Letters of the matching blocks of two texts, both of them not empty."""
+    common = "contains(s.b, substr(s.a, CAST(i AS BIGINT), CAST(k AS BIGINT)))"
+    places = f"list_filter(range(1, length(s.a) - k + 2), lambda i: {common})"
+    longest = f"len(list_filter(range(1, least(length(s.a), length(s.b)) + 1), lambda k: len({places}) > 0))"
+    block = (f"list_transform(list_transform([{longest}], lambda k: {{'k': k, 'i': {places}[1]}}), "
+             "lambda f: {'k': f.k, 'i': f.i, 'j': position(substr(s.a, f.i, f.k) IN s.b), 'a': s.a, 'b': s.b})[1]")
+    left = "{'a': substr(f.a, 1, f.i - 1), 'b': substr(f.b, 1, f.j - 1)}"
+    right = "{'a': substr(f.a, f.i + f.k), 'b': substr(f.b, f.j + f.k)}"
+    rest = f"list_filter(flatten(list_transform(fs, lambda f: [{left}, {right}])), lambda p: p.a <> '' AND p.b <> '')"
+    after = f"{{'parts': {rest}, 'm': st.m + coalesce(list_sum(list_transform(fs, lambda f: f.k)), 0)::BIGINT}}"
+    step = f"list_transform([list_filter(list_transform(st.parts, lambda s: {block}), lambda f: f.k > 0)], lambda fs: {after})[1]"
+    none = "{'parts': []::STRUCT(a VARCHAR, b VARCHAR)[], 'm': 0::BIGINT}"
+    return (f"list_reduce(list_prepend({{'parts': [{{'a': {a}, 'b': {b}}}], 'm': 0::BIGINT}}, list_transform(range(least(length({a}), length({b}))), lambda _: {none})), "
+            f"lambda st, x: CASE WHEN len(st.parts) = 0 THEN st ELSE {step} END).m")
+
+
+@R.add("x_seq_ratio", with_tables(
+    f"SELECT id, candidate_name, holder, round(2 * {matched_sql('candidate_name', 'holder')}::DOUBLE / (length(candidate_name) + length(holder)), 4) AS ratio FROM "
+    f"(SELECT s.id, s.candidate_name, h.names[1] AS holder FROM subm s JOIN ({holders_sql()}) h USING (id))", "submissions"))
+def x_seq_ratio(spark, sf):
+    """Similarity of each candidate with the first holder name printed on the document."""
+    rows = _subm(spark, sf).select("id", "candidate_name", F.get(N.holder_names(F.col("text")), F.lit(0)).alias("holder"))
+    return rows.select("id", "candidate_name", "holder", F.round(S.block_ratio(F.col("candidate_name"), F.col("holder")), 4).alias("ratio"))
+
+
 R.add("s_cap_names", R.oracles["x_extract_names"])(x_extract_names)
 
 
