@@ -15,6 +15,7 @@ from credence.plans.registry import Registry
 from credence.plans.rule_queries import _DESC, _MIN, _TYPE
 from credence.plans.tables import CLASSES, DOC_TYPES, SOFTWARE, derived, link_text, pick, table_expressions, with_tables
 from credence.plans.text_queries import sq
+from credence.plans.verification_sql import TRUST, VERIFY
 from credence.session import cut_lineage, run_dir
 from credence.sources.images import image_folder, write_files, write_pictures
 from credence.sources.records import metrics_file
@@ -315,7 +316,7 @@ def _in_parts(spark, rows, part, name):
         yield spark.readStream.schema(rows.schema).parquet(folder)
 
 
-@R.add("t_verify_stream")
+@R.add("t_verify_stream", VERIFY)
 def t_verify_stream(spark, sf):
     """Documents arrive in three batches, in no order; the verifications kept beside the stream are those of the whole table."""
     at = F.lit("2026-06-01 00:00:00").cast("timestamp")
@@ -402,14 +403,14 @@ def verified(spark, sf):
     return verify(submissions(parquet_table(spark, sf, "documents")), derived(spark, sf, "portal_pages"), owners, as_of=F.lit("2026-06-01 00:00:00").cast("timestamp"))
 
 
-@R.add("verify_documents")
+@R.add("verify_documents", VERIFY)
 def verify_documents(spark, sf):
     """Verification row of every document, all checks."""
     rows = verification_rows(verified(spark, sf), F.lit("2026-06-01 00:00:00").cast("timestamp"))
     return rows.drop("verified_at")
 
 
-@R.add("candidate_trust")
+@R.add("candidate_trust", TRUST)
 def candidate_trust(spark, sf):
     """Flagship: all checks on every document, fused, then one report per candidate."""
     rows = verification_rows(verified(spark, sf))

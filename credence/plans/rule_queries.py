@@ -345,7 +345,7 @@ _EMB_CTE = (
     "e2 AS (SELECT *, trim(substr(payload, position(n IN payload) + length(n))) AS tail FROM e1), "
     f"e3 AS (SELECT *, coalesce(trim({_rx('upper(tail)', fv.EMBEDDED_NAME, 1)}), CASE WHEN len(ws) >= 2 THEN array_to_string(ws[1:3], ' ') END) AS holder_n FROM "
     "(SELECT *, list_filter(regexp_split_to_array(tail, '\\s+'), lambda w: regexp_full_match(w, '\\p{L}{2,}')) AS ws FROM e2)), "
-    f"emb AS (SELECT id, payload, candidate_name, coalesce(emb, false) AS emb, n, y, CASE WHEN n IS NOT NULL THEN holder_n END AS holder, n IS NOT NULL AND (y = 0 OR y BETWEEN 1990 AND {Y}) AS ok FROM e3)"
+    f"emb AS (SELECT id, payload, candidate_name/*more*/, coalesce(emb, false) AS emb, n, y, CASE WHEN n IS NOT NULL THEN holder_n END AS holder, n IS NOT NULL AND (y = 0 OR y BETWEEN 1990 AND {Y}) AS ok FROM e3)"
 )
 
 
@@ -377,7 +377,7 @@ def _lines_sql(u: str) -> str:
     return f"list_filter(list_transform(string_split({u}, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: s <> '')"
 
 
-_PORTAL_CTE = (
+PORTAL_CTE = (
     "pg0 AS (SELECT url, http_status, CASE WHEN contains(url, 'nesa.gov.rw') THEN 'exam' WHEN contains(url, 'graduate.rp.ac.rw') THEN 'poly' ELSE 'any' END AS kind, "
     f"CASE WHEN contains(url, 'nesa.gov.rw') OR contains(url, 'graduate.rp.ac.rw') THEN {up(html_text('html'))} ELSE {up(html_text('html', ''))} END AS u FROM portal_src QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, http_status DESC, html DESC) = 1), "
     f"pg1 AS (SELECT *, {_lines_sql('u')} AS l, CASE WHEN kind = 'exam' THEN contains(u, 'VALID') AND contains(u, 'GRADUATE NAME') AND NOT {any_of('u', fv.EXAM_PAGE_ERRORS)} WHEN http_status <> 200 THEN false "
@@ -388,8 +388,8 @@ _PORTAL_CTE = (
     "WHEN NOT record THEN 'Record not found — possible fake' ELSE 'URL reachable but could not confirm record' END AS message FROM pg1)"
 )
 _LINK_CTE = (
-    f"k1 AS (SELECT id, coalesce(candidate_name, '') AS cand, emb, n, y, ok, holder AS eh, nullif(payload, '') AS data, CASE WHEN NOT emb THEN {url_sql('payload')} END AS url FROM emb), "
-    f"k2 AS (SELECT *, {name_in_url_sql('url')} AS link_name, {url_serial_sql('url')} AS serial, coalesce({any_of('lower(url)', fv.TRUSTED_DOMAINS)}, false) AS trusted_url, "
+    f"k1 AS (SELECT id/*more*/, coalesce(candidate_name, '') AS cand, emb, n, y, ok, holder AS eh, nullif(payload, '') AS data, CASE WHEN NOT emb THEN {url_sql('payload')} END AS url FROM emb), "
+    f"k2 AS (SELECT *, {name_in_url_sql('url')} AS link_name, coalesce({url_serial_sql('url')}, NULL/*printed*/) AS serial, coalesce({any_of('lower(url)', fv.TRUSTED_DOMAINS)}, false) AS trusted_url, "
     f"{first_of('lower(url)', fv.INSTITUTION_BY_DOMAIN)} AS inst, {first_of('lower(url)', [(d, d) for d, _ in fv.INSTITUTION_BY_DOMAIN])} AS domain, coalesce(contains(url, 'nesa.gov.rw'), false) AS exam FROM k1), "
     "k3 AS (SELECT k2.*, pj.url IS NOT NULL OR (exam AND serial IS NULL) AS reached, pj.record, pj.holder AS ph, pj.kind, pj.message FROM k2 LEFT JOIN pj ON pj.url = CASE WHEN exam THEN concat('https://graduate.nesa.gov.rw/?serial=', serial) ELSE k2.url END), "
     "k4 AS (SELECT *, coalesce(ph, CASE WHEN NOT exam AND trusted_url THEN link_name END) AS page_holder FROM k3), "
@@ -399,13 +399,56 @@ _LINK_CTE = (
 )
 
 
+def link_ctes(more: str = "", printed: str = "NULL") -> tuple[str, str]:
+    """The CTEs from links_src to the judged links k7; ``more`` names further columns to carry, ``printed`` a serial that counts where the address has none."""
+    fill = lambda sql: sql.replace("/*more*/", f", {more}" if more else "").replace("NULL/*printed*/", printed)
+    return fill(_EMB_CTE), fill(_LINK_CTE)
+
+
+_DETAIL = "concat('Name on certificate: ''', who, ''' ', CASE WHEN ph IS NOT NULL AND kind <> 'exam' THEN '—' ELSE '-' END, ' ', CASE WHEN online THEN 'MATCHES' ELSE 'DOES NOT MATCH' END, ' candidate ''', cand, '''')"
+_LATE = "(online IS NULL AND who IS NOT NULL AND cand <> '')"
+_VERIFIED = "(reached AND coalesce(record, false))"
+
+
+def _present(*items: str) -> str:
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+
+
+#: Issues and positives of a judged link; ``{seen}`` tells where the address came from.
+LINK_ISSUES = (
+    "CASE WHEN emb THEN " + _present(
+        "CASE WHEN NOT em THEN concat('⚠ NAME MISMATCH via MKU QR: QR shows ''', eh, ''' but candidate is ''', cand, ''' — possible borrowed certificate!') END",
+        "CASE WHEN n IS NULL THEN 'MKU QR detected but certificate number not found' WHEN NOT ok THEN concat('MKU certificate year ', y, ' is out of valid range') END")
+    + " WHEN url IS NOT NULL THEN " + _present(
+        "CASE WHEN NOT trusted_url THEN concat('QR URL domain is NOT recognized: ', url) END",
+        f"CASE WHEN {_VERIFIED} AND NOT online THEN concat('⚠ NAME MISMATCH ONLINE: ', {_DETAIL}, ' — This may be a borrowed certificate!') END",
+        "CASE WHEN reached AND NOT record THEN 'Online check: Certificate not found in institution records — possible fake or altered document' END",
+        f"CASE WHEN {_LATE} AND NOT coalesce(m, false) THEN concat('Name mismatch from QR link: QR shows ''', who, ''' but candidate is ''', cand, '''') END")
+    + " WHEN data IS NOT NULL THEN ['QR code found but contains no recognizable URL'] ELSE []::VARCHAR[] END"
+)
+LINK_POSITIVES = (
+    "CASE WHEN emb THEN " + _present(
+        "{seen}", "CASE WHEN em THEN concat('✓ NAME VERIFIED via MKU QR: ''', eh, ''' matches candidate') END", "CASE WHEN ok THEN concat('✓ MKU certificate number validated from QR: ', n) END",
+        "CASE WHEN ok THEN 'Mount Kenya University certificate data verified from embedded QR' END")
+    + " WHEN url IS NOT NULL THEN " + _present(
+        "{seen}", "concat('QR code links to: ', left(url, 70))", "CASE WHEN link_name IS NOT NULL THEN concat('Certificate holder from QR link: ', link_name) END",
+        "CASE WHEN trusted_url AND inst IS NOT NULL THEN concat('QR URL belongs to trusted institution: ', inst) WHEN trusted_url THEN 'QR URL belongs to a trusted Rwandan government domain' END",
+        f"CASE WHEN {_VERIFIED} THEN concat('✓ ONLINE VERIFIED: Certificate record confirmed at ', coalesce(domain, url)) END",
+        f"CASE WHEN {_VERIFIED} AND online THEN concat('✓ NAME VERIFIED ONLINE: ', {_DETAIL}) WHEN {_VERIFIED} AND who IS NOT NULL AND online IS NULL THEN concat('Certificate holder: ', who) "
+        f"WHEN {_VERIFIED} AND who IS NULL AND cand <> '' THEN 'Certificate verified online — name extraction not available (manual name check recommended)' END",
+        "CASE WHEN reached AND record IS NULL THEN concat('QR URL reachable — verify manually at: ', url) WHEN NOT reached THEN concat('QR URL could not be reached (network issue) — verify manually at: ', url) END",
+        f"CASE WHEN {_LATE} AND m THEN concat('Name from QR link matches candidate: ', who) END")
+    + " WHEN data IS NOT NULL THEN [{seen}] ELSE []::VARCHAR[] END"
+)
+
+
 @R.add("r_qr", with_tables(
     "SELECT id, data IS NOT NULL AS found, CASE WHEN emb THEN ok AND coalesce(em, true) ELSE trusted_url AND coalesce(record, true) AND coalesce(m, true) END AS trusted, "
     "CASE WHEN emb OR url IS NULL THEN false ELSE reached AND coalesce(record, false) END AS verified_online, CASE WHEN emb THEN em WHEN url IS NOT NULL THEN m END AS name_match, "
     "CASE WHEN emb THEN eh WHEN url IS NOT NULL THEN who END AS holder, CASE WHEN emb THEN 'Mount Kenya University' ELSE inst END AS institution, CASE WHEN emb THEN 'mku.ac.ke' ELSE domain END AS matched_domain, url, "
     "CASE WHEN url IS NOT NULL THEN serial END AS serial, CASE WHEN emb THEN CASE WHEN n IS NULL THEN 'MKU QR detected but certificate number not found' WHEN ok THEN concat('MKU certificate number validated from QR: ', n) "
     "ELSE concat('MKU certificate year ', y, ' is out of valid range') END WHEN url IS NOT NULL THEN coalesce(message, CASE WHEN exam AND serial IS NULL THEN 'NESA verification page requires certificate number' END, 'not fetched') ELSE '' END AS online_status FROM k7",
-    "links", "portal_pages", extra=(_EMB_CTE, _PORTAL_CTE, _LINK_CTE)))
+    "links", "portal_pages", extra=(_EMB_CTE, PORTAL_CTE, _LINK_CTE)))
 def r_qr(spark, sf):
     """Full link verdict per submission, with the fetched pages joined by address."""
     rows = with_link_check(derived(spark, sf, "links"), _portal(spark, sf))
@@ -414,7 +457,9 @@ def r_qr(spark, sf):
     return rows.select("id", *[k[n].alias(n) for n in names])
 
 
-@R.add("r_qr_texts")
+@R.add("r_qr_texts", with_tables(
+    f"SELECT id, array_to_string({LINK_ISSUES}, '; ') AS issues, array_to_string({LINK_POSITIVES.format(seen="'QR code detected on document'")}, '; ') AS positives FROM k7",
+    "links", "portal_pages", extra=(_EMB_CTE, PORTAL_CTE, _LINK_CTE)))
 def r_qr_texts(spark, sf):
     """Issues and positives of the link verdict."""
     rows = with_link_check(derived(spark, sf, "links"), _portal(spark, sf))
@@ -445,14 +490,14 @@ def r_qr_trust(spark, sf):
 _KEY = ["document_id", "line_no", "part", "supp"]
 _K = ", ".join(_KEY)
 _SW = "CASE WHEN no_exif THEN NULL WHEN software <> '' THEN software WHEN part % 16 = 2 THEN 'canon host' END"
-_SW_TYPE = (
+SW_TYPE = (
     f"CASE WHEN {any_of('lower(trim(sw))', fv.EDITING_SOFTWARE)} THEN 'editing' WHEN {any_of('lower(trim(sw))', fv.LEGITIMATE_SOFTWARE)} THEN "
     f"CASE WHEN {any_of('lower(trim(sw))', fv.SCANNER_SOFTWARE)} THEN 'scanner' ELSE 'legitimate' END ELSE 'unknown' END"
 )
 _META = (
     f"m1 AS (SELECT *, {_SW} AS sw, CAST(floor((epoch(modified) - epoch(created)) / 86400) AS INTEGER) AS age, CASE WHEN NOT no_exif THEN try_strptime(left(stamp, 19), '%Y:%m:%d %H:%M:%S') END AS ts, "
     "(CASE WHEN no_exif THEN 0 ELSE 1 + CAST(gps AS INTEGER) + CAST(supp % 4 = 0 AS INTEGER) + CAST(stamp <> '' AS INTEGER) + CAST(software <> '' OR part % 16 = 2 AS INTEGER) END) AS fields FROM capt), "
-    f"m AS (SELECT *, {_SW_TYPE} AS kind, NOT no_exif AND gps AS g, NOT no_exif AND odd_colour AS oc FROM m1)"
+    f"m AS (SELECT *, {SW_TYPE} AS kind, NOT no_exif AND gps AS g, NOT no_exif AND odd_colour AS oc FROM m1)"
 )
 _LOST = ("CASE WHEN kind = 'editing' THEN 40 WHEN kind = 'unknown' AND sw IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN g THEN 5 ELSE 0 END + CASE WHEN no_exif THEN 10 ELSE 0 END "
          "+ CASE WHEN file_size_kb < 10 THEN 10 ELSE 0 END + CASE WHEN oc THEN 5 ELSE 0 END")
@@ -498,7 +543,7 @@ def a_sum_deduct(spark, sf):
 _MIN = "CASE " + " ".join(f"WHEN {{c}} = {sq(c[0])} THEN {c[3]}::DOUBLE" for c in fv.DOC_CLASSES) + " ELSE {d}::DOUBLE END"
 _TYPE = "CASE " + " ".join(f"WHEN {{c}} = {sq(c[0])} THEN {sq(c[1])}" for c in fv.DOC_CLASSES) + " ELSE 'unknown' END"
 _DESC = "CASE " + " ".join(f"WHEN {{c}} = {sq(c[0])} THEN {sq(c[2])}" for c in fv.DOC_CLASSES) + " ELSE {c} END"
-_DET = (
+DET = (
     "d1 AS (SELECT *, n_detections > 0 AS has, CASE WHEN n_detections > 0 THEN class_1 ELSE '' END AS cls, CASE n_detections WHEN 0 THEN 0::DOUBLE WHEN 1 THEN round(conf_1 * 100, 1) "
     "ELSE greatest(round(conf_1 * 100, 1), round(conf_2 * 100, 1)) END AS conf FROM capt), "
     f"d2 AS (SELECT *, {_MIN.format(c='cls', d=25)} AS mn, {_MIN.format(c='cls', d=60)} AS need, CASE WHEN has THEN {_TYPE.format(c='cls')} ELSE 'unknown' END AS typ, "
@@ -524,14 +569,14 @@ def _detect(spark, sf):
 
 
 @R.add("r_detect", with_tables(
-    f"SELECT {_K}, verified, CASE WHEN verified THEN 100 ELSE 0 END AS score, conf AS confidence, cls AS class, typ AS type, n_detections AS total_found, mn AS min_conf, {_HINT} AS hint FROM det", "captures", extra=(_DET,)))
+    f"SELECT {_K}, verified, CASE WHEN verified THEN 100 ELSE 0 END AS score, conf AS confidence, cls AS class, typ AS type, n_detections AS total_found, mn AS min_conf, {_HINT} AS hint FROM det", "captures", extra=(DET,)))
 def r_detect(spark, sf):
     names = ["verified", "score", "confidence", "class", "type", "total_found", "min_conf", "hint"]
     return _detect(spark, sf).select(*_KEY, *[F.col(f"detect.{n}").alias(n) for n in names])
 
 
 @R.add("r_ocr_gate", with_tables(
-    f"SELECT {_K}, cls IN ('UR Degree', 'UR Transcript', 'ULK Degree', 'ULK Transcript') AND part % 5 <> 0 AS applies FROM det", "captures", extra=(_DET,)))
+    f"SELECT {_K}, cls IN ('UR Degree', 'UR Transcript', 'ULK Degree', 'ULK Transcript') AND part % 5 <> 0 AS applies FROM det", "captures", extra=(DET,)))
 def r_ocr_gate(spark, sf):
     name = F.when(F.col("part") % 5 != 0, "ALPHA BRAVO")
     return _detect(spark, sf).select(*_KEY, name_check_applies(F.col("detect.class"), name).alias("applies"))
@@ -542,13 +587,15 @@ def r_ocr_gate(spark, sf):
 _FUSE_IN = (
     "f0 AS (SELECT det.*, part % 4 AS q, part % 3 AS nm, supp % 9 = 0 AS edited, supp % 8 AS du, part % 6 = 1 AS ocr_bad, part % 6 = 2 AS ocr_ok, part % 50 = 49 AS stop, part % 10 = 3 AS pdf FROM det), "
     "f1 AS (SELECT *, q > 0 AS found, q IN (2, 3) AS trusted, q = 3 AS online, CASE WHEN q = 0 THEN NULL WHEN nm = 0 THEN true WHEN nm = 1 THEN false END AS nmatch, du IN (1, 2) AS dup, du = 1 AS same FROM f0), "
-    "f2 AS (SELECT *, CASE WHEN found AND trusted AND online THEN 10 WHEN found AND trusted THEN 5 WHEN found THEN -10 ELSE 0 END AS bonus, dup AND NOT same AS borrowed, coalesce(NOT nmatch, false) AS name_bad FROM f1), "
+    "/*facts*/f2 AS (SELECT *, CASE WHEN found AND trusted AND online THEN 10 WHEN found AND trusted THEN 5 WHEN found THEN -10 ELSE 0 END AS bonus, dup AND NOT same AS borrowed, coalesce(NOT nmatch, false) AS name_bad FROM f1), "
     "f3 AS (SELECT *, least(100, greatest(0, 100 + bonus - CASE WHEN edited THEN 30 ELSE 0 END - CASE WHEN borrowed THEN 60 ELSE 0 END)) AS base, verified AND conf >= need AND fit AND NOT stop AS ok, "
     "ocr_bad AND NOT coalesce(nmatch, false) AS ocr_over FROM f2), "
     "f4 AS (SELECT *, CASE WHEN name_bad THEN 50 ELSE base END AS s1 FROM f3), f5 AS (SELECT *, CASE WHEN ocr_over THEN least(s1, 50) ELSE s1 END AS s2 FROM f4), "
     "f6 AS (SELECT *, CASE WHEN edited OR borrowed THEN least(s2, 30) ELSE s2 END AS s3 FROM f5), "
     "fused AS (SELECT *, CASE WHEN ok THEN s3 ELSE 0 END AS score, CASE WHEN NOT ok OR edited OR borrowed THEN 'Fake' WHEN name_bad OR ocr_over THEN 'Suspicious' WHEN base >= 75 THEN 'Verified' ELSE 'Suspicious' END AS status FROM f6)"
 )
+#: From a row's check results (table f1) to its fused score and status.
+FUSE_CTE = _FUSE_IN.split("/*facts*/")[1]
 _I = {
     "dup": "CASE WHEN borrowed THEN '⚠ CRITICAL: DUPLICATE found' END",
     "ocr": "CASE WHEN ocr_bad THEN '⚠ NAME MISMATCH: Certificate shows ''ALPHA KILO'' but candidate is ''DELTA'' — possible borrowed certificate!' END",
@@ -566,20 +613,22 @@ _REGROUP = (
     "list_concat(list_concat(list_filter(gi, lambda x: contains(lower(x), 'borrowed') OR contains(lower(x), 'name') OR contains(x, 'CRITICAL')), "
     "list_filter(gi, lambda x: contains(lower(x), 'editing') OR contains(lower(x), 'photoshop') OR contains(lower(x), 'software'))), list_filter(gi, lambda x: contains(lower(x), 'duplicate')))"
 )
-_FUSED_ISSUES = (
+FUSED_ISSUES = (
     f"array_to_string(CASE WHEN stop THEN ['PDF conversion failed — document cannot be verified automatically.'] WHEN NOT ok THEN list_concat(gi, [{_REFUSAL}]) WHEN base >= 75 AND NOT edited THEN {_REGROUP} ELSE gi END, '; ')"
 )
-_ADVICE = (
-    "CASE WHEN stop THEN 'PDF could not be converted for verification. Please ask the candidate to upload a JPG or PNG scan instead.' WHEN NOT verified THEN 'Document not recognized by trained model. Treat as fake or unsupported.' "
-    "WHEN NOT ok AND NOT fit AND expected IS NOT NULL THEN concat('Document type mismatch. Selected ''', doc_type, ''' but model detected ', cls, ' (', typ, ').') "
-    f"WHEN NOT ok THEN concat('Detected ''', cls, ''' at ', {_n1('conf')}, '% (required ', CAST(CAST(need AS INTEGER) AS VARCHAR), '%). Please upload a clear, flat, well-lit scan of the front of the document.') "
-    "WHEN borrowed THEN 'DUPLICATE DOCUMENT: This file was previously submitted by ''ECHO MIKE''. This is a borrowed certificate. Reject this application.' "
-    "WHEN edited THEN 'Document was edited with GIMP 2.10. This is a strong indicator of tampering. Reject this document.' WHEN ocr_over THEN 'Document type confirmed by AI but name mismatch via OCR. Manual review required.' "
-    "WHEN name_bad THEN 'Document type confirmed by AI but name mismatch via QR. Manual review required.' "
-    f"ELSE concat('Document matches trained model class: ', cls, '. Description: ', coalesce(descr, cls), '. Confidence: ', {_n1('conf')}, '% (required ', CAST(CAST(need AS INTEGER) AS VARCHAR), '%). ', "
-    "CASE WHEN online THEN 'QR verified online at Inst. ' ELSE '' END, CASE WHEN pdf THEN 'PDF auto-converted for verification. ' ELSE '' END, "
-    "CASE WHEN base = 100 THEN 'Marked valid at 100%. Candidate may proceed.' ELSE 'Some issues detected — manual review recommended.' END) END"
-)
+def advice_sql(owner: str, software: str, institution: str) -> str:
+    """Recommendation of a fused row; the arguments are SQL expressions."""
+    return (
+        "CASE WHEN stop THEN 'PDF could not be converted for verification. Please ask the candidate to upload a JPG or PNG scan instead.' WHEN NOT verified THEN 'Document not recognized by trained model. Treat as fake or unsupported.' "
+        "WHEN NOT ok AND NOT fit AND expected IS NOT NULL THEN concat('Document type mismatch. Selected ''', doc_type, ''' but model detected ', cls, ' (', typ, ').') "
+        f"WHEN NOT ok THEN concat('Detected ''', cls, ''' at ', {_n1('conf')}, '% (required ', CAST(CAST(need AS INTEGER) AS VARCHAR), '%). Please upload a clear, flat, well-lit scan of the front of the document.') "
+        f"WHEN borrowed THEN concat('DUPLICATE DOCUMENT: This file was previously submitted by ''', {owner}, '''. This is a borrowed certificate. Reject this application.') "
+        f"WHEN edited THEN concat('Document was edited with ', {software}, '. This is a strong indicator of tampering. Reject this document.') WHEN ocr_over THEN 'Document type confirmed by AI but name mismatch via OCR. Manual review required.' "
+        "WHEN name_bad THEN 'Document type confirmed by AI but name mismatch via QR. Manual review required.' "
+        f"ELSE concat('Document matches trained model class: ', cls, '. Description: ', coalesce(descr, cls), '. Confidence: ', {_n1('conf')}, '% (required ', CAST(CAST(need AS INTEGER) AS VARCHAR), '%). ', "
+        f"CASE WHEN online THEN concat('QR verified online at ', {institution}, '. ') ELSE '' END, CASE WHEN pdf THEN 'PDF auto-converted for verification. ' ELSE '' END, "
+        "CASE WHEN base = 100 THEN 'Marked valid at 100%. Candidate may proceed.' ELSE 'Some issues detected — manual review recommended.' END) END"
+    )
 
 
 def fusion_inputs(spark, sf):
@@ -603,7 +652,7 @@ def fusion_inputs(spark, sf):
 
 
 @R.add("r_fuse", with_tables(
-    f"SELECT {_K}, score, status, {_FUSED_ISSUES} AS issues, {_ADVICE} AS recommendation FROM (SELECT *, list_filter({_ALL_ISSUES}, lambda x: x IS NOT NULL) AS gi FROM fused)", "captures", extra=(_DET, _FUSE_IN)))
+    f"SELECT {_K}, score, status, {FUSED_ISSUES} AS issues, {advice_sql("'ECHO MIKE'", "'GIMP 2.10'", "'Inst'")} AS recommendation FROM (SELECT *, list_filter({_ALL_ISSUES}, lambda x: x IS NOT NULL) AS gi FROM fused)", "captures", extra=(DET, _FUSE_IN)))
 def r_fuse(spark, sf):
     rows = fuse(fusion_inputs(spark, sf))
     v = F.col("verdict")
@@ -612,7 +661,7 @@ def r_fuse(spark, sf):
 
 @R.add("p_result_struct", with_tables(
     f"SELECT {_K}, concat('{{\"document_id\":', document_id, ',\"final_score\":', score, ',\"status\":\"', status, '\",\"qr_found\":', found, ',\"qr_trusted\":', trusted, CASE WHEN nmatch IS NULL THEN '' ELSE concat(',\"name_match\":', nmatch) END, "
-    "',\"metadata_suspicious\":', edited, '}') AS result FROM fused", "captures", extra=(_DET, _FUSE_IN)))
+    "',\"metadata_suspicious\":', edited, '}') AS result FROM fused", "captures", extra=(DET, _FUSE_IN)))
 def p_result_struct(spark, sf):
     rows = fuse(fusion_inputs(spark, sf))
     record = F.struct(F.col("document_id"), F.col("verdict.score").alias("final_score"), F.col("verdict.status").alias("status"), F.col("link.found").alias("qr_found"),
@@ -633,7 +682,7 @@ _SCREEN = (
     + " AS issues, CASE WHEN bad THEN 'Document type confirmed by AI but name mismatch via QR. Manual review required.' WHEN s >= 80 THEN concat('Document matches trained model class: ', cls, '. Confidence: ', "
     f"{_n1('conf')}, '% (required 40%). ', CASE WHEN supp % 2 = 0 THEN 'QR verified online at institution.' ELSE '' END, CASE WHEN part % 3 = 0 THEN ' Name verified: ALPHA KILO.' ELSE '' END, ' Candidate may proceed.') "
     "WHEN s >= 50 THEN 'Document partially verified. Manual review recommended.' ELSE 'Document could not be verified. AI confidence too low or critical checks failed.' END AS verdict FROM sc2",
-    "captures", extra=(_DET, _SCREEN)))
+    "captures", extra=(DET, _SCREEN)))
 def r_fuse_v3(spark, sf):
     part = F.col("part")
     name = F.when(part % 3 == 0, True).when(part % 3 == 1, False)
@@ -658,7 +707,7 @@ _RE_ISSUE = (
 
 @R.add("r_recheck", with_tables(
     f"SELECT {_K}, CASE WHEN dropped THEN 0 ELSE old_score END AS score, CASE WHEN dropped THEN 'Fake' ELSE 'Verified' END AS status, dropped AS downgraded, concat_ws('; ', 'old', CASE WHEN dropped THEN {_RE_ISSUE} END) AS issues FROM re2",
-    "captures", extra=(_DET, _RE)))
+    "captures", extra=(DET, _RE)))
 def r_recheck(spark, sf):
     d, part = F.col("detect"), F.col("part")
     common = dict(stored_score=(part % 101).cast("int"), stored_status=F.lit("Verified"), stored_issues=F.array(F.lit("old")), stored_advice=F.lit("keep"),
