@@ -83,9 +83,27 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "row_no", by: lis
     return joined.withColumn(name, (F.col("_place") + F.col("_shift") + 1).cast("bigint")).drop("_range", "_place", "_shift")
 
 
-def latest_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The row with the greatest ``order`` per key, found by a partial aggregate, so a key of any size is reduced before the exchange."""
-    others = [c for c in rows.columns if c != key and c not in order]
-    best = F.max(F.struct(*order, *others)).alias("_best")
-    found = rows.groupBy(key).agg(best)
-    return found.select(*[F.col(c) if c == key else F.col(f"_best.{c}").alias(c) for c in rows.columns])
+def order_number(at: Column, kind: str) -> Column:
+    """A date, time or whole number as a whole number of the same order, whatever the session's time zone; NULL stays NULL."""
+    if kind in ("timestamp", "timestamp_ntz"):
+        if kind == "timestamp":
+            return F.unix_micros(at)
+        seconds = F.unix_date(at.cast("date")).cast("long") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60
+        return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
+    return F.unix_date(at).cast("long") if kind == "date" else at.cast("long")
+
+
+def latest_per_key(rows: DataFrame, key: str, at: str, tie: str | None = None) -> DataFrame:
+    """The row with the greatest (``at``, ``tie``) per key, NULL before all others; the pair must be unique within a key, ``at`` within 62 bits (any time is).
+
+    Both are packed into one number, so the maximum is kept in fixed-width hash buffers and a key of any size is
+    reduced before the exchange; nothing is sorted.  The rows are then picked by a hash join on (key, number), which
+    deals a large key over many tasks.  Rows without a key are left out.
+    """
+    kinds = dict(rows.dtypes)
+    number = lambda value: F.lit(str(value)).cast("decimal(38,0)")
+    wide = lambda c, none: F.coalesce(order_number(F.col(c), kinds[c]).cast("decimal(38,0)"), number(none))
+    low = wide(tie, -(1 << 63)) if tie else number(0)
+    packed = rows.where(F.col(key).isNotNull()).withColumn("_order", (wide(at, -(1 << 62)) * number(1 << 64) + (low + number(1 << 63))).cast("decimal(38,0)"))
+    last = packed.groupBy(F.col(key)).agg(F.max("_order").alias("_order"))
+    return packed.join(last.hint("shuffle_hash"), [key, "_order"], "left_semi").select(rows.columns)

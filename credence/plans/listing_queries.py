@@ -322,7 +322,7 @@ def w_seq_name(spark, sf):
     "QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY verified_at DESC NULLS LAST, id DESC) = 1", "verifications"))
 def w_latest(spark, sf):
     ver = derived(spark, sf, "verifications").where("candidate_id is not null").select("candidate_id", "verified_at", "id", "status")
-    return latest_per_key(ver, "candidate_id", ["verified_at", "id"]).select("candidate_id", "id", "status", "verified_at")
+    return latest_per_key(ver, "candidate_id", "verified_at", "id").select("candidate_id", "id", "status", "verified_at")
 
 
 @R.add("s_recent5", with_tables(

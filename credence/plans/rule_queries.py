@@ -717,6 +717,27 @@ def r_recheck(spark, sf):
     return rows.select(*_KEY, "r.score", "r.status", "r.downgraded", X.join_issues(F.col("r.issues")).alias("issues"))
 
 
+@R.add("r_recheck_stored", with_tables(
+    f"SELECT document_id, CASE WHEN dropped THEN 0 ELSE old_score END AS authenticity_score, CASE WHEN dropped THEN 'Fake' ELSE 'Verified' END AS status, concat_ws('; ', 'old', CASE WHEN dropped THEN {_RE_ISSUE} END) AS issues "
+    "FROM (SELECT *, NOT (verified AND conf >= want AND fit) AND supp % 10 <> 9 AS dropped FROM (SELECT *, 60::DOUBLE AS want, CAST(part % 101 AS INTEGER) AS old_score FROM (SELECT * FROM det QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY line_no, part, supp) = 1)))",
+    "captures", extra=(DET,)))
+def r_recheck_stored(spark, sf):
+    """The verifications table after one read of every document has written its downgrades back."""
+    from credence.operators.recheck import write_back
+    from credence.sources.tableset import TableSet
+
+    captured = _detect(spark, sf)
+    first = captured.groupBy("document_id").agg(F.min(F.struct("line_no", "part", "supp")).alias("_f")).select("document_id", "_f.*")
+    rows = captured.join(first, ["document_id", "line_no", "part", "supp"]).dropDuplicates(["document_id"])
+    tables = TableSet.new(spark, "rechecked")
+    change = tables.begin()
+    change.create("verifications", rows.select("document_id", (F.col("part") % 101).cast("int").alias("authenticity_score"), F.lit("Verified").alias("status"),
+                                               F.lit("old").alias("issues"), F.lit("keep").alias("recommendation")), "document_id")
+    change.commit()
+    write_back(tables, rows.select("document_id", "doc_type", "detect", (F.col("supp") % 10 == 9).alias("is_pdf"), F.lit(True).alias("detect_ok")))
+    return tables.read("verifications").select("document_id", "authenticity_score", "status", "issues")
+
+
 # --- provider answers, pixel statistics ------------------------------------------------------------------------------------------
 
 _SMILE = (

@@ -14,7 +14,7 @@ from credence.operators.content import text_features
 from credence.operators.fusion import issue_flags, regroup_issues
 from credence.plans.registry import Registry
 from credence.plans.tables import derived, person, with_exif, with_tables
-from credence.sources.records import parse_records, text_batches
+from credence.sources.records import pack_texts, parse_records, text_batches
 from credence.sources.tables import parquet_table
 
 R = Registry()
@@ -527,12 +527,20 @@ def src_json(spark, sf):
     return rows.select("event_id", F.col("record.k").alias("k"), "error")
 
 
-@R.add("src_text_batch", "SELECT conv_id, turn AS pos, text FROM conversations")
+@R.add("src_text_batch", "SELECT conv_id, turn AS pos, text FROM conversations WHERE text IS NOT NULL")
 def src_text_batch(spark, sf):
-    """Texts packed as JSON array and unpacked again with their position."""
-    conv = parquet_table(spark, sf, "conversations")
-    packed = conv.select("conv_id", F.to_json(F.array("text")).alias("batch"), "turn")
-    return text_batches(packed, "batch").select("conv_id", (F.col("pos") + F.col("turn")).alias("pos"), "text")
+    """Conversations packed as JSON arrays of four turns and unpacked again with their positions."""
+    packed = pack_texts(parquet_table(spark, sf, "conversations"), "conv_id", "turn", "text", 4)
+    rows = text_batches(packed, "batch").where("text is not null")
+    return rows.select("conv_id", (F.col("chunk") * 4 + F.col("pos")).alias("pos"), "text")
+
+
+@R.add("src_text_arrays", "SELECT conv_id, turn // 4 AS chunk, max(turn % 4) + 1 AS places, count(text) AS n_texts FROM conversations GROUP BY ALL")
+def src_text_arrays(spark, sf):
+    """How many places and texts the packed arrays have."""
+    packed = pack_texts(parquet_table(spark, sf, "conversations"), "conv_id", "turn", "text", 4)
+    texts = F.from_json("batch", "array<string>")
+    return packed.select("conv_id", "chunk", F.size(texts).cast("long").alias("places"), F.size(F.array_compact(texts)).cast("long").alias("n_texts"))
 
 
 @R.add("x_json_path", "SELECT event_id, CAST(coalesce(json_extract_string(props, '$.k'), '0') AS INTEGER) AS k, coalesce(json_extract_string(props, '$.a.b'), '-') AS missing FROM events")

@@ -22,6 +22,19 @@ def parse_records(rows: DataFrame, raw: str, schema: str) -> DataFrame:
     return step.withColumns({"record": record, "error": error}).drop("_parsed")
 
 
+def pack_texts(rows: DataFrame, group: str, pos: str, text: str, size: int = 64) -> DataFrame:
+    """Texts of each group as JSON arrays of at most ``size`` places: (group, chunk, batch).
+
+    Chunk c holds positions c * size to c * size + size - 1, so a group of any length is packed in bounded pieces
+    that need not meet; a place without a text is null.  Positions count from 0 and are unique in a group.
+    """
+    place = F.pmod(F.col(pos), F.lit(size)).cast("int")
+    chunks = rows.groupBy(group, F.floor(F.col(pos) / size).cast("long").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), F.col(text).alias("text")))).alias("_t"))
+    held = F.map_from_entries("_t")
+    filled = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys(held))), lambda i: F.element_at(held, i))
+    return chunks.select(group, "chunk", F.to_json(filled).alias("batch"))
+
+
 def text_batches(rows: DataFrame, column: str) -> DataFrame:
     """A JSON array of texts to one row per text with its position."""
     others = [c for c in rows.columns if c != column]

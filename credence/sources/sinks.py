@@ -39,7 +39,7 @@ class BatchLog:
     def latest(self, key: str) -> DataFrame:
         """The newest row of every key."""
         rows = self.read()
-        return latest_per_key(rows, key, ["batch"]).drop("batch")
+        return latest_per_key(rows, key, "batch").drop("batch")
 
 
 def merge_into(rows: DataFrame, table: str, key: str) -> None:

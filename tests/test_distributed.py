@@ -84,8 +84,21 @@ def test_numbered(spark):
 
 
 def test_latest_per_key(spark):
-    df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (2, None, "c"), (2, 1, "d")], "k int, t int, x string")
-    assert {(r.k, r.x) for r in latest_per_key(df, "k", ["t"]).collect()} == {(1, "b"), (2, "d")}
+    df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (2, None, "c"), (2, 1, "d"), (3, None, "e"), (None, 9, "f")], "k int, t int, x string")
+    assert {(r.k, r.x) for r in latest_per_key(df, "k", "t").collect()} == {(1, "b"), (2, "d"), (3, "e")}
+    far = "timestamp_ntz'9999-12-31 23:59:59.999999'"
+    times = spark.sql(f"select * from values (1, {far}, 5, 'a'), (1, {far}, 6, 'b'), (1, timestamp_ntz'2024-03-10 02:30:00.5', 99, 'c'), (2, timestamp_ntz'1960-01-01 00:00:00', -7, 'd'), "
+                      "(2, timestamp_ntz'1960-01-01 00:00:00', -8, 'e'), (2, null, 99, 'f'), (3, null, null, 'g'), (3, null, -9223372036854775807, 'h') as t(k, at, id, x)").selectExpr("k", "at", "cast(id as bigint) id", "x")
+    assert {(r.k, r.x) for r in latest_per_key(times, "k", "at", "id").collect()} == {(1, "b"), (2, "d"), (3, "h")}
+
+
+def test_latest_is_found_without_a_sort(spark):
+    from credence.plans.catalog import all_queries
+
+    plan = all_queries()["w_latest"](spark, "/root/testdata/sf0.001")
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in text and "Sort" not in text.replace("isFinalPlan", "")
 
 
 def test_token_hits_equal_brute_force(spark):

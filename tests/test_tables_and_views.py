@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from credence.operators import persons
+from credence.operators import capture, persons
 from credence.operators.verification import verify, verification_rows
 from credence.plans.corpus_queries import submissions
 from credence.plans.tables import derived
@@ -234,3 +234,63 @@ def test_a_batch_that_fails_leaves_the_view(spark, folder, monkeypatch):
     monkeypatch.undo()
     view.apply(submissions(docs), 1)
     assert view.read().count() == docs.count()
+
+
+def test_a_stale_downgrade_is_refused(spark):
+    from credence.operators.recheck import write_back
+
+    stored = spark.createDataFrame([(1, 90, "Verified", "old", "keep"), (2, 80, "Verified", None, "keep"), (3, 70, "Verified", "old", "keep")],
+                                   "document_id long, authenticity_score int, status string, issues string, recommendation string")
+    tables = started(spark, "verifications", stored, "document_id", 2)
+    seen = spark.createDataFrame([(1, "national_id", "UR Degree", 0.99, False), (2, "certificate", "UR Degree", 0.99, False), (3, "national_id", "UR Degree", 0.99, True)],
+                                 "document_id long, doc_type string, class string, conf double, is_pdf boolean")
+    detected = capture.with_detect_check(seen.withColumn("detections", F.array(capture.detection(F.col("class"), F.col("conf"))))).withColumn("detect_ok", F.lit(True))
+    shown = tables.begin()  # the page was read here
+    change = tables.begin()
+    change.upsert("verifications", spark.createDataFrame([(1, 100, "Verified", "", "new")], stored.schema))
+    change.commit()
+    with pytest.raises(Conflict):
+        write_back(tables, detected, read=shown)
+    assert tables.read("verifications").where("document_id = 1").first().recommendation == "new" and tables.versions() == [1, 2]
+    assert write_back(tables, detected) == 3
+    rows = {r.document_id: r for r in tables.read("verifications").collect()}
+    assert (rows[1].authenticity_score, rows[1].status) == (0, "Fake") and rows[1].issues.startswith("Document type mismatch")
+    assert rows[2].status == "Verified" and rows[3].status == "Verified"  # the type fits; a file of pages is left alone
+    assert write_back(tables, detected.where("document_id > 1")) is None and tables.versions() == [1, 2, 3]
+
+
+def test_link_keys_like_a_query_parser(spark):
+    """Values of name and serial keys in the order in which they are tried, against the standard library's parser."""
+    from urllib.parse import parse_qs, urlparse
+
+    from credence import fixed_values as fv
+    from credence.functions import links
+
+    dice = random.Random(8)
+    keys = [*fv.NAME_KEYS, *fv.SERIAL_KEYS, "NAME", "Name", "SERIAL", "Serial", "x", "first_name", "LAST_NAME", "lastname", ""]
+    urls = []
+    for _ in range(400):
+        pairs = "&".join(f"{dice.choice(keys)}{dice.choice(['=', '=', '=', ''])}{dice.choice(['a+b', 'C%20D', '', 'é', '1=2', 'x'])}" for _ in range(dice.randint(0, 5)))
+        urls.append(f"https://h.rw/p/q{dice.choice(['?', '?', '?', ''])}{pairs}{dice.choice(['', '#name=z&serial=1'])}")
+
+    def tried(url):
+        query = parse_qs(urlparse(url).query)
+        folded = {k.lower(): v for k, v in query.items()}
+        names = [v for k in fv.NAME_KEYS for v in folded.get(k, [])]
+        first, last = (folded.get(f"{part}_name") or folded.get(f"{part}name") or [] for part in ("first", "last"))
+        serials = [v for k in fv.SERIAL_KEYS for v in query.get(k) or query.get(k.upper()) or []]
+        return names + ([f"{first[0]} {last[0]}"] if first and last else []), serials
+
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").withColumn("pairs", links.query_pairs(F.col("url")))
+    for r in rows.select("url", links._names(F.col("pairs")).alias("names"), links._serials(F.col("pairs")).alias("serials")).collect():
+        assert (r.names, r.serials) == tried(r.url), r.url
+
+
+def test_texts_in_bounded_arrays(spark):
+    from credence.sources.records import pack_texts, text_batches
+
+    rows = [("hot", i, f"t{i}") for i in range(1000)] + [("a", 0, None), ("a", 5, 'q"\n'), ("b", 7, "z")]
+    packed = pack_texts(spark.createDataFrame(rows, "g string, pos long, text string"), "g", "pos", "text", 64)
+    assert {r.g: r["count"] for r in packed.groupBy("g").count().collect()} == {"hot": 16, "a": 1, "b": 1}
+    back = {(r.g, r.chunk * 64 + r.pos): r.text for r in text_batches(packed, "batch").collect()}
+    assert all(back[g, p] == t for g, p, t in rows) and {k for k, v in back.items() if v is not None} == {(g, p) for g, p, t in rows if t is not None}
