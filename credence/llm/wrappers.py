@@ -331,13 +331,14 @@ def content(wrapper: list) -> Places:
 def blocks(root: Node, places: Places) -> list[str]:
     """Blocks of main text in page order: of the page's own article-like groups, else, where they have none, of its whole body.
 
-    Both without the template, and with it only if the page has nothing else.
+    Inside an article nothing is template: headings, table heads and sentences that the pages of a host share are its text.  The
+    body is taken without the template, and with it only if the page has nothing else.
     """
-    for template in (True, False) if places.template or places.mute else (False,):
-        for main in (True, False):
-            found = _blocks(root, places, main, template)
-            if found:
-                return found
+    tries = [(True, False), (False, True), (False, False)] if places.template or places.mute else [(True, False), (False, False)]
+    for main, template in tries:
+        found = _blocks(root, places, main, template)
+        if found:
+            return found
     return []
 
 
