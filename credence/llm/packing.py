@@ -22,7 +22,7 @@ END_ID = 2
 GROUP_PIECES = 4096
 GROUP_TOKENS = 4_000_000
 #: Words whose ids a task keeps, at most; when full it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 
 #: What the white-space-wise fast path leaves to the tokenizer: its special tokens, and characters whose
 #: class as white space differs between regular-expression engines.
@@ -111,6 +111,12 @@ def _offsets(bins: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return out
 
 
+def _odd(text: str) -> bool:
+    if text.isascii():
+        return any(sign in text for sign in ("<|", "\x1c", "\x1d", "\x1e", "\x1f"))
+    return _ODD.search(text) is not None
+
+
 class WordIds:
     """Token ids of texts through a bounded store of the ids of their words.
 
@@ -133,22 +139,28 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.kept, self.store = kept, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # pieces that end a word
+        self.closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(text).tobytes()
 
-    def _add(self, new: list[str]) -> None:
+    def _add(self, new: list[str], parted: dict[str, re.Match]) -> None:
         plain = [w for w in new if w.isalpha()]  # one word-end piece closes each, so one call serves many
         for start in range(0, len(plain), 512):
             run = plain[start : start + 512]
-            encoding = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
-            ids = np.array(encoding.ids, "<u4").tobytes()
-            ends = [4 * i + 4 for i, piece in enumerate(encoding.tokens) if piece.endswith("</w>")]
+            ids = self._ids(" ".join(run))
+            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
             if len(ends) == len(run):
-                self.store.update((w, ids[x:y]) for w, x, y in zip(run, [0, *ends], ends))
+                whole = ids.tobytes()
+                self.store.update(zip(run, [whole[x:y] for x, y in zip([0, *ends], ends)]))
         for word in new:
             if word not in self.store:
-                ended = _ENDED.match(word)
+                ended = parted.get(word)
                 if ended and ended[1] in self.store:  # letters, then one run of signs: two words to the tokenizer
                     if ended[2] not in self.store:
                         self.store[ended[2]] = self._encode(ended[2])
@@ -161,15 +173,16 @@ class WordIds:
         return (text.lower() if simple else self.tokenizer.normalizer.normalize_str(text)).split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [None if _ODD.search(t) else self._words(t) for t in texts]
+        parts = [None if _odd(t) else self._words(t) for t in texts]
         needed = set().union(*(p for p in parts if p))
         if 2 * len(needed) > self.kept:
             return [self._encode(t) for t in texts]
         new = [w for w in needed if w not in self.store]
         if len(self.store) + 2 * len(new) > self.kept:
             self.store, new = {}, list(needed)
-        stems = {m[1] for m in map(_ENDED.match, new) if m}
-        self._add(list(dict.fromkeys([*(w for w in stems if w not in self.store), *new])))
+        parted = {w: m for w, m in zip(new, map(_ENDED.match, new)) if m}
+        stems = {m[1] for m in parted.values()}
+        self._add(list(dict.fromkeys([*(w for w in stems if w not in self.store), *new])), parted)
         find = self.store.__getitem__
         return [self._encode(t) if p is None else b"".join(map(find, p)) for t, p in zip(texts, parts)]
 
