@@ -308,22 +308,22 @@ _SIMPLE = (
 ).format(kind=pick(DOC_TYPES, "doc_id // 3", "duck"), cls=pick(CLASSES, "doc_id", "duck"), mn=_MIN.format(c="cls", d=25), need=_MIN.format(c="cls", d=60), typ=_TYPE.format(c="cls"), descr=_DESC.format(c="cls"))
 
 
-def _in_parts(spark, rows, part, name):
-    """Yields a stream of files after each of three parts of the rows has arrived."""
+def _in_parts(spark, rows, part, parts, name):
+    """Yields a stream of files after each of the parts of the rows has arrived."""
     folder = run_dir(spark, name)
-    for k in range(3):
+    for k in range(parts):
         rows.where(part == k).write.mode("append").parquet(folder)
         yield spark.readStream.schema(rows.schema).parquet(folder)
 
 
 @R.add("t_verify_stream", VERIFY)
 def t_verify_stream(spark, sf):
-    """Documents arrive in three batches, in no order; the verifications kept beside the stream are those of the whole table."""
+    """Documents arrive in two batches, in no order; the verifications kept beside the stream are those of the whole table."""
     at = F.lit("2026-06-01 00:00:00").cast("timestamp")
     view = VerificationView(TableSet.new(spark, "verification-view"), as_of=at, verified_at=at)
     view.start(derived(spark, sf, "portal_pages"), derived(spark, sf, "candidates"))
     docs = parquet_table(spark, sf, "documents")
-    for stream in _in_parts(spark, docs, F.pmod(F.xxhash64("doc_id"), F.lit(3)), "submitted"):
+    for stream in _in_parts(spark, docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)), 2, "submitted"):
         view.follow(submissions(stream))
     return view.read().drop("verified_at")
 
@@ -345,7 +345,7 @@ def _duplicate_stream(spark, sf):
     docs = parquet_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("file_hash"))
     low, high = docs.agg(F.percentile_approx("id", F.array(F.lit(1 / 3), F.lit(2 / 3)))).first()[0] or (0, 0)
     seen, found = TableSet.new(spark, "seen-files"), BatchLog.new(spark, "found-duplicates")
-    for stream in _in_parts(spark, docs, (F.col("id") > low).cast("int") + (F.col("id") > high).cast("int"), "arrivals"):
+    for stream in _in_parts(spark, docs, (F.col("id") > low).cast("int") + (F.col("id") > high).cast("int"), 3, "arrivals"):
         streams.duplicates_on_arrival(stream, seen, found)
     return seen, found
 
