@@ -9,7 +9,7 @@ from credence import fixed_values as fv
 from credence.functions.names import holder_names, letters_only, name_parts, normal_name, phrase_in_text
 from credence.functions.similarity import document_words, with_token_hits
 from credence.functions.text import (
-    all_groups, clamp, contains_any, first_listed, join_lists, known_words, no_texts, phrase_hits, priority_first, text_hits, texts, uni, word_count, word_hits,
+    all_groups, bind, clamp, contains_any, first_listed, join_lists, known_words, no_texts, phrase_hits, priority_first, text_hits, texts, uni, word_count, word_hits,
 )
 from credence.operators.outcome import deduct, fmt
 
@@ -294,12 +294,12 @@ def with_content_check(docs: DataFrame, text: str = "text", candidate: str | Non
 
 
 def text_features(text: Column) -> dict[str, Column]:
-    """The five text features of the classifier."""
+    """The five text features of the classifier; the text is put in capitals once per feature that needs it."""
     upper = F.upper(text)
     return {
         "word_count": F.least(F.lit(100), word_count(text)).cast("double"),
-        "rwanda_keywords": F.size(phrase_hits(upper, fv.FEATURE_WORDS)).cast("double"),
-        "authority_found": contains_any(upper, fv.FEATURE_ROLES).cast("double"),
+        "rwanda_keywords": bind(upper, lambda u: F.size(phrase_hits(u, fv.FEATURE_WORDS)).cast("double")),
+        "authority_found": bind(upper, lambda u: contains_any(u, fv.FEATURE_ROLES).cast("double")),
         "date_found": text.rlike(uni(fv.ANY_DATE)).cast("double"),
         "id_number_found": text.rlike(uni(r"\b\d{16}\b|\b\d{10}\b")).cast("double"),
     }
