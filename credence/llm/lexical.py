@@ -26,7 +26,7 @@ TOP = 20
 #: Documents and words of a block, at most (one longer text stands alone).
 BLOCK_DOCS = 2048
 BLOCK_WORDS = 4_000_000
-#: Characters of items that go through the index in one pass.
+#: Characters of items that go through the index in one pass, about.
 ITEM_CHARS = 4_000_000
 #: Terms of a text: maximal runs of ASCII letters and digits and of all characters beyond ASCII.
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -334,8 +334,8 @@ def _document_counts(index: DataFrame, hashes) -> DataFrame:
 def rank(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``top`` documents of highest score for every row of ``items``.
 
-    The documents are indexed once, in blocks; items go through the index in passes of at most ITEM_CHARS
-    characters (one longer item alone), so what a pass holds and sends to the tasks is bounded.  A pass counts the
+    The documents are indexed once, in blocks; items go through the index in passes of about ITEM_CHARS
+    characters (dealt by hash), which bounds what a pass holds and sends to the tasks.  A pass counts the
     documents of its terms, writes the blocks' impact and pair lists, searches every block with a threshold per
     item that rises as its task goes on, and ranks the few rows per task and item together.
 
