@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\W\d_]+|\d|(?:[^\w\s]|_)+"
 #: Space-separated words whose counts a task keeps, at most; when full it starts anew.
 KEPT_WORDS = 1_000_000
-#: Mark of pieces that end a word in the vocabulary; pieces with and without it match alike.
+#: Mark of pieces that end a word in the vocabulary.  Such a piece matches only at the end of a word, any other only
+#: before it, so the last letter of a word or piece is a letter of its own.
 WORD_END = "</w>"
 
 
@@ -26,6 +27,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(free)) for b in range(256)]
 
 
+def ended(word: str) -> str:
+    """A word whose last letter is the one that ends words, which lies above all letters of bytes."""
+    return word[:-1] + chr(ord(word[-1]) + 512) if word else ""
+
+
 class Automaton:
     """A trie of the vocabulary; every node has a failure link and the number of pieces popped on taking it.
 
@@ -82,17 +88,17 @@ class Automaton:
 
 
 def read_vocabulary(path: str) -> list[str]:
-    """Pieces of a tokenizer file without their word-end mark."""
+    """Pieces of a tokenizer file, those with the word-end mark with a last letter that ends words."""
     with open(path, encoding="utf-8") as f:
-        pieces = json.load(f)["model"]["vocab"]
-    return sorted({p.removesuffix(WORD_END) for p in pieces} - {""})
+        found = json.load(f)["model"]["vocab"]
+    return sorted({ended(p.removesuffix(WORD_END)) if p.endswith(WORD_END) else p for p in found} - {""})
 
 
 def token_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(doc_id, n_chunks, n_words, n_pieces) of every whole text, in lower case.
 
     n_chunks counts space-separated words, n_words the parts of WORD_PATTERN, n_pieces their pieces over
-    the UTF-8 bytes.  Null, empty and blank texts count 0; a null doc_id stays null; rows repeat as given; other
+    the UTF-8 bytes, greedily the longest at each place; the vocabulary marks ends of words as ``ended`` does.  Null, empty and blank texts count 0; a null doc_id stays null; rows repeat as given; other
     columns are not read; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -103,7 +109,7 @@ def token_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
 
         def measure(chunk: str) -> tuple[int, int]:
             words = pattern.findall(chunk)
-            return len(words), sum(automaton.count("".join([letters[b] for b in w.encode()])) for w in words)
+            return len(words), sum(automaton.count(ended("".join([letters[b] for b in w.encode()]))) for w in words)
 
         for batch in batches:
             out = np.zeros((batch.num_rows, 3), np.int64)
