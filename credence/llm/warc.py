@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
+import re
 import zlib
 
 import numpy as np
@@ -13,9 +16,13 @@ from pyspark.sql import functions as F
 
 from credence.llm.common import written
 
-MAGIC = b"WARC/1.0\r\n"
-#: Records of an archive file, at most: bounds what one task holds.
-RECORDS_PER_FILE = 2000
+#: First line of a record, of either version of the format.
+MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+#: (payload bytes from, records of a file at most): large payloads go to files of fewer records, so that a file, which one
+#: task reads whole, holds 128 MB of payload or a single record.
+SIZES = ((0, 2048), (1 << 16, 32), (1 << 22, 1))
+#: Bytes that are unpacked at a time.
+BLOCK = 1 << 20
 #: Payloads of at least so many bytes are stored once and revisited.
 LEAST_REVISIT = 0
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -31,17 +38,24 @@ def base32(hexes: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
 
 
-def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT, records_per_file: int = SIZES[0][1]) -> None:
     """One record per page in gzip files below ``path``: the html as payload, or a revisit of an equal payload.
 
     Of pages with equal payloads of at least ``least_revisit`` bytes the one with the largest page_id holds the payload
     and the others name it.  Equal payloads meet in an aggregate of digests, and the html joins its result once; a
     digest that many pages share is a skewed join key, which adaptive execution splits.  Null html is an empty
     payload; a null url has no target line; line ends in a url are percent-coded; a null page_id has an empty
-    number and holds its payload only among its like; rows with equal ids and payloads are all responses.
+    number and holds its payload only among its like; rows with equal ids and payloads are all responses; an
+    empty table leaves no record; other columns are not read.  Payloads are written by SIZES: equal ones are of one size.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    for (least, most), below in zip(SIZES, [*(size for size, _ in SIZES[1:]), None]):
+        of_size = F.octet_length("html") >= least if below is None else F.octet_length("html").between(least, below - 1)
+        _append(rows.where(of_size), path, least_revisit, min(most, records_per_file))
+
+
+def _append(rows: DataFrame, path: str, least_revisit: int, records_per_file: int) -> None:
     rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     owners = rows.groupBy("sha1").agg(F.max("page_id").alias("owner"))
     joined = rows.join(owners, "sha1")
@@ -57,17 +71,34 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
         F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), body)
-    writer = joined.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+    writer = joined.select(record.alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip")
     writer.option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def unpacked(content: bytes) -> tuple[bytes, bool]:
+    """All gzip members of a file one after another, or its bytes if it is not packed; and whether it is sound to its end.
+
+    Of a file that is cut off or damaged, what was unpacked before that place remains.
+    """
+    if content[:2] != b"\x1f\x8b":
+        return content, True
+    out = io.BytesIO()
+    with gzip.GzipFile(fileobj=io.BytesIO(content)) as members:
+        try:
+            while block := members.read1(BLOCK):
+                out.write(block)
+        except (EOFError, gzip.BadGzipFile, zlib.error):
+            return out.getvalue(), False
+    return out.getvalue(), True
+
+
 def parse(data: bytes, at: int) -> tuple[int, dict[str, str], int] | None:
     """(start of the block, headers, offset after the record) of the record that seems to start at ``at``; None if it can not be one."""
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     headers = {}
-    for line in data[at + len(MAGIC) : end].split(b"\r\n"):
+    for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -103,11 +134,12 @@ def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
     return out
 
 
+#: A row without kind stands for a file: its length as ``at``, and whether it was unpacked to its end as ``next`` (1 or 0).
 _CANDIDATE = "path string, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place with the magic that parses as a record: its offset, its successor's, and the facts of the record there."""
+    """Every place with the magic that parses as a record: its offset, its successor's, and the facts of the record there; and a row per file."""
 
     def number(name: str | None) -> int | None:
         digits = (name or "").removeprefix("<urn:page:").removesuffix(">")
@@ -117,10 +149,10 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = content.as_py()
-                data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
-                at = data.find(MAGIC)
-                while at >= 0:
+                data, sound = unpacked(content.as_py())
+                rows.append((file, len(data), int(sound), None, None, None, None, None))
+                for magic in MAGIC.finditer(data):
+                    at = magic.start()
                     found = parse(data, at)
                     if found:
                         start, headers, after = found
@@ -129,13 +161,22 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                         digest = headers.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else base64.b32encode(hashlib.sha1(block).digest()).decode()
                         length = headers.get("x-payload-length", "0") if revisit else str(len(block))
                         rows.append((file, at, after, number(headers.get("warc-record-id")), int(length) if length.isdigit() else 0, digest, kind, number(headers.get("warc-refers-to"))))
-                    at = data.find(MAGIC, at + 1)
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             columns = list(zip(*rows)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in _CANDIDATE.split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(find, _CANDIDATE)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^[._]")).select("path", "content").mapInArrow(find, _CANDIDATE)
+
+
+def on_chains(found: DataFrame) -> DataFrame:
+    """(path, at) of the candidates that the chain from the start of their file reaches."""
+
+    def chain(table: pa.Table) -> pa.Table:
+        keep = reachable(np.asarray(table["at"]), np.asarray(table["next"]))
+        return table.filter(pa.array(keep)).select(["path", "at"])
+
+    return found.where("record_type is not null").select("path", "at", "next").groupBy("path").applyInArrow(chain, "path string, at long")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -144,12 +185,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Tasks emit candidates with their successors; per archive, which the writer bounds, pointer jumping from its
     start over (offset, successor) alone keeps the candidates on the chain, so magic and whole forged records
     inside payloads are left out.  Digest and length of a response are of the payload read, those of a revisit its headers'.
+    Files may be plain, or gzip of one member or of many.  Where a chain breaks, its records up to there are
+    returned; ``chain_report`` tells which files those are.  Empty folders give no rows.
     """
     found = written(candidates(spark, path), "candidates")
+    kept = found.join(on_chains(found), ["path", "at"], "left_semi").where("record_type is not null")
+    return kept.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
-    def chain(table: pa.Table) -> pa.Table:
-        keep = reachable(np.asarray(table["at"]), np.asarray(table["next"]))
-        return table.filter(pa.array(keep)).select(["path", "at"])
 
-    on_chain = found.select("path", "at", "next").groupBy("path").applyInArrow(chain, "path string, at long")
-    return found.join(on_chain, ["path", "at"], "left_semi").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+def chain_report(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n_bytes, n_candidates, n_records, read_to, whole) per archive.
+
+    ``read_to`` is the offset behind the last record on the chain; ``whole`` says that this is the end of the file and that the
+    file could be unpacked to its end.  A file without any record was read to 0.
+    """
+    found = written(candidates(spark, path), "candidates")
+    files = found.where("record_type is null").select("path", F.col("at").alias("n_bytes"), (F.col("next") == 1).alias("sound"))
+    reached = on_chains(found).withColumn("reached", F.lit(True))
+    records = found.where("record_type is not null").join(reached, ["path", "at"], "left")
+    counts = records.groupBy("path").agg(F.count("at").alias("n_candidates"), F.count("reached").alias("n_records"), F.max(F.when(F.col("reached"), F.col("next"))).alias("read_to"))
+    out = files.join(counts, "path", "left").na.fill(0, ["n_candidates", "n_records", "read_to"])
+    return out.select("path", "n_bytes", "n_candidates", "n_records", "read_to", (F.col("sound") & (F.col("read_to") == F.col("n_bytes"))).alias("whole"))

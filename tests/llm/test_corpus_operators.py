@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -317,6 +320,7 @@ def test_spans_by_brute_force(spark, folder):
     ]
     rows = texts(spark, folder)
     hard = ["a@b@c.de x@a.b_c@d.e-f 1.2.3.4.5.6.7.8 256.1.1.1 0001.002.3.4", "4111 1111 1111 1111 +49 (0) 30-12345 +1 2 😀 a.b@c.d", "..@x.y %@a-b.c" + "1" * 5000, "@" * 3 + "a" * 20_000]
+    hard += ["4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 x", "12 4111-1111-1111-1111 2 4111111111111111--4111111111111111", "x" * 1000 + "é😀" * 60 + " a.b@c.de +49 30 1234567 " * 200]
     rows.update({-1 - i: t for i, t in enumerate(hard)})
     docs = corpus(spark, list(rows.items()))
     for r in pii.digest(docs).collect():
@@ -338,6 +342,23 @@ def test_checks_context_and_redaction(spark, odd, none):
     assert pii.digest(odd).count() == 10 and pii.digest(none).count() == 0
 
 
+def test_a_long_text_of_numbers_takes_linear_time(spark):
+    numbers = " ".join(f"x{i * 7919 % 10**6} 1.2.3.{i % 300} +49 30 {i:07d}" for i in range(60_000))  # 2 MB
+    text = numbers + " ssn 123-45-6789 " + "and " * 9 + "4111 1111 1111 1111"
+    began = time.monotonic()
+    r = pii.personal_data(corpus(spark, [(1, text)])).withColumn("clean", pii.redacted(F.col("text"), F.col("spans"))).first()
+    assert time.monotonic() - began < 60
+    assert len([s for s in r.spans if s.kind == "ip"]) == sum(i % 300 <= 255 for i in range(60_000))
+    assert all(text[s.start : s.end] == s.text for s in r.spans)
+    want, at = [], 0
+    for s in sorted(r.spans, key=lambda s: (s.start, -s.end)):
+        if s.start >= at:
+            want += [text[at : s.start], f"<{s.kind}>"]
+        at = max(at, s.end)
+    assert r.clean == "".join(want) + text[at:]
+    assert r.clean.endswith(" ssn <ssn> " + "and " * 9 + "<card>")
+
+
 # 6
 
 
@@ -377,13 +398,15 @@ def test_automaton_counts_like_greedy_matching():
 
 
 def test_piece_counts_by_brute_force(spark, folder, odd, none):
-    vocabulary = set(wordpiece.read_vocabulary(P.path("word_bpe_49k.json")))
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = set(json.load(f)["model"]["vocab"])
     letters, longest = wordpiece.byte_letters(), max(map(len, vocabulary))
 
     def greedy(word):
         rest, n = "".join(letters[b] for b in word.encode()), 0
         while rest:
-            rest = rest[next(k for k in range(min(longest, len(rest)), 0, -1) if rest[:k] in vocabulary) :]
+            fits = lambda k: rest[:k] + ("</w>" if k == len(rest) else "") in vocabulary
+            rest = rest[next(k for k in range(min(longest, len(rest)), 0, -1) if fits(k)) :]
             n += 1
         return n
 
@@ -391,7 +414,9 @@ def test_piece_counts_by_brute_force(spark, folder, odd, none):
     for r in R.queries["op7_wordpiece_counts"](spark, folder).collect():
         words = re.findall(wordpiece.WORD_PATTERN, rows[r.doc_id].lower())
         assert (r.n_words, r.n_pieces) == (len(words), sum(map(greedy, words)))
-    assert wordpiece.token_counts(odd, sorted(vocabulary)).count() == 10 and wordpiece.token_counts(none, ["a"]).count() == 0
+    pieces = wordpiece.read_vocabulary(P.path("word_bpe_49k.json"))
+    assert wordpiece.token_counts(corpus(spark, [(1, "photosynthesis")]), pieces).first().n_pieces == greedy("photosynthesis") == 2
+    assert wordpiece.token_counts(odd, pieces).count() == 10 and wordpiece.token_counts(none, pieces).count() == 0
 
 
 # 8
@@ -465,6 +490,32 @@ def test_small_payloads_are_not_revisited(spark, tmp_path):
     assert {r.page_id: r.refers_to for r in warc.read_archives(spark, str(tmp_path / "w")).collect()} == {1: None, 2: None, 3: 4, 4: None}
 
 
+def test_foreign_archives(spark, tmp_path):
+    def record(n, version, body):
+        head = f"WARC/1.{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nContent-Length: {len(body)}\r\n\r\n"
+        return head.encode() + body + b"\r\n\r\n"
+
+    records = [record(n, n % 2, b"WARC/1.1\r\n" * n) for n in range(8)]
+    (tmp_path / "per-record.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "broken.warc").write_bytes(b"".join(records[:3]) + b"junk" + b"".join(records[3:]))
+    (tmp_path / "short.warc.gz").write_bytes(b"".join(map(gzip.compress, records))[:-20])
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert Counter(r.page_id for r in got) == {n: 4 if n < 3 else 3 if n < 7 else 2 for n in range(8)}
+    report = {r.path.rsplit("/", 1)[1]: (r.n_candidates, r.n_records, r.whole) for r in warc.chain_report(spark, str(tmp_path)).collect()}
+    assert report == {"per-record.warc.gz": (8, 8, True), "plain.warc": (8, 8, True), "broken.warc": (8, 3, False), "short.warc.gz": (7, 7, False)}
+
+
+def test_large_payloads_share_files_with_few(spark, tmp_path):
+    sizes = [10, 70_000, 70_000, 5_000_000, 5_000_001]
+    pages = spark.createDataFrame([(i, "u", chr(97 + i % 2) * n) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    assert {r.page_id: r.payload_bytes for r in warc.read_archives(spark, str(tmp_path / "w")).collect()} == dict(enumerate(sizes))
+    held = [(r.n_bytes, r.n_records) for r in warc.chain_report(spark, str(tmp_path / "w")).collect()]
+    assert all(n == 1 for size, n in held if size > 4 << 20) and sum(n for _, n in held) == 5
+
+
 def test_pointer_jumping_by_walking():
     rng = random.Random(8)
     for _ in range(50):
