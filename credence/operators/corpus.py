@@ -85,18 +85,39 @@ def blocks_of(gray: np.ndarray, size: int) -> list[np.ndarray]:
     return [gray[y : y + size, x : x + size] for y in range(0, h - size, size) for x in range(0, w - size, size)]
 
 
-def describe(height: int, width: int, data: bytes) -> list[float]:
-    """The eight pixel features of the classifier."""
-    img = pixels(height, width, data)
-    gray = gray_of(img)
+def _texture(gray: np.ndarray) -> float:
     stds = [b.std() for b in blocks_of(gray, 16)]
+    return float(np.mean(stds)) if stds else 0.0
+
+
+def _clone_score(gray: np.ndarray) -> float:
     samples = [b[::6, ::6].tobytes() for b in blocks_of(gray, 48)]
-    repeats = len(samples) - len(set(samples))
-    return [
-        min(100.0, width * height / (800 * 600) * 100), min(100.0, float(laplacian(gray).var()) / 5), edge_share(gray) * 100,
-        float((gray > 245).mean()) * 100, float(saturation(img).mean()), float(np.mean(stds)) if stds else 0.0,
-        float((gray - smoothed(gray)).std()), float(min(100, repeats * 10)),
-    ]
+    return float(min(100, (len(samples) - len(set(samples))) * 10))
+
+
+#: What computes a feature from a picture and its grey values.
+_FEATURES = {
+    "resolution": lambda img, gray: min(100.0, img.shape[1] * img.shape[0] / (800 * 600) * 100),
+    "sharpness": lambda img, gray: min(100.0, float(laplacian(gray).var()) / 5),
+    "edge_density": lambda img, gray: edge_share(gray) * 100,
+    "white_ratio": lambda img, gray: float((gray > 245).mean()) * 100,
+    "saturation": lambda img, gray: float(saturation(img).mean()),
+    "texture": lambda img, gray: _texture(gray),
+    "noise": lambda img, gray: float((gray - smoothed(gray)).std()),
+    "clone_score": lambda img, gray: _clone_score(gray),
+}
+
+
+def resolution(width: Column, height: Column) -> Column:
+    """The resolution feature from the size alone."""
+    return F.least(F.lit(100.0), width * height / 480_000 * 100)
+
+
+def describe(height: int, width: int, data: bytes, names: list[str] = IMAGE_FEATURES) -> list[float]:
+    """The named pixel features of the classifier, by default all eight."""
+    img = pixels(height, width, data)
+    gray = gray_of(img)
+    return [_FEATURES[n](img, gray) for n in names]
 
 
 def _dark_level(gray: np.ndarray) -> float:
@@ -137,8 +158,8 @@ def _per_image(images: DataFrame, compute, names: list[str], keys: list[str]) ->
     return images.select(*keys, "height", "width", "data").mapInPandas(run, schema)
 
 
-def image_features(images: DataFrame, keys: list[str]) -> DataFrame:
-    return _per_image(images, describe, IMAGE_FEATURES, keys)
+def image_features(images: DataFrame, keys: list[str], names: list[str] = IMAGE_FEATURES) -> DataFrame:
+    return _per_image(images, lambda h, w, d: describe(h, w, d, names), names, keys)
 
 
 def image_channels(images: DataFrame, keys: list[str]) -> DataFrame:

@@ -159,6 +159,26 @@ def m_cv(spark, sf):
     return learning.cross_validated(training_rows(spark, sf), fv.FEATURE_NAMES, "doc_id")
 
 
+@R.add("m_cv_folds", (
+    "WITH l AS (SELECT doc_id, 1 - quality AS label FROM labels JOIN documents USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat(doc_id, ':42')), doc_id) AS rank FROM l), "
+    "d AS (SELECT *, (rank - 1) % 5 AS fold FROM r), s AS (SELECT f.for_fold::INTEGER AS for_fold, d.* FROM d, range(0, 5) f(for_fold) WHERE f.for_fold <> d.fold), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY for_fold, label ORDER BY md5(concat(doc_id, ':42')), doc_id) AS place, count(*) OVER (PARTITION BY for_fold, label) AS n, count(*) FILTER (label = 0) OVER (PARTITION BY for_fold) AS want FROM s) "
+    "SELECT for_fold, doc_id, label, CAST(CASE WHEN label = 1 AND n < want THEN want // n + CASE WHEN place <= want % n THEN 1 ELSE 0 END ELSE 1 END AS BIGINT) AS copies FROM o"))
+def m_cv_folds(spark, sf):
+    """What each fold's model is fitted on, and how often."""
+    labels = _labelled(spark, sf).join(parquet_table(spark, sf, "documents").select("doc_id"), "doc_id")
+    dealt = cut_lineage(learning.with_folds(labels, "doc_id"))
+    return learning.fold_training_sets(dealt, "doc_id").groupBy("for_fold", "doc_id", "label").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@R.add("m_model_metrics")
+def m_model_metrics(spark, sf):
+    """Training, the stored model, its predictions and folds, and the metrics of them, read back from their JSON."""
+    folder = run_dir(spark, "published")
+    learning.published_model(training_rows(spark, sf), fv.FEATURE_NAMES, "doc_id", folder)
+    return metrics_file(spark, f"{folder}/metrics")
+
+
 @R.add("m_importance")
 def m_importance(spark, sf):
     rows = training_rows(spark, sf)
@@ -237,7 +257,7 @@ def _pictures(spark, sf):
 
 def _feature_query(name):
     def run(spark, sf):
-        return corpus.image_features(_pictures(spark, sf), ["vec_id"]).select("vec_id", F.round(name, 4).alias(name))
+        return corpus.image_features(_pictures(spark, sf), ["vec_id"], [name]).select("vec_id", F.round(name, 4).alias(name))
 
     return run
 
@@ -246,7 +266,16 @@ for _name, _feature in (("i_sharpness", "sharpness"), ("i_edges", "edge_density"
     R.add(_name)(_feature_query(_feature))
 
 _CELL = "least(255, greatest(0, (v::DOUBLE + 0.5::DOUBLE) * 255))"
-R.add("i_resolution", "SELECT vec_id, round(least(100, 128 * 128 / 480000::DOUBLE * 100), 4) AS resolution FROM embeddings")(_feature_query("resolution"))
+
+
+
+@R.add("i_resolution", "SELECT vec_id, round(least(100, pow(16 * sqrt(len(embedding)), 2) / 480000::DOUBLE * 100), 4) AS resolution FROM embeddings")
+def i_resolution(spark, sf):
+    """The size of the picture that a vector gives is known without drawing it."""
+    side = F.sqrt(F.size("embedding")) * 16
+    return parquet_table(spark, sf, "embeddings").select("vec_id", F.round(corpus.resolution(side, side), 4).alias("resolution"))
+
+
 # one picture cell per vector value: g from the value, b its opposite, r from the left neighbour in the row
 R.add("i_saturation", (
     f"WITH c AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor({_CELL}) AS INTEGER)) AS g, list_transform(embedding, lambda v: CAST(floor(255 - {_CELL}) AS INTEGER)) AS b FROM embeddings), "

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import struct
+import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +43,23 @@ def write_pictures(images: DataFrame, key: str, folder: str) -> None:
 
 
 def write_files(rows: DataFrame, key: str, folder: str) -> None:
-    """``content`` of every row as a file named by its key, written by the tasks.  The folder must be mounted on every executor."""
-    target = folder[len("file:"):] if folder.startswith("file:") else folder
-    if "://" in target:
-        raise ValueError("pictures are written through a mounted folder, not an object store address")
-
-    def save(rows):
-        os.makedirs(target, exist_ok=True)
-        for r in rows:
-            # a repeated task writes the same bytes again
-            with open(os.path.join(target, f"{r[key]}.png"), "wb") as f:
-                f.write(bytes(r["content"]))
-
-    rows.select(key, "content").foreachPartition(save)
+    """``content`` of every row as a file named by its key, written by the tasks.
+
+    ``folder`` is a local path or the address of a file system that Arrow can open in the tasks.  A file is written under
+    a hidden name and then renamed, so a lost task leaves no partial picture and a repeated one leaves one file.
+    """
+    address = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = fs.FileSystem.from_uri(address)
+        files.create_dir(path, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hidden = f"{path}/.{name}-{uuid.uuid4().hex}"
+                with files.open_output_stream(hidden) as out:
+                    out.write(content.as_buffer())
+                files.move(hidden, f"{path}/{name}.png")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    named = rows.where(F.col(key).isNotNull() & F.col("content").isNotNull()).select(F.col(key).cast("string"), "content")
+    named.mapInArrow(save, "n long").agg(F.sum("n")).collect()  # one number

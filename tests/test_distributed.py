@@ -11,7 +11,7 @@ from credence.functions.hotkeys import latest_per_key, left_join_spread, numbere
 from credence.functions.similarity import with_token_hits
 from credence.operators import consistency, corpus, learning, persons
 from credence.operators.duplicates import duplicate_pairs
-from credence.sources.images import image_folder, write_pictures
+from credence.sources.images import image_folder, write_files, write_pictures
 from credence.sources.records import metrics_file, parse_records
 from credence.sources.sinks import BatchLog, write_csv, write_json
 from credence.sources.tableset import TableSet
@@ -192,6 +192,38 @@ def test_forest_learns(spark):
     assert learning.train_and_hold_out(rows.where("id % 2 = 0 or id % 6 = 1"), ["a", "b"], "id", leaky=True, trees=5, depth=3)[1].count() > 0
 
 
+def test_a_stored_model_is_measured(spark, tmp_path):
+    rows = spark.range(200).select("id", (F.col("id") % 4 == 0).cast("int").alias("label"), ((F.col("id") % 4 == 0).cast("int") * 3 + F.rand(1)).alias("a"), F.rand(2).alias("b"))
+    rows = rows.withColumn("label", F.when(F.col("id") == 3, 1).otherwise(F.col("label")))  # one that no model gets right
+    predictions, metrics = learning.published_model(rows, ["a", "b"], "id", str(tmp_path / "m"), trees=5, depth=3)
+    m, got = metrics.first(), predictions.collect()
+    assert m.total_samples == len(got) == 40 and m.true_fake + m.false_fake + m.true_real + m.false_real == 40
+    assert m.accuracy == pytest.approx(100 * sum(r.label == r.prediction for r in got) / 40, abs=0.005)
+    assert metrics_file(spark, str(tmp_path / "m" / "metrics")).first().cv_mean == m.cv_mean and 95 < m.cv_mean < 100
+    judged = learning.out_of_fold(rows, ["a", "b"], "id", trees=5, depth=3).collect()
+    assert sorted(r.id for r in judged) == list(range(200))
+    assert {(r.id, r.fold) for r in judged} == {(r.id, r.fold) for r in learning.with_folds(rows, "id").collect()}
+    assert learning.cross_validated(rows.limit(0), ["a", "b"], "id", trees=5, depth=3).count() == 0
+
+
+def test_each_fold_is_balanced_without_the_rows_held_out(spark):
+    rows = spark.range(103).select("id", (F.col("id") % 4 == 0).cast("int").alias("label"))
+    dealt = learning.with_folds(rows, "id")
+    fold = {r.id: r.fold for r in dealt.collect()}
+    sets = learning.fold_training_sets(dealt, "id").collect()
+    assert all(fold[r.id] != r.for_fold for r in sets)
+    for k in range(5):
+        fakes, real = (sum(r.label == v for r in sets if r.for_fold == k) for v in (0, 1))
+        assert fakes == real == sum(f != k and i % 4 != 0 for i, f in fold.items())
+
+
+def test_written_pictures_are_whole_and_single(spark, tmp_path):
+    rows = spark.createDataFrame([(1, b"a"), (1, b"a"), (2, b""), (None, b"x"), (3, None)], "id long, content binary").repartition(3)
+    for _ in range(2):  # the second run repeats every task
+        write_files(rows, "id", f"file:{tmp_path}/p")
+    assert {f.name: f.read_bytes() for f in (tmp_path / "p").iterdir()} == {"1.png": b"a", "2.png": b""}
+
+
 def test_streams(spark, tmp_path):
     docs = spark.createDataFrame([(i, i % 3, f"h{i % 4}") for i in range(40)], "id long, candidate_id long, file_hash string")
     docs.repartition(4, "id").write.parquet(f"{tmp_path}/in")
