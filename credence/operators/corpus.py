@@ -1,16 +1,20 @@
-"""Image corpus: one row per image in the layout of Spark's image source, features as Arrow batches.
+"""Image corpus: one row per image in the layout of Spark's image source, statistics by Spark aggregates.
 
-Rows have id, height, width and data (BGR bytes, row by row).  Spark spreads the images; numpy only
-looks at one image at a time.  Clone blocks leave as rows and are counted by Spark.
+Rows have id, height, width and data (BGR bytes, row by row).  A picture is cut into bands of lines or rows of
+blocks, each a record that carries its own bytes, so a large picture is many records.  A step in Arrow batches
+turns a record into sums of whole numbers or into one row per block; everything else (means, deviations, shares, dark
+levels, repeats) is grouped and computed by Spark, which only shuffles these sums and digests.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,166 +23,196 @@ from credence import fixed_values as fv
 IMAGE_FEATURES = ["resolution", "sharpness", "edge_density", "white_ratio", "saturation", "texture", "noise", "clone_score"]
 CHANNEL_STATS = ["blue_red", "header_bright", "sat_std", "laplace_var", "border_detail", "ink_std", "seal_hue_std", "seal_sat_mean", "gray_var"]
 
+#: Place of a seal as shares of the picture: top, bottom, left, right.
+SEAL_BOX = (0.75, 0.95, 0.35, 0.65)
+#: Lines of a band, and how many beside it are read with it.
+BAND_LINES, BESIDE = 128, 2
 
-def pixels(height: int, width: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.uint8).reshape(height, width, 3)
 
+# --- pictures cut into records ----------------------------------------------------------------------------------------------
 
-def gray_of(img: np.ndarray) -> np.ndarray:
-    b, g, r = (img[:, :, i].astype(np.float64) for i in range(3))
-    return np.floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5)
 
+def _readable(images: DataFrame, keys: list[str]) -> DataFrame:
+    """Pictures whose bytes fit their size, the keys as one column."""
+    fits = (F.col("height") > 0) & (F.col("width") > 0) & (F.length("data") == F.col("height").cast("bigint") * F.col("width") * 3)
+    return images.where(fits).select(F.struct(*keys).alias("keys"), F.col("height").cast("int"), F.col("width").cast("int"), "data")
 
-def _padded(a: np.ndarray, by: int) -> np.ndarray:
-    mode = "reflect" if min(a.shape) > by else "edge"
-    return np.pad(a, by, mode=mode)
 
+def _lines(first: Column, end: Column) -> Column:
+    """Bytes of some lines of a picture."""
+    return F.substring(F.col("data"), (first * F.col("width") * 3 + 1).cast("int"), ((end - first) * F.col("width") * 3).cast("int"))
 
-def laplacian(gray: np.ndarray) -> np.ndarray:
-    p = _padded(gray, 1)
-    return p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * gray
 
+def _window(part: str, top: Column, left: Column, high: Column, broad: Column) -> Column:
+    return F.struct(F.lit(part).alias("part"), *[c.cast("int").alias(n) for n, c in {"top": top, "left": left, "high": high, "broad": broad}.items()])
 
-def smoothed(gray: np.ndarray) -> np.ndarray:
-    weights = np.array([1, 4, 6, 4, 1]) / 16.0
-    p = _padded(gray, 2)
-    rows = sum(w * p[i : i + gray.shape[0], :] for i, w in enumerate(weights))
-    both = sum(w * rows[:, i : i + gray.shape[1]] for i, w in enumerate(weights))
-    return np.floor(both + 0.5)
 
+def _whole() -> Column:
+    return _window("whole", F.lit(0), F.lit(0), F.col("height"), F.col("width"))
 
-def edge_share(gray: np.ndarray) -> float:
-    """Share of pixels with a strong gradient, or a medium one beside a strong one.
 
-    Two thresholds as in hysteresis edge detection; ridges are not thinned, so the share is higher
-    than that of a thinned edge map.
+def _bands(pictures: DataFrame, windows: list[Column]) -> DataFrame:
+    """(keys, part, width, left, high, broad, y, first, data): bands of windows, each window looked at on its own.
+
+    Line y is the band's first, ``first`` that of its bytes; both count from the top of the window.
     """
-    p = _padded(gray, 1)
-    gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
-    gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
-    size = np.abs(gx) + np.abs(gy)
-    strong, medium = size > 150, size > 50
-    near = np.pad(strong, 1)
-    beside = np.zeros_like(strong)
-    for dy in range(3):
-        for dx in range(3):
-            beside |= near[dy : dy + strong.shape[0], dx : dx + strong.shape[1]]
-    return float((strong | (medium & beside)).mean())
-
-
-def saturation(img: np.ndarray) -> np.ndarray:
-    top, low = img.max(axis=2).astype(np.float64), img.min(axis=2).astype(np.float64)
-    return np.where(top > 0, np.floor(255 * (top - low) / np.maximum(top, 1) + 0.5), 0.0)
-
-
-def hue(img: np.ndarray) -> np.ndarray:
-    """Hue in half degrees, 0 to 179."""
-    b, g, r = (img[:, :, i].astype(np.float64) for i in range(3))
-    top, low = img.max(axis=2).astype(np.float64), img.min(axis=2).astype(np.float64)
-    d = np.where(top > low, top - low, 1.0)
-    h = np.where(top == r, (g - b) / d, np.where(top == g, 2 + (b - r) / d, 4 + (r - g) / d)) * 60
-    return np.where(top > low, np.floor((h % 360) / 2 + 0.5) % 180, 0.0)
-
-
-def blocks_of(gray: np.ndarray, size: int) -> list[np.ndarray]:
-    h, w = gray.shape
-    return [gray[y : y + size, x : x + size] for y in range(0, h - size, size) for x in range(0, w - size, size)]
-
-
-def _texture(gray: np.ndarray) -> float:
-    stds = [b.std() for b in blocks_of(gray, 16)]
-    return float(np.mean(stds)) if stds else 0.0
-
-
-def _clone_score(gray: np.ndarray) -> float:
-    samples = [b[::6, ::6].tobytes() for b in blocks_of(gray, 48)]
-    return float(min(100, (len(samples) - len(set(samples))) * 10))
-
-
-#: What computes a feature from a picture and its grey values.
-_FEATURES = {
-    "resolution": lambda img, gray: min(100.0, img.shape[1] * img.shape[0] / (800 * 600) * 100),
-    "sharpness": lambda img, gray: min(100.0, float(laplacian(gray).var()) / 5),
-    "edge_density": lambda img, gray: edge_share(gray) * 100,
-    "white_ratio": lambda img, gray: float((gray > 245).mean()) * 100,
-    "saturation": lambda img, gray: float(saturation(img).mean()),
-    "texture": lambda img, gray: _texture(gray),
-    "noise": lambda img, gray: float((gray - smoothed(gray)).std()),
-    "clone_score": lambda img, gray: _clone_score(gray),
-}
+    parts = pictures.select("*", F.inline(F.array(*windows))).where("high > 0 and broad > 0")
+    bands = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("high") - 1, F.lit(BAND_LINES))).alias("y"))
+    first, end = F.greatest(F.col("y") - BESIDE, F.lit(0)), F.least(F.col("y") + BAND_LINES + BESIDE, F.col("high"))
+    return bands.select("keys", "part", "width", "left", "high", "broad", "y", first.alias("first"), _lines(F.col("top") + first, F.col("top") + end).alias("data"))
 
 
-def resolution(width: Column, height: Column) -> Column:
-    """The resolution feature from the size alone."""
-    return F.least(F.lit(100.0), width * height / 480_000 * 100)
+def _bgr(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(-1, width, 3)
 
 
-def describe(height: int, width: int, data: bytes, names: list[str] = IMAGE_FEATURES) -> list[float]:
-    """The named pixel features of the classifier, by default all eight."""
-    img = pixels(height, width, data)
-    gray = gray_of(img)
-    return [_FEATURES[n](img, gray) for n in names]
+def _gray(bgr: np.ndarray) -> np.ndarray:
+    b, g, r = (bgr[:, :, i].astype(np.float64) for i in range(3))
+    return np.floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5).astype(np.int32)
 
 
-def _dark_level(gray: np.ndarray) -> float:
-    """Threshold that separates dark and light pixels best (largest between-class variance)."""
-    counts = np.bincount(gray.astype(np.int64).ravel(), minlength=256).astype(np.float64)
-    below, levels = np.cumsum(counts), np.arange(256)
-    mass, total = np.cumsum(counts * levels), counts.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        spread = (mass[-1] * below / total - mass) ** 2 / (below * (total - below))
-    return float(np.nanargmax(np.where(np.isfinite(spread), spread, -1)))
+# --- whole numbers of the pixels of one band ----------------------------------------------------------------------------------
 
 
-def channel_stats(height: int, width: int, data: bytes, seal_box: tuple[float, float, float, float] = (0.75, 0.95, 0.35, 0.65)) -> list[float]:
-    """Statistics behind the security-feature rules; the seal box is given as shares of the image."""
-    img = pixels(height, width, data)
-    gray, sat = gray_of(img), saturation(img)
-    header = img[0 : height // 4, width // 4 : 3 * width // 4].mean(axis=2)
-    borders = [gray[0:50, :], gray[max(0, height - 50) : height, :], gray[:, 0:50], gray[:, max(0, width - 50) : width]]
-    y0, y1, x0, x1 = seal_box
-    seal = img[int(height * y0) : int(height * y1), int(width * x0) : int(width * x1)]
-    ink = gray[gray <= _dark_level(gray)]
-    return [
-        float(img[:, :, 0].mean()) / (float(img[:, :, 2].mean()) + 1), float((header > 220).mean()), float(sat.std()), float(laplacian(gray).var()),
-        float(np.mean([laplacian(r).var() for r in borders])), float(ink.std()) if ink.size > 100 else float("nan"),
-        float(hue(seal).std()) if seal.size else 0.0, float(saturation(seal).mean()) if seal.size else 0.0, float(gray.var()),
-    ]
+class Band:
+    """Lines of a window with those beside them; every method gives one whole number per pixel of the lines."""
 
+    def __init__(self, width: int, left: int, high: int, broad: int, y: int, first: int, data: bytes) -> None:
+        bgr = _bgr(data, width)[:, left : left + broad]
+        self.high, self.broad, self.first = high, broad, first
+        self.y, self.end = y, min(y + BAND_LINES, high)
+        self.around = _gray(bgr)
+        own = slice(y - first, self.end - first)
+        self.grays, self.bgr = self.around[own], bgr[own].astype(np.int32)
 
-def _per_image(images: DataFrame, compute, names: list[str], keys: list[str]) -> DataFrame:
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema.fields if f.name in keys] + [f"{n} double" for n in names])
+    def _beside(self, lines: int, places: int, mirror: int) -> np.ndarray:
+        """Grey values with lines and places beside them, mirrored at the edges or, in windows too narrow for ``mirror``, repeated."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values = [compute(h, w, d) for h, w, d in zip(pdf["height"], pdf["width"], pdf["data"])]
-            out = pd.DataFrame(values, columns=names, index=pdf.index)
-            yield pd.concat([pdf[keys], out], axis=1)
+        def at(n: np.ndarray, size: int) -> np.ndarray:
+            if min(self.high, self.broad) > mirror:
+                n = np.abs(n)
+                n = np.where(n >= size, 2 * size - 2 - n, n)
+            return np.clip(n, 0, size - 1)
 
-    return images.select(*keys, "height", "width", "data").mapInPandas(run, schema)
+        rows = at(np.arange(self.y - lines, self.end + lines), self.high) - self.first
+        return self.around[rows][:, at(np.arange(-places, self.broad + places), self.broad)]
 
+    def gray(self) -> np.ndarray:
+        return self.grays
 
-def image_features(images: DataFrame, keys: list[str], names: list[str] = IMAGE_FEATURES) -> DataFrame:
-    return _per_image(images, lambda h, w, d: describe(h, w, d, names), names, keys)
+    def blue(self) -> np.ndarray:
+        return self.bgr[:, :, 0]
 
+    def red(self) -> np.ndarray:
+        return self.bgr[:, :, 2]
 
-def image_channels(images: DataFrame, keys: list[str]) -> DataFrame:
-    stats = _per_image(images, channel_stats, CHANNEL_STATS, keys)
-    return stats.withColumn("ink_std", F.when(~F.isnan("ink_std"), F.col("ink_std")))
+    def white(self) -> np.ndarray:
+        return self.grays > 245
 
+    def bright(self) -> np.ndarray:
+        """Whether the mean of the three colours is over 220."""
+        return self.bgr.sum(axis=2) > 660
 
-def image_blocks(images: DataFrame, key: str, size: int = 32, step: int = 16, min_std: float = 2.0) -> DataFrame:
-    """(key, block) rows: digest of every textured block, for ``consistency.clone_blocks``."""
-    kind = images.schema[key].dataType.simpleString()
+    def saturation(self) -> np.ndarray:
+        top, low = self.bgr.max(axis=2), self.bgr.min(axis=2)
+        return np.floor(255 * (top - low) / np.maximum(top, 1) + 0.5).astype(np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k, h, w, d in zip(pdf[key], pdf["height"], pdf["width"], pdf["data"]):
-                kept = [b for b in blocks_of(gray_of(pixels(h, w, d)), size) if b.std() >= min_std]
-                digests = [hashlib.md5(b.ravel()[::step].tobytes()).hexdigest() for b in kept]
-                yield pd.DataFrame({key: [k] * len(digests), "block": pd.Series(digests, dtype=object)})
+    def hue(self) -> np.ndarray:
+        """Hue in half degrees, 0 to 179."""
+        b, g, r = (self.bgr[:, :, i].astype(np.float64) for i in range(3))
+        top, low = self.bgr.max(axis=2), self.bgr.min(axis=2)
+        d = np.maximum(top - low, 1)
+        h = np.where(top == r, (g - b) / d, np.where(top == g, 2 + (b - r) / d, 4 + (r - g) / d)) * 60
+        return np.where(top > low, np.floor((h % 360) / 2 + 0.5) % 180, 0).astype(np.int64)
+
+    def laplacian(self) -> np.ndarray:
+        p = self._beside(1, 1, 1)
+        return p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]
+
+    def noise(self) -> np.ndarray:
+        """What smoothing over five by five places takes from a grey value."""
+        p, n, weights = self._beside(2, 2, 2), self.end - self.y, (1, 4, 6, 4, 1)
+        rows = sum(w * p[i : i + n] for i, w in enumerate(weights))
+        return self.grays - (sum(w * rows[:, i : i + self.broad] for i, w in enumerate(weights)) + 128) // 256
+
+    def edge(self) -> np.ndarray:
+        """A strong gradient, or a medium one beside a strong one.
 
-    return images.select(key, "height", "width", "data").mapInPandas(run, f"`{key}` {kind}, block string")
+        Two thresholds as in hysteresis edge detection; ridges are not thinned, so the share is higher
+        than that of a thinned edge map.
+        """
+        p = self._beside(2, 1, 1)
+        across = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
+        down = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
+        size, lines = np.abs(across) + np.abs(down), np.arange(self.y - 1, self.end + 1)
+        strong = (size > 150) & ((lines >= 0) & (lines < self.high))[:, None]
+        tall = strong[:-2] | strong[1:-1] | strong[2:]
+        wide = np.pad(tall, ((0, 0), (1, 1)))
+        return (size[1:-1] > 50) & (wide[:, :-2] | wide[:, 1:-1] | wide[:, 2:])
+
+
+def _sums(pictures: DataFrame, windows: list[Column], numbers: dict[str, list[str]], levels: str | None = None) -> DataFrame:
+    """(keys, part, pixels, levels, and per number its sum and NAME_squares): over each window, ``numbers`` by the window's part.
+
+    ``levels`` names the part whose pixels of each grey level from 0 to 255 are counted too.
+    """
+    bands, names = _bands(pictures, windows), sorted({n for some in numbers.values() for n in some})
+    sums = [c for n in names for c in (n, f"{n}_squares")]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, found = batch.column(1).to_pylist(), []
+            for i, (part, *place) in enumerate(zip(parts, *[c.to_pylist() for c in batch.columns[2:8]])):
+                band, row = Band(*place, batch.column(8)[i].as_buffer()), {}
+                for n in numbers[part]:
+                    values = getattr(band, n)().astype(np.int64)
+                    row[n], row[f"{n}_squares"] = int(values.sum()), int((values * values).sum())
+                found.append((band.grays.size, np.bincount(band.grays.ravel(), minlength=256).tolist() if part == levels else None, *[row.get(c) for c in sums]))
+            columns = [pa.array(c, t) for c, t in zip(zip(*found), [pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * len(sums)])]
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["keys", "part", "pixels", "levels", *sums])
+
+    schema = f"keys {bands.schema['keys'].dataType.simpleString()}, part string, pixels long, levels array<long>, " + ", ".join(f"{c} long" for c in sums)
+    return bands.mapInArrow(add, schema)
+
+
+def _mean(name: str) -> Column:
+    return F.sum(name) / F.sum("pixels")
+
+
+def _variance(name: str) -> Column:
+    return F.greatest(F.sum(f"{name}_squares") / F.sum("pixels") - _mean(name) * _mean(name), F.lit(0.0))
+
+
+# --- blocks ---------------------------------------------------------------------------------------------------------------
+
+
+def _blocks(pictures: DataFrame, size: int, places: np.ndarray) -> DataFrame:
+    """(keys, std, block): deviation of every square block's grey values, and a digest of those at ``places`` of it.
+
+    A block starts every ``size`` pixels before the last ``size``.
+    """
+    rows = pictures.where((F.col("height") > size) & (F.col("width") > size)).select("*", F.explode(F.sequence(F.lit(0), F.col("height") - size - 1, F.lit(size))).alias("y"))
+    rows = rows.select("keys", "width", _lines(F.col("y"), F.col("y") + size).alias("data"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, width in enumerate(batch.column(1).to_pylist()):
+                n = (width - 1) // size
+                gray = _gray(_bgr(batch.column(2)[i].as_buffer(), width))[:, : n * size]
+                blocks = gray.reshape(size, n, size).swapaxes(0, 1).reshape(n, -1).astype(np.int64)
+                digests = [hashlib.md5(b.tobytes()).hexdigest() for b in blocks[:, places].astype(np.uint8)]
+                keys = pa.concat_arrays([batch.column(0).slice(i, 1)]).take(pa.array([0] * n))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(blocks.sum(axis=1)), pa.array((blocks * blocks).sum(axis=1)), pa.array(digests, pa.string())], names=["keys", "total", "squares", "block"])
+
+    found = rows.mapInArrow(cut, f"keys {rows.schema['keys'].dataType.simpleString()}, total long, squares long, block string")
+    area = size * size
+    return found.select("keys", (F.sqrt((F.col("squares") * area - F.col("total") * F.col("total")).cast("double")) / area).alias("std"), "block")
+
+
+def image_blocks(images: DataFrame, key: str, size: int = 32, step: int = 16, min_std: float = 2.0) -> DataFrame:
+    """(key, block) rows: digest of every textured block, for ``consistency.clone_blocks``."""
+    return _blocks(_readable(images, [key]), size, np.arange(0, size * size, step)).where(F.col("std") >= min_std).select(f"keys.{key}", "block")
 
 
 def block_count(height: Column, width: Column, size: int = 32) -> Column:
@@ -187,6 +221,111 @@ def block_count(height: Column, width: Column, size: int = 32) -> Column:
     return fit(height) * fit(width)
 
 
+# --- statistics per picture -----------------------------------------------------------------------------------------------
+
+
+def resolution(width: Column, height: Column) -> Column:
+    """The resolution feature from the size alone."""
+    return F.least(F.lit(100.0), width * height / 480_000 * 100)
+
+
+def _together(images: DataFrame, keys: list[str], parts: list[DataFrame], names: list[str]) -> DataFrame:
+    """Statistics of several passes side by side, one row per picture, unreadable ones with NULLs."""
+    known = images.select(F.struct(*keys).alias("keys"))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [known, *parts])
+    return rows.groupBy("keys").agg(*[F.max(n).alias(n) for n in names]).select("keys.*", *names)
+
+
+#: The number behind a feature, and the feature from its sums.
+_PIXEL_FEATURES = {
+    "sharpness": ("laplacian", lambda n: F.least(F.lit(100.0), _variance(n) / 5)),
+    "edge_density": ("edge", lambda n: _mean(n) * 100),
+    "white_ratio": ("white", lambda n: _mean(n) * 100),
+    "saturation": ("saturation", _mean),
+    "noise": ("noise", lambda n: F.sqrt(_variance(n))),
+}
+
+
+def _texture(pictures: DataFrame) -> DataFrame:
+    """Mean deviation of blocks of 16; 0 for a picture without such blocks."""
+    stds = _blocks(pictures, 16, np.zeros(1, int)).select("keys", "std")
+    return stds.unionByName(pictures.select("keys"), allowMissingColumns=True).groupBy("keys").agg(F.coalesce(F.avg("std"), F.lit(0.0)).alias("texture"))
+
+
+def _clone_score(pictures: DataFrame) -> DataFrame:
+    """Ten points for every repeat of a block of 48, compared by every sixth pixel of every sixth line."""
+    blocks = _blocks(pictures, 48, (np.arange(0, 48, 6)[:, None] * 48 + np.arange(0, 48, 6)).ravel())
+    repeats = blocks.groupBy("keys", "block").agg((F.count(F.lit(1)) - 1).alias("repeats")).select("keys", "repeats")
+    points = repeats.unionByName(pictures.select("keys", F.lit(0).cast("bigint").alias("repeats")))
+    return points.groupBy("keys").agg(F.least(F.lit(100.0), F.sum("repeats") * 10.0).alias("clone_score"))
+
+
+def image_features(images: DataFrame, keys: list[str], names: list[str] = IMAGE_FEATURES) -> DataFrame:
+    """The named pixel features of the classifier, by default all eight, one row per distinct key.
+
+    The keys tell pictures apart: a key must not stand for two different ones.  A picture whose bytes do not fit its size has NULLs.
+    """
+    pictures, parts = _readable(images, keys), []
+    if "resolution" in names:
+        parts.append(pictures.select("keys", resolution(F.col("width").cast("double"), F.col("height").cast("double")).alias("resolution")))
+    if pixel := [n for n in _PIXEL_FEATURES if n in names]:
+        sums = _sums(pictures, [_whole()], {"whole": [_PIXEL_FEATURES[n][0] for n in pixel]})
+        parts.append(sums.groupBy("keys").agg(*[_PIXEL_FEATURES[n][1](_PIXEL_FEATURES[n][0]).alias(n) for n in pixel]))
+    if "texture" in names:
+        parts.append(_texture(pictures))
+    if "clone_score" in names:
+        parts.append(_clone_score(pictures))
+    return _together(images, keys, parts, list(names))
+
+
+def _ink_deviation(sums: DataFrame) -> DataFrame:
+    """Deviation of the dark pixels, over 100 of them; the level that separates dark from light has the largest between-class variance."""
+    counts = sums.select("keys", F.posexplode("levels").alias("level", "n")).where("n > 0").groupBy("keys", "level").agg(F.sum("n").alias("n"))
+    whole = counts.groupBy("keys").agg(  # at most 256 levels per picture
+        F.array_sort(F.collect_list(F.struct("level", "n"))).alias("levels"), F.sum("n").cast("double").alias("total"), F.sum(F.col("n") * F.col("level")).cast("double").alias("mass"))
+    start = F.struct(F.lit(0.0).alias("below"), F.lit(0.0).alias("mass"), F.lit(-1.0).alias("best"), F.lit(0).alias("level"))
+
+    def step(state, bar):
+        below, mass = state["below"] + bar["n"], state["mass"] + bar["n"] * bar["level"]
+        spread = F.when(below < F.col("total"), F.pow(F.col("mass") * below / F.col("total") - mass, F.lit(2.0)) / (below * (F.col("total") - below))).otherwise(-1.0)
+        better = spread > state["best"]
+        return F.struct(below.alias("below"), mass.alias("mass"), F.when(better, spread).otherwise(state["best"]).alias("best"), F.when(better, bar["level"]).otherwise(state["level"]).alias("level"))
+
+    dark = whole.select("keys", "levels", F.aggregate("levels", start, step, lambda s: s["level"]).alias("dark"))
+    ink = dark.select("keys", F.inline(F.filter("levels", lambda bar: bar["level"] <= F.col("dark"))))
+    n, total, squares = F.sum("n"), F.sum(F.col("n") * F.col("level")), F.sum(F.col("n") * F.col("level") * F.col("level"))
+    return ink.groupBy("keys").agg(F.when(n > 100, F.sqrt(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0)))).alias("ink_std"))
+
+
+def image_channels(images: DataFrame, keys: list[str], seal_box: tuple[float, float, float, float] = SEAL_BOX) -> DataFrame:
+    """Statistics behind the security-feature rules, one row per distinct key; the seal box is given as shares of the image.
+
+    The share of bright pixels is NULL for a picture without a header part, as is the deviation of ink with too little of it.
+    """
+    pictures = _readable(images, keys)
+    h, w, zero = F.col("height"), F.col("width"), F.lit(0)
+    strip = lambda n: F.least(n, F.lit(50))
+    y0, y1, x0, x1 = (F.floor(n * F.lit(share)) for n, share in zip((h, h, w, w), seal_box))
+    windows = [
+        _whole(), _window("top", zero, zero, strip(h), w), _window("bottom", h - strip(h), zero, strip(h), w), _window("left", zero, zero, h, strip(w)), _window("right", zero, w - strip(w), h, strip(w)),
+        _window("header", zero, F.floor(w / 4), F.floor(h / 4), F.floor(3 * w / 4) - F.floor(w / 4)), _window("seal", y0, x0, y1 - y0, x1 - x0)]
+    numbers = {"whole": ["blue", "red", "gray", "saturation", "laplacian"], **dict.fromkeys(("top", "bottom", "left", "right"), ["laplacian"]), "header": ["bright"], "seal": ["hue", "saturation"]}
+    sums = _sums(pictures, windows, numbers, levels="whole")
+    stats = {
+        "blue_red": _mean("blue") / (_mean("red") + 1), "gray_var": _variance("gray"), "saturation": _mean("saturation"), "saturation_std": F.sqrt(_variance("saturation")),
+        "laplace_var": _variance("laplacian"), "bright": _mean("bright"), "hue_std": F.sqrt(_variance("hue"))}
+    parts = sums.groupBy("keys", "part").agg(*[c.alias(n) for n, c in stats.items()])
+    of = lambda part, name: F.max(F.when(F.col("part") == part, F.col(name)))
+    tones = parts.groupBy("keys").agg(
+        of("whole", "blue_red").alias("blue_red"), of("header", "bright").alias("header_bright"), of("whole", "saturation_std").alias("sat_std"), of("whole", "laplace_var").alias("laplace_var"),
+        (reduce(lambda a, b: a + b, [of(p, "laplace_var") for p in ("top", "bottom", "left", "right")]) / 4).alias("border_detail"),
+        F.coalesce(of("seal", "hue_std"), F.lit(0.0)).alias("seal_hue_std"), F.coalesce(of("seal", "saturation"), F.lit(0.0)).alias("seal_sat_mean"), of("whole", "gray_var").alias("gray_var"))
+    return _together(images, keys, [tones, _ink_deviation(sums)], CHANNEL_STATS)
+
+
+# --- preparing and drawing ------------------------------------------------------------------------------------------------
+
+
 def prepared_size(width: Column, height: Column) -> tuple[Column, Column]:
     """Width capped at 2000 pixels, ratio kept."""
     return F.least(width, F.lit(2000)), F.when(width > 2000, F.floor(height * (F.lit(2000) / width)).cast("bigint")).otherwise(height)

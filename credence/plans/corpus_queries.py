@@ -251,23 +251,66 @@ def src_images(spark, sf):
     return image_folder(spark, folder, "*.png").select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("id"), "width", "height", "readable")
 
 
-def _pictures(spark, sf):
-    return corpus.vector_images(parquet_table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+def _pictures(spark, sf, scale=16):
+    return corpus.vector_images(parquet_table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", scale)
 
 
-def _feature_query(name):
+def _feature_query(name, scale=16):
     def run(spark, sf):
-        return corpus.image_features(_pictures(spark, sf), ["vec_id"], [name]).select("vec_id", F.round(name, 4).alias(name))
+        return corpus.image_features(_pictures(spark, sf, scale), ["vec_id"], [name]).select("vec_id", F.round(name, 4).alias(name))
 
     return run
 
 
-for _name, _feature in (("i_sharpness", "sharpness"), ("i_edges", "edge_density"), ("i_texture", "texture"), ("i_noise", "noise")):
-    R.add(_name)(_feature_query(_feature))
-
 _CELL = "least(255, greatest(0, (v::DOUBLE + 0.5::DOUBLE) * 255))"
 
 
+def _drawn_sql(scale=16):
+    """Pixels (vec_id, y, x) of the pictures; ``value_at`` and ``gray_at`` read the cells of the vector that they lie in."""
+    side = 8 * scale
+    return (
+        f"c AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor({_CELL}) AS INTEGER)) AS g, list_transform(embedding, lambda v: CAST(floor(255 - {_CELL}) AS INTEGER)) AS b FROM embeddings), "
+        "k AS (SELECT *, list_transform(range(0, 64), lambda i: g[(i // 8) * 8 + (i + 7) % 8 + 1]) AS r FROM c), "
+        "p AS (SELECT *, list_transform(range(0, 64), lambda i: CAST(floor(0.114::DOUBLE * b[i + 1] + 0.587::DOUBLE * g[i + 1] + 0.299::DOUBLE * r[i + 1] + 0.5::DOUBLE) AS INTEGER)) AS gray FROM k), "
+        f"px AS (SELECT p.*, ys.y, xs.x FROM p, (SELECT unnest(range(0, {side})) AS y) ys, (SELECT unnest(range(0, {side})) AS x) xs)")
+
+
+def _value_at(plane, y="y", x="x", scale=16):
+    return f"{plane}[(({y}) // {scale}) * 8 + ({x}) // {scale} + 1]"
+
+
+def _mirror_sql(n, size="128"):
+    return f"(CASE WHEN {n} < 0 THEN -({n}) WHEN {n} >= {size} THEN 2 * {size} - 2 - ({n}) ELSE {n} END)"
+
+
+def _gray_near(dy, dx):
+    return _value_at("gray", _mirror_sql(f"y + {dy}"), _mirror_sql(f"x + {dx}"))
+
+
+def _variance_sql(value, where=""):
+    """From exact sums, in the order of the query, so that ties of rounding fall alike."""
+    total = lambda v: f"(sum({v}){where})::DOUBLE / (count(*){where})"
+    return f"greatest({total(f'({value}) * ({value})')} - ({total(value)}) * ({total(value)}), 0)"
+
+
+_LAPLACE = f"{_gray_near(-1, 0)} + {_gray_near(1, 0)} + {_gray_near(0, -1)} + {_gray_near(0, 1)} - 4 * {_value_at('gray')}"
+_SOBEL = " + ".join(
+    f"abs({a} - ({b}))" for a, b in (
+        (f"({_gray_near(-1, 1)} + 2 * {_gray_near(0, 1)} + {_gray_near(1, 1)})", f"{_gray_near(-1, -1)} + 2 * {_gray_near(0, -1)} + {_gray_near(1, -1)}"),
+        (f"({_gray_near(1, -1)} + 2 * {_gray_near(1, 0)} + {_gray_near(1, 1)})", f"{_gray_near(-1, -1)} + 2 * {_gray_near(-1, 0)} + {_gray_near(-1, 1)}")))
+_BLUR = " + ".join(f"{v * w} * {_gray_near(dy, dx)}" for dy, v in zip(range(-2, 3), (1, 4, 6, 4, 1)) for dx, w in zip(range(-2, 3), (1, 4, 6, 4, 1)))
+
+R.add("i_sharpness", f"WITH {_drawn_sql()}, l AS (SELECT vec_id, {_LAPLACE} AS v FROM px) SELECT vec_id, round(least(100, {_variance_sql('v')} / 5), 4) AS sharpness FROM l GROUP BY vec_id")(_feature_query("sharpness"))
+R.add("i_edges", (
+    f"WITH {_drawn_sql()}, e AS (SELECT vec_id, y, x, {_SOBEL} AS size FROM px), "
+    "tall AS (SELECT *, max(size) OVER (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM e), "
+    "near AS (SELECT *, max(m) OVER (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS beside FROM tall) "
+    "SELECT vec_id, round(avg(CASE WHEN size > 50 AND beside > 150 THEN 1 ELSE 0 END) * 100, 4) AS edge_density FROM near GROUP BY vec_id"))(_feature_query("edge_density"))
+R.add("i_noise", f"WITH {_drawn_sql()} SELECT vec_id, round(stddev_pop({_value_at('gray')} - floor(({_BLUR})::DOUBLE / 256 + 0.5::DOUBLE)), 4) AS noise FROM px GROUP BY vec_id")(_feature_query("noise"))
+# cells of 12 pixels, so that blocks of 16 are not flat
+R.add("i_texture", (
+    f"WITH {_drawn_sql(12)}, s AS (SELECT vec_id, stddev_pop({_value_at('gray', scale=12)}) AS std FROM px WHERE y < 80 AND x < 80 GROUP BY vec_id, y // 16, x // 16) "
+    "SELECT vec_id, round(avg(std), 4) AS texture FROM s GROUP BY vec_id"))(_feature_query("texture", 12))
 
 @R.add("i_resolution", "SELECT vec_id, round(least(100, pow(16 * sqrt(len(embedding)), 2) / 480000::DOUBLE * 100), 4) AS resolution FROM embeddings")
 def i_resolution(spark, sf):
@@ -287,7 +330,13 @@ R.add("i_white", (
     "SELECT vec_id, round(len(list_filter(gray, lambda x: x > 245))::DOUBLE / 64 * 100, 4) AS white_ratio FROM y"))(_feature_query("white_ratio"))
 
 
-@R.add("i_clone")
+# a block of 32 is two by two cells, of which every sample holds all four
+@R.add("i_clone", (
+    f"WITH {_drawn_sql()}, q AS (SELECT vec_id, [{_value_at('gray')}, {_value_at('gray', x='x + 16')}, {_value_at('gray', y='y + 16')}, {_value_at('gray', 'y + 16', 'x + 16')}] AS cells FROM px WHERE y IN (0, 32, 64) AND x IN (0, 32, 64)), "
+    "n AS (SELECT vec_id, cells, count(*) AS n FROM q WHERE list_stddev_pop(cells) >= 2 GROUP BY vec_id, cells), "
+    "t AS (SELECT vec_id, sum(n) AS blocks, sum(n - 1) AS repeats, count(*) FILTER (n > 2) AS over FROM n GROUP BY vec_id) "
+    "SELECT vec_id, CAST(9 AS BIGINT) AS total_blocks, CAST(coalesce(blocks, 0) AS BIGINT) AS blocks, CAST(coalesce(repeats, 0) AS BIGINT) AS repeats, CAST(coalesce(over, 0) AS BIGINT) AS groups_over_two, "
+    "CAST(least(100, coalesce(repeats, 0) * 10) AS INTEGER) AS clone_score, false AS cloned FROM embeddings LEFT JOIN t USING (vec_id)"))
 def i_clone(spark, sf):
     """Repeated blocks per picture."""
     pictures = _pictures(spark, sf)
@@ -295,12 +344,47 @@ def i_clone(spark, sf):
     return consistency.clone_blocks(corpus.image_blocks(pictures, "vec_id"), "vec_id", images=sizes)
 
 
-@R.add("i_channels")
+def _channels_sql():
+    plane = lambda c: f"{_value_at(c)}::DOUBLE"
+    top, low = (f"{f}({', '.join(plane(c) for c in 'bgr')})" for f in ("greatest", "least"))
+    near = lambda dy, dx: _value_at("gray", "top + " + _mirror_sql(f"(y - top + {dy})", "high"), "lft + " + _mirror_sql(f"(x - lft + {dx})", "broad"))
+    return (
+        f"WITH {_drawn_sql()}, t AS (SELECT vec_id, y, x, {plane('b')} AS b, {plane('g')} AS g, {plane('r')} AS r, {plane('gray')} AS gray, {top} AS hi, {low} AS lo FROM px), "
+        "u AS (SELECT *, CASE WHEN hi > 0 THEN floor(255 * (hi - lo) / hi + 0.5::DOUBLE) ELSE 0 END AS sat, "
+        "CASE WHEN hi = r THEN (g - b) / (hi - lo) WHEN hi = g THEN 2 + (b - r) / (hi - lo) ELSE 4 + (r - g) / (hi - lo) END * 60 AS h, "
+        "y >= 96 AND y < 121 AND x >= 44 AND x < 83 AS seal, y < 32 AND x >= 32 AND x < 96 AS header FROM t), "
+        "v AS (SELECT *, CASE WHEN hi > lo THEN floor((CASE WHEN h < 0 THEN h + 360 ELSE h END) / 2 + 0.5::DOUBLE) % 180 ELSE 0 END AS hue FROM u), "
+        "tones AS (SELECT vec_id, avg(b) / (avg(r) + 1) AS blue_red, avg(CASE WHEN b + g + r > 660 THEN 1 ELSE 0 END) FILTER (header) AS header_bright, "
+        f"sqrt({_variance_sql('sat')}) AS sat_std, {_variance_sql('gray')} AS gray_var, sqrt({_variance_sql('hue', ' FILTER (seal)')}) AS seal_hue_std, "
+        " avg(sat) FILTER (seal) AS seal_sat_mean FROM v GROUP BY vec_id), "
+        "w AS (SELECT * FROM (VALUES (0, 0, 0, 128, 128), (1, 0, 0, 50, 128), (2, 78, 0, 50, 128), (3, 0, 0, 128, 50), (4, 0, 78, 128, 50)) w(part, top, lft, high, broad)), "
+        f"m AS (SELECT vec_id, part, {near(-1, 0)} + {near(1, 0)} + {near(0, -1)} + {near(0, 1)} - 4 * {_value_at('gray')} AS v FROM px, w "
+        "WHERE y >= top AND y < top + high AND x >= lft AND x < lft + broad), "
+        f"l AS (SELECT vec_id, part, {_variance_sql('v')} AS v FROM m GROUP BY vec_id, part), "
+        "d AS (SELECT vec_id, max(v) FILTER (part = 0) AS laplace_var, (max(v) FILTER (part = 1) + max(v) FILTER (part = 2) + max(v) FILTER (part = 3) + max(v) FILTER (part = 4)) / 4 AS border_detail FROM l GROUP BY vec_id), "
+        "bars AS (SELECT vec_id, gray AS level, count(*) AS n FROM t GROUP BY vec_id, gray), "
+        "sums AS (SELECT *, sum(n) OVER low AS below, sum(n * level) OVER low AS mass, sum(n) OVER every AS total, sum(n * level) OVER every AS whole FROM bars "
+        "WINDOW low AS (PARTITION BY vec_id ORDER BY level ROWS UNBOUNDED PRECEDING), every AS (PARTITION BY vec_id)), "
+        "spread AS (SELECT *, CASE WHEN below < total THEN pow(whole * below / total - mass, 2) / (below * (total - below)) ELSE -1 END AS s FROM sums), "
+        "dark AS (SELECT vec_id, arg_max(level, (s, -level)) AS dark, max(s) AS s FROM spread GROUP BY vec_id), "
+        "ink AS (SELECT vec_id, CASE WHEN sum(n) > 100 THEN sqrt(greatest(sum(n * level * level) / sum(n) - (sum(n * level) / sum(n)) * (sum(n * level) / sum(n)), 0)) END AS ink_std FROM bars JOIN dark USING (vec_id) "
+        "WHERE level <= CASE WHEN s < 0 THEN 0 ELSE dark END GROUP BY vec_id), "
+        "a AS (SELECT * FROM tones JOIN d USING (vec_id) LEFT JOIN ink USING (vec_id)), "
+        "points AS (SELECT *, least(100, greatest(0, 100 - CASE WHEN blue_red > 1.1 THEN -5 WHEN blue_red < 0.6 THEN 15 ELSE 0 END - CASE WHEN header_bright < 0.05 THEN 10 ELSE 0 END - CASE WHEN NOT sat_std > 30 THEN 10 ELSE 0 END)) AS uv, "
+        "100 - CASE WHEN laplace_var <= 50 THEN 10 ELSE 0 END AS laser, "
+        "least(100, 100 - CASE WHEN seal_hue_std > 40 AND seal_sat_mean > 60 THEN -5 WHEN seal_hue_std > 20 THEN 0 ELSE 15 END) AS holo, "
+        "least(100, 100 - CASE WHEN border_detail > 200 THEN -5 WHEN border_detail <= 50 THEN 10 ELSE 0 END) AS micro FROM a) "
+        f"SELECT vec_id, {', '.join(f'round({c} + 1e-9::DOUBLE, 4) AS {c}' for c in corpus.CHANNEL_STATS)}, "
+        "CAST(round_even(uv * 0.20::DOUBLE + laser * 0.35::DOUBLE + holo * 0.25::DOUBLE + micro * 0.20::DOUBLE, 0) AS INTEGER) AS score FROM points")
+
+
+@R.add("i_channels", _channels_sql())
 def i_channels(spark, sf):
     stats = corpus.image_channels(_pictures(spark, sf), ["vec_id"])
     checked = stats.withColumn("s", capture.security_check(
         F.lit("certificate"), F.col("blue_red"), F.col("header_bright"), F.col("sat_std"), F.col("laplace_var"), F.col("ink_std"), F.col("seal_hue_std"), F.col("seal_sat_mean"), F.lit(False), F.col("border_detail")))
-    return checked.select("vec_id", *[F.round(c, 4).alias(c) for c in corpus.CHANNEL_STATS], "s.score")
+    # strips of 6,400 pixels give values halfway between two; all of them are rounded up
+    return checked.select("vec_id", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in corpus.CHANNEL_STATS], "s.score")
 
 
 @R.add("i_prepare", "SELECT doc_id, least(n_chars, 2000) AS width, CASE WHEN n_chars > 2000 THEN CAST(floor((n_chars // 3) * (2000::DOUBLE / n_chars)) AS BIGINT) ELSE n_chars // 3 END AS height FROM documents")

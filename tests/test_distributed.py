@@ -1,9 +1,11 @@
 """Operators against brute force on small data, hot keys, tables, streams, pictures."""
 
+import math
 import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import picture_reference as reference
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,16 +254,43 @@ def slow_laplacian(g):
 def test_picture_statistics():
     rnd = np.random.default_rng(0)
     img = rnd.integers(0, 256, (40, 50, 3)).astype(np.uint8)
-    gray = corpus.gray_of(img)
-    assert np.array_equal(corpus.laplacian(gray), slow_laplacian(gray))
+    gray = reference.gray_of(img)
+    assert np.array_equal(reference.laplacian(gray), slow_laplacian(gray))
     flat = np.full((200, 200, 3), 250, dtype=np.uint8)
-    feats = dict(zip(corpus.IMAGE_FEATURES, corpus.describe(200, 200, flat.tobytes())))
+    feats = dict(zip(corpus.IMAGE_FEATURES, reference.describe(200, 200, flat.tobytes())))
     assert feats["white_ratio"] == 100 and feats["sharpness"] == feats["edge_density"] == feats["noise"] == feats["saturation"] == feats["texture"] == 0
     assert feats["clone_score"] == 100 and feats["resolution"] == pytest.approx(200 * 200 / 4800)
-    blocks = corpus.blocks_of(np.arange(100 * 64).reshape(100, 64), 16)
+    blocks = reference.blocks_of(np.arange(100 * 64).reshape(100, 64), 16)
     assert len(blocks) == 6 * 3
 
 
+def test_banded_picture_statistics_equal_those_of_whole_pictures(spark):
+    """Several bands, sides narrower than what mirroring needs, cells, one flat colour, a strip narrower than the borders."""
+    rnd = np.random.default_rng(1)
+    images = {}
+    for i, (h, w) in enumerate([(300, 21), (129, 131), (128, 60), (40, 50), (1, 1), (2, 9), (3, 3), (1, 40), (257, 2), (130, 110), (97, 49)]):
+        img = rnd.integers(0, 256, (h, w, 3))
+        if i in (1, 9):
+            img = np.kron(rnd.integers(0, 256, (h // 10 + 1, w // 10 + 1, 3)), np.ones((10, 10, 1)))[:h, :w]
+        if i == 10:
+            img[:] = 7
+        images[i] = img.astype(np.uint8)
+    rows = [(i, *img.shape[:2], img.tobytes()) for i, img in images.items()] + [(None, -1, -1, b""), (90, 2, 2, b"short"), (91, None, None, None)]
+    pictures = spark.createDataFrame(rows, "id long, height int, width int, data binary")
+    feats = {r.id: r for r in corpus.image_features(pictures, ["id"]).collect()}
+    stats = {r.id: r for r in corpus.image_channels(pictures, ["id"]).collect()}
+    assert set(feats) == set(stats) == {*images, None, 90, 91}
+    for k in (None, 90, 91):
+        assert all(feats[k][n] is None for n in corpus.IMAGE_FEATURES) and all(stats[k][n] is None for n in corpus.CHANNEL_STATS)
+    for i, img in images.items():
+        h, w = img.shape[:2]
+        for n, v in zip(corpus.IMAGE_FEATURES, reference.describe(h, w, img.tobytes())):
+            assert feats[i][n] == pytest.approx(v, abs=1e-7), (i, n)
+        for n, v in zip(corpus.CHANNEL_STATS, reference.channel_stats(h, w, img.tobytes())):
+            assert (stats[i][n] is None) if math.isnan(v) else stats[i][n] == pytest.approx(v, abs=1e-6), (i, n)
+    assert corpus.image_features(pictures.limit(0), ["id"]).collect() == [] and corpus.image_channels(pictures.limit(0), ["id"]).collect() == []
+
+
 def test_pictures_round_trip(spark, tmp_path):
     vectors = spark.createDataFrame([(1, [0.1] * 64), (2, [-0.2] * 32 + [0.3] * 32)], "id long, v array<double>")
     pictures = corpus.vector_images(vectors, "id", "v", scale=4)
