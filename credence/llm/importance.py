@@ -106,14 +106,15 @@ def best_cut(good: np.ndarray, bad: np.ndarray, care: float = 4.0) -> float:
     return float(cuts[best[np.argmax(gaps[best])]])
 
 
-def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labelled: int = MOST_LABELLED, temperature: float = 1e-3, seed: int = 7) -> DataFrame:
-    """Every document with its log weight per gram, its Gumbel key and whether the draw takes it.
+def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labelled: int = MOST_LABELLED, temperature: float = 1.0, seed: int = 7) -> DataFrame:
+    """Every document with its log weights, its Gumbel key and whether the draw takes it.
 
-    Target text is what the labels call good, raw text is every document.  The log weight per gram
-    (so that length does not decide) over ``temperature``, plus Gumbel noise from a hash of doc_id,
-    is the key; the k greatest keys are drawn without replacement, k being the number of documents
-    whose log weight lies on the target's side of the cut that parts the labelled rows best.  At a low
-    temperature only documents near the cut are left to chance.
+    Target text is what the labels call good, raw text is every document.  ``log_weight`` is the sum of the log
+    ratios of a text's grams, ``mean_weight`` that per gram.  Sums alone would draw by length, so every gram pays the
+    cut that parts the labelled rows best: ``weight`` is log_weight less the cut for each gram, the log importance
+    weight against raw text tilted by that much.  The key is ``weight`` over ``temperature`` plus Gumbel noise from a
+    hash of doc_id; the k greatest keys are drawn without replacement, k being the number of documents whose weight
+    is 0 or more.  Only documents some units from the cut are left to chance, short ones more than long ones.
 
     A text without words has weight 0, a null text is empty; repeated doc_ids are weighed each; ties in
     the key fall to the lowest doc_id; rows without doc_id are weighed with doc_id null and draw as 0.
@@ -125,15 +126,18 @@ def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_la
     ratios = log_ratios(raw, aim) if target else np.zeros(buckets)
     mean = F.col("log_weight") / F.greatest(F.col("n_grams"), F.lit(1))
     rows = written(log_weights(docs, ratios).withColumn("mean_weight", mean), "importance")
-    spark = docs.sparkSession
-    if sample:
-        known = spark.createDataFrame(list(sample.items()), "doc_id long, good boolean")
-        seen = rows.join(F.broadcast(known), "doc_id").where("n_grams > 0").select("good", "mean_weight").limit(most_labelled).collect()  # broadcast: at most most_labelled rows
-    else:
-        seen = []
-    cut = best_cut(np.array([r["mean_weight"] for r in seen if r["good"]]), np.array([r["mean_weight"] for r in seen if not r["good"]]))
-    kept = F.lit(True) if cut == -np.inf else F.col("mean_weight") >= F.lit(cut)
-    k = rows.where(kept).count()
+    cut = best_cut(*_labelled_means(rows, sample))
+    rows = rows.withColumn("weight", F.col("log_weight") - F.lit(cut if np.isfinite(cut) else 0.0) * F.col("n_grams"))
+    k = rows.where("weight >= 0" if np.isfinite(cut) else F.lit(True)).count()
     uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(seed)), F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float((1 << 52) - 1))
-    keyed = rows.withColumn("gumbel_key", F.col("mean_weight") / F.lit(temperature) - F.log(-F.log(uniform)))
+    keyed = rows.withColumn("gumbel_key", F.col("weight") / F.lit(temperature) - F.log(-F.log(uniform)))
     return mark_greatest(keyed, F.col("gumbel_key"), k, F.coalesce("doc_id", F.lit(0)), "kept")
+
+
+def _labelled_means(rows: DataFrame, sample: dict[int, bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean weights of the labelled documents with words, good ones and bad ones; rows of one doc_id count as their mean."""
+    if not sample:
+        return np.empty(0), np.empty(0)
+    known = rows.sparkSession.createDataFrame(list(sample.items()), "doc_id long, good boolean")
+    seen = rows.where("n_grams > 0").join(F.broadcast(known), "doc_id").groupBy("doc_id", "good").agg(F.avg("mean_weight").alias("mean_weight")).collect()  # as many rows as the sample at most
+    return tuple(np.array([r["mean_weight"] for r in seen if r["good"] == good]) for good in (True, False))

@@ -370,6 +370,40 @@ def test_resampling_parts_labelled_junk(spark, folder):
     assert rates[1] > 0.95 and rates[0] < 0.2
 
 
+def test_resampling_draws_what_sorting_all_keys_draws(spark, folder):
+    """Counts, ratios, cut, keys and the k greatest by loops over all texts, with a Gumbel noise that moves many rows."""
+    import pyarrow as pa
+
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 300"), spark.read.parquet(f"{folder}/labels.parquet")
+    buckets, temperature = 500, 20.0
+    rows = [(r.doc_id, r.text, r.noise) for r in docs.select("doc_id", "text", F.xxhash64("doc_id", F.lit(7)).alias("noise")).collect()]
+    marks = defaultdict(list)
+    for r in labels.collect():
+        marks[r.doc_id].append(r.quality)
+    good = {d: min(q) == 1 for d, q in marks.items()}
+    found = {}
+    for d, text, _ in rows:
+        hashes, counts = next(common.text_words(pa.array([text])))[2:]
+        found[d] = Counter(importance._buckets(hashes, counts, buckets)[0].tolist())
+    raw = sum(found.values(), Counter())
+    aim = sum((found[d] for d in found if good.get(d)), Counter())
+    ratio = [math.log((aim[b] + 1) / (aim.total() + buckets)) - math.log((raw[b] + 1) / (raw.total() + buckets)) for b in range(buckets)]
+    total = {d: sum(n * ratio[b] for b, n in c.items()) for d, c in found.items()}
+    mean = {d: total[d] / c.total() for d, c in found.items() if c}
+    yes, no = sorted(mean[d] for d in mean if good.get(d) is True), sorted(mean[d] for d in mean if good.get(d) is False)
+    values = sorted({*yes, *no})
+    worth = lambda cut: 4 * sum(v >= cut for v in yes) / len(yes) + sum(v < cut for v in no) / len(no)
+    cuts = [(values[0] - 1, 0.0)] + [((x + y) / 2, y - x) for x, y in zip(values, values[1:])]
+    cut = max(cuts, key=lambda c: (round(worth(c[0]), 9), c[1]))[0]
+    weight = {d: total[d] - cut * found[d].total() for d in found}
+    key = {d: weight[d] / temperature - math.log(-math.log((n % ((1 << 52) - 1) + 0.5) / float((1 << 52) - 1))) for d, _, n in rows}
+    k = sum(w >= 0 for w in weight.values())
+    want = set(sorted(key, key=lambda d: (-key[d], d))[:k])
+    got = {r.doc_id: r for r in importance.resample(docs, labels, buckets=buckets, temperature=temperature).collect()}
+    assert all(got[d].log_weight == pytest.approx(total[d], abs=1e-6) and got[d].gumbel_key == pytest.approx(key[d], abs=1e-6) for d in found)
+    assert {d for d in got if got[d].kept} == want and want != {d for d in weight if weight[d] >= 0}
+
+
 def test_resampling_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (8, 0), (None, 1)], "doc_id long, quality int")
     assert importance.resample(odd, labels).count() == 10
@@ -438,6 +472,38 @@ def test_bit_parallel_distance():
         assert decontamination.Pattern(item).search(text)[0] == least(item, text)
 
 
+def test_search_equals_the_least_distance_to_any_stretch(spark):
+    """All documents against all items: planted with insertions, deletions and changes around the budget, at the start, the end and inside."""
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            last, row = row, [i]
+            for j, d in enumerate(text, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+        return min(row)
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((8, 12, 20, 30))]
+    docs = []
+    for i, item in items:
+        for edits in range(decontamination.budget(len(item)) + 3):
+            for kind in ("insert", "delete", "change", "mixed"):
+                chars = list(item)
+                for _ in range(edits):
+                    at, how = rng.randrange(len(chars)), rng.choice(["insert", "delete", "change"]) if kind == "mixed" else kind
+                    chars[at : at + (how != "insert")] = [] if how == "delete" else ["z"]
+                before, after = (" ".join(word() for _ in range(rng.choice((0, 9)))) for _ in range(2))
+                docs.append((len(docs), f"{before} {''.join(chars)} {after}"))
+    texts_of = {d: decontamination.normal(t) for d, t in docs}
+    want = {(d, i): least(item, t) for d, t in texts_of.items() for i, item in items}
+    want = {p: n for p, n in want.items() if n <= decontamination.budget(len(items[p[1]][1]))}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontamination.contaminated(corpus(spark, docs), bench).collect()}
+    assert set(got) == set(want) and len(want) > 20 and all(want[p] <= got[p] <= decontamination.budget(len(items[p[1]][1])) for p in want)
+
+
 def test_planted_passages_with_edits(spark, folder):
     items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").limit(8).collect()]
     rng, rows, want = random.Random(6), [], set()
