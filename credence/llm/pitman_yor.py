@@ -436,7 +436,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     parts = _scores(table, hot, samples, facts).select("block", F.lit(0).alias("kind"), "payload")
     meta = table.where("block is not null").select("block", F.lit(1).alias("kind"), F.col("full").alias("payload"))
     n, v = facts["tokens"], vocabulary
-    constant = -np.log10(float(n + 1) * float(v + 1))
+    constant = -np.log10(float(n + 1 * (v + 1)))
 
     def total(group: pa.Table) -> pa.Table:
         kinds = group["kind"].to_pylist()

@@ -92,11 +92,26 @@ def test_scores_base_and_fold(spark, folder):
         ws = docs[r.doc_id]
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(counts[w] > 0 for w in ws), n)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / ((n + 1) * (v + 1))) for w in ws), rel=1e-9)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + 1 * (v + 1))) for w in ws), rel=1e-9)
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_base_probabilities_sum_to_one(spark):
+    """The base of every training token and of one token for all others."""
+    words = ["a", "b", "a", "c\u00c9", "B"]
+    docs = corpus(spark, [(1, " ".join(words)), (2, ""), (3, "a"), (4, "b"), (5, "c\u00c9"), (6, "new"), (7, None)])
+    kept = {i: t for i, t in [(1, words), (2, []), (3, ["a"]), (4, ["b"]), (5, ["c\u00c9"]), (6, ["new"]), (7, [])] if zlib.crc32(str(i).encode()) % 7 != 2}
+    counts = Counter(w.lower() if w.isascii() else w for ws in kept.values() for w in [*ws, "<end>"])
+    n, v = sum(counts.values()), len(counts)
+    assert sum((c + 1) / (n + v + 1) for c in counts.values()) + 1 / (n + v + 1) == pytest.approx(1)
+    got = {r.doc_id: r for r in pitman_yor.score_documents(docs).collect()}
+    end = math.log10((counts["<end>"] + 1) / (n + v + 1))
+    assert got[2].base_score == got[7].base_score == pytest.approx(end, rel=1e-9)
+    assert got[3].base_score == pytest.approx(math.log10((counts["a"] + 1) / (n + v + 1)) + end, rel=1e-9)
+    assert {r.train_tokens for r in got.values()} == {n}
+
+
 def test_seating_follows_the_restaurant():
     rng = np.random.default_rng(1)
     # tables of four customers of one dish: weights of all seatings, by hand
