@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +26,8 @@ CHANNEL_STATS = ["blue_red", "header_bright", "sat_std", "laplace_var", "border_
 SEAL_BOX = (0.75, 0.95, 0.35, 0.65)
 #: Lines of a band, and how many beside it are read with it.
 BAND_LINES, BESIDE = 128, 2
+#: Records whose sums are sent on together; pictures that a task draws, and bytes of them that it sends on together.
+RECORDS, DRAWN_PER_TASK, DRAWN_BYTES = 1024, 256, 4 << 20
 
 
 # --- pictures cut into records ----------------------------------------------------------------------------------------------
@@ -43,23 +44,37 @@ def _lines(first: Column, end: Column) -> Column:
     return F.substring(F.col("data"), (first * F.col("width") * 3 + 1).cast("int"), ((end - first) * F.col("width") * 3).cast("int"))
 
 
-def _window(part: str, top: Column, left: Column, high: Column, broad: Column) -> Column:
-    return F.struct(F.lit(part).alias("part"), *[c.cast("int").alias(n) for n, c in {"top": top, "left": left, "high": high, "broad": broad}.items()])
+def _window(part: str, top: Column, left: Column, high: Column, broad: Column, step: int = BAND_LINES, beside: int = BESIDE, last: Column | None = None) -> Column:
+    """A part of a picture that is looked at on its own: cut every ``step`` lines, up to line ``last`` of it, with the lines beside."""
+    whole = {"top": top, "left": left, "high": high, "broad": broad, "step": F.lit(step), "beside": F.lit(beside), "last": high - 1 if last is None else last}
+    return F.struct(F.lit(part).alias("part"), *[c.cast("int").alias(n) for n, c in whole.items()])
 
 
 def _whole() -> Column:
     return _window("whole", F.lit(0), F.lit(0), F.col("height"), F.col("width"))
 
 
-def _bands(pictures: DataFrame, windows: list[Column]) -> DataFrame:
-    """(keys, part, width, left, high, broad, y, first, data): bands of windows, each window looked at on its own.
+def _strips(part: str, size: int) -> Column:
+    """Rows of blocks; a block starts every ``size`` pixels before the last ``size``."""
+    some = (F.col("height") > size) & (F.col("width") > size)
+    return _window(part, F.lit(0), F.lit(0), F.when(some, F.col("height")).otherwise(0), F.col("width"), size, 0, F.col("height") - size - 1)
 
-    Line y is the band's first, ``first`` that of its bytes; both count from the top of the window.
+
+def _records(images: DataFrame, keys: list[str], windows: list[Column]) -> DataFrame:
+    """(keys, part, width, left, high, broad, y, first, data): pieces of windows, and one record without data of the part "" per picture.
+
+    Line y is the piece's first, ``first`` that of its bytes; both count from the top of the window.  A picture whose bytes do
+    not fit its size has the part "" only, with sides of 0.  The picture itself is read once, whatever is asked of it.
     """
-    parts = pictures.select("*", F.inline(F.array(*windows))).where("high > 0 and broad > 0")
-    bands = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("high") - 1, F.lit(BAND_LINES))).alias("y"))
-    first, end = F.greatest(F.col("y") - BESIDE, F.lit(0)), F.least(F.col("y") + BAND_LINES + BESIDE, F.col("high"))
-    return bands.select("keys", "part", "width", "left", "high", "broad", "y", first.alias("first"), _lines(F.col("top") + first, F.col("top") + end).alias("data"))
+    fits = F.coalesce((F.col("height") > 0) & (F.col("width") > 0) & (F.length("data") == F.col("height").cast("bigint") * F.col("width") * 3), F.lit(False))
+    side = lambda n: F.when(fits, F.col(n).cast("int")).otherwise(0).alias(n)
+    pictures = images.select(F.struct(*keys).alias("keys"), side("height"), side("width"), "data")
+    known = _window("", F.lit(0), F.lit(0), F.col("height"), F.col("width"), last=F.lit(0))
+    parts = pictures.select("*", F.inline(F.array(known, *windows))).where("part = '' or (high > 0 and broad > 0)")
+    pieces = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("last"), F.col("step"))).alias("y"))
+    first, end = F.greatest(F.col("y") - F.col("beside"), F.lit(0)), F.least(F.col("y") + F.col("step") + F.col("beside"), F.col("high"))
+    lines = F.when(F.col("part") != "", _lines(F.col("top") + first, F.col("top") + end)).alias("data")
+    return pieces.select("keys", "part", "width", "left", "high", "broad", "y", first.alias("first"), lines)
 
 
 def _bgr(data: bytes, width: int) -> np.ndarray:
@@ -111,16 +126,21 @@ class Band:
 
     def bright(self) -> np.ndarray:
         """Whether the mean of the three colours is over 220."""
-        return self.bgr.sum(axis=2) > 660
+        return self.blue() + self.bgr[:, :, 1] + self.red() > 660
+
+    def _ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest and the least of the three colours."""
+        b, g, r = (self.bgr[:, :, i] for i in range(3))
+        return np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
 
     def saturation(self) -> np.ndarray:
-        top, low = self.bgr.max(axis=2), self.bgr.min(axis=2)
+        top, low = self._ends()
         return np.floor(255 * (top - low) / np.maximum(top, 1) + 0.5).astype(np.int64)
 
     def hue(self) -> np.ndarray:
         """Hue in half degrees, 0 to 179."""
         b, g, r = (self.bgr[:, :, i].astype(np.float64) for i in range(3))
-        top, low = self.bgr.max(axis=2), self.bgr.min(axis=2)
+        top, low = self._ends()
         d = np.maximum(top - low, 1)
         h = np.where(top == r, (g - b) / d, np.where(top == g, 2 + (b - r) / d, 4 + (r - g) / d)) * 60
         return np.where(top > low, np.floor((h % 360) / 2 + 0.5) % 180, 0).astype(np.int64)
@@ -151,29 +171,65 @@ class Band:
         return (size[1:-1] > 50) & (wide[:, :-2] | wide[:, 1:-1] | wide[:, 2:])
 
 
-def _sums(pictures: DataFrame, windows: list[Column], numbers: dict[str, list[str]], levels: str | None = None) -> DataFrame:
-    """(keys, part, pixels, levels, and per number its sum and NAME_squares): over each window, ``numbers`` by the window's part.
+def _strip(data: bytes, width: int, size: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Sums and summed squares of the blocks of one row of them, and a digest of each block's grey values at ``places``."""
+    n = (width - 1) // size
+    gray = _gray(_bgr(data, width))[:, : n * size]
+    blocks = gray.reshape(size, n, size).swapaxes(0, 1).reshape(n, -1).astype(np.int64)
+    digests = [hashlib.md5(b.tobytes()).hexdigest() for b in blocks[:, places].astype(np.uint8)] if len(places) else []
+    return blocks.sum(axis=1), (blocks * blocks).sum(axis=1), digests
+
+
+#: Parts that are rows of blocks: their size, and the places of a block that a digest is taken of.
+_STRIPS = {
+    "texture": (16, np.zeros(0, int)),
+    "clone": (48, (np.arange(0, 48, 6)[:, None] * 48 + np.arange(0, 48, 6)).ravel()),
+}
+
+
+def _sums(images: DataFrame, keys: list[str], windows: list[Column], numbers: dict[str, list[str]], levels: str | None = None) -> DataFrame:
+    """Sums of every piece of the windows, and a row of the part "" per picture.
 
-    ``levels`` names the part whose pixels of each grey level from 0 to 255 are counted too.
+    (keys, part, high, broad, pixels, levels, blocks, stds, digests, and per number its sum and NAME_squares), ``numbers`` by the window's
+    part.  ``levels`` names the part whose pixels of each grey level from 0 to 255 are counted too.  Rows of blocks have the
+    digests of their blocks, or, where none are taken, the blocks' number and summed deviations.
     """
-    bands, names = _bands(pictures, windows), sorted({n for some in numbers.values() for n in some})
+    records, names = _records(images, keys, windows), sorted({n for some in numbers.values() for n in some})
     sums = [c for n in names for c in (n, f"{n}_squares")]
 
+    def measured(part: str, place: list, data: pa.Scalar) -> dict:
+        if not part:
+            return {}
+        if part in _STRIPS:
+            size, places = _STRIPS[part]
+            total, squares, digests = _strip(data.as_buffer(), place[0], size, places)
+            if len(places):
+                return {"digests": digests}
+            return {"blocks": len(total), "stds": float((np.sqrt((squares * size * size - total * total).astype(float)) / (size * size)).sum())}
+        band = Band(*place, data.as_buffer())
+        row = {"pixels": band.grays.size, "levels": np.bincount(band.grays.ravel(), minlength=256).tolist() if part == levels else None}
+        for n in numbers[part]:
+            values = getattr(band, n)()
+            if values.dtype == bool:
+                row[n] = row[f"{n}_squares"] = int(np.count_nonzero(values))
+            else:
+                values = values.astype(np.int64).ravel()
+                row[n], row[f"{n}_squares"] = int(values.sum()), int(values @ values)
+        return row
+
+    kinds = {"pixels": pa.int64(), "levels": pa.list_(pa.int64()), "blocks": pa.int64(), "stds": pa.float64(), "digests": pa.list_(pa.string()), **dict.fromkeys(sums, pa.int64())}
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, found = batch.column(1).to_pylist(), []
-            for i, (part, *place) in enumerate(zip(parts, *[c.to_pylist() for c in batch.columns[2:8]])):
-                band, row = Band(*place, batch.column(8)[i].as_buffer()), {}
-                for n in numbers[part]:
-                    values = getattr(band, n)().astype(np.int64)
-                    row[n], row[f"{n}_squares"] = int(values.sum()), int((values * values).sum())
-                found.append((band.grays.size, np.bincount(band.grays.ravel(), minlength=256).tolist() if part == levels else None, *[row.get(c) for c in sums]))
-            columns = [pa.array(c, t) for c, t in zip(zip(*found), [pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * len(sums)])]
-            if found:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["keys", "part", "pixels", "levels", *sums])
+        for whole in batches:
+            for start in range(0, whole.num_rows, RECORDS):
+                batch = whole.slice(start, RECORDS)
+                places = zip(*[c.to_pylist() for c in batch.columns[2:8]])
+                found = [measured(part, place, data) for part, place, data in zip(batch.column(1).to_pylist(), places, batch.column(8))]
+                columns = [pa.array([row.get(n) for row in found], kind) for n, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(5), *columns], names=["keys", "part", "high", "broad", *kinds])
 
-    schema = f"keys {bands.schema['keys'].dataType.simpleString()}, part string, pixels long, levels array<long>, " + ", ".join(f"{c} long" for c in sums)
-    return bands.mapInArrow(add, schema)
+    schema = f"keys {records.schema['keys'].dataType.simpleString()}, part string, high int, broad int, pixels long, levels array<long>, blocks long, stds double, digests array<string>"
+    return records.mapInArrow(add, ", ".join([schema, *[f"{c} long" for c in sums]]))
 
 
 def _mean(name: str) -> Column:
@@ -198,12 +254,9 @@ def _blocks(pictures: DataFrame, size: int, places: np.ndarray) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, width in enumerate(batch.column(1).to_pylist()):
-                n = (width - 1) // size
-                gray = _gray(_bgr(batch.column(2)[i].as_buffer(), width))[:, : n * size]
-                blocks = gray.reshape(size, n, size).swapaxes(0, 1).reshape(n, -1).astype(np.int64)
-                digests = [hashlib.md5(b.tobytes()).hexdigest() for b in blocks[:, places].astype(np.uint8)]
-                keys = pa.concat_arrays([batch.column(0).slice(i, 1)]).take(pa.array([0] * n))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(blocks.sum(axis=1)), pa.array((blocks * blocks).sum(axis=1)), pa.array(digests, pa.string())], names=["keys", "total", "squares", "block"])
+                total, squares, digests = _strip(batch.column(2)[i].as_buffer(), width, size, places)
+                keys = pa.concat_arrays([batch.column(0).slice(i, 1)]).take(pa.array([0] * len(total)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(total), pa.array(squares), pa.array(digests, pa.string())], names=["keys", "total", "squares", "block"])
 
     found = rows.mapInArrow(cut, f"keys {rows.schema['keys'].dataType.simpleString()}, total long, squares long, block string")
     area = size * size
@@ -229,13 +282,6 @@ def resolution(width: Column, height: Column) -> Column:
     return F.least(F.lit(100.0), width * height / 480_000 * 100)
 
 
-def _together(images: DataFrame, keys: list[str], parts: list[DataFrame], names: list[str]) -> DataFrame:
-    """Statistics of several passes side by side, one row per picture, unreadable ones with NULLs."""
-    known = images.select(F.struct(*keys).alias("keys"))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [known, *parts])
-    return rows.groupBy("keys").agg(*[F.max(n).alias(n) for n in names]).select("keys.*", *names)
-
-
 #: The number behind a feature, and the feature from its sums.
 _PIXEL_FEATURES = {
     "sharpness": ("laplacian", lambda n: F.least(F.lit(100.0), _variance(n) / 5)),
@@ -246,55 +292,62 @@ _PIXEL_FEATURES = {
 }
 
 
-def _texture(pictures: DataFrame) -> DataFrame:
-    """Mean deviation of blocks of 16; 0 for a picture without such blocks."""
-    stds = _blocks(pictures, 16, np.zeros(1, int)).select("keys", "std")
-    return stds.unionByName(pictures.select("keys"), allowMissingColumns=True).groupBy("keys").agg(F.coalesce(F.avg("std"), F.lit(0.0)).alias("texture"))
-
-
-def _clone_score(pictures: DataFrame) -> DataFrame:
-    """Ten points for every repeat of a block of 48, compared by every sixth pixel of every sixth line."""
-    blocks = _blocks(pictures, 48, (np.arange(0, 48, 6)[:, None] * 48 + np.arange(0, 48, 6)).ravel())
-    repeats = blocks.groupBy("keys", "block").agg((F.count(F.lit(1)) - 1).alias("repeats")).select("keys", "repeats")
-    points = repeats.unionByName(pictures.select("keys", F.lit(0).cast("bigint").alias("repeats")))
-    return points.groupBy("keys").agg(F.least(F.lit(100.0), F.sum("repeats") * 10.0).alias("clone_score"))
-
-
 def image_features(images: DataFrame, keys: list[str], names: list[str] = IMAGE_FEATURES) -> DataFrame:
     """The named pixel features of the classifier, by default all eight, one row per distinct key.
 
     The keys tell pictures apart: a key must not stand for two different ones.  A picture whose bytes do not fit its size has NULLs.
+    Texture is the mean deviation of blocks of 16, 0 without such blocks.  The clone score is ten points for every repeat of a block of
+    48, compared by every sixth pixel of every sixth line; the digests of one picture, a two-hundredth of its bytes, meet in its row.
     """
-    pictures, parts = _readable(images, keys), []
-    if "resolution" in names:
-        parts.append(pictures.select("keys", resolution(F.col("width").cast("double"), F.col("height").cast("double")).alias("resolution")))
-    if pixel := [n for n in _PIXEL_FEATURES if n in names]:
-        sums = _sums(pictures, [_whole()], {"whole": [_PIXEL_FEATURES[n][0] for n in pixel]})
-        parts.append(sums.groupBy("keys").agg(*[_PIXEL_FEATURES[n][1](_PIXEL_FEATURES[n][0]).alias(n) for n in pixel]))
-    if "texture" in names:
-        parts.append(_texture(pictures))
-    if "clone_score" in names:
-        parts.append(_clone_score(pictures))
-    return _together(images, keys, parts, list(names))
-
-
-def _ink_deviation(sums: DataFrame) -> DataFrame:
-    """Deviation of the dark pixels, over 100 of them; the level that separates dark from light has the largest between-class variance."""
-    counts = sums.select("keys", F.posexplode("levels").alias("level", "n")).where("n > 0").groupBy("keys", "level").agg(F.sum("n").alias("n"))
-    whole = counts.groupBy("keys").agg(  # at most 256 levels per picture
-        F.array_sort(F.collect_list(F.struct("level", "n"))).alias("levels"), F.sum("n").cast("double").alias("total"), F.sum(F.col("n") * F.col("level")).cast("double").alias("mass"))
-    start = F.struct(F.lit(0.0).alias("below"), F.lit(0.0).alias("mass"), F.lit(-1.0).alias("best"), F.lit(0).alias("level"))
-
-    def step(state, bar):
-        below, mass = state["below"] + bar["n"], state["mass"] + bar["n"] * bar["level"]
-        spread = F.when(below < F.col("total"), F.pow(F.col("mass") * below / F.col("total") - mass, F.lit(2.0)) / (below * (F.col("total") - below))).otherwise(-1.0)
-        better = spread > state["best"]
-        return F.struct(below.alias("below"), mass.alias("mass"), F.when(better, spread).otherwise(state["best"]).alias("best"), F.when(better, bar["level"]).otherwise(state["level"]).alias("level"))
-
-    dark = whole.select("keys", "levels", F.aggregate("levels", start, step, lambda s: s["level"]).alias("dark"))
-    ink = dark.select("keys", F.inline(F.filter("levels", lambda bar: bar["level"] <= F.col("dark"))))
-    n, total, squares = F.sum("n"), F.sum(F.col("n") * F.col("level")), F.sum(F.col("n") * F.col("level") * F.col("level"))
-    return ink.groupBy("keys").agg(F.when(n > 100, F.sqrt(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0)))).alias("ink_std"))
+    windows, pixel = [], [n for n in _PIXEL_FEATURES if n in names]
+    if pixel:
+        windows.append(_whole())
+    windows += [_strips(part, _STRIPS[part][0]) for part, name in (("texture", "texture"), ("clone", "clone_score")) if name in names]
+    sums = _sums(images, keys, windows, {"whole": [_PIXEL_FEATURES[n][0] for n in pixel]})
+    stats = {n: _PIXEL_FEATURES[n][1](_PIXEL_FEATURES[n][0]) for n in pixel}
+    stats["resolution"] = F.max(F.when(F.col("part") == "", resolution(F.col("broad").cast("double"), F.col("high").cast("double"))))
+    stats["texture"] = F.coalesce(F.sum("stds") / F.sum("blocks").cast("double"), F.lit(0.0))
+    digests = F.flatten(F.collect_list("digests"))
+    stats["clone_score"] = F.least(F.lit(100.0), (F.size(digests) - F.size(F.array_distinct(digests))) * 10.0)
+    readable = F.max(F.when(F.col("part") == "", F.col("broad"))) > 0
+    return sums.groupBy("keys").agg(*[F.when(readable, stats[n]).alias(n) for n in names]).select("keys.*", *names)
+
+
+def _ink_deviation(levels: Column) -> Column:
+    """Deviation of the dark pixels, over 100 of them, out of the level counts of a picture's bands.
+
+    The level that separates dark from light has the largest between-class variance.
+    """
+    counts = F.aggregate(levels, F.array_repeat(F.lit(0).cast("bigint"), 256), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    bars = F.filter(F.transform(counts, lambda n, level: F.struct(level.cast("bigint").alias("level"), n.alias("n"))), lambda bar: bar["n"] > 0)
+
+    def total(some: Column, value) -> Column:
+        return F.aggregate(some, F.lit(0).cast("bigint"), lambda sofar, bar: sofar + value(bar))
+
+    def split(have: Column) -> Column:
+        some = have["bars"]
+        start = F.struct(F.lit(0.0).alias("below"), F.lit(0.0).alias("mass"), F.lit(-1.0).alias("best"), F.lit(0).cast("bigint").alias("level"))
+
+        def step(state, bar):
+            below, mass = state["below"] + bar["n"], state["mass"] + bar["n"] * bar["level"]
+            spread = F.when(below < have["total"], F.pow(have["mass"] * below / have["total"] - mass, F.lit(2.0)) / (below * (have["total"] - below))).otherwise(-1.0)
+            better = spread > state["best"]
+            return F.struct(below.alias("below"), mass.alias("mass"), F.when(better, spread).otherwise(state["best"]).alias("best"), F.when(better, bar["level"]).otherwise(state["level"]).alias("level"))
+
+        return F.struct(some.alias("bars"), F.aggregate(some, start, step, lambda s: s["level"]).alias("dark"))
+
+    def deviation(have: Column) -> Column:
+        ink = have["ink"]
+        n, mass, squares = total(ink, lambda bar: bar["n"]), total(ink, lambda bar: bar["n"] * bar["level"]), total(ink, lambda bar: bar["n"] * bar["level"] * bar["level"])
+        return F.when(n > 100, F.sqrt(F.greatest(squares / n - (mass / n) * (mass / n), F.lit(0.0))))
+
+    def then(value: Column, step) -> Column:
+        """``step`` of a value that is computed once."""
+        return F.element_at(F.transform(F.array(value), step), 1)
+
+    whole = then(bars, lambda some: F.struct(some.alias("bars"), total(some, lambda bar: bar["n"]).cast("double").alias("total"), total(some, lambda bar: bar["n"] * bar["level"]).cast("double").alias("mass")))
+    dark = then(whole, split)
+    return then(then(dark, lambda have: F.struct(F.filter(have["bars"], lambda bar: bar["level"] <= have["dark"]).alias("ink"))), deviation)
 
 
 def image_channels(images: DataFrame, keys: list[str], seal_box: tuple[float, float, float, float] = SEAL_BOX) -> DataFrame:
@@ -302,7 +355,6 @@ def image_channels(images: DataFrame, keys: list[str], seal_box: tuple[float, fl
 
     The share of bright pixels is NULL for a picture without a header part, as is the deviation of ink with too little of it.
     """
-    pictures = _readable(images, keys)
     h, w, zero = F.col("height"), F.col("width"), F.lit(0)
     strip = lambda n: F.least(n, F.lit(50))
     y0, y1, x0, x1 = (F.floor(n * F.lit(share)) for n, share in zip((h, h, w, w), seal_box))
@@ -310,17 +362,19 @@ def image_channels(images: DataFrame, keys: list[str], seal_box: tuple[float, fl
         _whole(), _window("top", zero, zero, strip(h), w), _window("bottom", h - strip(h), zero, strip(h), w), _window("left", zero, zero, h, strip(w)), _window("right", zero, w - strip(w), h, strip(w)),
         _window("header", zero, F.floor(w / 4), F.floor(h / 4), F.floor(3 * w / 4) - F.floor(w / 4)), _window("seal", y0, x0, y1 - y0, x1 - x0)]
     numbers = {"whole": ["blue", "red", "gray", "saturation", "laplacian"], **dict.fromkeys(("top", "bottom", "left", "right"), ["laplacian"]), "header": ["bright"], "seal": ["hue", "saturation"]}
-    sums = _sums(pictures, windows, numbers, levels="whole")
+    sums = _sums(images, keys, windows, numbers, levels="whole")
     stats = {
         "blue_red": _mean("blue") / (_mean("red") + 1), "gray_var": _variance("gray"), "saturation": _mean("saturation"), "saturation_std": F.sqrt(_variance("saturation")),
         "laplace_var": _variance("laplacian"), "bright": _mean("bright"), "hue_std": F.sqrt(_variance("hue"))}
-    parts = sums.groupBy("keys", "part").agg(*[c.alias(n) for n, c in stats.items()])
+    parts = sums.groupBy("keys", "part").agg(*[c.alias(n) for n, c in stats.items()], F.collect_list("levels").alias("levels"))
     of = lambda part, name: F.max(F.when(F.col("part") == part, F.col(name)))
-    tones = parts.groupBy("keys").agg(
+    readable = F.max((F.col("part") == "whole").cast("int")) == 1
+    measured = parts.withColumn("ink_std", F.when(F.col("part") == "whole", _ink_deviation(F.col("levels"))))
+    return measured.groupBy("keys").agg(
         of("whole", "blue_red").alias("blue_red"), of("header", "bright").alias("header_bright"), of("whole", "saturation_std").alias("sat_std"), of("whole", "laplace_var").alias("laplace_var"),
-        (reduce(lambda a, b: a + b, [of(p, "laplace_var") for p in ("top", "bottom", "left", "right")]) / 4).alias("border_detail"),
-        F.coalesce(of("seal", "hue_std"), F.lit(0.0)).alias("seal_hue_std"), F.coalesce(of("seal", "saturation"), F.lit(0.0)).alias("seal_sat_mean"), of("whole", "gray_var").alias("gray_var"))
-    return _together(images, keys, [tones, _ink_deviation(sums)], CHANNEL_STATS)
+        (reduce(lambda a, b: a + b, [of(p, "laplace_var") for p in ("top", "bottom", "left", "right")]) / 4).alias("border_detail"), F.max("ink_std").alias("ink_std"),
+        F.when(readable, F.coalesce(of("seal", "hue_std"), F.lit(0.0))).alias("seal_hue_std"), F.when(readable, F.coalesce(of("seal", "saturation"), F.lit(0.0))).alias("seal_sat_mean"),
+        of("whole", "gray_var").alias("gray_var")).select("keys.*", *CHANNEL_STATS)
 
 
 # --- preparing and drawing ------------------------------------------------------------------------------------------------
@@ -342,20 +396,29 @@ def augmentation_plan(images: DataFrame, multiplier: int = 5, stem: str | None =
 
 
 def vector_images(vectors: DataFrame, key: str, vector: str, scale: int = 16) -> DataFrame:
-    """Square pictures out of embedding vectors (values near -0.5 to 0.5), for tables without pictures."""
+    """Square pictures out of embedding vectors (values near -0.5 to 0.5), for tables without pictures.
+
+    A vector is small beside its picture, so the vectors are dealt to as many tasks as the pictures need, and
+    a task gives its pictures in batches of at most DRAWN_BYTES.
+    """
     kind = vectors.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for k, v in zip(pdf[key], pdf[vector]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for i in range(batch.num_rows):
+                v = batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
                 side = int(len(v) ** 0.5)
                 if side * side != len(v):
                     raise ValueError(f"a vector of {len(v)} values makes no square picture")
-                cell = np.clip((np.asarray(v, dtype=np.float64) + 0.5) * 255, 0, 255).reshape(side, side)
-                g = np.kron(cell, np.ones((scale, scale)))
-                img = np.stack([255 - g, g, np.roll(g, scale, axis=1)], axis=2).astype(np.uint8)
-                rows.append((k, img.shape[0], img.shape[1], img.tobytes()))
-            yield pd.DataFrame(rows, columns=[key, "height", "width", "data"])
-
-    return vectors.select(key, vector).mapInPandas(run, f"`{key}` {kind}, height int, width int, data binary")
+                g = np.clip((v + 0.5) * 255, 0, 255).reshape(side, side)
+                cells = np.stack([255 - g, g, np.roll(g, 1, axis=1)], axis=2).astype(np.uint8)
+                rows.append((side * scale, cells.repeat(scale, axis=0).repeat(scale, axis=1).tobytes()))
+                size += len(rows[-1][1])
+                if size >= DRAWN_BYTES or i == batch.num_rows - 1:
+                    sides, pixels = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + 1 - len(rows), len(rows)), sides, sides, pixels], names=[key, "height", "width", "data"])
+                    rows, size = [], 0
+
+    dealt = vectors.select(key, vector).repartition(max(1, -(-vectors.count() // DRAWN_PER_TASK)))
+    return dealt.mapInArrow(run, f"`{key}` {kind}, height int, width int, data binary")

@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import picture_reference as reference
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +292,23 @@ def test_banded_picture_statistics_equal_those_of_whole_pictures(spark):
     assert corpus.image_features(pictures.limit(0), ["id"]).collect() == [] and corpus.image_channels(pictures.limit(0), ["id"]).collect() == []
 
 
+def test_pictures_are_drawn_once_in_small_batches_by_many_tasks(spark):
+    """600 vectors of one partition: batches of pictures are bounded, tasks take turns, and no statistic draws them again."""
+    vectors = spark.createDataFrame([(i, [((i * j) % 97) / 97 - 0.5 for j in range(64)]) for i in range(600)], "id long, v array<float>").coalesce(1)
+    pictures = corpus.vector_images(vectors, "id", "v")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    assert pictures.rdd.getNumPartitions() == 3
+    with_default = pictures.mapInArrow(sizes, "n long, bytes long").agg(F.sum("n"), F.max("bytes")).first()
+    assert with_default[0] == 600 and with_default[1] < 300 << 20
+    for stats in (corpus.image_features(pictures, ["id"]), corpus.image_channels(pictures, ["id"])):
+        assert stats._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # drawn once, read once
+        assert stats.count() == 600
+
+
 def test_pictures_round_trip(spark, tmp_path):
     vectors = spark.createDataFrame([(1, [0.1] * 64), (2, [-0.2] * 32 + [0.3] * 32)], "id long, v array<double>")
     pictures = corpus.vector_images(vectors, "id", "v", scale=4)
