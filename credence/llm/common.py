@@ -127,10 +127,10 @@ def text_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int,
         yield (start, end, *words(offsets[start : end + 1], data, lower))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage and survives lost executors."""
     path = run_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,21 +1,23 @@
 """Language-model scoring: a hierarchical Pitman-Yor model, its seating sampled by Gibbs, predictions averaged over samples.
 
-Two levels of restaurants over a uniform base.  The dish is a token.  Each context (the token before,
-hashed to one of CONTEXTS restaurants) has a restaurant; every table there is a customer of the one parent
+Two levels of restaurants over a uniform base.  The dish is a token.  Every context (the token before, or
+the start of a text) has a restaurant of its own; every table there is a customer of the one parent
 restaurant that all contexts share; tables of the parent draw from the uniform base over the V
 training tokens and one for all others.
 
 Tokens are dealt to buckets by token, so all that one token's restaurants entries need is in one
 bucket: counts by context, tables, the parent's tables.  Frequent tokens (at most HOT of them can be)
-are dealt by token and context instead, and their parent counts meet in one short list.  What buckets
-share is bounded: tables per context, and that list.  Scores go back as one small array per block of
-documents and bucket.
+are dealt by token and context instead, and their parent counts meet in one short list.  A restaurant lies in
+as many buckets as its tokens: after every sweep the buckets send its tables, by context, to parts, which
+add them up and return the sums to the buckets that have the context.  Buckets stay where they are, in a table
+that Spark has bucketed; only these sums, as many as there are contexts in buckets, are shuffled.  Scores go back
+as one small array per block of documents and bucket.
 """
 
 from __future__ import annotations
 
-import io
 import itertools
+import struct
 import zlib
 from functools import cache, lru_cache
 
@@ -27,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm.common import mix, text_bytes, text_words, written
+from credence.session import run_dir
 
-#: Restaurants of contexts; hashed, so their number is fixed.
-CONTEXTS = 4096
+#: Contexts of buckets that are added up in one part, about: one for 32 bytes of text.
+CONTEXTS = 1 << 20
 #: Discount and strength of the context restaurants and of the parent.
 DISCOUNT, STRENGTH = (0.8, 0.6), (2.0, 2.0)
 #: Gibbs sweeps over all seatings, and how many of the last are averaged.
@@ -38,14 +41,20 @@ SWEEPS, AVERAGED = 3, 2
 STIRLING_ROWS = 1024
 #: Share of all tokens from which a token is dealt by context too; so at most 1 / HOT_SHARE tokens are.
 HOT_SHARE = 5e-4
+#: Share of all tokens from which a context travels as its place in a list of at most 1 / NAMED_SHARE; others as their hash.
+NAMED_SHARE = 1e-5
 #: Bytes of text per bucket, which bounds a task; least buckets; documents and tokens per block.
-BUCKET_BYTES, LEAST_BUCKETS, BLOCK_DOCS, BLOCK_TOKENS = 8 << 20, 32, 8192, 1 << 20
+BUCKET_BYTES, LEAST_BUCKETS, BLOCK_DOCS, BLOCK_TOKENS = 16 << 20, 32, 16384, 2 << 20
 #: Documents whose crc32 of the id as text leaves this remainder are held out of training.
 FOLDS, HELD_OUT = 7, 2
 
 #: A bucket's sums for a document travel as whole numbers of 1 / SCORE_UNIT and 1 / BASE_UNIT; they are added exactly.
 SCORE_UNIT, BASE_UNIT = float(1 << 24), float(1 << 32)
 
+#: What buckets tell the driver: of frequent tokens the parent's customers and the count, and sums over the others.
+HOT_CUSTOMERS, HOT_COUNT, TOTAL = 0, 1, 2
+CUSTOMERS, TABLES, WORDS, TOKENS = range(4)
+
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -54,27 +63,61 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD_OUT
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
-    buffer = io.BytesIO()
-    np.savez(buffer, **arrays)
-    return zstandard.ZstdCompressor(level=1).compress(buffer.getvalue())
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Whole numbers as rows of their low, next, ... bytes (as many as the greatest needs), so that equal high bytes compress to nothing."""
+    head, body = [struct.pack("<B", len(arrays))], []
+    for values in arrays:
+        wide = np.ascontiguousarray(values).astype(np.int64).view(np.uint64)
+        size = (int(wide.max()).bit_length() + 7) // 8 if len(wide) else 0
+        head.append(struct.pack("<QB", len(wide), size))
+        body.append(wide.view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    sizes = [struct.unpack_from("<QB", raw, 1 + 9 * i) for i in range(raw[0])]
+    at, out = 1 + 9 * raw[0], []
+    for n, size in sizes:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T
+        out.append(wide.view(np.int64).ravel())
+        at += n * size
+    return out
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """The first of an ascending list and the steps from each to the next; np.cumsum undoes it."""
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
 
+def _steps_in(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Steps within runs that ascend and begin at ``first``, each run's first value as it is."""
+    out = np.diff(values, prepend=0)
+    out[first] = values[first]
+    return out
 
-def _planes(values: np.ndarray) -> np.ndarray:
-    """Whole numbers as eight rows of bytes, so that their equal high bytes compress to nothing."""
-    return np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
 
+def _from_steps_in(steps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    sums = np.cumsum(steps)
+    return sums - np.repeat(sums[first] - steps[first], np.diff(np.append(first, len(steps))))
 
-def _from_planes(planes: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
-def _unpack(blob: bytes) -> dict[str, np.ndarray]:
-    return dict(np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))))
+
+def bucketed(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
+    """The rows as a table in the shared folder that Spark has bucketed by a column, so that grouping by it shuffles none of them again."""
+    path = run_dir(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(n, column).option("path", path).saveAsTable(table, format="parquet")
+    return df.sparkSession.table(table)
 
 
 def tokens(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a run of texts with one end each, their contexts, and the row of each."""
+    """Tokens of a run of texts with one end each, their contexts (the token before, in full), and the row of each."""
     rows = np.repeat(np.arange(len(counts)), counts + 1)
     ends = np.cumsum(counts + 1) - 1
     token = np.empty(len(rows), np.uint64)
@@ -84,13 +127,13 @@ def tokens(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     before = np.empty(len(rows), np.uint64)
     before[1:] = token[:-1]
     before[ends - counts] = _START
-    return token, (mix(before) % np.uint64(CONTEXTS)).astype(np.uint16), rows
+    return token, before, rows
 
 
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """Hashes of the tokens that may make up HOT_SHARE of all: each task sends what reaches half that share of its own.
+def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens that may make up HOT_SHARE and NAMED_SHARE of all: each task sends what reaches half the latter share of its own.
 
-    Only where tokens are dealt to depends on this list, never a count.
+    Only where tokens are dealt to and how contexts are written depends on these lists, never a count.
     """
 
     def count(batches):
@@ -98,7 +141,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 
         def out():
             values, numbers = np.unique(np.concatenate(held), return_counts=True)
-            often = numbers >= 0.5 * HOT_SHARE * numbers.sum()
+            often = numbers >= 0.5 * NAMED_SHARE * numbers.sum()
             return pa.RecordBatch.from_arrays([pa.array(np.append(values[often], 0).view(np.int64)), pa.array(np.append(numbers[often], numbers.sum()).astype(np.int64))], names=["token", "n"])
 
         for batch in batches:
@@ -113,8 +156,9 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     total = rows.where("token = 0").agg(F.sum("n")).first()[0] or 0
-    often = rows.where((F.col("token") != 0) & (F.col("n") >= HOT_SHARE * total)).select("token").collect()  # at most 1 / HOT_SHARE rows
-    return np.sort(np.array([r["token"] for r in often], np.int64).view(np.uint64))
+    often = rows.where((F.col("token") != 0) & (F.col("n") >= NAMED_SHARE * total)).select("token", (F.col("n") >= HOT_SHARE * total).alias("hot")).toArrow()  # at most 1 / NAMED_SHARE rows
+    token = often["token"].to_numpy().astype(np.int64).view(np.uint64)
+    return np.sort(token[often["hot"].to_numpy()]), np.sort(token)
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -125,15 +169,16 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return np.where(ordered[at] == values, at, -1)
 
 
-def dealt(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+def dealt(docs: DataFrame, hot: np.ndarray, named: np.ndarray, buckets: int) -> DataFrame:
     """Blocks of documents as (block, bucket, payload): per bucket the tokens with context and document, per block its documents (kind 1).
 
     A block is named by its partition and running number there, so rows must come from a written table, whose partitions a retry reads alike.
+    A context is a place in ``named`` or, behind these, in the payload's own list.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shared = docs.sparkSession.sparkContext.broadcast((hot, named))
 
     def deal(batches):
-        frequent, running = shared.value, itertools.count()
+        (frequent, listed), running = shared.value, itertools.count()
 
         def out(ids, counts, hashes):
             # documents in training come first, so a document's number tells whether it is held out
@@ -141,73 +186,100 @@ def dealt(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             order = np.argsort(outside, kind="stable")
             number = np.empty(len(ids), np.int64)
             number[order] = np.arange(len(ids))
-            token, context, row = tokens(hashes, counts)
-            doc = number[row].astype(np.uint16)
-            spread = np.where(_among(token, frequent) >= 0, mix(token + context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), mix(token))
+            token, before, row = tokens(hashes, counts)
+            spread = np.where(_among(token, frequent) >= 0, mix(token + mix(before) * np.uint64(0x9E3779B97F4A7C15)), mix(token))
             bucket = (spread % np.uint64(buckets)).astype(np.int64)
-            place = np.lexsort((doc, context, token, bucket))
+            context = _among(before, listed)
+            rare = context < 0
+            others, place = np.unique(before[rare], return_inverse=True)
+            context[rare] = len(listed) + place
+            doc = number[row]
+            place = np.lexsort((context << 16 | doc, token, bucket))
             token, context, doc, bucket = token[place], context[place], doc[place], bucket[place]
-            block = f"{TaskContext.get().partitionId()}-{next(running)}"
+            block = TaskContext.get().partitionId() << 32 | next(running)
             n_train = int((~outside).sum())
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             rows = []
             for b in np.flatnonzero(np.diff(cuts)):
                 x, y = cuts[b], cuts[b + 1]
-                first = np.flatnonzero(np.concatenate([[True], token[x + 1 : y] != token[x : y - 1]]))
-                rows.append((block, int(b), 0, _pack(token=token[x:y][first], times=np.diff(np.append(first, y - x)).astype(np.uint32), context=context[x:y], doc=doc[x:y], train=np.array([n_train]))))
+                first = _runs(token[x:y])
+                code = context[x:y].copy()
+                own, place = np.unique(code[code >= len(listed)], return_inverse=True)
+                code[code >= len(listed)] = len(listed) + place
+                rows.append((block, int(b), 0, _pack(_steps(token[x:y][first]), np.diff(np.append(first, y - x)), _steps_in(code, first), _steps(others[own - len(listed)]), doc[x:y], [n_train])))
             ids = [ids[i] for i in order]
-            rows.append((block, zlib.crc32(block.encode()) % buckets, 1, _pack(ids=np.array([0 if i is None else i for i in ids], np.int64), null=np.array([i is None for i in ids]), out=outside[order], n=(counts + 1)[order])))
+            rows.append((block, zlib.crc32(str(block).encode()) % buckets, 1, _pack([0 if i is None else i for i in ids], [i is None for i in ids], outside[order], (counts + 1)[order])))
             columns = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], names=["block", "bucket", "kind", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], names=["block", "bucket", "kind", "payload"])
 
         ids, counts, hashes, size = [], [], [], 0
         for batch in batches:
             names = batch.column(0).to_pylist()
             for start, end, found, per_text in text_words(batch.column(1)):
-                ids += names[start:end]
-                counts.append(per_text)
-                hashes.append(found)
-                size += len(found)
-                if size >= BLOCK_TOKENS or len(ids) >= BLOCK_DOCS:
-                    yield out(ids, np.concatenate(counts), np.concatenate(hashes))
-                    ids, counts, hashes, size = [], [], [], 0
+                for i in range(start, end, BLOCK_DOCS):
+                    n = per_text[i - start : i - start + BLOCK_DOCS]
+                    skip = int(per_text[: i - start].sum())
+                    ids += names[i : i + len(n)]
+                    counts.append(n)
+                    hashes.append(found[skip : skip + int(n.sum())])
+                    size += len(hashes[-1])
+                    if size >= BLOCK_TOKENS or len(ids) >= BLOCK_DOCS:
+                        yield out(ids, np.concatenate(counts), np.concatenate(hashes))
+                        ids, counts, hashes, size = [], [], [], 0
         if ids:
             yield out(ids, np.concatenate(counts), np.concatenate(hashes))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(deal, "block string, bucket int, kind int, payload binary")
+    return rows.mapInArrow(deal, "block long, bucket int, kind int, payload binary")
 
 
-def gathered(parts: DataFrame) -> DataFrame:
-    """One row per bucket: ``seats`` (what sampling needs) and ``full`` (with all entries and where they occur), and the blocks' rows."""
+def gathered(parts: DataFrame, named: np.ndarray, buckets: int) -> DataFrame:
+    """One row per bucket: ``seats`` (what sampling needs), ``names`` (its contexts) and ``full`` (all entries and where they occur), and the blocks' rows."""
+    shared = parts.sparkSession.sparkContext.broadcast(named)
 
     def gather(key, table):
         kinds, payloads, blocks = table["kind"].to_pylist(), table["payload"], table["block"].to_pylist()
-        rows = [(key[0].as_py(), b, None, p.as_py()) for b, k, p in zip(blocks, kinds, payloads) if k]
+        rows = [(key[0].as_py(), b, None, None, p.as_py()) for b, k, p in zip(blocks, kinds, payloads) if k]
         names = sorted(b for b, k in zip(blocks, kinds) if not k)
         at = {b: i for i, (b, k) in enumerate(zip(blocks, kinds)) if not k}
-        got = [_unpack(payloads[at[b]].as_py()) for b in names]
+        listed, got = shared.value, []
+        used = np.zeros(len(listed), bool)
+        for b in names:
+            word, times, code, own, doc, n_train = _unpack(payloads[at[b]].as_py())
+            code = _from_steps_in(code, np.cumsum(times) - times)
+            used[code[code < len(listed)]] = True
+            got.append((np.cumsum(word.view(np.uint64)), times, code, np.cumsum(own.view(np.uint64)), doc.astype(np.uint16), int(n_train[0])))
         if got:
-            words = np.unique(np.concatenate([g["token"] for g in got]))
+            words = np.unique(np.concatenate([g[0] for g in got]))
+            contexts = np.unique(np.concatenate([listed[used], *(g[3] for g in got)]))
+            known = np.searchsorted(contexts, listed)
             keys, train = [], []
-            for g in got:
-                keys.append(np.repeat(np.searchsorted(words, g["token"]).astype(np.int64), g["times"]) * CONTEXTS + g["context"])
-                train.append(g["doc"] < g["train"][0])
+            for word, times, code, own, doc, n_train in got:
+                context, rare = np.empty(len(code), np.int64), code >= len(listed)
+                context[~rare] = known[code[~rare]]
+                context[rare] = np.searchsorted(contexts, own)[code[rare] - len(listed)]
+                keys.append(np.repeat(np.searchsorted(words, word), times) * len(contexts) + context)
+                train.append(doc < n_train)
             sizes = [len(k) for k in keys]
             entries, where = np.unique(np.concatenate(keys), return_inverse=True)
             count = np.bincount(where[np.concatenate(train)], minlength=len(entries))
-            word, context = entries // CONTEXTS, (entries % CONTEXTS).astype(np.uint16)
-            many = count > 1
-            one = count == 1
-            seats = _pack(words=words, word=word[many].astype(np.int32), context=context[many], count=count[many],
-                          single_word=np.bincount(word[one], minlength=len(words)), single_context=np.bincount(context[one], minlength=CONTEXTS))
-            full = _pack(word=word.astype(np.int32), context=context, count=count.astype(np.int32), entry=where.astype(np.int32), doc=np.concatenate([g["doc"] for g in got]),
-                         sizes=np.array(sizes), blocks=np.array(names))
-            rows.append((key[0].as_py(), None, seats, full))
+            word, context = entries // len(contexts), entries % len(contexts)
+            many, one = count > 1, count == 1
+            seats = _pack(_steps(words), _steps(word[many]), _steps_in(context[many], _runs(word[many])), count[many], np.bincount(word[one], minlength=len(words)),
+                          np.bincount(context[one], minlength=len(contexts)), np.bincount(context, count, len(contexts)))
+            entry, doc, start = [], [], 0
+            for size, g in zip(sizes, got):
+                place = where[start : start + size]
+                order = np.argsort(place, kind="stable")
+                entry.append(_steps(place[order]))
+                doc.append(g[4][order])
+                start += size
+            full = _pack(_steps(word), _steps_in(context, _runs(word)), count, np.concatenate(entry), np.concatenate(doc), sizes, names)
+            rows.append((key[0].as_py(), None, seats, _pack(_steps(contexts)), full))
         columns = list(zip(*rows))
-        return pa.table({"bucket": pa.array(columns[0], pa.int32()), "block": pa.array(columns[1], pa.string()), "seats": pa.array(columns[2], pa.binary()), "full": pa.array(columns[3], pa.binary())})
+        return pa.table({"bucket": pa.array(columns[0], pa.int32()), "block": pa.array(columns[1], pa.int64()), "seats": pa.array(columns[2], pa.binary()), "names": pa.array(columns[3], pa.binary()), "full": pa.array(columns[4], pa.binary())})
 
-    return parts.groupBy("bucket").applyInArrow(gather, "bucket int, block string, seats binary, full binary")
+    return parts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(gather, "bucket int, block long, seats binary, names binary, full binary")
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -291,32 +363,44 @@ def seat(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Gen
 
 
 class Shared:
-    """What all buckets know of one sample: tables per context and in all, the parent's tables, and the frequent tokens' parent counts."""
+    """What a bucket knows of one sample: tables of its contexts, the parent's customers and tables in all, and the frequent tokens' parent counts."""
 
     def __init__(self, context: np.ndarray, customers: int, tables: int, hot_customers: np.ndarray, hot_tables: np.ndarray) -> None:
         self.context, self.customers, self.tables = context, customers, tables
         self.hot_customers, self.hot_tables = hot_customers, hot_tables
 
 
-def parent_share(customers: np.ndarray, tables: np.ndarray, shared: Shared, vocabulary: int) -> np.ndarray:
-    """The parent's probability of tokens with so many customers and tables there."""
-    base = (STRENGTH[1] + DISCOUNT[1] * shared.tables) / (vocabulary + 1)
-    return (np.maximum(customers - DISCOUNT[1] * tables, 0) + base) / (STRENGTH[1] + shared.customers)
+def parent_share(customers: np.ndarray, tables: np.ndarray, shared: Shared, vocabulary: int, own: np.ndarray | int = 0) -> np.ndarray:
+    """The parent's probability of tokens with so many customers and tables there, ``own`` of the customers taken away."""
+    left = customers - own
+    kept = np.minimum(tables, left)
+    base = (STRENGTH[1] + DISCOUNT[1] * (shared.tables - (tables - kept))) / (vocabulary + 1)
+    return (np.maximum(left - DISCOUNT[1] * kept, 0) + base) / (STRENGTH[1] + shared.customers - own)
 
 
 class Bucket:
-    """Seatings of one bucket, sample after sample; the draws follow from the bucket's number, so every task repeats them alike."""
+    """Seatings of one bucket; the draws follow from its number and the sample's, so a task that is run again repeats them."""
 
-    def __init__(self, number: int, blob: bytes, hot: np.ndarray) -> None:
-        for name, value in _unpack(blob).items():
-            setattr(self, name, value)
+    def __init__(self, number: int, blob: bytes, hot: np.ndarray, state: bytes | None = None) -> None:
+        words, word, context, self.count, self.single_word, self.single_context, self.in_context = _unpack(blob)
+        self.words, self.word = np.cumsum(words.view(np.uint64)), np.cumsum(word)
+        self.context = _from_steps_in(context, _runs(self.word))
         self.number, self.hot = number, _among(self.words, hot)
-        self.seats = np.ones(len(self.count), np.int64)
-        self.parent_tables = None
+        self.seats, self.parent_tables = _unpack(state) if state is not None else (np.ones(len(self.count), np.int64), None)
+
+    def state(self) -> bytes:
+        return _pack(self.seats, self.parent_tables)
 
     def customers(self) -> np.ndarray:
         return self.single_word + np.bincount(self.word, self.seats, len(self.words)).astype(np.int64)
 
+    def trained(self) -> np.ndarray:
+        return self.single_word + np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
+
+    def in_contexts(self) -> np.ndarray:
+        """Tables of each context here."""
+        return self.single_context + np.bincount(self.context, self.seats, len(self.single_context)).astype(np.int64)
+
     def totals(self, customers: np.ndarray, shared: Shared | None) -> tuple[np.ndarray, np.ndarray]:
         """The parent's customers and tables of each token, those of frequent tokens from the list."""
         tables = self.parent_tables if self.parent_tables is not None else (customers > 0).astype(np.int64)
@@ -328,80 +412,169 @@ class Bucket:
         return customers, tables
 
     def sweep(self, s: int, shared: Shared, vocabulary: int) -> None:
-        """Draws all seatings of the contexts given the sample before, then the parent's."""
+        """Draws all seatings of the contexts, each given the others of the sample before, then the parent's."""
         rng = np.random.default_rng([self.number, s])
-        share = parent_share(*self.totals(self.customers(), shared), shared, vocabulary)
-        new = (STRENGTH[0] + DISCOUNT[0] * shared.context[self.context]) * share[self.word]
+        customers, tables = self.totals(self.customers(), shared)
+        share = parent_share(customers[self.word], tables[self.word], shared, vocabulary, self.seats)
+        new = (STRENGTH[0] + DISCOUNT[0] * (shared.context[self.context] - self.seats)) * share
         self.seats = seat(self.count, new, DISCOUNT[0], rng)
         base = (STRENGTH[1] + DISCOUNT[1] * shared.tables) / (vocabulary + 1)
         now = self.customers()
         self.parent_tables = np.where(now > 0, seat(now, np.full(len(now), base), DISCOUNT[1], rng), 0)
 
+    def told(self) -> list[tuple[int, int, int]]:
+        """(kind, key, value) for the driver: two for each frequent token, and totals."""
+        customers, plain, trained = self.customers(), self.hot < 0, self.trained()
+        tables = self.totals(customers, None)[1]
+        rows = [(HOT_CUSTOMERS, int(self.hot[i]), int(customers[i])) for i in np.flatnonzero(~plain)] + [(HOT_COUNT, int(self.hot[i]), int(trained[i])) for i in np.flatnonzero(~plain)]
+        return rows + [(TOTAL, CUSTOMERS, int(customers[plain].sum())), (TOTAL, TABLES, int(tables[plain].sum())), (TOTAL, WORDS, int((trained[plain] > 0).sum())), (TOTAL, TOKENS, int(trained.sum()))]
 
-def _shares(table: DataFrame, hot: np.ndarray, samples: list[Shared], vocabulary: int) -> tuple[dict, int]:
-    """Sums over all buckets after the next sweep, by (kind, key): at most CONTEXTS and two for each frequent token, and totals."""
-    shared = table.sparkSession.sparkContext.broadcast((hot, samples, vocabulary))
 
-    def measure(batches):
-        often, before, size = shared.value
+def _sums(rows: DataFrame) -> dict:
+    """Sums over all buckets of what they tell, by (kind, key): at most two for each frequent token, and totals."""
+    return {(r["kind"], r["key"]): r["value"] for r in rows.groupBy("kind", "key").agg(F.sum("value").alias("value")).collect()}
+
+
+def _first(table: DataFrame, hot: np.ndarray) -> DataFrame:
+    """What buckets tell before the first sweep, when every entry has one table."""
+    shared = table.sparkSession.sparkContext.broadcast(hot)
+
+    def tell(batches):
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                b = Bucket(number, blob.as_py(), often)
-                for s, sample in enumerate(before):
-                    b.sweep(s, sample, size)
-                customers = b.customers()
-                context = b.single_context + np.bincount(b.context, b.seats, CONTEXTS).astype(np.int64)
-                plain = b.hot < 0
-                tables = b.totals(customers, None)[1]
-                trained = b.single_word + np.bincount(b.word, b.count, len(b.words)).astype(np.int64)
-                rows = [("context", int(k), int(context[k])) for k in np.flatnonzero(context)]
-                rows += [("in_context", int(k), int(v)) for k, v in enumerate(b.single_context + np.bincount(b.context, b.count, CONTEXTS).astype(np.int64)) if v]
-                rows += [("hot", int(b.hot[i]), int(customers[i])) for i in np.flatnonzero(~plain)] + [("hot_count", int(b.hot[i]), int(trained[i])) for i in np.flatnonzero(~plain)]
-                rows += [("customers", 0, int(customers[plain].sum())), ("tables", 0, int(tables[plain].sum())), ("words", 0, int((trained[plain] > 0).sum())), ("tokens", 0, int(trained.sum()))]
-                kinds, keys, values = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys, pa.int64()), pa.array(values, pa.int64())], names=["kind", "key", "value"])
-
-    rows = table.where("seats is not null").select("bucket", "seats").mapInArrow(measure, "kind string, key long, value long")
-    return {(r["kind"], r["key"]): r["value"] for r in rows.groupBy("kind", "key").agg(F.sum("value").alias("value")).collect()}
+                kinds, keys, values = zip(*Bucket(number, blob.as_py(), shared.value).told())
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(values, pa.int64())], names=["kind", "key", "value"])
+
+    return table.where("seats is not null").select("bucket", "seats").mapInArrow(tell, "kind int, key long, value long")
+
+
+def _part(contexts: np.ndarray, parts: int) -> np.ndarray:
+    """The part that adds up a context: ranges of the hash, so that ascending contexts have ascending parts."""
+    return ((contexts >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _slices(part: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    return [(int(p), int(cuts[p]), int(cuts[p + 1])) for p in np.flatnonzero(np.diff(cuts))]
 
 
-def _scores(table: DataFrame, hot: np.ndarray, samples: list[Shared], facts: dict) -> DataFrame:
-    """(block, payload): per bucket and block the documents' sums of log10 probability, of log10 (count + 1), and known tokens."""
+def context_index(table: DataFrame, parts: int) -> DataFrame:
+    """(part, bucket, ids, cut, tables, customers): numbers within the part of the contexts a bucket has there, and tables before the first sweep and customers of each over all buckets."""
+
+    def ask(batches):
+        for batch in batches:
+            for number, seats, names in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                b, contexts = Bucket(number, seats.as_py(), np.zeros(0, np.uint64)), np.cumsum(_unpack(names.as_py())[0].view(np.uint64))
+                tables = b.in_contexts()
+                rows = [(p, number, _pack(_steps(contexts[x:y]), tables[x:y], b.in_context[x:y])) for p, x, y in _slices(_part(contexts, parts), parts)]
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["part", "bucket", "payload"])
+
+    def number(key, group):
+        asked = [_unpack(p.as_py()) for p in group["payload"]]
+        names = [np.cumsum(a[0].view(np.uint64)) for a in asked]
+        known, at = np.unique(np.concatenate(names), return_inverse=True)
+        tables, customers = (np.bincount(at, np.concatenate([a[i] for a in asked]), len(known)) for i in (1, 2))
+        at = np.split(at, np.cumsum([len(n) for n in names])[:-1])
+        return pa.table({
+            "part": pa.array([key[0].as_py()] * len(at), pa.int32()), "bucket": group["bucket"], "ids": pa.array([_pack(_steps(a)) for a in at], pa.binary()),
+            "tables": pa.array([_pack(tables[a]) for a in at], pa.binary()), "customers": pa.array([_pack(customers[a]) for a in at], pa.binary()),
+        })
+
+    asked = table.where("seats is not null").select("bucket", "seats", "names").mapInArrow(ask, "part int, bucket int, payload binary")
+    rows = asked.repartition(parts, "part").groupBy("part").applyInArrow(number, "part int, bucket int, ids binary, tables binary, customers binary")
+    return bucketed(rows, "contexts", "part", parts)
+
+
+def _added(index: DataFrame, sent: DataFrame) -> DataFrame:
+    """(bucket, part, payload): of the contexts a bucket has in a part, the tables over all buckets."""
+
+    def add(numbers, group):
+        ids = dict(zip(numbers["bucket"].to_pylist(), (np.cumsum(_unpack(i.as_py())[0]) for i in numbers["ids"])))
+        buckets = group["bucket"].to_pylist()
+        tables = np.zeros(max(int(i[-1]) for i in ids.values()) + 1, np.int64)
+        for b, p in zip(buckets, group["payload"]):
+            tables[ids[b]] += _unpack(p.as_py())[0]
+        return pa.table({"bucket": group["bucket"], "part": group["part"], "payload": pa.array([_pack(tables[ids[b]]) for b in buckets], pa.binary())})
+
+    numbers = index.select("part", "bucket", "ids").groupBy("part")
+    return numbers.cogroup(sent.where("part is not null").select("part", "bucket", "payload").groupBy("part")).applyInArrow(add, "bucket int, part int, payload binary")
+
+
+def _news(rows: DataFrame, sample: int, kind: str) -> DataFrame:
+    return rows.select("bucket", F.lit(sample).alias("sample"), F.lit(kind).alias("kind"), "part", "payload")
+
+
+def _by_kind(news: pa.Table) -> dict[tuple[int, str], list[bytes]]:
+    """Payloads by (sample, kind), in the order of parts."""
+    out: dict[tuple[int, str], list[bytes]] = {}
+    for _, s, kind, blob in sorted(zip(news["part"].to_pylist(), news["sample"].to_pylist(), news["kind"].to_pylist(), news["payload"].to_pylist()), key=lambda r: -1 if r[0] is None else r[0]):
+        out.setdefault((s, kind), []).append(blob)
+    return out
+
+
+def _whole(blobs: list[bytes]) -> np.ndarray:
+    return np.concatenate([_unpack(b)[0] for b in blobs])
+
+
+def _swept(table: DataFrame, news: DataFrame, hot: np.ndarray, s: int, sample: tuple, vocabulary: int, parts: int) -> DataFrame:
+    """One sweep: rows with a part are tables by context to be added up there; without, the bucket's state, or what it tells."""
+    shared = table.sparkSession.sparkContext.broadcast((hot, sample, vocabulary))
+
+    def sweep(key, left, right):
+        often, before, size = shared.value
+        rows = []
+        for seats, names in zip(left["seats"], left["names"]):
+            got, number = _by_kind(right), key[0].as_py()
+            b = Bucket(number, seats.as_py(), often, got[s, "state"][0] if (s, "state") in got else None)
+            b.sweep(s, Shared(_whole(got[s, "tables"]), *before), size)
+            tables, contexts = b.in_contexts(), np.cumsum(_unpack(names.as_py())[0].view(np.uint64))
+            rows += [(number, p, _pack(tables[x:y]), None, None, None) for p, x, y in _slices(_part(contexts, parts), parts)]
+            rows += [(number, None, b.state(), None, None, None), *((number, None, None, *told) for told in b.told())]
+        columns = list(zip(*rows)) or [[]] * 6
+        kinds = [("bucket", pa.int32()), ("part", pa.int32()), ("payload", pa.binary()), ("kind", pa.int32()), ("key", pa.int64()), ("value", pa.int64())]
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds, columns)})
+
+    rows = table.where("seats is not null").select("bucket", "seats", "names").groupBy("bucket").cogroup(news.groupBy("bucket"))
+    return written(rows.applyInArrow(sweep, "bucket int, part int, payload binary, kind int, key long, value long"), "sweep")
+
+
+def _scores(table: DataFrame, news: DataFrame, hot: np.ndarray, samples: list[tuple], facts: dict) -> DataFrame:
+    """(block, payload): per bucket and block the documents' sums of -log10 probability, of log10 (count + 1), and known tokens."""
     shared = table.sparkSession.sparkContext.broadcast((hot, samples, facts))
 
-    def score(batches):
+    def score(key, left, right):
         often, before, known = shared.value
-        for batch in batches:
-            for number, seats, blob in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                b, full = Bucket(number, seats.as_py(), often), _unpack(blob.as_py())
-                word, context, count = full["word"], full["context"], full["count"].astype(np.int64)
-                many = np.flatnonzero(count > 1)
-                total = np.zeros(len(word))
-                for s in range(len(before) - 1):
-                    b.sweep(s, before[s], known["vocabulary"])
-                    if s < len(before) - 1 - AVERAGED:
-                        continue
-                    own = before[s + 1]
-                    share = parent_share(*b.totals(b.customers(), own), own, known["vocabulary"])
-                    tables = (count > 0).astype(np.int64)
-                    tables[many] = b.seats
-                    rest = STRENGTH[0] + DISCOUNT[0] * own.context[context]
-                    total += (count - DISCOUNT[0] * tables + rest * share[word]) / (STRENGTH[0] + known["in_context"][context])
-                log = np.log10(total / min(AVERAGED, len(before) - 1))
-                trained = np.bincount(word, count, len(b.words)).astype(np.int64)
-                trained[b.hot >= 0] = known["hot_count"][b.hot[b.hot >= 0]]
-                base = np.log10(trained + 1.0)
-                entry, doc = full["entry"], full["doc"]
-                at, rows = 0, []
-                for name, size in zip(full["blocks"].tolist(), full["sizes"].tolist()):
-                    e, d = entry[at : at + size], doc[at : at + size]
-                    at += size
-                    docs, place = np.unique(d, return_inverse=True)
-                    sums = {"score": np.bincount(place, log[e]) * SCORE_UNIT, "base": np.bincount(place, base[word[e]]) * BASE_UNIT, "known": np.bincount(place, trained[word[e]] > 0)}
-                    rows.append((name, _pack(doc=_planes(np.diff(docs.astype(np.int64), prepend=0)), **{k: _planes(np.rint(v)) for k, v in sums.items()})))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "payload"])
-
-    return table.where("seats is not null").select("bucket", "seats", "full").mapInArrow(score, "block string, payload binary")
+        rows = []
+        for seats, blob in zip(left["seats"], left["full"]):
+            got, number = _by_kind(right), key[0].as_py()
+            word, context, count, entry, doc, sizes, names = _unpack(blob.as_py())
+            word = np.cumsum(word)
+            context = _from_steps_in(context, _runs(word))
+            many, total, customers = np.flatnonzero(count > 1), np.zeros(len(word)), _whole(got[0, "customers"])
+            averaged = range(len(before) - min(AVERAGED, len(before) - 1), len(before))
+            for s in averaged:
+                b = Bucket(number, seats.as_py(), often, got[s, "state"][0])
+                own = Shared(_whole(got[s, "tables"]), *before[s])
+                share = parent_share(*b.totals(b.customers(), own), own, known["vocabulary"])
+                tables = (count > 0).astype(np.int64)
+                tables[many] = b.seats
+                rest = STRENGTH[0] + DISCOUNT[0] * own.context[context]
+                total += (count - DISCOUNT[0] * tables + rest * share[word]) / (STRENGTH[0] + customers[context])
+            log = -np.log10(total / len(averaged))
+            trained = b.trained()
+            trained[b.hot >= 0] = known["hot_count"][b.hot[b.hot >= 0]]
+            base = np.log10(trained + 1.0)
+            at = 0
+            for name, size in zip(names.tolist(), sizes.tolist()):
+                e, d = np.cumsum(entry[at : at + size]), doc[at : at + size]
+                at += size
+                docs, place = np.unique(d, return_inverse=True)
+                rows.append((name, _pack(_steps(docs), np.rint(np.bincount(place, log[e]) * SCORE_UNIT), np.rint(np.bincount(place, base[word[e]]) * BASE_UNIT), np.bincount(place, trained[word[e]] > 0))))
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+    rows = table.where("seats is not null").select("bucket", "seats", "full").groupBy("bucket").cogroup(news.groupBy("bucket"))
+    return rows.applyInArrow(score, "block long, payload binary")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -411,50 +584,52 @@ def score_documents(docs: DataFrame) -> DataFrame:
     are learned from and scored each; other columns are not read; an empty table gives no rows.  Without a training
     document all tokens are unknown and the model is the uniform base.
     """
-    docs = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "scored")
-    hot = frequent_tokens(docs)
+    docs = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "scored", compression="zstd")
+    hot, named = frequent_tokens(docs)
     _, size = text_bytes(docs)
-    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
-    table = written(gathered(dealt(docs, hot, buckets)), "seats")
-    samples: list[Shared] = []
-    vocabulary, facts = 0, {}
+    buckets, parts = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)), max(LEAST_BUCKETS // 4, -(-size // (32 * CONTEXTS)))
+    table = bucketed(gathered(dealt(docs, hot, named, buckets), named, buckets), "seats", "bucket", buckets)
+    index = context_index(table, parts)
+    sums = _sums(_first(table, hot))
+    hot_count = np.array([sums.get((HOT_COUNT, i), 0) for i in range(len(hot))], np.int64)
+    n, v = sums.get((TOTAL, TOKENS), 0), sums.get((TOTAL, WORDS), 0) + int((hot_count > 0).sum())
+    samples: list[tuple] = []
+    news = [_news(index.withColumn("payload", F.col("tables")), 0, "tables")]
     for s in range(SWEEPS + 1):
-        sums = _shares(table, hot, samples, vocabulary)
-        if not samples:
-            hot_count = np.array([sums.get(("hot_count", i), 0) for i in range(len(hot))], np.int64)
-            vocabulary = sums.get(("words", 0), 0) + int((hot_count > 0).sum())
-            facts = {"vocabulary": vocabulary, "hot_count": hot_count, "in_context": np.array([sums.get(("in_context", i), 0) for i in range(CONTEXTS)], np.int64), "tokens": sums.get(("tokens", 0), 0)}
-        context = np.array([sums.get(("context", i), 0) for i in range(CONTEXTS)], np.int64)
-        hot_customers = np.array([sums.get(("hot", i), 0) for i in range(len(hot))], np.int64)
-        if samples:
-            base = (STRENGTH[1] + DISCOUNT[1] * samples[-1].tables) / (vocabulary + 1)
+        if s:
+            swept = _swept(table, news[-2].unionByName(news[-1]) if s > 1 else news[-1], hot, s - 1, samples[-1], v, parts)
+            sums = _sums(swept.where("kind is not null"))
+            news += [_news(swept.where("part is null and kind is null"), s, "state"), _news(_added(index, swept), s, "tables")]
+        hot_customers = np.array([sums.get((HOT_CUSTOMERS, i), 0) for i in range(len(hot))], np.int64)
+        if s:
+            base = (STRENGTH[1] + DISCOUNT[1] * samples[-1][1]) / (v + 1)
             drawn = seat(hot_customers, np.full(len(hot), base), DISCOUNT[1], np.random.default_rng([1 << 40, s]))
         else:
             drawn = np.ones(len(hot), np.int64)
         hot_tables = np.where(hot_customers > 0, drawn, 0)
-        samples.append(Shared(context, sums.get(("customers", 0), 0) + int(hot_customers.sum()), sums.get(("tables", 0), 0) + int(hot_tables.sum()), hot_customers, hot_tables))
-    parts = _scores(table, hot, samples, facts).select("block", F.lit(0).alias("kind"), "payload")
+        samples.append((sums.get((TOTAL, CUSTOMERS), 0) + int(hot_customers.sum()), sums.get((TOTAL, TABLES), 0) + int(hot_tables.sum()), hot_customers, hot_tables))
+    last = _news(index.withColumn("payload", F.col("customers")), 0, "customers")
+    for rows in news[-2 * min(AVERAGED, SWEEPS) :]:
+        last = last.unionByName(rows)
+    scored = _scores(table, last, hot, samples, {"vocabulary": v, "hot_count": hot_count}).select("block", F.lit(0).alias("kind"), "payload")
     meta = table.where("block is not null").select("block", F.lit(1).alias("kind"), F.col("full").alias("payload"))
-    n, v = facts["tokens"], vocabulary
     constant = -np.log10(float(n + 1 * (v + 1)))
 
     def total(group: pa.Table) -> pa.Table:
         kinds = group["kind"].to_pylist()
-        about = _unpack(group["payload"][kinds.index(1)].as_py())
-        size = len(about["ids"])
+        ids, null, outside, tokens_in = _unpack(group["payload"][kinds.index(1)].as_py())
+        size = len(ids)
         score, base, known = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
         for kind, blob in zip(kinds, group["payload"]):
             if not kind:
-                part = {k: _from_planes(v) for k, v in _unpack(blob.as_py()).items()}
-                at = np.cumsum(part["doc"])
-                score[at] += part["score"]
-                base[at] += part["base"]
-                known[at] += part["known"]
-        score, base = score / SCORE_UNIT, base / BASE_UNIT
+                steps, *sums = _unpack(blob.as_py())
+                at = np.cumsum(steps)
+                for whole, part in zip((score, base, known), sums):
+                    whole[at] += part
         return pa.table({
-            "doc_id": pa.array(about["ids"], mask=about["null"]), "held_out": pa.array(about["out"].astype(bool)), "n_tokens": pa.array(about["n"].astype(np.int64)), "n_known": pa.array(known),
-            "train_tokens": pa.array(np.full(size, n, np.int64)), "base_score": pa.array(base + about["n"] * constant), "score": pa.array(score),
+            "doc_id": pa.array(ids, mask=null.astype(bool)), "held_out": pa.array(outside.astype(bool)), "n_tokens": pa.array(tokens_in), "n_known": pa.array(known),
+            "train_tokens": pa.array(np.full(size, n, np.int64)), "base_score": pa.array(base / BASE_UNIT + tokens_in * constant), "score": pa.array(-score / SCORE_UNIT),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return parts.unionByName(meta).groupBy("block").applyInArrow(total, schema)
+    return scored.unionByName(meta).groupBy("block").applyInArrow(total, schema)

@@ -164,6 +164,76 @@ def test_repeated_partitions_are_scored_each(spark):
     assert all(r.n_known <= r.n_tokens for r in got) and len({(r.doc_id, r.score) for r in got}) == 200
 
 
+def test_every_context_has_its_own_restaurant(spark):
+    """One training text in which no token recurs: every seating is one table, so that all scores follow by hand."""
+    train = next(i for i in range(100) if not pitman_yor.held_out(i))
+    out = next(i for i in range(100) if pitman_yor.held_out(i))
+    ws = [f"w{i}" for i in range(6000)]
+    n = len(ws) + 1  # tokens, contexts, dishes and tables
+    (d, d0), (a, a0) = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    base = (a0 + d0 * n) / (n + 1)
+    seen, unseen = (1 - d0 + base) / (a0 + n), base / (a0 + n)  # the parent's
+    after = lambda share, count: (count - d * count + (a + d) * share) / (a + 1)
+    got = {r.doc_id: r for r in pitman_yor.score_documents(corpus(spark, [(train, " ".join(ws)), (out, "w7 w9 new w5")])).collect()}
+    assert got[train].score == pytest.approx(n * math.log10(after(seen, 1)), rel=1e-6)
+    # the start and w7 are contexts of other tokens, w9 of other ones too; "new" was never a context; the end followed the last word alone
+    assert got[out].score == pytest.approx(2 * math.log10(after(seen, 0)) + math.log10(after(unseen, 0)) + math.log10(seen) + math.log10(after(seen, 0)), rel=1e-6)
+
+
+def test_contexts_are_not_merged():
+    import pyarrow as pa
+
+    hashes = common.words(*common.text_buffer(pa.array([" ".join(f"w{i}" for i in range(20_000))])))[0]
+    token, before, row = pitman_yor.tokens(hashes, np.array([20_000]))
+    assert len(set(before.tolist())) == len(before) == 20_001 and before[1:].tolist() == token[:-1].tolist()
+
+
+def test_packed_numbers_come_back():
+    arrays = [np.array([], np.int64), np.array([3, 5, 2**40]), np.array([-1, 0, 2**62]), np.array([2**64 - 1, 7], np.uint64), np.array([True, False])]
+    got = pitman_yor._unpack(pitman_yor._pack(*arrays))
+    assert [g.tolist() for g in got[:3]] == [a.tolist() for a in arrays[:3]] and got[3].view(np.uint64).tolist() == arrays[3].tolist() and got[4].tolist() == [1, 0]
+    values, first = np.array([4, 9, 9, 1, 6, 0]), np.array([0, 3, 5])
+    assert pitman_yor._from_steps_in(pitman_yor._steps_in(values, first), first).tolist() == values.tolist()
+
+
+def test_tables_by_context_equal_a_count_of_all_buckets(spark, folder):
+    """What the parts return to the buckets, before the first sweep and after one, against sums over all buckets."""
+    docs = common.written(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), "docs")
+    hot, named = pitman_yor.frequent_tokens(docs)
+    table = pitman_yor.bucketed(pitman_yor.gathered(pitman_yor.dealt(docs, hot, named, 5), named, 5), "seats", "bucket", 5)
+    index = pitman_yor.context_index(table, 3)
+    names = {r.bucket: np.cumsum(pitman_yor._unpack(r.names)[0].view(np.uint64)).tolist() for r in table.where("names is not null").collect()}
+    assert len({c for cs in names.values() for c in cs}) > 4096
+
+    def by_context(payloads):
+        return {b: dict(zip(names[b], pitman_yor._whole([p for _, p in sorted(parts)]))) for b, parts in payloads.items()}
+
+    def rows(frame, column):
+        out = defaultdict(list)
+        for r in frame.collect():
+            out[r.bucket].append((r.part, r[column]))
+        return by_context(out)
+
+    buckets = [pitman_yor.Bucket(r.bucket, r.seats, hot) for r in table.where("seats is not null").collect()]
+    for column, own in (("tables", lambda b: b.in_contexts()), ("customers", lambda b: b.in_context)):
+        total = Counter()
+        for b in buckets:
+            total.update(dict(zip(names[b.number], own(b).tolist())))
+        for found in rows(index, column).values():
+            assert all(total[c] == v for c, v in found.items())
+    sums = pitman_yor._sums(pitman_yor._first(table, hot))
+    v = sums[pitman_yor.TOTAL, pitman_yor.WORDS] + len(hot)
+    at = [np.array([sums.get((pitman_yor.HOT_CUSTOMERS, i), 0) for i in range(len(hot))]), np.ones(len(hot), np.int64)]
+    sample = (sums[pitman_yor.TOTAL, pitman_yor.CUSTOMERS] + int(at[0].sum()), sums[pitman_yor.TOTAL, pitman_yor.TABLES] + len(hot), *at)
+    news = pitman_yor._news(index.withColumn("payload", F.col("tables")), 0, "tables")
+    swept = pitman_yor._swept(table, news, hot, 0, sample, v, 3)
+    sent, total = rows(swept.where("part is not null"), "payload"), Counter()
+    for found in sent.values():
+        total.update({c: int(n) for c, n in found.items()})
+    got = rows(pitman_yor._added(index, swept), "payload")
+    assert sent.keys() == got.keys() and all(total[c] == n for found in got.values() for c, n in found.items())
+
+
 # 2
 
 
