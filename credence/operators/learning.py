@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from credence.functions.hotkeys import numbered
 from credence.operators import evaluation
+from credence.operators.forest import DealtForest
 from credence.session import cut_lineage, run_dir
 from credence.sources.sinks import write_json
 
@@ -75,17 +76,21 @@ def with_class_weight(rows: DataFrame, label: str = "label", within: tuple[str,
     return joined.withColumn("weight", F.col("_all") / (2 * F.col("_n"))).drop("_n", "_all", "_one")
 
 
-def forest(features: list[str], trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Pipeline:
-    return Pipeline(stages=[assembler(features), *scaled_forest(trees, depth, seed)])
+def forest(features: list[str], trees: int = TREES, depth: int = DEPTH, seed: int = SEED, dealt: bool = False) -> Pipeline:
+    return Pipeline(stages=[assembler(features), *scaled_forest(trees, depth, seed, dealt)])
 
 
 def assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep")
 
 
-def scaled_forest(trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
+def scaled_forest(trees: int = TREES, depth: int = DEPTH, seed: int = SEED, dealt: bool = False) -> list:
+    """Scaling and the forest; ``dealt`` deals trees to tasks instead of rows (:mod:`credence.operators.forest`), with other random draws."""
+    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
+    if dealt:
+        return [scaler, DealtForest(trees, depth, seed)]
     return [
-        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
+        scaler,
         RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed,
                                minInstancesPerNode=1),
     ]
@@ -177,7 +182,7 @@ def published_model(rows: DataFrame, features: list[str], key: str, folder: str,
     The metrics are also written below ``folder`` as JSON, beside the model they belong to.
     """
     fit_on, test = hold_out(rows, key)
-    train(fit_on, features, **options).write().save(f"{folder}/model")
+    train(fit_on, features, dealt=True, **options).write().save(f"{folder}/model")
     predictions = cut_lineage(score(PipelineModel.load(f"{folder}/model"), test).select(key, "label", "prediction", "probability"))
     measured = cut_lineage(evaluation.metrics(predictions, cross_validated(rows, features, key, folds, **options)))
     write_json(measured, f"{folder}/metrics")
