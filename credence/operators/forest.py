@@ -26,7 +26,7 @@ from credence.session import run_dir
 
 BINS = 32
 #: Rows of a task that are summarised at a time, and the values that a summary of a feature has at most.
-SUMMED_ROWS, SUMMED_VALUES = 1 << 17, 1024
+SUMMED_ROWS, SUMMED_VALUES = 1 << 17, 1 << 14
 #: Rows of a tree that are counted at a time.
 COUNTED_ROWS = 1 << 19
 _MODEL = "org.apache.spark.ml.classification"
@@ -268,13 +268,13 @@ class DealtForest(Estimator):
 
     def _fit(self, dataset: DataFrame) -> RandomForestClassificationModel:
         spark = dataset.sparkSession
-        labels = dataset.groupBy("label").agg(F.min("weight").alias("low"), F.max("weight").alias("high")).collect()  # one row per label
+        rows = dataset.select("label", F.col("weight").cast("double").alias("weight"), vector_to_array("features").alias("x"))
+        labels = rows.groupBy("label").agg(F.min("weight").alias("low"), F.max("weight").alias("high"), F.max(F.size("x")).alias("width")).collect()  # one row per label
         if not labels or any(r.label is None or r.low is None or r.label < 0 or r.label > 255 or r.label != int(r.label) or r.low != r.high for r in labels):
             raise ValueError(f"labels must be whole numbers from 0 to 255 with one weight each, not {labels[:9]}")
-        of_class = np.zeros(int(max(r.label for r in labels)) + 1)
+        of_class, width = np.zeros(int(max(r.label for r in labels)) + 1), max(r.width for r in labels)
         of_class[[int(r.label) for r in labels]] = [r.low for r in labels]
-        rows = dataset.select(F.col("label").cast("int").alias("label"), F.col("weight").cast("double").alias("weight"), vector_to_array("features").alias("x"))
-        width = rows.select(F.size("x")).first()[0]
+        rows = rows.withColumn("label", F.col("label").cast("int"))
         cuts = _cuts(rows, width)
         trees, depth, seed, bins = self.trees, self.depth, self.seed, max(2, 1 + max(map(len, cuts)))
         tasks = min(trees, 2 * spark.sparkContext.defaultParallelism)

@@ -153,7 +153,7 @@ def out_of_fold(rows: DataFrame, features: list[str], key: str, folds: int = 5,
         fit_on = rows.sparkSession.read.schema(sets.schema).parquet(path).where(F.col("for_fold") == k)
         if fit_on.isEmpty():  # nothing but this fold
             return None
-        model = Pipeline(stages=scaled_forest(**options)).fit(fit_on)
+        model = Pipeline(stages=scaled_forest(dealt=True, **options)).fit(fit_on)
         return score(model, dealt.where(F.col("fold") == k))
 
     with ThreadPoolExecutor(side_by_side) as pool:

@@ -138,9 +138,13 @@ def m_scale(spark, sf):
 
 
 def training_rows(spark, sf):
-    """The fifteen features of every labelled document; those of a picture are 0 where a document has none."""
-    seen = corpus.image_features(_pictures(spark, sf), ["vec_id"]).withColumnRenamed("vec_id", "doc_id")
+    """The fifteen features of every labelled document; those of a picture are 0 where a document has none.
+
+    Only pictures of labelled documents have a row to go to, so the others are not drawn.
+    """
     labels = _labelled(spark, sf)
+    vectors = parquet_table(spark, sf, "embeddings").join(labels.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    seen = corpus.image_features(corpus.vector_images(vectors, "vec_id", "embedding"), ["vec_id"]).withColumnRenamed("vec_id", "doc_id")
     texts = derived(spark, sf, "submissions").join(labels.withColumnRenamed("doc_id", "id"), "id")
     read = texts.select(F.col("id").alias("doc_id"), "label", *[c.alias(n) for n, c in text_features(F.col("text")).items()],
                         (F.col("id") % 2).cast("double").alias("face_found"), (F.col("id") % 3 == 0).cast("double").alias("qr_found"))

@@ -7,7 +7,8 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from credence.operators import forest, learning
+from credence.operators import corpus, forest, learning
+from credence.plans import corpus_queries
 
 
 def some_rows(spark, n=400):
@@ -22,7 +23,7 @@ def test_cuts_lie_between_all_values_or_at_equal_shares():
     cuts = forest.cuts_of(*forest.summary(values, np.ones(len(values))))
     assert len(cuts) == 31 and np.abs(np.array(cuts) - np.arange(1, 32) / 32).max() < 0.01
     distinct, weights = forest.summary(values, np.ones(len(values)))
-    assert len(distinct) <= 1024 and weights.sum() == len(values) and all((values <= v).sum() == w for v, w in list(zip(distinct, np.cumsum(weights)))[::100])
+    assert len(distinct) <= forest.SUMMED_VALUES and weights.sum() == len(values) and all((values <= v).sum() == w for v, w in list(zip(distinct, np.cumsum(weights)))[::100])
 
 
 def test_best_split_equals_loops():
@@ -110,3 +111,18 @@ def test_labels_of_one_kind_and_values_that_are_no_numbers(spark):
     for odd in (rows.withColumn("label", F.lit(None).cast("int")), rows.withColumn("a", F.lit(float("nan"))), rows.limit(0)):
         with pytest.raises(Exception, match="label|NaN"):
             fit(odd).totalNumNodes
+
+
+def test_only_pictures_of_labelled_documents_are_drawn(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"Kigali 2019 text {i}", "en", "web", 10) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (2, 0, 0), (2, 0, 0), (5, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    vectors = [(i, [(((i or 9) * 64 + k) % 101) / 101 - 0.5 for k in range(64)], 0) for i in (0, 1, 2, 3, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    drawn, draw = [], corpus.vector_images
+    monkeypatch.setattr(corpus, "vector_images", lambda v, *more: drawn.append(sorted(r.vec_id for r in v.collect())) or draw(v, *more))
+    rows = {r.doc_id: r for r in corpus_queries.training_rows(spark, str(tmp_path)).collect()}
+    assert drawn == [[0, 2]] and sorted(rows) == [0, 2, 5]
+    seen = {r.vec_id: r for r in corpus.image_features(draw(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), "vec_id", "embedding"), ["vec_id"]).collect()}
+    for i in (0, 2):
+        assert all(rows[i][n] == seen[i][n] for n in corpus.IMAGE_FEATURES)
+    assert all(rows[5][n] == 0 for n in corpus.IMAGE_FEATURES)
